@@ -71,3 +71,24 @@ def r6(c) -> Column:
 def safe_ratio(num, den) -> Column:
     """num / den, 0.0 on a zero or null denominator (the reference's guard)."""
     return F.coalesce(F.try_divide(col(num).cast("double"), col(den).cast("double")), F.lit(0.0))
+
+
+def word_count_expr(c) -> Column:
+    """Whitespace-separated tokens (``len(text.split())``)."""
+    return F.size(F.filter(F.split(col(c), r"\s+"), lambda x: x != ""))
+
+
+def py_float_text(num) -> Column:
+    """Python ``str(float(s))`` for a plain decimal string ``s`` (|x| in [1e-4, 1e16)).
+
+    Normalises the text instead of formatting a double, so it is exact and the
+    same in every engine: drop '+', leading zeros of the integer part and
+    trailing zeros of the fraction, keep at least ``.0``.
+    """
+    s = col(num)
+    neg = s.startswith("-")
+    body = F.regexp_replace(s, r"^[+-]", "")
+    ip = F.regexp_replace(F.regexp_extract(body, r"^(\d+)", 1), r"^0+(?=\d)", "")
+    fp = F.regexp_replace(F.regexp_extract(body, r"\.(\d+)$", 1), r"0+$", "")
+    txt = F.concat(ip, F.lit("."), F.when(fp == "", F.lit("0")).otherwise(fp))
+    return F.when(neg, F.concat(F.lit("-"), txt)).otherwise(txt)

@@ -12,8 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import os
+
 from tracekit.functions.common import hash8
 from tracekit.operators.positional import number_within
+from tracekit.session import scratch_path
 from tracekit.sources.tables import read_table
 
 # Fixed values of the fixture generator.
@@ -23,6 +26,25 @@ ERROR_MESSAGES = ("Rate limit exceeded", "Request timeout after 60s",
 SHORT_DOC_CHARS = 2000
 
 
+_MATERIALIZED: dict[tuple[str, str, str], str] = {}
+
+
+def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write a derived table once per session under the shared checkpoint folder, then read it.
+
+    Derived fixtures feed many queries; materialising them (a written table,
+    not an in-memory cache) cuts their lineage and lets later scans prune
+    columns and push filters into Parquet.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        path = scratch_path(spark, f"fx-{name}")
+        build().write.parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
+
+
 def s(c) -> Column:
     """Integer column as text."""
     return (F.col(c) if isinstance(c, str) else c).cast("string")
@@ -35,7 +57,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "l_suppkey", F.col("l_quantity").cast("bigint").alias("q"))
 
 
-def steps_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_steps_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D.3: one row per step (order line): problem_id, step_number, n_steps, prev, q, run."""
     numbered = number_within(order_lines(spark, sf_dir), ["problem_id"],
                              ["l_linenumber", "l_partkey", "l_suppkey", "q"], value_col="q",
@@ -44,9 +66,9 @@ def steps_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
                            (F.col("run") - F.col("q")).alias("prev"), "q", "run")
 
 
-def problems_fx(spark: SparkSession, sf_dir: str, steps: DataFrame | None = None) -> DataFrame:
+def _build_problems_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D.1: one problem per order: problem_id, question, answer (`... #### total`)."""
-    steps = steps if steps is not None else steps_fx(spark, sf_dir)
+    steps = steps_fx(spark, sf_dir)
     sentence = F.concat(F.lit("Line "), s("step_number"), F.lit(" adds "), s("prev"), F.lit(" + "),
                         s("q"), F.lit(" = "), s("run"), F.lit(" units."))
     agg = steps.groupBy("problem_id").agg(
@@ -68,9 +90,9 @@ def problems_fx(spark: SparkSession, sf_dir: str, steps: DataFrame | None = None
     return agg.select("problem_id", question.alias("question"), answer.alias("answer"))
 
 
-def plans_fx(spark: SparkSession, sf_dir: str, steps: DataFrame | None = None) -> DataFrame:
+def _build_plans_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D.2: one teacher plan per problem in one of five layouts (problem_id % 5)."""
-    steps = steps if steps is not None else steps_fx(spark, sf_dir)
+    steps = steps_fx(spark, sf_dir)
     fmt = F.col("problem_id") % 5
     text = F.concat(F.lit("Add line "), s("step_number"), F.lit(" with "), s("q"), F.lit(" units to the total"))
     line = (F.when(fmt == 0, F.concat(s("step_number"), F.lit(". "), text))
@@ -85,9 +107,9 @@ def plans_fx(spark: SparkSession, sf_dir: str, steps: DataFrame | None = None) -
     return agg.select("problem_id", plan.alias("plan"))
 
 
-def attempts_fx(spark: SparkSession, sf_dir: str, steps: DataFrame | None = None) -> DataFrame:
+def _build_attempts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D.4: three logged executor attempts per step; ~30 % show a wrong sum."""
-    steps = steps if steps is not None else steps_fx(spark, sf_dir)
+    steps = steps_fx(spark, sf_dir)
     keys = ("problem_id", "step_number", "attempt")
     att = steps.withColumn("attempt", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))))
     wrong = (hash8("wrong", *keys) % 10) < 3
@@ -102,9 +124,9 @@ def attempts_fx(spark: SparkSession, sf_dir: str, steps: DataFrame | None = None
                       (F.lit(5) + hash8("dur", *keys) % 20).cast("bigint").alias("duration_s"))
 
 
-def critiques_fx(spark: SparkSession, sf_dir: str, attempts: DataFrame | None = None) -> DataFrame:
+def _build_critiques_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D.5: one critic output per attempt; structured unless hash % 4 = 2, verdict flipped at % 10 = 9."""
-    att = attempts if attempts is not None else attempts_fx(spark, sf_dir)
+    att = attempts_fx(spark, sf_dir)
     keys = ("problem_id", "step_number", "attempt")
     says_correct = (~F.col("wrong")) != ((hash8("flip", *keys) % 10) == 9)
     structured = (hash8("form", *keys) % 4) != 2
@@ -122,7 +144,7 @@ def critiques_fx(spark: SparkSession, sf_dir: str, attempts: DataFrame | None =
     return att.select("problem_id", "step_number", "attempt", critique.alias("critique"))
 
 
-def request_log_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_request_log_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D.6: teacher request log from ``events``: request = user and hour, attempts by time."""
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
     hour_key = (F.year("ts") * 1000000 + F.month("ts") * 10000 + F.dayofmonth("ts") * 100 + F.hour("ts"))
@@ -162,3 +184,19 @@ def flags_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(lab, "doc_id").select(
         "doc_id", (F.col("quality") == 0).alias("actual"),
         (F.col("n_chars") < SHORT_DOC_CHARS).alias("predicted"))
+
+
+def _public(name, build):
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return materialized(spark, sf_dir, name, lambda: build(spark, sf_dir))
+    get.__name__ = name
+    get.__doc__ = build.__doc__
+    return get
+
+
+steps_fx = _public("steps_fx", _build_steps_fx)
+problems_fx = _public("problems_fx", _build_problems_fx)
+plans_fx = _public("plans_fx", _build_plans_fx)
+attempts_fx = _public("attempts_fx", _build_attempts_fx)
+critiques_fx = _public("critiques_fx", _build_critiques_fx)
+request_log_fx = _public("request_log_fx", _build_request_log_fx)
