@@ -169,3 +169,70 @@ def tfidf_cosine(a, b) -> Column:
     return (F.when(F.size(vocab) == 0, F.lit(0.5))
             .when((na == 0) | (nb == 0), F.lit(0.0))
             .otherwise(dot / (na * nb)))
+
+
+def plan_format(plan) -> Column:
+    """Which C5 rule produced the steps: dot / paren / step / fallback."""
+    p = col(plan)
+    names = ("dot", "paren", "step")
+    out = None
+    for pat, name in zip(PLAN_PATTERNS, names):
+        cond = F.size(F.regexp_extract_all(p, F.lit(pat), 1)) > 0
+        out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
+    return F.when(F.size(_numbered_steps(p, 5)) > 0, out).otherwise(F.lit("fallback"))
+
+
+# ---------------------------------------------------------------------------
+# DataFrame-level staging: each regex runs once per row, then cheap HOFs.
+# ---------------------------------------------------------------------------
+def with_plan_steps(df, plan_col: str, out_col: str = "steps", mode: str = "c5",
+                    format_col: str | None = None):
+    """Add parsed steps (C5 ``c5``, C6 ``strict``, C7 ``runtime``) as staged columns."""
+    p = F.col(plan_col)
+    tmp = [f"_pm{i}" for i in range(3)]
+    for name, pat in zip(tmp, PLAN_PATTERNS):
+        df = df.withColumn(name, F.arrays_zip(F.regexp_extract_all(p, F.lit(pat), 1).alias("n"),
+                                              F.regexp_extract_all(p, F.lit(pat), 2).alias("t")))
+    pick = (F.when(F.size(tmp[0]) > 0, F.col(tmp[0])).when(F.size(tmp[1]) > 0, F.col(tmp[1]))
+            .when(F.size(tmp[2]) > 0, F.col(tmp[2])))
+    fmt = (F.when(F.size(tmp[0]) > 0, F.lit("dot")).when(F.size(tmp[1]) > 0, F.lit("paren"))
+           .when(F.size(tmp[2]) > 0, F.lit("step")))
+    min_len = None if mode == "runtime" else 5
+    num = F.transform(F.coalesce(pick, F.array().cast("array<struct<n:string,t:string>>")),
+                      lambda z: _step(z["n"], F.regexp_replace(strip(z["t"]), "\n", " ")))
+    if min_len is not None:
+        num = F.filter(num, lambda x: F.length(x["description"]) > min_len)
+    df = df.withColumn("_pnum", num).withColumn("_pfmt", fmt).drop(*tmp)
+    if mode == "strict":
+        out = F.col("_pnum")
+    else:
+        out = F.when(F.size("_pnum") > 0, F.col("_pnum")).otherwise(_fallback(p, runtime=(mode == "runtime")))
+    df = df.withColumn(out_col, out)
+    if format_col:
+        df = df.withColumn(format_col, F.when(F.size("_pnum") > 0, F.col("_pfmt")).otherwise(F.lit("fallback")))
+    return df.drop("_pnum", "_pfmt")
+
+
+def with_tfidf_cosine(df, a: str, b: str, out_col: str = "coverage"):
+    """D6 as staged columns: tokens once, then per-term counts over the pair's vocabulary."""
+    df = df.withColumn("_ta", tokens(a)).withColumn("_tb", tokens(b))
+    df = df.withColumn("_tv", F.array_distinct(F.concat("_ta", "_tb")))
+
+    def tf(arr, t):
+        return F.size(F.filter(F.col(arr), lambda x: x == t)).cast("double")
+
+    df = df.withColumn("_tt", F.transform("_tv", lambda t: F.struct(tf("_ta", t).alias("a"), tf("_tb", t).alias("b"))))
+    w = F.transform("_tt", lambda s: F.struct(
+        (s["a"] * F.when((s["a"] > 0) & (s["b"] > 0), IDF_SHARED).otherwise(IDF_SINGLE)).alias("a"),
+        (s["b"] * F.when((s["a"] > 0) & (s["b"] > 0), IDF_SHARED).otherwise(IDF_SINGLE)).alias("b")))
+    df = df.withColumn("_tw", w)
+
+    def total(f):
+        return F.aggregate("_tw", F.lit(0.0), lambda acc, s: acc + f(s))
+
+    df = (df.withColumn("_dot", total(lambda s: s["a"] * s["b"]))
+          .withColumn("_na", F.sqrt(total(lambda s: s["a"] * s["a"])))
+          .withColumn("_nb", F.sqrt(total(lambda s: s["b"] * s["b"]))))
+    cos = (F.when(F.size("_tv") == 0, F.lit(0.5)).when((F.col("_na") == 0) | (F.col("_nb") == 0), F.lit(0.0))
+           .otherwise(F.col("_dot") / (F.col("_na") * F.col("_nb"))))
+    return df.withColumn(out_col, cos).drop("_ta", "_tb", "_tv", "_tt", "_tw", "_dot", "_na", "_nb")

@@ -101,3 +101,190 @@ def problem_types(spark, sf):
     counts = p.agg(*[F.count_if(F.col("lq").rlike("(?d)" + "|".join(pats))).alias(name)
                      for name, pats in PROBLEM_FAMILIES])
     return counts.unpivot([], [n for n, _ in PROBLEM_FAMILIES], "problem_type", "n")
+
+
+# ---------------------------------------------------------------------------
+# Plans: T2, T3, B2, B6, E1, I1, F20 (D.1 + D.2)
+# ---------------------------------------------------------------------------
+PLANNER_INSTRUCTION = "Generate a strategic plan to solve the following mathematical problem."
+PLAN_SOURCE = "gsm8k_generated"
+VARIATION_SOURCE = "gsm8k_variation"
+PLAN_TOKEN_LIMIT = 100
+
+_PLAN_ROWS = S.plan_steps("plans_fx", "problem_id", "plan")
+
+
+@register("plan_steps", with_fixtures("SELECT problem_id, pos, step_number, description, format FROM pr",
+                                      "plans_fx", extra={"pr": _PLAN_ROWS}))
+def plan_steps(spark, sf):
+    p = PT.with_plan_steps(fx.plans_fx(spark, sf), "plan", "steps", format_col="format")
+    return p.select("problem_id", F.posexplode("steps").alias("pos", "s"), "format").select(
+        "problem_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("s.step_number").alias("step_number"),
+        F.col("s.description").alias("description"), "format")
+
+
+def _scored(spark, sf):
+    plans = fx.plans_fx(spark, sf).join(fx.problems_fx(spark, sf).select("problem_id", "question"), "problem_id")
+    n = F.size(PT.eval_plan_steps("plan"))
+    s = PT.with_tfidf_cosine(plans, "question", "plan", "coverage")
+    s = s.select("problem_id", "plan", "coverage", n.cast("bigint").alias("n_steps"),
+                 PT.has_numbering("plan").alias("has_numbering"), PT.is_sequential("plan").alias("is_sequential"),
+                 PT.specificity("plan").alias("specificity"))
+    s = s.withColumn("clarity", PT.clarity("plan", "n_steps"))
+    return s.withColumn("quality", PT.quality("has_numbering", "is_sequential", "coverage", "specificity",
+                                              "clarity", "n_steps"))
+
+
+def _scored_sql():
+    spec = ("CAST(len(regexp_extract_all(lower(plan), " + S.q(PT.SPECIFIC_TERMS) + ", 0)) AS DOUBLE)")
+    gen = ("CAST(len(regexp_extract_all(lower(plan), " + S.q(PT.GENERIC_TERMS) + ", 0)) AS DOUBLE)")
+    verbs = S.count_present("lower(plan)", PT.ACTION_VERBS)
+    nums = "list_transform(regexp_extract_all(plan, '(?m)^\\s*(\\d+)\\.', 1), lambda x: TRY_CAST(x AS BIGINT))"
+    seq = f"(len({nums}) > 0 AND {nums} = generate_series(1, len({nums})))"
+    return f"""
+SELECT *, (CASE WHEN has_numbering THEN 10.0 ELSE 0.0 END) + (CASE WHEN is_sequential THEN 10.0 ELSE 0.0 END)
+  + coverage * 20 + specificity * 20 + clarity * 20 + least(n_steps / 5, 1.0) * 20 AS quality
+FROM (
+  SELECT pq.problem_id, pq.plan, ec.n_eval_steps AS n_steps,
+    regexp_matches(pq.plan, '(?m)^\\s*\\d+\\.') AS has_numbering, coalesce({seq}, false) AS is_sequential,
+    {spec} / ({spec} + {gen} + 1.0) AS specificity, cv.coverage,
+    CASE WHEN ec.n_eval_steps > 0 THEN least({verbs} / ec.n_eval_steps, 1.0) ELSE 0.0 END AS clarity
+  FROM pq JOIN ec USING (problem_id) JOIN cv USING (problem_id)
+)"""
+
+
+_SCORED_CTES = {
+    "pq": "SELECT p.problem_id, p.plan, q.question FROM plans_fx p JOIN problems_fx q USING (problem_id)",
+    "ec": S.eval_step_count("pq", "problem_id", "plan"),
+    "cv": S.tfidf_cosine("pq", "problem_id", "question", "plan"),
+    "scored": _scored_sql(),
+}
+
+
+@register("plan_scores", with_fixtures(
+    """SELECT problem_id, n_steps, has_numbering, is_sequential, round(specificity, 6) AS specificity,
+       round(coverage, 6) AS coverage, round(clarity, 6) AS clarity, round(quality, 6) AS quality FROM scored""",
+    "plans_fx", "problems_fx", extra=_SCORED_CTES))
+def plan_scores(spark, sf):
+    s = _scored(spark, sf)
+    return s.select("problem_id", "n_steps", "has_numbering", "is_sequential",
+                    *[r6(c).alias(c) for c in ("specificity", "coverage", "clarity", "quality")])
+
+
+@register("plan_coverage", with_fixtures("SELECT problem_id, round(coverage, 6) AS coverage FROM cv",
+                                         "plans_fx", "problems_fx", extra=_SCORED_CTES))
+def plan_coverage(spark, sf):
+    plans = fx.plans_fx(spark, sf).join(fx.problems_fx(spark, sf).select("problem_id", "question"), "problem_id")
+    return PT.with_tfidf_cosine(plans, "question", "plan").select("problem_id", r6("coverage").alias("coverage"))
+
+
+_PLAN_OUTCOME = """CASE
+  WHEN question IS NULL OR question = '' OR length(question) < 20 THEN 'question'
+  WHEN plan IS NULL OR plan = '' OR length(plan) < 50 THEN 'plan'
+  WHEN coalesce(ns, 0) < 2 OR coalesce(ns, 0) > 8 THEN 'step_count'
+  WHEN coalesce(short, 0) > 0 THEN 'step_detail'
+  ELSE 'accepted' END"""
+
+_PLAN_GATE_CTES = {
+    "pr": _PLAN_ROWS,
+    "pg": """SELECT p.problem_id, q.question, p.plan, s.ns, s.short FROM plans_fx p JOIN problems_fx q USING (problem_id)
+      LEFT JOIN (SELECT problem_id, count(*) AS ns, count(*) FILTER (WHERE description IS NULL OR description = ''
+                 OR length(description) < 10) AS short FROM pr GROUP BY problem_id) s USING (problem_id)""",
+}
+
+
+def _plan_examples(spark, sf):
+    plans = fx.plans_fx(spark, sf).join(fx.problems_fx(spark, sf).select("problem_id", "question"), "problem_id")
+    return PT.with_plan_steps(plans, "plan", "steps")
+
+
+@register("gate_plans", with_fixtures(f"SELECT outcome, count(*) AS n FROM (SELECT {_PLAN_OUTCOME} AS outcome FROM pg) GROUP BY outcome",
+                                      "plans_fx", "problems_fx", extra=_PLAN_GATE_CTES))
+def gate_plans(spark, sf):
+    _, ledger = gates.apply_gate(_plan_examples(spark, sf), gates.plan_rules())
+    return ledger
+
+
+_RUNTIME_ROWS = S.plan_steps("plans_fx", "problem_id", "plan", min_len=None, fallback="runtime")
+
+
+@register("plan_issues", with_fixtures(
+    """SELECT problem_id, CAST(n_issues AS BIGINT) AS n_issues, n_issues_valid AS is_valid FROM (
+         SELECT p.problem_id,
+           CASE WHEN coalesce(ns, 0) = 0 THEN 1 ELSE
+             (CASE WHEN ns < 2 OR ns > 8 THEN 1 ELSE 0 END) + (CASE WHEN NOT seq THEN 1 ELSE 0 END) + brief END AS n_issues,
+           coalesce(ns, 0) > 0 AS n_issues_valid
+         FROM plans_fx p LEFT JOIN (
+           SELECT problem_id, count(*) AS ns, count(*) FILTER (WHERE length(description) < 10) AS brief,
+             bool_and(step_number IS NOT NULL AND step_number = pos) AS seq FROM rr GROUP BY problem_id) r USING (problem_id))""",
+    "plans_fx", extra={"rr": _RUNTIME_ROWS}))
+def plan_issues(spark, sf):
+    p = PT.with_plan_steps(fx.plans_fx(spark, sf), "plan", "steps", mode="runtime")
+    issues = gates.plan_issues("steps")
+    return p.select("problem_id", F.size(issues).cast("bigint").alias("n_issues"),
+                    gates.plan_is_valid(issues).alias("is_valid"))
+
+
+def _sft_planner_rows(spark, sf, examples):
+    out = F.regexp_replace(F.array_join(F.transform("steps", lambda x: F.concat(
+        x["step_number"].cast("string"), F.lit(". "), x["description"])), "\n"), r"^\s+|\s+$", "")
+    return examples.select("problem_id", F.lit(PLANNER_INSTRUCTION).alias("instruction"),
+                           F.col("question").alias("input"), out.alias("output"), "source",
+                           F.size("steps").cast("bigint").alias("num_steps"))
+
+
+_SFT_PLANNER_SQL = f"""
+SELECT g.problem_id, {S.q(PLANNER_INSTRUCTION)} AS instruction, q.question AS input,
+  {S.strip("string_agg(CAST(r.step_number AS VARCHAR) || '. ' || r.description, chr(10) ORDER BY r.pos)")} AS output,
+  {S.q(PLAN_SOURCE)} AS source, CAST(count(*) AS BIGINT) AS num_steps
+FROM (SELECT problem_id FROM pr GROUP BY problem_id HAVING count(*) >= 2) g
+JOIN pr r USING (problem_id) JOIN problems_fx q USING (problem_id)
+GROUP BY g.problem_id, q.question"""
+
+
+@register("sft_planner", with_fixtures(_SFT_PLANNER_SQL, "plans_fx", "problems_fx", extra={"pr": _PLAN_ROWS}))
+def sft_planner(spark, sf):
+    """Generated plans with >= 2 parsed steps, as instruction/input/output rows."""
+    ex = _plan_examples(spark, sf).where(F.size("steps") >= 2).withColumn("source", F.lit(PLAN_SOURCE))
+    return _sft_planner_rows(spark, sf, ex)
+
+
+@register("augment_plans", with_fixtures(
+    f"""SELECT source, count(*) AS n, CAST(sum(num_steps) AS BIGINT) AS steps FROM (
+      SELECT {S.q(PLAN_SOURCE)} AS source, ns AS num_steps FROM base
+      UNION ALL
+      SELECT {S.q(VARIATION_SOURCE)}, vs.ns FROM (SELECT * FROM base WHERE rn <= (SELECT count(*) FROM base) // 2) b
+        JOIN (SELECT problem_id, count(*) AS ns FROM vr GROUP BY problem_id HAVING count(*) >= 2) vs USING (problem_id)
+    ) GROUP BY source""",
+    "plans_fx", extra={
+        "pr": _PLAN_ROWS,
+        "base": "SELECT problem_id, count(*) AS ns, row_number() OVER (ORDER BY problem_id) AS rn FROM pr GROUP BY problem_id HAVING count(*) >= 2",
+        "vplans": "SELECT problem_id, replace(plan, 'Add line', 'Include line') AS plan FROM plans_fx",
+        "vr": S.plan_steps("vplans", "problem_id", "plan")}))
+def augment_plans(spark, sf):
+    """Originals plus one rephrased variation for each plan of the first half (>= 2 steps)."""
+    from tracekit.operators.positional import ordinal, row_count
+    base = _plan_examples(spark, sf).where(F.size("steps") >= 2)
+    base = base.withColumn("source", F.lit(PLAN_SOURCE))
+    ordered = ordinal(base, ["problem_id"])
+    first_half = ordered.where(F.col("pos") <= F.floor(row_count(base) / 2))
+    variations = (first_half.withColumn("plan", F.regexp_replace("plan", "Add line", "Include line"))
+                  .transform(lambda d: PT.with_plan_steps(d.drop("steps"), "plan", "steps")).where(F.size("steps") >= 2)
+                  .withColumn("source", F.lit(VARIATION_SOURCE)).drop("pos"))
+    allp = base.select("problem_id", "source", "steps").unionByName(variations.select("problem_id", "source", "steps"))
+    return allp.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("steps")).cast("bigint").alias("steps"))
+
+
+@register("plan_truncation", with_fixtures(
+    f"""SELECT truncated, count(*) AS plans, round(count(*) / sum(count(*)) OVER (), 6) AS share,
+          round(avg(words), 6) AS avg_words
+        FROM (SELECT {S.word_count('plan')} >= {PLAN_TOKEN_LIMIT} AS truncated, {S.word_count('plan')} AS words
+              FROM plans_fx) GROUP BY truncated""", "plans_fx"))
+def plan_truncation(spark, sf):
+    """plans whose length reaches the planner token limit (tokens re-aimed as words)."""
+    from pyspark.sql import Window
+    p = fx.plans_fx(spark, sf).select(TX.word_count("plan").alias("words"))
+    g = p.groupBy((F.col("words") >= PLAN_TOKEN_LIMIT).alias("truncated")).agg(
+        F.count(F.lit(1)).alias("plans"), F.avg("words").alias("avg_words"))
+    return g.select("truncated", "plans", r6(F.col("plans") / F.sum("plans").over(Window.partitionBy())).alias("share"),
+                    r6("avg_words").alias("avg_words"))

@@ -19,7 +19,7 @@ def is_correct(raw: str) -> str:
 def error_types(raw: str, correct: str) -> str:
     lr = f"lower({raw})"
     items = ", ".join(f"CASE WHEN regexp_matches({lr}, {S.q(p)}) THEN {S.q(n)} END" for p, n in CR.ERROR_PATTERNS)
-    return f"CASE WHEN {correct} THEN CAST([] AS VARCHAR[]) ELSE list_filter([{items}], x -> x IS NOT NULL) END"
+    return f"CASE WHEN {correct} THEN CAST([] AS VARCHAR[]) ELSE list_filter([{items}], lambda x: x IS NOT NULL) END"
 
 
 def feedback_section(raw: str) -> str:
