@@ -1,3 +1,396 @@
-"""Registered evaluation queries."""
+"""Registered execution, critique and evaluation-metric queries.
+
+Executor side: D3, W1, W6, T5, B3, B7, T6, F4, F5, E2, I2, H9, I4.
+Critic side: T7, F2, F3, T8, F6-F10.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tracekit.functions import critique as CR
+from tracekit.functions import execution as EX
+from tracekit.functions import plan_text as PT
+from tracekit.functions import text as TX
+from tracekit.functions.common import r6, safe_ratio
+from tracekit.operators import gates, loop
+from tracekit.operators.positional import ordinal, prefix_fraction, row_count
+from tracekit.plans import base
+from tracekit.plans import sqlfn as S
+from tracekit.plans.curation import _PLAN_ROWS, _SCORED_CTES, _scored
+from tracekit.plans.registry import register
+from tracekit.plans.sql_chain import TRUTH, feedback_section, is_correct, reasoning_section, error_types
+from tracekit.plans.sql_fixtures import with_fixtures
+from tracekit.sources import fixtures as fx
+
+EXECUTOR_INSTRUCTION = "Execute the following reasoning step with detailed work."
+CONTEXT_VARIATION = "context_variation"
+
+# ---------------------------------------------------------------------------
+# Executor examples: plan steps joined with the step executions (D3 + W1)
+# ---------------------------------------------------------------------------
+_EX_CTES = {
+    "pr": _PLAN_ROWS,
+    "ex0": f"""SELECT r.problem_id, r.pos, r.step_number, r.description AS step_description, a.execution,
+        q.question, {S.solution_text('q.answer')} AS reference_solution
+      FROM pr r JOIN attempts_fx a ON a.problem_id = r.problem_id AND a.step_number = r.pos AND a.attempt = 1
+      JOIN problems_fx q ON q.problem_id = r.problem_id""",
+    "ex": """SELECT *, coalesce(array_to_string(list('Step ' || coalesce(CAST(step_number AS VARCHAR), '') || ': '
+        || execution || chr(10) || chr(10)) OVER (PARTITION BY problem_id ORDER BY pos
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), '') AS context FROM ex0""",
+}
+_EX_FIX = ("plans_fx", "attempts_fx", "problems_fx")
+
+
+def exec_examples(spark, sf) -> DataFrame:
+    plans = PT.with_plan_steps(fx.plans_fx(spark, sf), "plan", "steps")
+    ps = plans.select("problem_id", F.posexplode("steps").alias("pos", "s")).select(
+        "problem_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("s.step_number").alias("step_number"),
+        F.col("s.description").alias("step_description"))
+    att = base.first_executions(spark, sf).select("problem_id", F.col("step_number").alias("pos"), "execution")
+    q = fx.problems_fx(spark, sf).select("problem_id", "question",
+                                         TX.solution_text("answer").alias("reference_solution"))
+    j = ps.join(att, ["problem_id", "pos"]).join(q, "problem_id")
+    piece = F.concat(F.lit("Step "), F.coalesce(F.col("step_number").cast("string"), F.lit("")), F.lit(": "),
+                     F.col("execution"), F.lit("\n\n"))
+    w = Window.partitionBy("problem_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return j.withColumn("context", F.array_join(F.collect_list(piece).over(w), ""))
+
+
+@register("join_plan_steps", with_fixtures("SELECT problem_id, pos, step_number, step_description, execution FROM ex0",
+                                           *_EX_FIX, extra=_EX_CTES))
+def join_plan_steps(spark, sf):
+    """D3: each parsed plan step with the execution at the same position."""
+    return exec_examples(spark, sf).select("problem_id", "pos", "step_number", "step_description", "execution")
+
+
+@register("context_prefix", with_fixtures("SELECT problem_id, pos, context FROM ex", *_EX_FIX, extra=_EX_CTES))
+def context_prefix(spark, sf):
+    """Accumulated ``Step n: ...`` context before each step."""
+    return exec_examples(spark, sf).select("problem_id", "pos", "context")
+
+
+@register("recent_context", with_fixtures(
+    """SELECT problem_id, pos, string_split(context, chr(10) || chr(10))[-1] AS recent,
+         list_filter(string_split(context, chr(10) || chr(10)), lambda x: x <> '')[-1] AS recent_fixed
+       FROM ex WHERE context <> '' AND len(string_split(context, chr(10) || chr(10))) > 1""", *_EX_FIX, extra=_EX_CTES))
+def recent_context(spark, sf):
+    """Only the most recent part of a multi-part context (parity keeps the empty tail)."""
+    e = exec_examples(spark, sf).where((F.col("context") != "") & (F.size(F.split("context", "\n\n")) > 1))
+    return e.select("problem_id", "pos", loop.recent_context(F.col("context")).alias("recent"),
+                    loop.recent_context(F.col("context"), fixed=True).alias("recent_fixed"))
+
+
+# T5 (C17, C18) ---------------------------------------------------------------
+def _calc_count_sql(t):
+    from tracekit.functions.execution import CALC_PATTERNS
+    return " + ".join(f"len(regexp_extract_all({t}, {S.q(p)}, 1))" for _, p in CALC_PATTERNS)
+
+
+def _result_sql(t):
+    from tracekit.functions.execution import RESULT_PATTERNS
+    whens = []
+    for p in RESULT_PATTERNS:
+        p2 = S.q(p.replace("(?id)", "(?i)"))
+        whens.append(f"WHEN regexp_matches({t}, {p2}) THEN {S.strip(f'regexp_extract({t}, {p2}, 1)')}")
+    return "CASE " + " ".join(whens) + " ELSE '' END"
+
+
+_T5_SQL = with_fixtures(f"""
+SELECT problem_id, pos, CAST({_calc_count_sql('execution')} AS BIGINT) AS n_calculations, result,
+  CAST(len(regexp_extract_all(execution, '(\\d+(?:\\.\\d+)?)', 1)) AS BIGINT) AS n_numbers,
+  regexp_matches(execution, '[×x*]') AS multiplication, regexp_matches(execution, '[+]') AS addition,
+  regexp_matches(execution, '[-−]') AS subtraction, regexp_matches(execution, '[÷/]') AS division,
+  result <> '' AS has_result, CAST(length(context) AS BIGINT) AS context_length, context <> '' AS context_available
+FROM (SELECT *, {_result_sql('execution')} AS result FROM ex)""", *_EX_FIX, extra=_EX_CTES)
+
+
+def execution_facts_df(spark, sf):
+    e = exec_examples(spark, sf).withColumn("parsed", EX.parse_execution("execution"))
+    return e.select("problem_id", "pos", F.size("parsed.calculations").cast("bigint").alias("n_calculations"),
+                    F.col("parsed.result").alias("result"),
+                    F.size("parsed.numbers_used").cast("bigint").alias("n_numbers"),
+                    "parsed.multiplication", "parsed.addition", "parsed.subtraction", "parsed.division",
+                    "parsed.has_result", F.length("context").cast("bigint").alias("context_length"),
+                    (F.col("context") != "").alias("context_available"), "step_description", "execution")
+
+
+@register("execution_facts", _T5_SQL)
+def execution_facts(spark, sf):
+    return execution_facts_df(spark, sf).drop("step_description", "execution")
+
+
+# B3 ---------------------------------------------------------------------------
+_B3_OUTCOME = """CASE
+  WHEN question IS NULL OR question = '' OR length(question) < 20 THEN 'question'
+  WHEN step_description IS NULL OR step_description = '' OR length(step_description) < 10 THEN 'step'
+  WHEN execution IS NULL OR execution = '' OR length(execution) < 30 THEN 'execution'
+  WHEN (contains(lower(step_description), 'calculate') OR contains(lower(step_description), 'find')
+        OR contains(lower(step_description), 'compute')) AND NOT regexp_matches(execution, '\\d+') THEN 'math_content'
+  ELSE 'accepted' END"""
+
+
+@register("gate_executions", with_fixtures(
+    f"SELECT outcome, count(*) AS n FROM (SELECT {_B3_OUTCOME} AS outcome FROM ex) GROUP BY outcome",
+    *_EX_FIX, extra=_EX_CTES))
+def gate_executions(spark, sf):
+    _, ledger = gates.apply_gate(exec_examples(spark, sf), gates.execution_rules())
+    return ledger
+
+
+# B7 ---------------------------------------------------------------------------
+def _b7_sql():
+    asks = S.contains_any("lower(step_description)", gates.EXECUTION_TOTAL_WORDS)
+    reason = S.contains_any("lower(execution)", gates.REASONING_WORDS)
+    no_math = "(n_calculations = 0 AND n_numbers = 0)"
+    adj = ("(CASE WHEN NOT has_result THEN -0.3 ELSE 0.0 END)"
+           f" + (CASE WHEN {asks} AND {no_math} THEN -0.4 WHEN {asks} THEN 0.3 ELSE 0.0 END)"
+           " + (CASE WHEN length(execution) < 50 THEN -0.2 WHEN length(execution) > 20 THEN 0.1 ELSE 0.0 END)"
+           f" + (CASE WHEN {reason} THEN 0.2 ELSE 0.0 END)")
+    return f"""SELECT problem_id, pos, round(conf, 6) AS confidence,
+      (NOT (NOT has_result OR ({asks} AND {no_math}))) AND conf > 0.3 AS is_valid
+    FROM (SELECT *, greatest(0.0, least(1.0, 0.7 + ({adj}))) AS conf FROM facts)"""
+
+
+_FACTS_SQL_BODY = _T5_SQL[_T5_SQL.rindex("\nSELECT problem_id, pos, CAST("):].replace(
+    "result <> '' AS has_result,", "result <> '' AS has_result, step_description, execution,")
+
+
+@register("execution_confidence", with_fixtures(_b7_sql(), *_EX_FIX, extra={**_EX_CTES, "facts": _FACTS_SQL_BODY}))
+def execution_confidence(spark, sf):
+    f = execution_facts_df(spark, sf)
+    conf, valid = gates.execution_confidence(F.col("execution"), F.col("step_description"), F.col("has_result"),
+                                             F.col("n_calculations"), F.col("n_numbers"))
+    return f.select("problem_id", "pos", r6(conf).alias("confidence"), valid.alias("is_valid"))
+
+
+# E2 ---------------------------------------------------------------------------
+def _sft_exec(df):
+    ctx = F.when(F.col("context") != "", F.col("context")).otherwise(F.lit("None"))
+    inp = F.concat(F.lit("Question: "), F.col("question"), F.lit("\nStep to execute: "), F.col("step_description"),
+                   F.lit("\nContext: "), ctx)
+    return df.select("problem_id", "pos", F.lit(EXECUTOR_INSTRUCTION).alias("instruction"), inp.alias("input"),
+                     F.col("execution").alias("output"), F.col("step_number").cast("bigint").alias("step_number"),
+                     (F.col("context") != "").alias("has_context"), "source", "is_error")
+
+
+_E2_INPUT = ("'Question: ' || question || chr(10) || 'Step to execute: ' || step_description || chr(10) || "
+             "'Context: ' || CASE WHEN context <> '' THEN context ELSE 'None' END")
+
+
+@register("sft_executor", with_fixtures(
+    f"""SELECT problem_id, pos, {S.q(EXECUTOR_INSTRUCTION)} AS instruction, {_E2_INPUT} AS input, execution AS output,
+       CAST(step_number AS BIGINT) AS step_number, context <> '' AS has_context, 'base' AS source, false AS is_error
+     FROM ex""", *_EX_FIX, extra=_EX_CTES))
+def sft_executor(spark, sf):
+    """E2 (with L21 fixed: ``is_error`` kept in the metadata)."""
+    e = exec_examples(spark, sf).withColumn("source", F.lit("base")).withColumn("is_error", F.lit(False))
+    return _sft_exec(e)
+
+
+# I2 / H9 / I4 -----------------------------------------------------------------
+def _first_fraction(df, num, den, order=("problem_id", "pos")):
+    o = ordinal(df, list(order), pos_col="_ord")
+    return prefix_fraction(o, row_count(df), num, den, pos_col="_ord").drop("_ord")
+
+
+def context_variations(spark, sf, fixed: bool = False):
+    e = exec_examples(spark, sf).withColumn("source", F.lit("base")).withColumn("is_error", F.lit(False))
+    first = _first_fraction(e, 1, 3)
+    v = first.where((F.col("context") != "") & (F.size(F.split("context", "\n\n")) > 1))
+    v = v.withColumn("context", loop.recent_context(F.col("context"), fixed)).withColumn("source", F.lit(CONTEXT_VARIATION))
+    return e.unionByName(v)
+
+
+_RANKED = "SELECT *, row_number() OVER (ORDER BY problem_id, pos) AS rn, count(*) OVER () AS n_all FROM ex"
+
+
+@register("augment_context", with_fixtures(
+    f"""SELECT source, count(*) AS n, count(*) FILTER (WHERE context = '') AS empty_context FROM (
+      SELECT 'base' AS source, context FROM ex
+      UNION ALL
+      SELECT '{CONTEXT_VARIATION}', string_split(context, chr(10) || chr(10))[-1] FROM rk
+      WHERE rn <= n_all // 3 AND context <> '' AND len(string_split(context, chr(10) || chr(10))) > 1
+    ) GROUP BY source""", *_EX_FIX, extra={**_EX_CTES, "rk": _RANKED}))
+def augment_context(spark, sf):
+    """Originals plus recent-context copies of the first third (L14 parity: empty tail)."""
+    u = context_variations(spark, sf)
+    return u.groupBy("source").agg(F.count(F.lit(1)).alias("n"),
+                                   F.count(F.when(F.col("context") == "", 1)).alias("empty_context"))
+
+
+def error_examples(spark, sf):
+    """H9: error versions for the first int(0.3 * m) of the first quarter (m = len // 4)."""
+    e = exec_examples(spark, sf)
+    o = ordinal(e, ["problem_id", "pos"], pos_col="_ord")
+    m = F.floor(row_count(e) / 4)
+    chosen = o.where(F.col("_ord") <= F.floor(m * F.lit(3) / F.lit(10))).drop("_ord")
+    err = fx.attempts_fx(spark, sf).where(F.col("attempt") == 2).select(
+        "problem_id", F.col("step_number").alias("pos"), F.col("execution").alias("error_execution"))
+    j = chosen.join(err, ["problem_id", "pos"])
+    return j.select(*[c for c in e.columns if c != "execution"], F.col("error_execution").alias("execution"),
+                    F.col("execution").alias("correct_execution"), F.lit(True).alias("is_error"),
+                    F.lit("error_correction").alias("source"))
+
+
+@register("subset_error_examples", with_fixtures(
+    """SELECT r.problem_id, r.pos, a.execution, r.execution AS correct_execution, true AS is_error
+       FROM rk r JOIN attempts_fx a ON a.problem_id = r.problem_id AND a.step_number = r.pos AND a.attempt = 2
+       WHERE r.rn <= floor(floor(r.n_all / 4) * 3 / 10)""", *_EX_FIX, extra={**_EX_CTES, "rk": _RANKED}))
+def subset_error_examples(spark, sf):
+    return error_examples(spark, sf).select("problem_id", "pos", "execution", "correct_execution", "is_error")
+
+
+@register("executor_mix", with_fixtures(
+    f"""SELECT source, is_error, has_context, count(*) AS n FROM (
+      SELECT 'base' AS source, false AS is_error, context <> '' AS has_context FROM ex
+      UNION ALL
+      SELECT '{CONTEXT_VARIATION}', false, string_split(context, chr(10) || chr(10))[-1] <> '' FROM rk
+      WHERE rn <= n_all // 3 AND context <> '' AND len(string_split(context, chr(10) || chr(10))) > 1
+      UNION ALL
+      SELECT 'error_correction', true, r.context <> '' FROM rk r JOIN attempts_fx a
+        ON a.problem_id = r.problem_id AND a.step_number = r.pos AND a.attempt = 2
+      WHERE r.rn <= floor(floor(r.n_all / 4) * 3 / 10)
+    ) GROUP BY source, is_error, has_context""", *_EX_FIX, extra={**_EX_CTES, "rk": _RANKED}))
+def executor_mix(spark, sf):
+    """I4: context variations and error versions, formatted as one executor SFT set."""
+    u = context_variations(spark, sf).unionByName(error_examples(spark, sf).drop("correct_execution"))
+    s = _sft_exec(u)
+    return s.groupBy("source", "is_error", "has_context").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# Evaluator steps (T6, F4, F5) over attempt-1 executions of every order line
+# ---------------------------------------------------------------------------
+_EVAL_CTES = {
+    "truth": TRUTH,
+    "es0": """SELECT a.problem_id, a.step_number, a.n_steps, a.execution, t.ground_truth, q.question, p.plan
+      FROM attempts_fx a JOIN truth t USING (problem_id) JOIN problems_fx q USING (problem_id)
+      JOIN plans_fx p USING (problem_id) WHERE a.attempt = 1 AND t.ground_truth IS NOT NULL""",
+    "es1": """SELECT *, 'Problem: ' || question || chr(10) || chr(10) || 'Plan:' || chr(10) || plan || chr(10) || chr(10)
+        || coalesce(array_to_string(list('Step ' || step_number || ': ' || execution || chr(10)) OVER (
+           PARTITION BY problem_id ORDER BY step_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), '')
+        AS context FROM es0""",
+    "es": f"""SELECT problem_id, step_number, step_number = n_steps AS is_final, actual, ground_truth,
+        CASE WHEN step_number = n_steps AND actual IS NOT NULL THEN coalesce(abs(actual - ground_truth) < 0.01, false)
+             ELSE actual IS NOT NULL END AS is_correct,
+        CASE WHEN actual IS NULL THEN 'format' WHEN step_number <> n_steps THEN 'none'
+             WHEN abs(actual - ground_truth) < 0.01 THEN 'none' ELSE 'arithmetic' END AS error_category,
+        {S.context_used('context', 'execution')} AS used_context, CAST({S.word_count('execution')} AS BIGINT) AS num_tokens
+      FROM (SELECT *, {S.last_number('execution')} AS actual FROM es1)""",
+}
+_EVAL_FIX = ("attempts_fx", "problems_fx", "plans_fx")
+
+
+def eval_steps(spark, sf) -> DataFrame:
+    a = base.first_executions(spark, sf).select("problem_id", "step_number", "n_steps", "execution")
+    q = fx.problems_fx(spark, sf).select("problem_id", "question")
+    p = fx.plans_fx(spark, sf)
+    j = a.join(base.truth(spark, sf), "problem_id").join(q, "problem_id").join(p, "problem_id")
+    head = F.concat(F.lit("Problem: "), F.col("question"), F.lit("\n\nPlan:\n"), F.col("plan"), F.lit("\n\n"))
+    j = j.withColumn("context", F.concat(head, loop.context_prefix(j, "execution", sep="\n")))
+    j = j.withColumn("actual", EX.last_number("execution")).withColumn("is_final", F.col("step_number") == F.col("n_steps"))
+    expected = F.when(F.col("is_final"), F.col("ground_truth"))
+    return j.select("problem_id", "step_number", "is_final", "actual", "ground_truth",
+                    EX.step_correct("actual", "ground_truth", "is_final").alias("is_correct"),
+                    EX.error_category(F.col("actual"), expected).alias("error_category"),
+                    EX.context_used("context", "execution").alias("used_context"),
+                    TX.word_count("execution").cast("bigint").alias("num_tokens"))
+
+
+@register("step_scores", with_fixtures(
+    "SELECT problem_id, step_number, is_final, round(actual, 6) AS actual, is_correct, error_category, used_context, num_tokens FROM es",
+    *_EVAL_FIX, extra=_EVAL_CTES))
+def step_scores(spark, sf):
+    s = eval_steps(spark, sf)
+    return s.select("problem_id", "step_number", "is_final", r6("actual").alias("actual"), "is_correct",
+                    "error_category", "used_context", "num_tokens")
+
+
+def executor_metrics_df(spark, sf):
+    s = eval_steps(spark, sf)
+    return s.groupBy("problem_id").agg(
+        F.avg(F.col("is_correct").cast("double")).alias("step_accuracy"),
+        F.avg(F.col("is_correct").cast("double")).alias("calculation_accuracy"),
+        F.avg(F.col("used_context").cast("double")).alias("context_utilization"),
+        F.avg(F.col("num_tokens").cast("double")).alias("avg_tokens_per_step"))
+
+
+@register("executor_metrics", with_fixtures(
+    """SELECT problem_id, round(avg(CAST(is_correct AS DOUBLE)), 6) AS step_accuracy,
+         round(avg(CAST(is_correct AS DOUBLE)), 6) AS calculation_accuracy,
+         round(avg(CAST(used_context AS DOUBLE)), 6) AS context_utilization,
+         round(avg(CAST(num_tokens AS DOUBLE)), 6) AS avg_tokens_per_step FROM es GROUP BY problem_id""",
+    *_EVAL_FIX, extra=_EVAL_CTES))
+def executor_metrics(spark, sf):
+    m = executor_metrics_df(spark, sf)
+    return m.select("problem_id", *[r6(c).alias(c) for c in m.columns if c != "problem_id"])
+
+
+@register("error_distribution", with_fixtures(
+    "SELECT problem_id, error_category AS error_type, count(*) AS n FROM es GROUP BY problem_id, error_category",
+    *_EVAL_FIX, extra=_EVAL_CTES))
+def error_distribution(spark, sf):
+    """per problem, error type -> count (as rows; ``map_from_entries`` gives the map form)."""
+    return eval_steps(spark, sf).groupBy("problem_id", F.col("error_category").alias("error_type")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# Critique facts
+# ---------------------------------------------------------------------------
+def _crit_sql():
+    conf = ("greatest(0.1, least(1.0, 0.5 + (CASE WHEN " + S.contains_any("lower(critique)", CR.SURE_WORDS)
+            + " THEN 0.2 ELSE 0.0 END) - (CASE WHEN " + S.contains_any("lower(critique)", CR.HEDGE_WORDS)
+            + " THEN 0.2 ELSE 0.0 END) + (CASE WHEN regexp_matches(critique, '(?i)STATUS:\\s*(CORRECT|INCORRECT)') THEN 0.1 ELSE 0.0 END)"
+            + " + (CASE WHEN length(critique) > 100 THEN 0.1 ELSE 0.0 END)))")
+    generic = " ".join(f"WHEN list_contains(et, {S.q(n)}) THEN {S.q(t)}" for n, t in CR.GENERIC_FEEDBACK)
+    return f"""SELECT problem_id, step_number, attempt, is_correct, has_status, reasoning, feedback,
+        array_to_string(et, ',') AS error_types, feedback <> '' AS has_feedback, round({conf}, 6) AS confidence,
+        CASE WHEN is_correct THEN '' WHEN feedback <> '' THEN feedback {generic} ELSE {S.q(CR.DEFAULT_FEEDBACK)} END
+          AS correction_feedback
+      FROM (SELECT *, {error_types('critique', 'is_correct')} AS et FROM (
+        SELECT *, {is_correct('critique')} AS is_correct,
+          regexp_matches(critique, '(?i)STATUS:\\s*(CORRECT|INCORRECT)') AS has_status,
+          {reasoning_section('critique')} AS reasoning, {feedback_section('critique')} AS feedback
+        FROM critiques_fx))"""
+
+
+@register("critique_facts", with_fixtures(_crit_sql(), "attempts_fx", "critiques_fx"))
+def critique_facts(spark, sf):
+    c = fx.critiques_fx(spark, sf)
+    c = c.withColumn("is_correct", CR.is_correct("critique"))
+    c = c.withColumn("et", CR.error_types("critique", F.col("is_correct")))
+    c = c.withColumn("feedback", CR.feedback_section("critique"))
+    return c.select("problem_id", "step_number", "attempt", "is_correct",
+                    CR.status_word("critique").isNotNull().alias("has_status"),
+                    CR.reasoning_section("critique").alias("reasoning"), "feedback",
+                    F.array_join("et", ",").alias("error_types"), (F.col("feedback") != "").alias("has_feedback"),
+                    r6(CR.confidence("critique")).alias("confidence"),
+                    CR.correction_feedback(F.col("is_correct"), F.col("feedback"), F.col("et")).alias("correction_feedback"))
+
+
+@register("critique_summary", with_fixtures(
+    f"""SELECT count(*) AS total_evaluations, count(*) FILTER (WHERE is_correct) AS correct_count,
+         round(coalesce(count(*) FILTER (WHERE is_correct) / nullif(count(*), 0), 0), 6) AS accuracy_rate,
+         count(*) FILTER (WHERE has_feedback) AS feedback_provided_count,
+         round(coalesce(count(*) FILTER (WHERE has_feedback) / nullif(count(*), 0), 0), 6) AS feedback_rate
+       FROM ({_crit_sql()})""", "attempts_fx", "critiques_fx"))
+def critique_summary(spark, sf):
+    """batch summary of critic verdicts (0 rates on empty input)."""
+    c = critique_facts(spark, sf)
+    a = c.agg(F.count(F.lit(1)).alias("total_evaluations"), F.count_if("is_correct").alias("correct_count"),
+              F.count_if("has_feedback").alias("feedback_provided_count"))
+    return a.select("total_evaluations", "correct_count", r6(safe_ratio("correct_count", "total_evaluations")).alias("accuracy_rate"),
+                    "feedback_provided_count", r6(safe_ratio("feedback_provided_count", "total_evaluations")).alias("feedback_rate"))
+
+
+@register("error_type_distribution", with_fixtures(
+    f"""SELECT error_type, count(*) AS n FROM (SELECT unnest(string_split(error_types, ',')) AS error_type
+        FROM ({_crit_sql()}) WHERE error_types <> '') GROUP BY error_type""", "attempts_fx", "critiques_fx"))
+def error_type_distribution(spark, sf):
+    """counts over the exploded error types."""
+    c = fx.critiques_fx(spark, sf).withColumn("ok", CR.is_correct("critique"))
+    return c.select(F.explode(CR.error_types("critique", F.col("ok"))).alias("error_type")).groupBy("error_type").agg(
+        F.count(F.lit(1)).alias("n"))

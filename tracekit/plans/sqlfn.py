@@ -177,3 +177,21 @@ FROM {src} s LEFT JOIN (
         SELECT {key}, unnest(regexp_extract_all(lower({b}), {tok}, 0)), 0, 1 FROM {src}
       ) GROUP BY {key}, term))
   GROUP BY {key}) v USING ({key})"""
+
+
+def py_float_text(s: str) -> str:
+    """Python str(float(s)) for a plain decimal string (mirror of common.py_float_text)."""
+    body = f"regexp_replace({s}, '^[+-]', '')"
+    ip = f"regexp_replace(regexp_extract({body}, '^(\\d+)', 1), '^0+(\\d)', '\\1')"
+    fp = f"regexp_replace(regexp_extract({body}, '\\.(\\d+)$', 1), '0+$', '')"
+    txt = f"({ip} || '.' || CASE WHEN {fp} = '' THEN '0' ELSE {fp} END)"
+    return f"(CASE WHEN starts_with({s}, '-') THEN '-' || {txt} ELSE {txt} END)"
+
+
+def context_used(context: str, execution: str) -> str:
+    nums = f"regexp_extract_all({context}, '([+-]?\\d+(?:\\.\\d+)?)', 1)"
+    return f"coalesce(len(list_filter({nums}, lambda n: contains({execution}, {py_float_text('n')}))) > 0, false)"
+
+
+def last_number(t: str) -> str:
+    return f"TRY_CAST(regexp_extract_all({t}, '([+-]?\\d+(?:\\.\\d+)?)', 1)[-1] AS DOUBLE)"
