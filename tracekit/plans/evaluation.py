@@ -394,3 +394,172 @@ def error_type_distribution(spark, sf):
     c = fx.critiques_fx(spark, sf).withColumn("ok", CR.is_correct("critique"))
     return c.select(F.explode(CR.error_types("critique", F.col("ok"))).alias("error_type")).groupBy("error_type").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# Critic tests of the evaluator (T8, F6-F10): one test per evaluated step,
+# the critic output of attempt 1 is the feedback text.
+# ---------------------------------------------------------------------------
+def _fb_sql():
+    l = "lower(critique)"
+    spec = (f"(CAST(regexp_matches(critique, '\\d+') AS INTEGER) + CAST(contains({l}, 'calculation') OR contains({l}, 'compute') AS INTEGER)"
+            f" + CAST(contains({l}, 'incorrect') AS INTEGER) + CAST(contains({l}, 'should be') AS INTEGER)) / 4.0")
+    act = (f"(CAST(contains({l}, 'correct') OR contains({l}, 'fix') AS INTEGER) + CAST(contains({l}, 'should') AS INTEGER)"
+           f" + CAST(regexp_matches({l}, '=|calculate') AS INTEGER) + CAST({S.word_count('critique')} > 15 AS INTEGER)) / 4.0")
+    reason = f"CASE WHEN contains(critique, '.') THEN split_part(critique, '.', 1) || '.' ELSE {S.q(CR.FALLBACK_REASONING)} END"
+    return f"""SELECT problem_id, step_number, {S.contains_any(l, CR.FLAG_WORDS)} AS detected_error,
+        {spec} AS feedback_specificity, {act} AS feedback_actionability, {reason} AS reasoning
+      FROM critiques_fx WHERE attempt = 1"""
+
+
+_TEST_CTES = {
+    **_EVAL_CTES,
+    "fb": _fb_sql(),
+    "tests": """SELECT es.problem_id, es.step_number, es.is_correct AS actually_correct, fb.detected_error,
+        fb.feedback_specificity, fb.feedback_actionability FROM es JOIN fb USING (problem_id, step_number)""",
+    "conf": """SELECT problem_id,
+        count(*) FILTER (WHERE NOT actually_correct AND detected_error) AS tp,
+        count(*) FILTER (WHERE actually_correct AND NOT detected_error) AS tn,
+        count(*) FILTER (WHERE actually_correct AND detected_error) AS fp,
+        count(*) FILTER (WHERE NOT actually_correct AND NOT detected_error) AS fn,
+        avg(feedback_specificity) AS avg_feedback_specificity, avg(feedback_actionability) AS avg_feedback_actionability
+      FROM tests GROUP BY problem_id""",
+    "det": """SELECT *, CASE WHEN precision + sensitivity > 0 THEN 2 * (precision * sensitivity) / (precision + sensitivity) ELSE 0.0 END AS f1_score
+      FROM (SELECT *, coalesce(tp / nullif(tp + fn, 0), 0.0) AS sensitivity, coalesce(tn / nullif(tn + fp, 0), 0.0) AS specificity,
+                      coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision FROM conf)""",
+}
+_TEST_FIX = _EVAL_FIX + ("critiques_fx",)
+
+
+def feedback_scores_df(spark, sf):
+    c = fx.critiques_fx(spark, sf).where(F.col("attempt") == 1)
+    return c.select("problem_id", "step_number", CR.error_flagged("critique").alias("detected_error"),
+                    CR.feedback_specificity("critique").alias("feedback_specificity"),
+                    CR.feedback_actionability("critique").alias("feedback_actionability"),
+                    CR.feedback_reasoning("critique").alias("reasoning"))
+
+
+@register("feedback_scores", with_fixtures(
+    """SELECT problem_id, step_number, detected_error, round(feedback_specificity, 6) AS feedback_specificity,
+       round(feedback_actionability, 6) AS feedback_actionability, reasoning FROM fb""", *_TEST_FIX, extra=_TEST_CTES))
+def feedback_scores(spark, sf):
+    f = feedback_scores_df(spark, sf)
+    return f.select("problem_id", "step_number", "detected_error", r6("feedback_specificity").alias("feedback_specificity"),
+                    r6("feedback_actionability").alias("feedback_actionability"), "reasoning")
+
+
+def confusion_df(spark, sf):
+    t = eval_steps(spark, sf).select("problem_id", "step_number", F.col("is_correct").alias("actually_correct")).join(
+        feedback_scores_df(spark, sf), ["problem_id", "step_number"])
+    ac, de = F.col("actually_correct"), F.col("detected_error")
+    return t.groupBy("problem_id").agg(
+        F.count_if(~ac & de).alias("tp"), F.count_if(ac & ~de).alias("tn"),
+        F.count_if(ac & de).alias("fp"), F.count_if(~ac & ~de).alias("fn"),
+        F.avg("feedback_specificity").alias("avg_feedback_specificity"),
+        F.avg("feedback_actionability").alias("avg_feedback_actionability"))
+
+
+def detection_df(spark, sf):
+    c = confusion_df(spark, sf)
+    c = (c.withColumn("sensitivity", safe_ratio("tp", F.col("tp") + F.col("fn")))
+         .withColumn("specificity", safe_ratio("tn", F.col("tn") + F.col("fp")))
+         .withColumn("precision", safe_ratio("tp", F.col("tp") + F.col("fp"))))
+    p, s = F.col("precision"), F.col("sensitivity")
+    return c.withColumn("f1_score", F.when(p + s > 0, 2 * (p * s) / (p + s)).otherwise(F.lit(0.0)))
+
+
+@register("confusion", with_fixtures("SELECT problem_id, tp, tn, fp, fn FROM conf", *_TEST_FIX, extra=_TEST_CTES))
+def confusion(spark, sf):
+    """TP/TN/FP/FN per problem (positive = step wrong and flagged)."""
+    return confusion_df(spark, sf).select("problem_id", "tp", "tn", "fp", "fn")
+
+
+@register("detection_scores", with_fixtures(
+    """SELECT problem_id, round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity,
+       round(precision, 6) AS precision, round(f1_score, 6) AS f1_score FROM det""", *_TEST_FIX, extra=_TEST_CTES))
+def detection_scores(spark, sf):
+    """zero-guarded sensitivity, specificity, precision, F1."""
+    d = detection_df(spark, sf)
+    return d.select("problem_id", *[r6(c).alias(c) for c in ("sensitivity", "specificity", "precision", "f1_score")])
+
+
+@register("correction_recovery", with_fixtures(
+    """SELECT problem_id, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS correction_rate,
+       0.0 AS recovery_rate, 1.0 AS step_efficiency FROM conf""", *_TEST_FIX, extra=_TEST_CTES))
+def correction_recovery(spark, sf):
+    """F8: errors detected / errors; corrected / detected (0: never corrected, L22); mean loops (1 test per step)."""
+    c = confusion_df(spark, sf)
+    return c.select("problem_id", r6(safe_ratio("tp", F.col("tp") + F.col("fn"))).alias("correction_rate"),
+                    F.lit(0.0).alias("recovery_rate"), F.lit(1.0).alias("step_efficiency"))
+
+
+@register("feedback_means", with_fixtures(
+    """SELECT problem_id, round(avg_feedback_specificity, 6) AS avg_feedback_specificity,
+       round(avg_feedback_actionability, 6) AS avg_feedback_actionability FROM conf""", *_TEST_FIX, extra=_TEST_CTES))
+def feedback_means(spark, sf):
+    c = confusion_df(spark, sf)
+    return c.select("problem_id", r6("avg_feedback_specificity").alias("avg_feedback_specificity"),
+                    r6("avg_feedback_actionability").alias("avg_feedback_actionability"))
+
+
+REPORT_GROUPS = {
+    "table_1_metrics": ("final_answer_accuracy", "correction_rate", "recovery_rate", "step_efficiency"),
+    "planner_metrics": ("avg_quality_score", "avg_num_steps", "has_numbering_rate", "is_sequential_rate"),
+    "executor_metrics": ("step_accuracy", "calculation_accuracy", "context_utilization", "avg_tokens_per_step"),
+    "critic_metrics": ("sensitivity", "specificity", "precision", "f1_score", "feedback_specificity",
+                       "feedback_actionability"),
+}
+
+
+def problem_metrics(spark, sf):
+    """B.10: one metrics row per evaluated problem (plan, executor and critic metrics)."""
+    from tracekit.plans.refinement import score_against_truth
+    final = score_against_truth(spark, sf).select("problem_id", F.col("correct").alias("final_answer_correct"))
+    plan = _scored(spark, sf).select("problem_id", F.col("quality").alias("plan_quality_score"),
+                                     F.col("n_steps").alias("num_plan_steps"),
+                                     F.col("has_numbering").alias("plan_has_numbering"),
+                                     F.col("is_sequential").alias("plan_is_sequential"))
+    d = detection_df(spark, sf).withColumn("correction_rate", safe_ratio("tp", F.col("tp") + F.col("fn")))
+    return (final.join(plan, "problem_id").join(executor_metrics_df(spark, sf), "problem_id").join(d, "problem_id")
+            .withColumn("recovery_rate", F.lit(0.0)).withColumn("step_efficiency", F.lit(1.0)))
+
+
+def eval_report_df(spark, sf):
+    m = problem_metrics(spark, sf)
+    src = {"final_answer_accuracy": F.col("final_answer_correct").cast("double"),
+           "avg_quality_score": F.col("plan_quality_score"), "avg_num_steps": F.col("num_plan_steps").cast("double"),
+           "has_numbering_rate": F.col("plan_has_numbering").cast("double"),
+           "is_sequential_rate": F.col("plan_is_sequential").cast("double"),
+           "feedback_specificity": F.col("avg_feedback_specificity"),
+           "feedback_actionability": F.col("avg_feedback_actionability")}
+    names = [n for g in REPORT_GROUPS.values() for n in g]
+    return m.agg(F.count(F.lit(1)).alias("num_problems"),
+                 *[F.avg(src.get(n, F.col(n))).alias(n) for n in names])
+
+
+_REPORT_SQL_CTES = {
+    **_TEST_CTES, **{k: v for k, v in _SCORED_CTES.items()},
+    "ex_t1": "SELECT problem_id, string_agg(execution, chr(10) ORDER BY step_number) AS txt FROM attempts_fx WHERE attempt = 1 GROUP BY problem_id",
+    "fin": f"""SELECT problem_id, coalesce(abs({S.extract_answer('txt')} - t.ground_truth) < 0.01, false) AS final_answer_correct
+       FROM ex_t1 JOIN truth t USING (problem_id) WHERE t.ground_truth IS NOT NULL""",
+    "exm": """SELECT problem_id, avg(CAST(is_correct AS DOUBLE)) AS step_accuracy, avg(CAST(used_context AS DOUBLE)) AS context_utilization,
+       avg(CAST(num_tokens AS DOUBLE)) AS avg_tokens_per_step FROM es GROUP BY problem_id""",
+    "pm": """SELECT fin.problem_id, CAST(fin.final_answer_correct AS DOUBLE) AS final_answer_accuracy,
+        coalesce(det.tp / nullif(det.tp + det.fn, 0), 0.0) AS correction_rate, 0.0 AS recovery_rate, 1.0 AS step_efficiency,
+        s.quality AS avg_quality_score, CAST(s.n_steps AS DOUBLE) AS avg_num_steps,
+        CAST(s.has_numbering AS DOUBLE) AS has_numbering_rate, CAST(s.is_sequential AS DOUBLE) AS is_sequential_rate,
+        exm.step_accuracy, exm.step_accuracy AS calculation_accuracy, exm.context_utilization, exm.avg_tokens_per_step,
+        det.sensitivity, det.specificity, det.precision, det.f1_score,
+        det.avg_feedback_specificity AS feedback_specificity, det.avg_feedback_actionability AS feedback_actionability
+      FROM fin JOIN scored s USING (problem_id) JOIN exm USING (problem_id) JOIN det USING (problem_id)""",
+}
+_REPORT_NAMES = [n for g in REPORT_GROUPS.values() for n in g]
+
+
+@register("eval_report", with_fixtures(
+    "SELECT count(*) AS num_problems, " + ", ".join(f"round(avg({n}), 6) AS {n}" for n in _REPORT_NAMES) + " FROM pm",
+    *_TEST_FIX, extra=_REPORT_SQL_CTES))
+def eval_report(spark, sf):
+    """macro means over problems of the 18 report metrics (flat; A6 writes the nested form)."""
+    r = eval_report_df(spark, sf)
+    return r.select("num_problems", *[r6(n).alias(n) for n in _REPORT_NAMES])
