@@ -26,7 +26,8 @@ def register(key: str, sql: str | None = None):
 
 def _load() -> None:
     # Importing the plan modules registers their queries.
-    from tracekit.plans import curation, evaluation, refinement, requests, io_jobs, streams  # noqa: F401
+    from tracekit.plans import (curation, evaluation, refinement, positions, critic_data,  # noqa: F401
+                                requests, io_jobs, streams)
 
 
 def queries() -> dict[str, QueryFn]:
