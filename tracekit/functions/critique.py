@@ -38,10 +38,14 @@ def status_word(raw) -> Column:
     return F.nullif(F.regexp_extract(col(raw), STATUS, 1), F.lit(""))
 
 
-def is_correct(raw) -> Column:
-    """C19 verdict: STATUS word when present, else strictly more correct than incorrect words."""
+def is_correct(raw, lowered=None) -> Column:
+    """C19 verdict: STATUS word when present, else strictly more correct than incorrect words.
+
+    Pass ``lowered`` (a column holding ``lower(raw)``) to share the lower-casing
+    with other rules instead of recomputing it inside the CASE branch.
+    """
     r = col(raw)
-    lr = F.lower(r)
+    lr = col(lowered) if lowered is not None else F.lower(r)
     st = status_word(r)
     fallback = count_present(lr, CORRECT_WORDS) > count_present(lr, INCORRECT_WORDS)
     return F.when(st.isNotNull(), F.upper(st) == "CORRECT").otherwise(fallback)
@@ -55,10 +59,14 @@ def feedback_section(raw) -> Column:
     return strip(F.regexp_extract(col(raw), FEEDBACK, 1))
 
 
-def error_types(raw, correct: Column) -> Column:
-    """Error labels (in catalog order) of an incorrect verdict; empty when correct."""
-    lr = F.lower(col(raw))
-    labels = F.filter(F.array(*[F.when(lr.rlike(p), F.lit(name)) for p, name in ERROR_PATTERNS]),
+def error_types(raw, correct: Column, lowered=None) -> Column:
+    """Error labels (in catalog order) of an incorrect verdict; empty when correct.
+
+    The patterns are alternations of lower-case literals searched in the
+    lower-cased text, i.e. substring tests, so they run as ``contains``.
+    """
+    lr = col(lowered) if lowered is not None else F.lower(col(raw))
+    labels = F.filter(F.array(*[F.when(contains_any(lr, p.split("|")), F.lit(name)) for p, name in ERROR_PATTERNS]),
                       lambda x: x.isNotNull())
     return F.when(correct, F.array().cast("array<string>")).otherwise(labels)
 

@@ -24,14 +24,14 @@ def critic_verdicts(attempts: DataFrame, critiques: DataFrame) -> DataFrame:
     """Attempts joined with their parsed critic output."""
     keys = ["problem_id", "step_number", "attempt"]
     c = critiques.select(*keys, "critique")
-    out = attempts.join(c, keys)
-    ok = CR.is_correct("critique")
-    out = out.withColumn("is_correct", ok)
-    types = CR.error_types("critique", F.col("is_correct"))
+    out = attempts.join(c, keys).withColumn("_lc", F.lower("critique"))
+    out = out.withColumn("is_correct", CR.is_correct("critique", "_lc"))
+    types = CR.error_types("critique", F.col("is_correct"), "_lc")
     fb = CR.feedback_section("critique")
     return (out.withColumn("error_types", types)
             .withColumn("feedback", fb)
-            .withColumn("correction_feedback", CR.correction_feedback(F.col("is_correct"), fb, types)))
+            .withColumn("correction_feedback", CR.correction_feedback(F.col("is_correct"), fb, types))
+            .drop("_lc"))
 
 
 def resolve_attempts(verdicts: DataFrame) -> DataFrame:

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,23 +102,29 @@ def prefix_sums(df: DataFrame, order: Sequence, value_cols: Sequence[str],
 
     in_schema = ranged.schema
     out_fields = list(in_schema.fields)
+    kinds = {}
     for c in sums:
         dtype = in_schema[c].dataType
-        out_type = T.DoubleType() if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)) else T.LongType()
-        out_fields.append(T.StructField(f"{c}{suffix}_local", out_type, True))
+        is_float = isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType))
+        kinds[c] = "float64" if is_float else "int64"
+        out_fields.append(T.StructField(f"{c}{suffix}_local", T.DoubleType() if is_float else T.LongType(), True))
     out_schema = T.StructType(out_fields)
 
     def scan(batches):
+        # Arrow-native running sums: text columns pass through untouched
+        import pyarrow as pa
+        import pyarrow.compute as pc
         carry = {c: 0 for c in sums}
-        for pdf in batches:
+        for b in batches:
             for c in sums:
-                cs = pdf[c].fillna(0).cumsum() + carry[c]
+                arr = pc.fill_null(pc.cast(b.column(c), kinds[c]), 0)
+                cs = pc.add(pc.cumulative_sum(arr), pa.scalar(carry[c], type=kinds[c]))
                 if len(cs):
-                    carry[c] = cs.iloc[-1]
-                pdf[f"{c}{suffix}_local"] = cs
-            yield pdf
+                    carry[c] = cs[-1].as_py()
+                b = b.append_column(f"{c}{suffix}_local", cs)
+            yield b
 
-    scanned = ranged.mapInPandas(scan, out_schema)
+    scanned = ranged.mapInArrow(scan, out_schema)
     out = scanned.join(F.broadcast(offsets), _PID)
     for c in values:
         out = out.withColumn(f"{c}{suffix}", F.col(f"{c}{suffix}_local") + F.col(f"_off_{c}"))

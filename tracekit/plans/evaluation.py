@@ -359,9 +359,9 @@ def _crit_sql():
 
 @register("critique_facts", with_fixtures(_crit_sql(), "attempts_fx", "critiques_fx"))
 def critique_facts(spark, sf):
-    c = fx.critiques_fx(spark, sf)
-    c = c.withColumn("is_correct", CR.is_correct("critique"))
-    c = c.withColumn("et", CR.error_types("critique", F.col("is_correct")))
+    c = fx.critiques_fx(spark, sf).withColumn("_lc", F.lower("critique"))
+    c = c.withColumn("is_correct", CR.is_correct("critique", "_lc"))
+    c = c.withColumn("et", CR.error_types("critique", F.col("is_correct"), "_lc"))
     c = c.withColumn("feedback", CR.feedback_section("critique"))
     return c.select("problem_id", "step_number", "attempt", "is_correct",
                     CR.status_word("critique").isNotNull().alias("has_status"),
@@ -391,8 +391,9 @@ def critique_summary(spark, sf):
         FROM ({_crit_sql()}) WHERE error_types <> '') GROUP BY error_type""", "attempts_fx", "critiques_fx"))
 def error_type_distribution(spark, sf):
     """counts over the exploded error types."""
-    c = fx.critiques_fx(spark, sf).withColumn("ok", CR.is_correct("critique"))
-    return c.select(F.explode(CR.error_types("critique", F.col("ok"))).alias("error_type")).groupBy("error_type").agg(
+    c = fx.critiques_fx(spark, sf).withColumn("_lc", F.lower("critique"))
+    c = c.withColumn("ok", CR.is_correct("critique", "_lc"))
+    return c.select(F.explode(CR.error_types("critique", F.col("ok"), "_lc")).alias("error_type")).groupBy("error_type").agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -512,15 +513,34 @@ REPORT_GROUPS = {
 
 
 def problem_metrics(spark, sf):
-    """B.10: one metrics row per evaluated problem (plan, executor and critic metrics)."""
+    """B.10: one metrics row per evaluated problem (plan, executor and critic metrics).
+
+    Executor and critic metrics come from one aggregate over the evaluated
+    steps joined with their critic test, so the step table is built once.
+    """
     from tracekit.plans.refinement import score_against_truth
     final = score_against_truth(spark, sf).select("problem_id", F.col("correct").alias("final_answer_correct"))
     plan = _scored(spark, sf).select("problem_id", F.col("quality").alias("plan_quality_score"),
                                      F.col("n_steps").alias("num_plan_steps"),
                                      F.col("has_numbering").alias("plan_has_numbering"),
                                      F.col("is_sequential").alias("plan_is_sequential"))
-    d = detection_df(spark, sf).withColumn("correction_rate", safe_ratio("tp", F.col("tp") + F.col("fn")))
-    return (final.join(plan, "problem_id").join(executor_metrics_df(spark, sf), "problem_id").join(d, "problem_id")
+    t = eval_steps(spark, sf).join(feedback_scores_df(spark, sf), ["problem_id", "step_number"])
+    ac, de = F.col("is_correct"), F.col("detected_error")
+    per = t.groupBy("problem_id").agg(
+        F.avg(ac.cast("double")).alias("step_accuracy"), F.avg(ac.cast("double")).alias("calculation_accuracy"),
+        F.avg(F.col("used_context").cast("double")).alias("context_utilization"),
+        F.avg(F.col("num_tokens").cast("double")).alias("avg_tokens_per_step"),
+        F.count_if(~ac & de).alias("tp"), F.count_if(ac & ~de).alias("tn"),
+        F.count_if(ac & de).alias("fp"), F.count_if(~ac & ~de).alias("fn"),
+        F.avg("feedback_specificity").alias("avg_feedback_specificity"),
+        F.avg("feedback_actionability").alias("avg_feedback_actionability"))
+    per = (per.withColumn("sensitivity", safe_ratio("tp", F.col("tp") + F.col("fn")))
+           .withColumn("specificity", safe_ratio("tn", F.col("tn") + F.col("fp")))
+           .withColumn("precision", safe_ratio("tp", F.col("tp") + F.col("fp"))))
+    p_, s_ = F.col("precision"), F.col("sensitivity")
+    per = (per.withColumn("f1_score", F.when(p_ + s_ > 0, 2 * (p_ * s_) / (p_ + s_)).otherwise(F.lit(0.0)))
+           .withColumn("correction_rate", F.col("sensitivity")))
+    return (final.join(plan, "problem_id").join(per, "problem_id")
             .withColumn("recovery_rate", F.lit(0.0)).withColumn("step_efficiency", F.lit(1.0)))
 
 

@@ -27,17 +27,14 @@ SHORT_DOC_CHARS = 2000
 
 
 _MATERIALIZED: dict[tuple[str, str, str], str] = {}
-BUCKET_KEY = "problem_id"
-
-
-def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def materialized(spark: SparkSession, sf_dir: str, name: str, build, bucket_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a derived table once per session under the shared checkpoint folder, then read it.
 
     Derived fixtures feed many queries; materialising them (a written table,
     not an in-memory cache) cuts their lineage and lets later scans prune
-    columns and push filters into Parquet. Tables keyed by problem are written
-    bucketed by ``problem_id`` (bucket count = shuffle partitions), so joins,
-    windows and aggregates on problem keys between them need no shuffle.
+    columns and push filters into Parquet. Tables are bucketed by their unique
+    key (bucket count = shuffle partitions): joins on that key need no shuffle,
+    and because the key is unique a hot problem still spreads over all buckets.
     """
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
     table = _MATERIALIZED.get(key)
@@ -45,11 +42,9 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
         df = build()
         path = scratch_path(spark, f"fx-{name}")
         table = f"tk_{name}_{abs(hash(key)) % 10**12}"
-        if BUCKET_KEY in df.columns:
+        if bucket_by:
             n = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-            # co-partitioned joins on (problem_id, ...) keys reuse the bucketing
-            spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-            (df.write.mode("overwrite").bucketBy(n, BUCKET_KEY).sortBy(BUCKET_KEY)
+            (df.write.mode("overwrite").bucketBy(n, *bucket_by).sortBy(*bucket_by)
              .option("path", path).saveAsTable(table))
         else:
             df.write.mode("overwrite").option("path", path).saveAsTable(table)
@@ -198,17 +193,19 @@ def flags_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_chars") < SHORT_DOC_CHARS).alias("predicted"))
 
 
-def _public(name, build):
+def _public(name, build, bucket_by=()):
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return materialized(spark, sf_dir, name, lambda: build(spark, sf_dir))
+        return materialized(spark, sf_dir, name, lambda: build(spark, sf_dir), bucket_by)
     get.__name__ = name
     get.__doc__ = build.__doc__
     return get
 
 
-steps_fx = _public("steps_fx", _build_steps_fx)
-problems_fx = _public("problems_fx", _build_problems_fx)
-plans_fx = _public("plans_fx", _build_plans_fx)
-attempts_fx = _public("attempts_fx", _build_attempts_fx)
-critiques_fx = _public("critiques_fx", _build_critiques_fx)
-request_log_fx = _public("request_log_fx", _build_request_log_fx)
+_STEP_KEY = ("problem_id", "step_number")
+_ATTEMPT_KEY = ("problem_id", "step_number", "attempt")
+steps_fx = _public("steps_fx", _build_steps_fx, _STEP_KEY)
+problems_fx = _public("problems_fx", _build_problems_fx, ("problem_id",))
+plans_fx = _public("plans_fx", _build_plans_fx, ("problem_id",))
+attempts_fx = _public("attempts_fx", _build_attempts_fx, _ATTEMPT_KEY)
+critiques_fx = _public("critiques_fx", _build_critiques_fx, _ATTEMPT_KEY)
+request_log_fx = _public("request_log_fx", _build_request_log_fx, ("request_id", "attempt"))
