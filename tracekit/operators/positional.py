@@ -4,14 +4,16 @@ The reference works on Python lists, so position is list order. Here every
 position derives from an explicit total order key and is computed without a
 single-partition window over the data:
 
-1. ``repartitionByRange`` on the order key (sampled bounds, so skewed key
-   ranges are split across tasks), then ``sortWithinPartitions``;
-2. per-partition counts/sums (one tiny aggregate, one row per partition);
-3. running offsets over that tiny table, broadcast back (its size is bounded
-   by the partition count, not by the data).
-
-A hot group (one problem holding a third of all rows) is therefore spread over
-many range partitions instead of landing in one task.
+1. **Deterministic range buckets.** Bucket bounds are quantiles of a sample
+   chosen by a hash of the key (its size is bounded by ``SAMPLE_PER_BUCKET`` x
+   buckets, whatever the data size), and a row's bucket is a pure function of
+   its key: a balanced CASE tree of struct comparisons. Recomputing any task
+   (executor loss) yields the same bucket, so nothing has to be materialised.
+2. **Per-bucket totals** come from a partial aggregate before any shuffle
+   (one row per bucket); their running offsets are broadcast back, and their
+   size is bounded by the bucket count, not by the data.
+3. **In-bucket rank / running sum** is a JVM window partitioned by bucket
+   (one shuffle), so balanced quantile buckets split even a hot group.
 """
 
 from __future__ import annotations
@@ -20,16 +22,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracekit.functions.common import hash8
 
 _PID = "_tk_pid"
-_MID = "_tk_mid"
-
-
-def _order_cols(order: Sequence) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in order]
+SAMPLE_PER_BUCKET = 64
 
 
 def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
@@ -38,25 +35,63 @@ def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
 
 
-def _ranged(df: DataFrame, order: Sequence, num_partitions: int | None) -> DataFrame:
-    """Range-partition and sort by ``order``, tag partition id and in-partition id, and
-    materialise it with a reliable ``checkpoint`` (shared ``spark.checkpoint.dir``).
+def _names(order: Sequence) -> list[str]:
+    out = []
+    for c in order:
+        if not isinstance(c, str):
+            raise TypeError("order keys must be column names")
+        out.append(c)
+    return out
 
-    Spark seeds its range-bound sampling per RDD, so two plans over the same
-    data may cut different ranges; the per-partition totals and the rows must
-    therefore read one materialised copy. The checkpoint also cuts the lineage,
-    so a lost executor never forces a re-sample.
-    """
-    n = _num_parts(df, num_partitions)
-    cols = _order_cols(order)
-    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_MID, F.monotonically_increasing_id()))
-    return ranged.checkpoint(eager=True)
+
+def _sort_key(row):
+    return tuple((0,) if v is None else (1, v) for v in row)
+
+
+def range_bounds(df: DataFrame, order: Sequence[str], buckets: int) -> list[tuple]:
+    """Up to ``buckets - 1`` ascending bounds from a hash-selected sample of the order key."""
+    cols = _names(order)
+    total = df.count()
+    if total == 0 or buckets <= 1:
+        return []
+    rate = max(1, total // (buckets * SAMPLE_PER_BUCKET))
+    pick = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(rate)) == 0
+    sample = sorted((tuple(r) for r in df.where(pick).select(*cols).collect()), key=_sort_key)
+    if not sample:
+        return []
+    bounds, last = [], None
+    for i in range(1, buckets):
+        b = sample[min(len(sample) - 1, (len(sample) * i) // buckets)]
+        if last is None or _sort_key(b) > _sort_key(last):
+            bounds.append(b)
+            last = b
+    return bounds
+
+
+def bucket_of(df: DataFrame, order: Sequence[str], bounds: list[tuple]) -> Column:
+    """Bucket index = number of bounds strictly below the key (balanced CASE tree)."""
+    cols = _names(order)
+    types = [df.schema[c].dataType for c in cols]
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
+    lits = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))])
+            for b in bounds]
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key > lits[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(bounds))
+
+
+def _bucketed(df: DataFrame, order: Sequence[str], num_partitions: int | None) -> DataFrame:
+    bounds = range_bounds(df, order, _num_parts(df, num_partitions))
+    return df.withColumn(_PID, bucket_of(df, order, bounds))
 
 
 def _offsets(part_totals: DataFrame, value_cols: Sequence[str]) -> DataFrame:
-    """Exclusive running totals over the per-partition table (one row per partition)."""
+    """Exclusive running totals over the per-bucket table (one row per bucket)."""
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     out = part_totals
     for c in value_cols:
@@ -64,74 +99,39 @@ def _offsets(part_totals: DataFrame, value_cols: Sequence[str]) -> DataFrame:
     return out.select(_PID, *[f"_off_{c}" for c in value_cols])
 
 
-def ordinal(df: DataFrame, order: Sequence, pos_col: str = "pos",
+def ordinal(df: DataFrame, order: Sequence[str], pos_col: str = "pos",
             num_partitions: int | None = None) -> DataFrame:
-    """1-based global position by a total order (``row_number()`` semantics).
-
-    One range shuffle; the index inside a partition comes from
-    ``monotonically_increasing_id`` (partition id in the upper bits), the
-    partition offsets from a per-partition count that is broadcast back.
-    Recomputation after executor loss is safe: the order key is total, so range
-    bounds and in-partition order are a pure function of the data.
-    """
-    ranged = _ranged(df, order, num_partitions)
-    counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
+    """1-based global position by a total order (``row_number()`` semantics)."""
+    cols = _names(order)
+    tagged = _bucketed(df, cols, num_partitions)
+    counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
     offsets = _offsets(counts, ["_n"])
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("bigint"), 33)
-    return (ranged.join(F.broadcast(offsets), _PID)
-            .withColumn(pos_col, (F.col("_off__n") + local + 1).cast("bigint"))
-            .drop(_PID, _MID, "_off__n"))
+    rank = F.row_number().over(Window.partitionBy(_PID).orderBy(*cols))
+    return (tagged.join(F.broadcast(offsets), _PID)
+            .withColumn(pos_col, (F.col("_off__n") + rank).cast("bigint"))
+            .drop(_PID, "_off__n"))
 
 
-def prefix_sums(df: DataFrame, order: Sequence, value_cols: Sequence[str],
+def prefix_sums(df: DataFrame, order: Sequence[str], value_cols: Sequence[str],
                 suffix: str = "_cum", pos_col: str | None = None,
                 num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``value_cols`` in global order (plus optional ordinal).
-
-    The in-partition scan is a vectorised ``mapInPandas`` over the range-sorted
-    partition (Spark has no order-preserving per-partition scan in SQL);
-    partition offsets are broadcast as in :func:`ordinal`.
-    """
-    ranged = _ranged(df, order, num_partitions)
+    """Inclusive running sums of ``value_cols`` in global order (plus optional ordinal)."""
+    cols = _names(order)
     values = list(value_cols)
-    count_col = "_tk_one"
-    ranged = ranged.withColumn(count_col, F.lit(1).cast("bigint"))
-    sums = values + [count_col]
-    totals = ranged.groupBy(_PID).agg(*[F.sum(c).alias(c) for c in sums])
+    tagged = _bucketed(df, cols, num_partitions)
+    sums = values + (["_tk_one"] if pos_col else [])
+    if pos_col:
+        tagged = tagged.withColumn("_tk_one", F.lit(1).cast("bigint"))
+    totals = tagged.groupBy(_PID).agg(*[F.sum(c).alias(c) for c in sums])
     offsets = _offsets(totals, sums)
-
-    in_schema = ranged.schema
-    out_fields = list(in_schema.fields)
-    kinds = {}
-    for c in sums:
-        dtype = in_schema[c].dataType
-        is_float = isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType))
-        kinds[c] = "float64" if is_float else "int64"
-        out_fields.append(T.StructField(f"{c}{suffix}_local", T.DoubleType() if is_float else T.LongType(), True))
-    out_schema = T.StructType(out_fields)
-
-    def scan(batches):
-        # Arrow-native running sums: text columns pass through untouched
-        import pyarrow as pa
-        import pyarrow.compute as pc
-        carry = {c: 0 for c in sums}
-        for b in batches:
-            for c in sums:
-                arr = pc.fill_null(pc.cast(b.column(c), kinds[c]), 0)
-                cs = pc.add(pc.cumulative_sum(arr), pa.scalar(carry[c], type=kinds[c]))
-                if len(cs):
-                    carry[c] = cs[-1].as_py()
-                b = b.append_column(f"{c}{suffix}_local", cs)
-            yield b
-
-    scanned = ranged.mapInArrow(scan, out_schema)
-    out = scanned.join(F.broadcast(offsets), _PID)
+    w = Window.partitionBy(_PID).orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
+    out = tagged.join(F.broadcast(offsets), _PID)
     for c in values:
-        out = out.withColumn(f"{c}{suffix}", F.col(f"{c}{suffix}_local") + F.col(f"_off_{c}"))
+        out = out.withColumn(f"{c}{suffix}", F.sum(F.coalesce(F.col(c), F.lit(0))).over(w) + F.col(f"_off_{c}"))
     if pos_col:
-        out = out.withColumn(pos_col, (F.col(f"{count_col}{suffix}_local") + F.col(f"_off_{count_col}")).cast("bigint"))
-    drop = [_PID, _MID, count_col] + [f"{c}{suffix}_local" for c in sums] + [f"_off_{c}" for c in sums]
-    return out.drop(*drop)
+        out = out.withColumn(pos_col, (F.row_number().over(Window.partitionBy(_PID).orderBy(*cols))
+                                       + F.col("_off__tk_one")).cast("bigint"))
+    return out.drop(_PID, *[f"_off_{c}" for c in sums], *(["_tk_one"] if pos_col else []))
 
 
 def number_within(df: DataFrame, group: Sequence[str], order: Sequence, value_col: str | None = None,
@@ -147,13 +147,13 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence, value_co
     """
     group = list(group)
     if not skew_safe:
-        w = Window.partitionBy(*group).orderBy(*_order_cols(order))
+        w = Window.partitionBy(*group).orderBy(*_names(order))
         out = (df.withColumn(step_col, F.row_number().over(w).cast("bigint"))
                .withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*group)).cast("bigint")))
         if value_col:
             out = out.withColumn(run_col, F.sum(value_col).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         return out
-    full_order = [F.col(g) for g in group] + _order_cols(order)
+    full_order = group + _names(order)
     if value_col:
         seq = prefix_sums(df, full_order, [value_col], suffix="_gcum", pos_col="_tk_gpos")
         base = F.min_by(F.col(f"{value_col}_gcum") - F.col(value_col), F.col("_tk_gpos"))
@@ -195,7 +195,7 @@ def quota_cut(df: DataFrame, batch_col: str, target: int) -> DataFrame:
 
 def head_n(df: DataFrame, order: Sequence, n: int) -> DataFrame:
     """H1: first n rows by order (TakeOrderedAndProject: per-task top-n, then merge)."""
-    return df.orderBy(*_order_cols(order)).limit(n)
+    return df.orderBy(*_names(order)).limit(n)
 
 
 def strided_sample(df_with_pos: DataFrame, n_total: Column, size: int, pos_col: str = "pos") -> DataFrame:

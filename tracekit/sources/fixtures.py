@@ -44,6 +44,8 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build, bucket_by:
         table = f"tk_{name}_{abs(hash(key)) % 10**12}"
         if bucket_by:
             n = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+            # joins on a superset of the bucket key may reuse the bucketing
+            spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
             (df.write.mode("overwrite").bucketBy(n, *bucket_by).sortBy(*bucket_by)
              .option("path", path).saveAsTable(table))
         else:
@@ -202,10 +204,11 @@ def _public(name, build, bucket_by=()):
 
 
 _STEP_KEY = ("problem_id", "step_number")
-_ATTEMPT_KEY = ("problem_id", "step_number", "attempt")
 steps_fx = _public("steps_fx", _build_steps_fx, _STEP_KEY)
 problems_fx = _public("problems_fx", _build_problems_fx, ("problem_id",))
 plans_fx = _public("plans_fx", _build_plans_fx, ("problem_id",))
-attempts_fx = _public("attempts_fx", _build_attempts_fx, _ATTEMPT_KEY)
-critiques_fx = _public("critiques_fx", _build_critiques_fx, _ATTEMPT_KEY)
+# attempt logs are bucketed by step: the attempt join, the per-step window and the
+# per-step aggregate of W2 all reuse it (a step holds at most max_attempts rows)
+attempts_fx = _public("attempts_fx", _build_attempts_fx, _STEP_KEY)
+critiques_fx = _public("critiques_fx", _build_critiques_fx, _STEP_KEY)
 request_log_fx = _public("request_log_fx", _build_request_log_fx, ("request_id", "attempt"))
