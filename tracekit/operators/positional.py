@@ -49,14 +49,19 @@ def _sort_key(row):
 
 
 def range_bounds(df: DataFrame, order: Sequence[str], buckets: int) -> list[tuple]:
-    """Up to ``buckets - 1`` ascending bounds from a hash-selected sample of the order key."""
+    """Up to ``buckets - 1`` ascending bounds from a deterministic sample of the order key.
+
+    The sample is the ``buckets * SAMPLE_PER_BUCKET`` rows with the smallest key
+    hash (a top-K: per-task top-K, then a merge), so its size is bounded
+    whatever the data size and it needs no separate count.
+    """
     cols = _names(order)
-    total = df.count()
-    if total == 0 or buckets <= 1:
+    if buckets <= 1:
         return []
-    rate = max(1, total // (buckets * SAMPLE_PER_BUCKET))
-    pick = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(rate)) == 0
-    sample = sorted((tuple(r) for r in df.where(pick).select(*cols).collect()), key=_sort_key)
+    k = buckets * SAMPLE_PER_BUCKET
+    h = F.xxhash64(*[F.col(c) for c in cols]).alias("_tk_h")
+    rows = df.select(*cols, h).orderBy("_tk_h").limit(k).collect()
+    sample = sorted((tuple(r)[:-1] for r in rows), key=_sort_key)
     if not sample:
         return []
     bounds, last = [], None
@@ -85,7 +90,13 @@ def bucket_of(df: DataFrame, order: Sequence[str], bounds: list[tuple]) -> Colum
     return tree(0, len(bounds))
 
 
-def _bucketed(df: DataFrame, order: Sequence[str], num_partitions: int | None) -> DataFrame:
+def _bucketed(df: DataFrame, order: Sequence[str], num_partitions: int | None,
+              materialize: bool = True) -> DataFrame:
+    """Tag rows with their range bucket. The input is read several times (count,
+    sample, totals, rows), so unless it is a cheap scan it is first cut with a
+    reliable ``checkpoint`` into the shared checkpoint folder."""
+    if materialize:
+        df = df.checkpoint(eager=True)
     bounds = range_bounds(df, order, _num_parts(df, num_partitions))
     return df.withColumn(_PID, bucket_of(df, order, bounds))
 
@@ -100,10 +111,10 @@ def _offsets(part_totals: DataFrame, value_cols: Sequence[str]) -> DataFrame:
 
 
 def ordinal(df: DataFrame, order: Sequence[str], pos_col: str = "pos",
-            num_partitions: int | None = None) -> DataFrame:
+            num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
     """1-based global position by a total order (``row_number()`` semantics)."""
     cols = _names(order)
-    tagged = _bucketed(df, cols, num_partitions)
+    tagged = _bucketed(df, cols, num_partitions, materialize)
     counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
     offsets = _offsets(counts, ["_n"])
     rank = F.row_number().over(Window.partitionBy(_PID).orderBy(*cols))
@@ -114,11 +125,11 @@ def ordinal(df: DataFrame, order: Sequence[str], pos_col: str = "pos",
 
 def prefix_sums(df: DataFrame, order: Sequence[str], value_cols: Sequence[str],
                 suffix: str = "_cum", pos_col: str | None = None,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in global order (plus optional ordinal)."""
     cols = _names(order)
     values = list(value_cols)
-    tagged = _bucketed(df, cols, num_partitions)
+    tagged = _bucketed(df, cols, num_partitions, materialize)
     sums = values + (["_tk_one"] if pos_col else [])
     if pos_col:
         tagged = tagged.withColumn("_tk_one", F.lit(1).cast("bigint"))
@@ -136,7 +147,7 @@ def prefix_sums(df: DataFrame, order: Sequence[str], value_cols: Sequence[str],
 
 def number_within(df: DataFrame, group: Sequence[str], order: Sequence, value_col: str | None = None,
                   step_col: str = "step", count_col: str = "n_steps", run_col: str = "run",
-                  skew_safe: bool = True) -> DataFrame:
+                  skew_safe: bool = True, materialize: bool = True) -> DataFrame:
     """Per-group 1-based step number, group size and (optional) running sum.
 
     ``skew_safe=True`` derives the per-group numbering from the global ordinal
@@ -155,7 +166,7 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence, value_co
         return out
     full_order = group + _names(order)
     if value_col:
-        seq = prefix_sums(df, full_order, [value_col], suffix="_gcum", pos_col="_tk_gpos")
+        seq = prefix_sums(df, full_order, [value_col], suffix="_gcum", pos_col="_tk_gpos", materialize=materialize)
         base = F.min_by(F.col(f"{value_col}_gcum") - F.col(value_col), F.col("_tk_gpos"))
         starts = seq.groupBy(*group).agg(F.min("_tk_gpos").alias("_tk_start"),
                                          F.count(F.lit(1)).alias(count_col), base.alias("_tk_base"))
@@ -163,7 +174,7 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence, value_co
         out = out.withColumn(run_col, F.col(f"{value_col}_gcum") - F.col("_tk_base"))
         drop = ["_tk_gpos", "_tk_start", "_tk_base", f"{value_col}_gcum"]
     else:
-        seq = ordinal(df, full_order, pos_col="_tk_gpos")
+        seq = ordinal(df, full_order, pos_col="_tk_gpos", materialize=materialize)
         starts = seq.groupBy(*group).agg(F.min("_tk_gpos").alias("_tk_start"),
                                          F.count(F.lit(1)).alias(count_col))
         out = seq.join(starts, group)

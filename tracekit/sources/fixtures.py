@@ -70,7 +70,7 @@ def _build_steps_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D.3: one row per step (order line): problem_id, step_number, n_steps, prev, q, run."""
     numbered = number_within(order_lines(spark, sf_dir), ["problem_id"],
                              ["l_linenumber", "l_partkey", "l_suppkey", "q"], value_col="q",
-                             step_col="step_number", count_col="n_steps", run_col="run")
+                             step_col="step_number", count_col="n_steps", run_col="run", materialize=False)
     return numbered.select("problem_id", "step_number", "n_steps",
                            (F.col("run") - F.col("q")).alias("prev"), "q", "run")
 
@@ -158,7 +158,8 @@ def _build_request_log_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
     hour_key = (F.year("ts") * 1000000 + F.month("ts") * 10000 + F.dayofmonth("ts") * 100 + F.hour("ts"))
     ev = ev.withColumn("request_id", F.concat(s("user_id"), F.lit("-"), s(hour_key.cast("bigint"))))
-    numbered = number_within(ev, ["request_id"], ["ts", "event_id"], step_col="attempt", count_col="n_attempts")
+    numbered = number_within(ev, ["request_id"], ["ts", "event_id"], step_col="attempt", count_col="n_attempts",
+                             materialize=False)
     ok = F.col("event_type") != "error"
     err = F.element_at(F.array(*[F.lit(m) for m in ERROR_MESSAGES]), (F.col("event_id") % 4 + 1).cast("int"))
     module = F.element_at(F.array(*[F.lit(m) for m in MODULES]), (F.col("user_id") % 3 + 1).cast("int"))
