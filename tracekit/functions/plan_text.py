@@ -219,7 +219,8 @@ def with_tfidf_cosine(df, a: str, b: str, out_col: str = "coverage"):
     df = df.withColumn("_tv", F.array_distinct(F.concat("_ta", "_tb")))
 
     def tf(arr, t):
-        return F.size(F.filter(F.col(arr), lambda x: x == t)).cast("double")
+        # occurrences of t = size minus size without t (native array op, no per-element lambda)
+        return (F.size(arr) - F.size(F.array_remove(F.col(arr), t))).cast("double")
 
     df = df.withColumn("_tt", F.transform("_tv", lambda t: F.struct(tf("_ta", t).alias("a"), tf("_tb", t).alias("b"))))
     w = F.transform("_tt", lambda s: F.struct(
