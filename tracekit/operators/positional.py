@@ -96,6 +96,8 @@ def _bucketed(df: DataFrame, order: Sequence[str], num_partitions: int | None,
     sample, totals, rows), so unless it is a cheap scan it is first cut with a
     reliable ``checkpoint`` into the shared checkpoint folder."""
     if materialize:
+        from tracekit.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
     bounds = range_bounds(df, order, _num_parts(df, num_partitions))
     return df.withColumn(_PID, bucket_of(df, order, bounds))

@@ -282,9 +282,8 @@ def augment_plans(spark, sf):
               FROM plans_fx) GROUP BY truncated""", "plans_fx"))
 def plan_truncation(spark, sf):
     """plans whose length reaches the planner token limit (tokens re-aimed as words)."""
-    from pyspark.sql import Window
     p = fx.plans_fx(spark, sf).select(TX.word_count("plan").alias("words"))
     g = p.groupBy((F.col("words") >= PLAN_TOKEN_LIMIT).alias("truncated")).agg(
         F.count(F.lit(1)).alias("plans"), F.avg("words").alias("avg_words"))
-    return g.select("truncated", "plans", r6(F.col("plans") / F.sum("plans").over(Window.partitionBy())).alias("share"),
-                    r6("avg_words").alias("avg_words"))
+    total = p.agg(F.count(F.lit(1))).scalar()
+    return g.select("truncated", "plans", r6(F.col("plans") / total).alias("share"), r6("avg_words").alias("avg_words"))
