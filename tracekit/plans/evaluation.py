@@ -30,21 +30,31 @@ CONTEXT_VARIATION = "context_variation"
 # ---------------------------------------------------------------------------
 # Executor examples: plan steps joined with the step executions (D3 + W1)
 # ---------------------------------------------------------------------------
+_STRICT_ROWS = S.plan_steps("plans_fx", "problem_id", "plan", fallback=None)
+_B3_ACCEPTED = """NOT (question IS NULL OR question = '' OR length(question) < 20)
+  AND NOT (step_description IS NULL OR step_description = '' OR length(step_description) < 10)
+  AND NOT (execution IS NULL OR execution = '' OR length(execution) < 30)
+  AND NOT ((contains(lower(step_description), 'calculate') OR contains(lower(step_description), 'find')
+        OR contains(lower(step_description), 'compute')) AND NOT regexp_matches(execution, '\\d+'))"""
 _EX_CTES = {
-    "pr": _PLAN_ROWS,
+    "esr": _STRICT_ROWS,
+    "epr": "SELECT * FROM esr WHERE problem_id IN (SELECT problem_id FROM esr GROUP BY problem_id HAVING count(*) >= 2)",
     "ex0": f"""SELECT r.problem_id, r.pos, r.step_number, r.description AS step_description, a.execution,
         q.question, {S.solution_text('q.answer')} AS reference_solution
-      FROM pr r JOIN attempts_fx a ON a.problem_id = r.problem_id AND a.step_number = r.pos AND a.attempt = 1
+      FROM epr r JOIN attempts_fx a ON a.problem_id = r.problem_id AND a.step_number = r.pos AND a.attempt = 1
       JOIN problems_fx q ON q.problem_id = r.problem_id""",
-    "ex": """SELECT *, coalesce(array_to_string(list('Step ' || coalesce(CAST(step_number AS VARCHAR), '') || ': '
+    "exc": """SELECT *, coalesce(array_to_string(list('Step ' || coalesce(CAST(step_number AS VARCHAR), '') || ': '
         || execution || chr(10) || chr(10)) OVER (PARTITION BY problem_id ORDER BY pos
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), '') AS context FROM ex0""",
+    "ex": f"SELECT * FROM exc WHERE {_B3_ACCEPTED}",
 }
 _EX_FIX = ("plans_fx", "attempts_fx", "problems_fx")
 
 
-def exec_examples(spark, sf) -> DataFrame:
-    plans = PT.with_plan_steps(fx.plans_fx(spark, sf), "plan", "steps")
+def exec_candidates(spark, sf) -> DataFrame:
+    """Executor candidates: strictly parsed plans (C6) with >= 2 steps, each step joined with the
+    execution at its position (D3) and the accumulated context of the earlier steps (W1)."""
+    plans = PT.with_plan_steps(fx.plans_fx(spark, sf), "plan", "steps", mode="strict").where(F.size("steps") >= 2)
     ps = plans.select("problem_id", F.posexplode("steps").alias("pos", "s")).select(
         "problem_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("s.step_number").alias("step_number"),
         F.col("s.description").alias("step_description"))
@@ -58,17 +68,23 @@ def exec_examples(spark, sf) -> DataFrame:
     return j.withColumn("context", F.array_join(F.collect_list(piece).over(w), ""))
 
 
+def exec_examples(spark, sf) -> DataFrame:
+    """Executor examples kept by the generator: candidates that pass B3."""
+    acc, _ = gates.apply_gate(exec_candidates(spark, sf), gates.execution_rules())
+    return acc
+
+
 @register("join_plan_steps", with_fixtures("SELECT problem_id, pos, step_number, step_description, execution FROM ex0",
                                            *_EX_FIX, extra=_EX_CTES))
 def join_plan_steps(spark, sf):
     """D3: each parsed plan step with the execution at the same position."""
-    return exec_examples(spark, sf).select("problem_id", "pos", "step_number", "step_description", "execution")
+    return exec_candidates(spark, sf).select("problem_id", "pos", "step_number", "step_description", "execution")
 
 
-@register("context_prefix", with_fixtures("SELECT problem_id, pos, context FROM ex", *_EX_FIX, extra=_EX_CTES))
+@register("context_prefix", with_fixtures("SELECT problem_id, pos, context FROM exc", *_EX_FIX, extra=_EX_CTES))
 def context_prefix(spark, sf):
     """Accumulated ``Step n: ...`` context before each step."""
-    return exec_examples(spark, sf).select("problem_id", "pos", "context")
+    return exec_candidates(spark, sf).select("problem_id", "pos", "context")
 
 
 @register("recent_context", with_fixtures(
@@ -103,11 +119,11 @@ SELECT problem_id, pos, CAST({_calc_count_sql('execution')} AS BIGINT) AS n_calc
   regexp_matches(execution, '[×x*]') AS multiplication, regexp_matches(execution, '[+]') AS addition,
   regexp_matches(execution, '[-−]') AS subtraction, regexp_matches(execution, '[÷/]') AS division,
   result <> '' AS has_result, CAST(length(context) AS BIGINT) AS context_length, context <> '' AS context_available
-FROM (SELECT *, {_result_sql('execution')} AS result FROM ex)""", *_EX_FIX, extra=_EX_CTES)
+FROM (SELECT *, {_result_sql('execution')} AS result FROM exc)""", *_EX_FIX, extra=_EX_CTES)
 
 
 def execution_facts_df(spark, sf):
-    e = exec_examples(spark, sf).withColumn("parsed", EX.parse_execution("execution"))
+    e = exec_candidates(spark, sf).withColumn("parsed", EX.parse_execution("execution"))
     return e.select("problem_id", "pos", F.size("parsed.calculations").cast("bigint").alias("n_calculations"),
                     F.col("parsed.result").alias("result"),
                     F.size("parsed.numbers_used").cast("bigint").alias("n_numbers"),
@@ -132,10 +148,10 @@ _B3_OUTCOME = """CASE
 
 
 @register("gate_executions", with_fixtures(
-    f"SELECT outcome, count(*) AS n FROM (SELECT {_B3_OUTCOME} AS outcome FROM ex) GROUP BY outcome",
+    f"SELECT outcome, count(*) AS n FROM (SELECT {_B3_OUTCOME} AS outcome FROM exc) GROUP BY outcome",
     *_EX_FIX, extra=_EX_CTES))
 def gate_executions(spark, sf):
-    _, ledger = gates.apply_gate(exec_examples(spark, sf), gates.execution_rules())
+    _, ledger = gates.apply_gate(exec_candidates(spark, sf), gates.execution_rules())
     return ledger
 
 

@@ -160,7 +160,7 @@ def variant_diff(spark, sf):
                     all_passed.alias("all_passed"))
 
 
-_MODULE_CTES = {**_SFTP, **{k: v for k, v in _EX_CTES.items() if k != "pr"}, **_CX_CTES,
+_MODULE_CTES = {**_SFTP, **_EX_CTES, **_CX_CTES,
                 "mods": """SELECT 'planner' AS module FROM sftp UNION ALL SELECT 'executor' FROM ex
                    UNION ALL SELECT 'critic' FROM cx
                    UNION ALL SELECT 'critic' FROM cx WHERE """ + H('pos30', 'problem_id', 'k') + " % 10000 < 3000"}
