@@ -48,5 +48,6 @@ def live_progress(spark, sf):
         return stream.groupBy("module").agg(F.count(F.lit(1)).alias("results"), F.count_if("ok").alias("successes"),
                                             r6(F.avg(F.col("ok").cast("double"))).alias("success_rate"))
 
-    run_running_agg(spark, src, log.schema, agg, sink, ck)
+    run_running_agg(spark, src, log.schema, agg, sink, ck, files_per_trigger=STREAM_FILES // 2,
+                    state_partitions=len(fx.MODULES))
     return spark.read.parquet(sink)

@@ -23,14 +23,23 @@ def run_file_stream(spark: SparkSession, src: str, schema, transform: Callable[[
 
 
 def run_running_agg(spark: SparkSession, src: str, schema, aggregate: Callable[[DataFrame], DataFrame],
-                    sink: str, checkpoint: str, files_per_trigger: int = 1) -> None:
+                    sink: str, checkpoint: str, files_per_trigger: int = 1, state_partitions: int = 8) -> None:
     """Running aggregate over a file stream in complete mode; every micro-batch replaces the
-    small result table in ``sink`` (the aggregate state lives in the checkpoint)."""
+    small result table in ``sink`` (the aggregate state lives in the checkpoint).
+
+    The state store has as many partitions as the shuffle had when the query first
+    started (recorded in the checkpoint); a few-key aggregate gets a few partitions.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
 
     def publish(batch: DataFrame, _batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(sink)
 
-    q = (aggregate(stream).writeStream.outputMode("complete").foreachBatch(publish)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = (aggregate(stream).writeStream.outputMode("complete").foreachBatch(publish)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     q.awaitTermination()
