@@ -164,7 +164,7 @@ def _b7_sql():
            f" + (CASE WHEN {asks} AND {no_math} THEN -0.4 WHEN {asks} THEN 0.3 ELSE 0.0 END)"
            " + (CASE WHEN length(execution) < 50 THEN -0.2 WHEN length(execution) > 20 THEN 0.1 ELSE 0.0 END)"
            f" + (CASE WHEN {reason} THEN 0.2 ELSE 0.0 END)")
-    return f"""SELECT problem_id, pos, round(conf, 6) AS confidence,
+    return f"""SELECT problem_id, pos, round(CAST(conf AS DOUBLE), 6) AS confidence,
       (NOT (NOT has_result OR ({asks} AND {no_math}))) AND conf > 0.3 AS is_valid
     FROM (SELECT *, greatest(0.0, least(1.0, 0.7 + ({adj}))) AS conf FROM facts)"""
 
@@ -363,7 +363,7 @@ def _crit_sql():
             + " + (CASE WHEN length(critique) > 100 THEN 0.1 ELSE 0.0 END)))")
     generic = " ".join(f"WHEN list_contains(et, {S.q(n)}) THEN {S.q(t)}" for n, t in CR.GENERIC_FEEDBACK)
     return f"""SELECT problem_id, step_number, attempt, is_correct, has_status, reasoning, feedback,
-        array_to_string(et, ',') AS error_types, feedback <> '' AS has_feedback, round({conf}, 6) AS confidence,
+        array_to_string(et, ',') AS error_types, feedback <> '' AS has_feedback, round(CAST({conf} AS DOUBLE), 6) AS confidence,
         CASE WHEN is_correct THEN '' WHEN feedback <> '' THEN feedback {generic} ELSE {S.q(CR.DEFAULT_FEEDBACK)} END
           AS correction_feedback
       FROM (SELECT *, {error_types('critique', 'is_correct')} AS et FROM (
@@ -502,7 +502,7 @@ def detection_scores(spark, sf):
 
 @register("correction_recovery", with_fixtures(
     """SELECT problem_id, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS correction_rate,
-       0.0 AS recovery_rate, 1.0 AS step_efficiency FROM conf""", *_TEST_FIX, extra=_TEST_CTES))
+       CAST(0.0 AS DOUBLE) AS recovery_rate, CAST(1.0 AS DOUBLE) AS step_efficiency FROM conf""", *_TEST_FIX, extra=_TEST_CTES))
 def correction_recovery(spark, sf):
     """F8: errors detected / errors; corrected / detected (0: never corrected, L22); mean loops (1 test per step)."""
     c = confusion_df(spark, sf)
