@@ -45,3 +45,16 @@ def test_strided_and_prefix(spark):
     o7 = P.ordinal(spark.range(7), ["id"])
     n = P.row_count(o7)
     assert [P.prefix_fraction(o7, n, 1, k).count() for k in (2, 3, 4)] == [3, 2, 1]
+
+
+def test_number_within_hot_and_small_groups(spark):
+    # one group holds two thirds of the rows and spans many buckets; others are tiny
+    df = spark.range(0, 3000).select(F.when(F.col("id") < 2000, F.lit(7)).otherwise(F.col("id") % 50).alias("g"),
+                                     F.col("id"), (F.col("id") % 11).alias("v"))
+    a = P.number_within(df, ["g"], ["id"], value_col="v")
+    b = P.number_within(df, ["g"], ["id"], value_col="v", skew_safe=False).select(
+        "id", F.col("step").alias("s2"), F.col("run").alias("r2"), F.col("n_steps").alias("n2"))
+    assert a.count() == 3000
+    assert a.join(b, "id").where("step <> s2 OR run <> r2 OR n_steps <> n2").count() == 0
+    c = P.number_within(df, ["g"], ["id"])
+    assert c.join(b, "id").where("step <> s2 OR n_steps <> n2").count() == 0

@@ -152,37 +152,86 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence, value_co
                   skew_safe: bool = True, materialize: bool = True) -> DataFrame:
     """Per-group 1-based step number, group size and (optional) running sum.
 
-    ``skew_safe=True`` derives the per-group numbering from the global ordinal
-    and prefix sums, so a group holding a large share of the rows is still
-    spread over many tasks; the per-group start is an aggregate (partial
-    aggregation) joined back (AQE splits a hot join key).
+    ``skew_safe=True``: rows are range-bucketed on (group, order), so a hot group
+    spans many buckets. Inside a bucket a window partitioned by (bucket, group)
+    gives the in-bucket rank/sum/size (one shuffle). A group can only continue
+    across a bucket boundary, so the carries come from each bucket's first and
+    last group: two partial aggregates with one row per bucket, combined on the
+    driver (size bounded by the bucket count) and broadcast back.
     ``skew_safe=False`` is the plain window form for bounded groups.
     """
     group = list(group)
+    order = _names(order)
     if not skew_safe:
-        w = Window.partitionBy(*group).orderBy(*_names(order))
+        w = Window.partitionBy(*group).orderBy(*order)
         out = (df.withColumn(step_col, F.row_number().over(w).cast("bigint"))
                .withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*group)).cast("bigint")))
         if value_col:
             out = out.withColumn(run_col, F.sum(value_col).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         return out
-    full_order = group + _names(order)
+    spark = df.sparkSession
+    tagged = _bucketed(df, group + order, None, materialize)
+    gkey = F.struct(*[F.col(g).alias(g) for g in group])
+    ends = tagged.groupBy(_PID).agg(F.min(gkey).alias("_first"), F.max(gkey).alias("_last"))
+    val = F.coalesce(F.col(value_col), F.lit(0)) if value_col else F.lit(0)
+    is_first = gkey.eqNullSafe(F.col("_first"))
+    is_last = gkey.eqNullSafe(F.col("_last"))
+    edge = (tagged.join(F.broadcast(ends), _PID).groupBy(_PID).agg(
+        F.first("_first").alias("_first"), F.first("_last").alias("_last"),
+        F.count_if(is_first).alias("fc"), F.sum(F.when(is_first, val).otherwise(0)).alias("fs"),
+        F.count_if(is_last).alias("lc"), F.sum(F.when(is_last, val).otherwise(0)).alias("ls")))
+    rows = sorted(edge.collect(), key=lambda r: r[_PID])  # one row per bucket
+
+    # carries: (count, sum) of the same group in earlier buckets; totals of groups spanning buckets
+    carry: dict[tuple, tuple] = {}
+    buckets_of: dict[tuple, list] = {}
+    cur_g, cur_c, cur_s = None, 0, 0
+    for r in rows:
+        first, last = tuple(r["_first"]), tuple(r["_last"])
+        cin = (cur_c, cur_s) if first == cur_g else (0, 0)
+        if cin[0]:
+            carry[(r[_PID], first)] = cin
+        buckets_of.setdefault(first, []).append(r[_PID])
+        if first == last:
+            cur_g, cur_c, cur_s = first, cin[0] + r["fc"], cin[1] + (r["fs"] or 0)
+        else:
+            buckets_of.setdefault(last, []).append(r[_PID])
+            cur_g, cur_c, cur_s = last, r["lc"], r["ls"] or 0
+    # total size of every group seen in more than one bucket
+    totals: dict[tuple, int] = {}
+    cur_g, acc = None, 0
+    for r in rows:
+        first, last = tuple(r["_first"]), tuple(r["_last"])
+        acc = (acc if first == cur_g else 0) + r["fc"]
+        if first != last:
+            if len(buckets_of.get(first, [])) > 1:
+                totals[first] = acc
+            cur_g, acc = last, r["lc"]
+        else:
+            cur_g = first
+        if len(buckets_of.get(cur_g, [])) > 1:
+            totals[cur_g] = acc
+    fix = []
+    for g, pids in buckets_of.items():
+        if len(pids) > 1:
+            for p in set(pids):
+                c, sm = carry.get((p, g), (0, 0))
+                fix.append((p, *g, int(c), sm, int(totals[g])))
+    vtype = "double" if value_col and str(df.schema[value_col].dataType) in ("DoubleType()", "FloatType()") else "bigint"
+    gfields = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
+    fixes = spark.createDataFrame(fix, f"{_PID} int, {gfields}, _c_cnt bigint, _c_sum {vtype}, _g_total bigint")
+
+    w = Window.partitionBy(_PID, *group).orderBy(*order)
+    out = (tagged.withColumn("_in_step", F.row_number().over(w))
+           .withColumn("_in_cnt", F.count(F.lit(1)).over(Window.partitionBy(_PID, *group))))
     if value_col:
-        seq = prefix_sums(df, full_order, [value_col], suffix="_gcum", pos_col="_tk_gpos", materialize=materialize)
-        base = F.min_by(F.col(f"{value_col}_gcum") - F.col(value_col), F.col("_tk_gpos"))
-        starts = seq.groupBy(*group).agg(F.min("_tk_gpos").alias("_tk_start"),
-                                         F.count(F.lit(1)).alias(count_col), base.alias("_tk_base"))
-        out = seq.join(starts, group)
-        out = out.withColumn(run_col, F.col(f"{value_col}_gcum") - F.col("_tk_base"))
-        drop = ["_tk_gpos", "_tk_start", "_tk_base", f"{value_col}_gcum"]
-    else:
-        seq = ordinal(df, full_order, pos_col="_tk_gpos", materialize=materialize)
-        starts = seq.groupBy(*group).agg(F.min("_tk_gpos").alias("_tk_start"),
-                                         F.count(F.lit(1)).alias(count_col))
-        out = seq.join(starts, group)
-        drop = ["_tk_gpos", "_tk_start"]
-    out = out.withColumn(step_col, (F.col("_tk_gpos") - F.col("_tk_start") + 1).cast("bigint"))
-    return out.withColumn(count_col, F.col(count_col).cast("bigint")).drop(*drop)
+        out = out.withColumn("_in_run", F.sum(val).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.join(F.broadcast(fixes), [_PID] + group, "left")
+    out = (out.withColumn(step_col, (F.col("_in_step") + F.coalesce("_c_cnt", F.lit(0))).cast("bigint"))
+           .withColumn(count_col, F.coalesce("_g_total", "_in_cnt").cast("bigint")))
+    if value_col:
+        out = out.withColumn(run_col, F.col("_in_run") + F.coalesce("_c_sum", F.lit(0)))
+    return out.drop(_PID, "_in_step", "_in_cnt", "_in_run", "_c_cnt", "_c_sum", "_g_total")
 
 
 # ----------------------------------------------------------------------------
