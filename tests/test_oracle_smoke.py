@@ -10,7 +10,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 SF = "/root/testdata/sf0.001"
 KEYS = ["gate_problems", "problem_steps", "trace_answers", "solve_results", "failure_breakdown", "plan_scores",
         "step_scores", "critique_facts", "confusion", "ordinal", "shuffle_split", "latest_success", "sft_critic",
-        "masked_sequence", "module_totals"]
+        "masked_sequence", "module_totals", "sft_executor", "generation_requests", "runtime_prompts",
+        "timeout_cut", "quota_cut", "running_progress"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
