@@ -40,17 +40,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to shared storage; only when it is unset (local tests)
-    do we create one under the system temp folder.
+    A cluster sets it to shared storage. Only a local master may leave it unset: then all
+    tasks run on this machine and a folder under the system temp folder will do.
     """
+    context = spark.sparkContext
+    now = context.getCheckpointDir()
+    if now:
+        return now
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tracekit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+    context.setCheckpointDir(path)
+    return context.getCheckpointDir() or path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
