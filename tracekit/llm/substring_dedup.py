@@ -253,33 +253,42 @@ def _flags_of(part: Part, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return flags, lows
 
 
-CONTEXT = "bucket int, part int, entry int, anchor long, id long, context binary"
+OPEN = "part int, bucket int, number int, anchor long, id long, context binary, x long, y long"
 
 
-def _in_doubt(buckets: int):
-    """Step 3a, one part: the contexts in doubt, from the part that holds their least id."""
+def _open_cases(buckets: int):
+    """Step 3a, one part: the contexts in doubt, from the part that holds their least id, and
+    the distinct windows over hot anchors (rows without a context)."""
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        none = pa.table({c.split()[0]: pa.array([], t) for c, t in zip(
-            CONTEXT.split(", "), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))})
-        if not table.num_rows or not told.num_rows:
-            return none
-        part, number = _part_of(table), table["part"][0].as_py()
-        flags, lows = _flags_of(part, told)
-        wanted = (flags[part.entry] & DOUBT > 0) & (part.doc == lows[part.entry])
-        at = np.flatnonzero(wanted)
-        entries, keep = np.unique(part.entry[at], return_index=True)  # one place stands for all of an entry's
-        if not len(entries):
-            return none
-        places = part.places[at[keep]]
-        rows = part.buffer[places[:, None] + np.arange(-REACH, GRAM + REACH)]
-        raw = np.ascontiguousarray(rows)
+        at = entries = places = np.empty(0, np.int64)
+        x = y = np.empty(0, np.uint64)
+        least = lows = np.empty(0, np.int64)
+        number, bucket, anchor = 0, at, at
         size = GRAM + 2 * REACH
-        contexts = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(
-            (np.arange(len(raw) + 1, dtype=np.int32) * size).tobytes()), pa.py_buffer(raw.tobytes())])
-        return pa.table({"bucket": pa.array(part.buckets(buckets)[entries], pa.int32()),
-                         "part": pa.array(np.full(len(entries), number), pa.int32()),
-                         "entry": pa.array(entries, pa.int32()), "anchor": pa.array(part.anchor[entries].astype(np.int64), pa.int64()),
-                         "id": pa.array(lows[entries], pa.int64()), "context": contexts})
+        raw = b""
+        if table.num_rows and told.num_rows:
+            part, number = _part_of(table), table["part"][0].as_py()
+            flags, low = _flags_of(part, told)
+            at = np.flatnonzero((flags[part.entry] & DOUBT > 0) & (part.doc == low[part.entry]))
+            entries, keep = np.unique(part.entry[at], return_index=True)  # one place stands for all of an entry's
+            places = part.places[at[keep]]
+            raw = part.buffer[places[:, None] + np.arange(-REACH, GRAM + REACH)].tobytes()
+            bucket, anchor, lows = part.buckets(buckets)[entries], part.anchor[entries].astype(np.int64), low[entries]
+            x, y, least, _, _, _ = part.hot_windows(flags)
+        n, m = len(entries), len(x)
+        contexts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(
+            (np.arange(n + 1, dtype=np.int32) * size).tobytes()), pa.py_buffer(raw)])
+
+        def column(doubt, hot, kind):
+            return pa.chunked_array([doubt if isinstance(doubt, pa.Array) else pa.array(doubt, kind),
+                                     pa.nulls(m, kind) if hot is None else pa.array(hot, kind)])
+
+        return pa.table({
+            "part": column(np.full(n, number), np.full(m, number), pa.int32()), "bucket": column(bucket, None, pa.int32()),
+            "number": column(entries, np.arange(m), pa.int32()), "anchor": column(anchor, None, pa.int64()),
+            "id": column(lows, least, pa.int64()), "context": column(contexts, None, pa.binary()),
+            "x": column(pa.nulls(n, pa.int64()), x.view(np.int64), pa.int64()),
+            "y": column(pa.nulls(n, pa.int64()), y.view(np.int64), pa.int64())})
     return run
 
 
@@ -361,7 +370,7 @@ def _decide(live, group, rows, ids, low, high, out) -> None:
 
 def _bits(table: pa.Table) -> pa.Table:
     """Step 3b, one bucket of contexts in doubt: a bit mask for each part's entries."""
-    part, entry, anchor, ids = (table[c].to_numpy() for c in ("part", "entry", "anchor", "id"))
+    part, entry, anchor, ids = (table[c].to_numpy() for c in ("part", "number", "anchor", "id"))
     rows = np.frombuffer(b"".join(table["context"].to_pylist()), np.uint8).reshape(len(part), -1)
     keys = [anchor] + [np.ascontiguousarray(rows[:, REACH + k:REACH + k + 8]).view("<u8").ravel() for k in range(0, GRAM, 8)]
     order = np.lexsort(keys)                            # the anchor's bytes decide, not its hash
@@ -379,25 +388,12 @@ def _bits(table: pa.Table) -> pa.Table:
                      for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(some)])])
 
 
-def _hot_rows(table: pa.Table, told: pa.Table) -> pa.Table:
-    """Windows over hot anchors of one part, one row for each distinct window."""
-    x = y = least = np.empty(0, np.int64)
-    number = 0
-    if table.num_rows:
-        part, number = _part_of(table), table["part"][0].as_py()
-        x, y, least, _, _, _ = part.hot_windows(_flags_of(part, told)[0])
-    return pa.table({"part": pa.array(np.full(len(x), number), pa.int32()), "number": pa.array(np.arange(len(x)), pa.int32()),
-                     "x": pa.array(x.view(np.int64), pa.int64()), "y": pa.array(y.view(np.int64), pa.int64()),
-                     "id": pa.array(least, pa.int64())})
-
-
 def repeated_spans(part: Part, told: pa.Table) -> np.ndarray:
     """For each byte of the part's buffer, whether it goes."""
-    edge = np.zeros(len(part.buffer) + 1, np.int32)
+    edge = np.zeros(len(part.buffer) + 1, np.int64)
 
     def mark(a, b):
-        np.add.at(edge, a, 1)
-        np.add.at(edge, b, -1)
+        edge[:] += np.bincount(a, minlength=len(edge)) - np.bincount(b, minlength=len(edge))
 
     if len(part.places):
         flags, lows = _flags_of(part, told)
@@ -414,9 +410,9 @@ def repeated_spans(part: Part, told: pa.Table) -> np.ndarray:
         entry, value, _ = _told(told, "bits")
         bits[entry] = value
         some = np.flatnonzero(known & (lows[part.entry] == part.doc) & (bits[part.entry] != 0))
-        for o in range(REACH + 1):
-            k = some[(bits[part.entry[some]] >> o) & 1 == 1]
-            mark(part.places[k] - o, part.places[k] - o + WINDOW)
+        place, mask = part.places[some], bits[part.entry[some]]
+        begins = np.concatenate([place[(mask >> o) & 1 == 1] - o for o in range(REACH + 1)])
+        mark(begins, begins + WINDOW)
         _, _, least, at, number, ids = part.hot_windows(flags)
         if len(at):
             entry, value, _ = _told(told, "hot")
@@ -472,9 +468,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         _entries(buckets), "bucket int, part int, first int, anchors binary, contexts binary, ids binary")
     told = written(spark, entries.repartition(n, "bucket").groupBy("bucket").applyInArrow(_compare, TOLD), "flags")
     with_told = lambda t: parts.groupBy("part").cogroup(t.groupBy("part"))
-    doubt = with_told(told).applyInArrow(_in_doubt(buckets), CONTEXT)
-    bits = written(spark, doubt.repartition(n, "bucket").groupBy("bucket").applyInArrow(_bits, TOLD), "bits")
-    hot = written(spark, with_told(told).applyInArrow(_hot_rows, "part int, number int, x long, y long, id long"), "hot")
+    cases = written(spark, with_told(told).applyInArrow(_open_cases(buckets), OPEN), "open")
+    bits = cases.where("context is not null").select("part", "bucket", "number", "anchor", "id", "context")
+    bits = written(spark, bits.repartition(n, "bucket").groupBy("bucket").applyInArrow(_bits, TOLD), "bits")
+    hot = cases.where("context is null").select("part", "number", "x", "y", "id")
     low = hot.groupBy("x", "y").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hot_told = hot.join(low, ["x", "y"]).where("low < id").groupBy("part").applyInArrow(_hot_told, TOLD)
     everything = told.unionByName(bits).unionByName(hot_told)
