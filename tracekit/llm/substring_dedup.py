@@ -96,6 +96,16 @@ def anchor_places(buffer: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     return places, np.concatenate(hashes)[keep]
 
 
+def _sorted(anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Order by 48-bit anchor, then context: one sort of a joint key where that decides."""
+    key = (anchor << _U(16)) | (context >> _U(48))
+    order = np.argsort(key)
+    k, c = key[order], context[order]
+    if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
+        return np.lexsort((context, anchor))
+    return order
+
+
 class Part:
     """The texts of one part in one padded buffer, with their anchors and distinct entries."""
 
@@ -118,7 +128,7 @@ class Part:
         anchor = _mixed(hashes, _U(0), 1) >> _U(16)
         context |= _U(1)                                # 0 marks a hot anchor
         # anchors with too many contexts here get one entry, context 0
-        order = np.lexsort((context, anchor))
+        order = _sorted(anchor, context)
         a, c = anchor[order], context[order]
         fresh = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))[:len(a)]
         group = np.cumsum(np.append(True, a[1:] != a[:-1])[:len(a)]) - 1
@@ -203,7 +213,7 @@ def _compare(table: pa.Table) -> pa.Table:
     context = np.concatenate([_unplanes(r[3], 8) for r in rows])
     least = np.concatenate([_unplanes(r[4], 8) for r in rows]).view(np.int64)
     bounds = np.cumsum([0] + [len(r[2]) // 6 for r in rows])
-    order = np.lexsort((context, anchor))
+    order = _sorted(anchor, context)
     a, c = anchor[order], context[order]
     new_anchor = np.append(True, a[1:] != a[:-1])
     new = new_anchor | np.append(True, c[1:] != c[:-1])
@@ -301,18 +311,18 @@ def equal_windows(group: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> np.nd
     out = np.zeros(n, np.int64)
     left = np.cumprod(rows[:, REACH - 1::-1] != PAD, axis=1).sum(axis=1)
     right = np.cumprod(rows[:, REACH + GRAM:] != PAD, axis=1).sum(axis=1)
-    padded = np.concatenate([rows, np.zeros((n, 8), np.uint8)], axis=1)
+    rows = np.ascontiguousarray(rows)
     low, high = np.full(n, REACH + 1), np.full(n, -1)
     for o in range(REACH + 1):                          # screening: windows whose hash occurs under another id
         some = np.flatnonzero((left >= o) & (right >= REACH - o))
         if not len(some):
             continue
-        h = group[some].astype(np.uint64)
+        h = group.astype(np.uint64)
         begin = REACH - o
         for k, off in enumerate([*range(0, WINDOW - 7, 8), WINDOW - 8]):
-            word = np.ascontiguousarray(padded[some, begin + off:begin + off + 8]).view("<u8").ravel()
-            h = _mixed(h, word, k)
-        order = np.argsort(h, kind="stable")
+            h = _mixed(h, np.ndarray((n,), "<u8", rows.data, begin + off, (rows.shape[1],)), k)
+        h = h[some]
+        order = np.argsort(h)
         x = h[order]
         new = np.append(True, x[1:] != x[:-1])
         first = np.flatnonzero(new)
@@ -388,38 +398,38 @@ def _bits(table: pa.Table) -> pa.Table:
                      for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(some)])])
 
 
-def repeated_spans(part: Part, told: pa.Table) -> np.ndarray:
-    """For each byte of the part's buffer, whether it goes."""
-    edge = np.zeros(len(part.buffer) + 1, np.int64)
-
-    def mark(a, b):
-        edge[:] += np.bincount(a, minlength=len(edge)) - np.bincount(b, minlength=len(edge))
-
-    if len(part.places):
-        flags, lows = _flags_of(part, told)
-        start = part.starts[np.searchsorted(part.starts, part.places, "right") - 1]
-        end = start + part.lengths[np.searchsorted(part.starts, part.places, "right") - 1]
-        flag = flags[part.entry]
-        # entries shared within this part count too, told or not
-        known = flag & HOT == 0
-        known &= part.context[part.entry] != 0
-        whole = np.flatnonzero(known & (lows[part.entry] < part.doc))
-        mark(np.maximum(part.places[whole] - REACH, start[whole]),
-             np.minimum(part.places[whole] + GRAM + REACH, end[whole]))
-        bits = np.zeros(len(part.anchor), np.int64)
-        entry, value, _ = _told(told, "bits")
-        bits[entry] = value
-        some = np.flatnonzero(known & (lows[part.entry] == part.doc) & (bits[part.entry] != 0))
-        place, mask = part.places[some], bits[part.entry[some]]
-        begins = np.concatenate([place[(mask >> o) & 1 == 1] - o for o in range(REACH + 1)])
-        mark(begins, begins + WINDOW)
-        _, _, least, at, number, ids = part.hot_windows(flags)
-        if len(at):
-            entry, value, _ = _told(told, "hot")
-            least[entry] = np.minimum(least[entry], value)
-            gone = at[least[number] < ids]
-            mark(gone, gone + WINDOW)
-    return np.cumsum(edge[:-1]) > 0
+def repeated_spans(part: Part, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends, in the part's buffer, of the maximal runs of bytes that go."""
+    if not len(part.places):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    flags, lows = _flags_of(part, told)
+    known = (flags[part.entry] & HOT == 0) & (part.context[part.entry] != 0)
+    # contexts that a smaller id has too, here or elsewhere: gone as a whole, up to the text's ends
+    whole = np.flatnonzero(known & (lows[part.entry] < part.doc))
+    text = np.searchsorted(part.starts, part.places[whole], "right") - 1
+    begins = [np.maximum(part.places[whole] - REACH, part.starts[text])]
+    ends = [np.minimum(part.places[whole] + GRAM + REACH, part.starts[text] + part.lengths[text])]
+    # contexts in doubt: the windows found
+    bits = np.zeros(len(part.anchor), np.int64)
+    entry, value, _ = _told(told, "bits")
+    bits[entry] = value
+    some = np.flatnonzero(known & (lows[part.entry] == part.doc) & (bits[part.entry] != 0))
+    place, mask = part.places[some], bits[part.entry[some]]
+    begins += [place[(mask >> o) & 1 == 1] - o for o in range(REACH + 1)]
+    # windows over hot anchors
+    _, _, least, at, number, ids = part.hot_windows(flags)
+    if len(at):
+        entry, value, _ = _told(told, "hot")
+        least[entry] = np.minimum(least[entry], value)
+        begins.append(at[least[number] < ids])
+    ends += [b + WINDOW for b in begins[1:]]
+    begin, end = np.concatenate(begins), np.concatenate(ends)
+    if not len(begin):
+        return begin, end
+    order = np.argsort(begin)
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.append(True, begin[1:] > end[:-1])
+    return begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
 def _result(id_type: pa.DataType):
@@ -428,17 +438,19 @@ def _result(id_type: pa.DataType):
             return pa.table({"doc_id": pa.array([], id_type), "n_bytes": pa.array([], pa.int64()),
                              "spans": pa.array([], SPANS), "kept": pa.array([], pa.binary())})
         part = _part_of(table)
-        gone = repeated_spans(part, told)
-        spans, kept = [], []
-        for s, n in zip(part.starts.tolist(), part.lengths.tolist()):
-            g = gone[s:s + n]
-            if not g.any():
-                spans.append([])
-                kept.append(part.buffer[s:s + n].tobytes())
-                continue
-            turn = np.flatnonzero(np.diff(np.concatenate([[0], g.astype(np.int8), [0]])))
-            spans.append([{"start": int(a), "end": int(b)} for a, b in turn.reshape(-1, 2)])
-            kept.append(part.buffer[s:s + n][~g].tobytes())
+        begin, end = repeated_spans(part, told)
+        text = np.searchsorted(part.starts, begin, "right") - 1
+        cuts: dict[int, list] = {}
+        for t, a, b in zip(text.tolist(), (begin - part.starts[text]).tolist(), (end - part.starts[text]).tolist()):
+            cuts.setdefault(t, []).append((a, b))
+        kept = []
+        for t, (s, n) in enumerate(zip(part.starts.tolist(), part.lengths.tolist())):
+            whole = part.buffer[s:s + n].tobytes()
+            if t in cuts:
+                edges = [0, *(x for c in cuts[t] for x in c), n]
+                whole = b"".join(whole[a:b] for a, b in zip(edges[::2], edges[1::2]))
+            kept.append(whole)
+        spans = [[{"start": a, "end": b} for a, b in cuts.get(t, ())] for t in range(len(kept))]
         return pa.table({"doc_id": table["doc_id"].combine_chunks(), "n_bytes": pa.array(part.lengths, pa.int64()),
                          "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary())})
     return run
