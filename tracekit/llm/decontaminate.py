@@ -16,17 +16,24 @@ from pyspark.sql import functions as F
 
 from tracekit.llm.common import id_text, row_count_at_most, written
 
-# Word rule after lower-casing A-Z, and its like on the text as it is.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# What separates words after lower-casing A-Z, and the words of a text as it is.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 BROADCAST_WINDOWS = 1_000_000      # 8-byte hashes
 BROADCAST_DOCUMENTS = 200_000      # keys with their few hit positions
 
 
+# One hash that stands for "this document", so that the scan also returns each one's word count.
+MARK = 0x2545F4914F6CDD1D
+
+
 def words(text: Column) -> Column:
-    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    """The normalised words. A pure ASCII text is lower-cased whole, which is the same there and cheaper."""
+    t = F.coalesce(text, F.lit(""))
+    low = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(
+        F.translate(t, string.ascii_uppercase, string.ascii_lowercase))
+    return F.filter(F.split(low, BETWEEN, -1), lambda w: w != "")
 
 
 def _let(value: Column, body) -> Column:
@@ -45,6 +52,10 @@ def _hashes(words_col: Column) -> Column:
     return F.transform(words_col, lambda w: F.xxhash64(w))
 
 
+def _scanned(size: int, w: Column) -> Column:
+    return F.struct(F.size(w).alias("n"), _let(_hashes(w), partial(_window_hashes, size)).alias("h"))
+
+
 def item_windows(spark: SparkSession, items: DataFrame, item_col: str = "item_id", text_col: str = "text",
                  window: int = WINDOW) -> DataFrame:
     """Written table ``hash, size, text, items``: the distinct windows of all items.
@@ -63,48 +74,49 @@ def item_windows(spark: SparkSession, items: DataFrame, item_col: str = "item_id
 
 
 def find_hits(spark: SparkSession, docs: DataFrame, windows: DataFrame, id_col: str = "doc_id",
-              text_col: str = "text") -> DataFrame:
-    """Verified occurrences, a row per document that has any: ``doc_id, _h, hits, items``.
+              text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(word counts, verified occurrences) of the distinct documents with a text.
 
-    ``_h`` is the hash of the text (with the id it names a document's content; repeated
-    rows share it), ``hits`` an array of (first word, number of words), ``items`` the sorted item ids.
+    Counts: ``doc_id, _h, n_words``. Occurrences, a row per document that has any: ``doc_id, _h,
+    hits, items``. ``_h`` is the hash of the text (with the id it names a document's content;
+    repeated rows share it), ``hits`` an array of (first word, number of words), ``items`` the
+    sorted item ids.
     """
-    d = id_text(docs, id_col, text_col).withColumn("_h", F.xxhash64("text"))
-    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most WINDOW of them
-    hashes = windows.select("hash", "size").distinct()
+    d = id_text(docs, id_col, text_col).withColumn("_h", F.xxhash64("text")).where("text is not null")
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most WINDOW of them
     small = row_count_at_most(windows, BROADCAST_WINDOWS)
-    if small:
-        hashes = F.broadcast(hashes)
-    if not sizes:
-        return spark.createDataFrame([], f"doc_id {d.schema['doc_id'].dataType.simpleString()}, _h long, "
-                                         "hits array<struct<at:int,size:int>>, items array<string>")
-    found = []
-    for size in sorted(sizes):
-        all_hashes = _let(_hashes(words(F.col("text"))), partial(_window_hashes, size))
-        rows = d.where(F.col("text").isNotNull()).select("doc_id", "_h", F.posexplode(all_hashes).alias("at", "hash"))
-        own = hashes.where(F.col("size") == size)
-        found.append(rows.join(own, "hash").select("doc_id", "_h", "at", F.lit(size).alias("size")))
-    every = found[0]
-    for more in found[1:]:
+    wanted = windows.select("hash", "size").distinct().unionByName(
+        spark.range(1).select(F.lit(MARK).cast("long").alias("hash"), F.lit(0).alias("size")))
+    scans = []
+    for k, size in enumerate(sizes or [WINDOW]):
+        own = d.select("doc_id", "_h", _let(words(F.col("text")), partial(_scanned, size)).alias("s"))
+        h = F.concat("s.h", F.array(F.lit(MARK).cast("long"))) if k == 0 else F.col("s.h")
+        rows = own.select("doc_id", "_h", F.col("s.n").alias("n"), h.alias("h")) \
+            .select("doc_id", "_h", "n", F.posexplode("h").alias("at", "hash"))
+        these = wanted.where(F.col("size").isin(size, 0))
+        scans.append(rows.join(F.broadcast(these) if small else these, "hash"))
+    every = scans[0]
+    for more in scans[1:]:
         every = every.unionByName(more)
-    raw = every.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("at", "size")).alias("raw"))
-    raw = written(spark, raw, "raw-hits").withColumnsRenamed({"doc_id": "r_id", "_h": "r_h"})
+    raw = written(spark, every.groupBy("doc_id", "_h").agg(
+        F.max("n").cast("long").alias("n_words"),
+        F.collect_set(F.when(F.col("size") > 0, F.struct("at", "size"))).alias("raw")), "raw-hits")
 
     # verification: the words themselves, read again for the documents with hits only
-    if row_count_at_most(raw, BROADCAST_DOCUMENTS):
-        raw = F.broadcast(raw)
-    texts = d.join(raw, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("_h") == F.col("r_h")))
+    some = raw.where(F.size("raw") > 0).select(F.col("doc_id").alias("r_id"), F.col("_h").alias("r_h"), "raw")
+    if row_count_at_most(some, BROADCAST_DOCUMENTS):
+        some = F.broadcast(some)
+    texts = d.join(some, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("_h") == F.col("r_h")))
     texts = texts.dropDuplicates(["doc_id", "_h"])
     cut = _let(words(F.col("text")), lambda w: F.transform("raw", lambda r: F.struct(
         r["at"].alias("at"), r["size"].alias("size"), F.array_join(F.slice(w, r["at"] + 1, r["size"]), " ").alias("window"))))
     pieces = texts.select("doc_id", "_h", F.explode(cut).alias("c")).select("doc_id", "_h", "c.*")
     known = windows.select("window", "size", "items")
-    if small:
-        known = F.broadcast(known)
-    sure = pieces.join(known, ["window", "size"])
-    return sure.groupBy("doc_id", "_h").agg(
+    sure = pieces.join(F.broadcast(known) if small else known, ["window", "size"])
+    hits = sure.groupBy("doc_id", "_h").agg(
         F.collect_set(F.struct("at", "size")).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return raw.select("doc_id", "_h", "n_words"), written(spark, hits, "hits")
 
 
 def _hit_words(hits: Column) -> Column:
@@ -120,15 +132,13 @@ def report(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str =
     Null text has no words. Repeated rows each get their row; null ids match themselves only.
     """
     windows = item_windows(spark, items, item_col, item_text_col)
-    hits = written(spark, find_hits(spark, docs, windows, id_col, text_col), "hits")
-    hits = hits.withColumnsRenamed({"doc_id": "h_id", "_h": "h_h"})
-    d = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("_h"),
-                                               F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    if row_count_at_most(hits, BROADCAST_DOCUMENTS):
-        hits = F.broadcast(hits)
-    out = d.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("_h") == F.col("h_h")), "left")
+    counts, hits = find_hits(spark, docs, windows, id_col, text_col)
+    on = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}._h") == F.col(f"{b}._h"))
+    known = counts.alias("c").join(hits.alias("h"), on("c", "h"), "left").select("c.*", "hits", "items")
+    d = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("_h"), F.col("text").isNull().alias("no"))
+    out = d.alias("d").join(known.alias("k"), on("d", "k") & ~F.col("no"), "left").select("d.doc_id", "n_words", "hits", "items")
     none = F.expr("cast(array() as array<int>)")
-    return out.select("doc_id", "n_words", F.coalesce(_hit_words(F.col("hits")), none).alias("hit_words"),
+    return out.select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce(_hit_words(F.col("hits")), none).alias("hit_words"),
                       F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
@@ -140,7 +150,7 @@ def remove(spark: SparkSession, docs: DataFrame, items: DataFrame, what: str = "
     together with what separates it from the word before.
     """
     windows = item_windows(spark, items, item_col, item_text_col)
-    hits = written(spark, find_hits(spark, docs, windows, id_col, text_col), "hits")
+    _, hits = find_hits(spark, docs, windows, id_col, text_col)
     hits = hits.select(F.col("doc_id").alias("_h_id"), F.col("_h").alias("_h_h"), F.col("hits").alias("_hits"))
     if row_count_at_most(hits, BROADCAST_DOCUMENTS):
         hits = F.broadcast(hits)
