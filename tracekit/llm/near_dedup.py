@@ -6,6 +6,9 @@ number, orders them. Equal shingle sets collapse to one class first. Classes tha
 share a band are candidates; each candidate pair that could still join two
 components is verified on the full sets.
 
+A shingle that one class alone holds is in no intersection. Its count bounds the similarity of a class
+with any other, exactly, before a pair is made; copies with many edits leave the buckets that way.
+
 Within a bucket the pairs are not all made. Each round verifies a few pivots
 against the members outside their component; pivots, once tested, leave the bucket, and a
 bucket whose members are all connected is done. The number of pivots doubles, so the
@@ -151,28 +154,43 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text
 
 
 def _sets_of(spark, docs, wanted, shingle, id_col, text_col) -> DataFrame:
-    """Written table ``cls, members`` (sorted 64-bit hashes as bytes) of the wanted classes' representatives."""
+    """Written table ``cls, num, members`` (sorted 64-bit hashes as bytes) of the wanted classes' representatives."""
     d = id_text(docs, id_col, text_col).withColumn("_h", F.xxhash64("text"))
-    w = wanted.select("cls", F.col("rep.id").alias("w_id"), F.col("rep.h").alias("w_h"))
+    w = wanted.select("cls", "num", F.col("rep.id").alias("w_id"), F.col("rep.h").alias("w_h"))
     if row_count_at_most(w, BROADCAST_DOCUMENTS):
         w = F.broadcast(w)
-    texts = d.join(w, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("_h") == F.col("w_h"))).select("cls", "text")
+    texts = d.join(w, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("_h") == F.col("w_h"))).select("cls", "num", "text")
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in part.column(1)],
-                                              pa.binary())], names=["cls", "members"])
+                    [part.column(0), part.column(1), pa.array(
+                        [shingle_set(t.as_py(), shingle).tobytes() for t in part.column(2)], pa.binary())],
+                    names=["cls", "num", "members"])
+
+    return written(spark, texts.mapInArrow(run, "cls binary, num long, members binary").dropDuplicates(["cls"]), "sets")
+
+
+def _alone(sets: DataFrame) -> DataFrame:
+    """``num, alone``: how many shingles of a class no other candidate class holds."""
+    def run(batches):
+        for b in batches:
+            for num, members in zip(b.column(0).to_pylist(), b.column(1)):
+                m = np.frombuffer(members.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), num), pa.int64()), pa.array(m, pa.int64())],
+                                                 names=["num", "s"])
 
-    return written(spark, texts.mapInArrow(run, "cls binary, members binary").dropDuplicates(["cls"]), "sets")
+    rows = sets.select("num", "members").mapInArrow(run, "num long, s long")
+    one = rows.groupBy("s").agg(F.min("num").alias("num"), F.max("num").alias("other")).where("num = other")
+    return one.groupBy("num").agg(F.count(F.lit(1)).alias("alone"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
-    with_b = pairs.join(sets.withColumnsRenamed({"cls": "b", "members": "b_set"}), "b")
-    with_both = with_b.join(sets.withColumnsRenamed({"cls": "a", "members": "a_set"}), "a")
+    with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("b_set")), "b")
+    with_both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("a_set")), "a")
 
     def run(batches):
         for batch in batches:
@@ -190,24 +208,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return with_both.select("a", "b", "a_set", "b_set").mapInArrow(run, "a binary, b binary")
 
 
+def _several(members: DataFrame, of: str) -> DataFrame:
+    """The keys with more than one value of ``of``."""
+    return members.groupBy("key").agg(F.min(of).alias("x"), F.max(of).alias("y")).where("x != y").select("key")
+
+
 def _links(spark: SparkSession, docs, classes, shingle, similar, id_col, text_col) -> DataFrame | None:
     """Written ``node, comp`` of the classes that have a link; None when no bucket has two classes."""
     members = classes.select("cls", "rep", "n", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x != y").select("key")
-    open_members = written(spark, members.join(shared, "key").withColumn("comp", F.col("cls")), "members")
+    open_members = written(spark, members.join(_several(members, "cls"), "key"), "members")
     if open_members.isEmpty():
         return None
-    wanted = open_members.groupBy("cls").agg(F.first("rep").alias("rep"))
+    wanted = written(spark, open_members.groupBy("cls").agg(F.first("rep").alias("rep")).withColumn(
+        "num", F.monotonically_increasing_id()), "wanted")
     sets = _sets_of(spark, docs, wanted, shingle, id_col, text_col)
-    tested = links = labels = None
+    # of n shingles, ``most`` can be in an intersection
+    bound = wanted.select("cls", "num").join(_alone(sets), "num", "left").select(
+        "cls", F.coalesce("alone", F.lit(0)).alias("alone"))
+    able = open_members.join(bound, "cls").withColumn("most", F.col("n") - F.col("alone")).drop("alone") \
+        .where(F.col("most") * 100 >= F.col("n") * similar).withColumn("comp", F.col("cls"))
+    able = written(spark, able, "able")
+    open_members = written(spark, able.join(_several(able, "cls"), "key"), "members")
+    tested = labels = None
     pivots = 1
     while not open_members.isEmpty():
         salt = F.pmod(F.xxhash64("cls"), F.lit(pivots))
         chosen = open_members.groupBy("key", salt.alias("salt")).agg(
-            F.min(F.struct("rep", "cls", "n", "comp")).alias("p")).select("key", "p")
+            F.min(F.struct("rep", "cls", "n", "most", "comp")).alias("p")).select("key", "p")
         met = open_members.join(chosen, "key").where(
             (F.col("p.comp") != F.col("comp"))
-            & (F.least("p.n", "n") * 100 >= F.greatest("p.n", "n") * similar))
+            & (F.least("p.most", "most") * (100 + similar) >= (F.col("p.n") + F.col("n")) * similar))
         pairs = met.select(F.least("p.cls", "cls").alias("a"), F.greatest("p.cls", "cls").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -222,9 +252,8 @@ def _links(spark: SparkSession, docs, classes, shingle, similar, id_col, text_co
             labels = components(spark, edges)
             rest = rest.drop("comp").join(labels.withColumnRenamed("node", "cls"), "cls", "left") \
                 .withColumn("comp", F.coalesce("comp", "cls"))
-        rest = rest.select("key", "cls", "rep", "n", "comp")
-        apart = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-        open_members = written(spark, rest.join(apart, "key"), "members")
+        rest = written(spark, rest.select("key", "cls", "rep", "n", "most", "comp"), "rest")
+        open_members = written(spark, rest.join(_several(rest, "comp"), "key"), "members")
         pivots *= 2
     return labels
 
