@@ -9,7 +9,7 @@ components is verified on the full sets.
 A shingle that one class alone holds is in no intersection. Its count bounds the similarity of a class
 with any other, exactly, before a pair is made; copies with many edits leave the buckets that way.
 
-Within a bucket the pairs are not all made. Each round verifies a few pivots
+Within a bucket the pairs are not all made. Buckets of several bands together come first. Each round verifies a few pivots
 against the members outside their component; pivots, once tested, leave the bucket, and a
 bucket whose members are all connected is done. The number of pivots doubles, so the
 number of rounds is logarithmic in the largest bucket and no link that banding finds is lost.
@@ -31,6 +31,9 @@ from tracekit.llm.components import components
 SHINGLE = 4
 SIMILAR = 80                 # per cent
 BANDS, ROWS = 24, 4          # a pair at 0.8 is missed with probability (1 - 0.8**4) ** 24, about 3e-6
+#: (bands joined to one key, rounds): joined bands are selective, so nearly all pairs in them are links, and they connect
+#: most of a large group first. Single bands, which lose no link, go on until nothing is open.
+PLAN = ((3, 1), (2, 2), (1, None))
 CACHED_WORDS = 400_000
 BLOCK = 1 << 15              # shingles hashed together, about what stays in a core's cache
 BROADCAST_DOCUMENTS = 200_000
@@ -215,49 +218,59 @@ def _several(members: DataFrame, of: str) -> DataFrame:
 
 def _links(spark: SparkSession, docs, classes, shingle, similar, id_col, text_col) -> DataFrame | None:
     """Written ``node, comp`` of the classes that have a link; None when no bucket has two classes."""
-    members = classes.select("cls", "rep", "n", F.explode("bands").alias("key"))
-    open_members = written(spark, members.join(_several(members, "cls"), "key"), "members")
-    if open_members.isEmpty():
+    keyed = classes.select("cls", F.explode("bands").alias("key"))
+    wanted = keyed.join(_several(keyed, "cls"), "key").select("cls").distinct()
+    wanted = written(spark, classes.join(wanted, "cls").withColumn("num", F.monotonically_increasing_id()), "wanted")
+    if wanted.isEmpty():
         return None
-    wanted = written(spark, open_members.groupBy("cls").agg(F.first("rep").alias("rep")).withColumn(
-        "num", F.monotonically_increasing_id()), "wanted")
     sets = _sets_of(spark, docs, wanted, shingle, id_col, text_col)
     # of n shingles, ``most`` can be in an intersection
-    bound = wanted.select("cls", "num").join(_alone(sets), "num", "left").select(
-        "cls", F.coalesce("alone", F.lit(0)).alias("alone"))
-    able = open_members.join(bound, "cls").withColumn("most", F.col("n") - F.col("alone")).drop("alone") \
-        .where(F.col("most") * 100 >= F.col("n") * similar).withColumn("comp", F.col("cls"))
+    able = wanted.join(_alone(sets), "num", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))) \
+        .where(F.col("most") * 100 >= F.col("n") * similar).select("cls", "rep", "n", "most", "bands")
     able = written(spark, able, "able")
-    open_members = written(spark, able.join(_several(able, "cls"), "key"), "members")
     tested = labels = None
-    pivots = 1
-    while not open_members.isEmpty():
-        salt = F.pmod(F.xxhash64("cls"), F.lit(pivots))
-        chosen = open_members.groupBy("key", salt.alias("salt")).agg(
-            F.min(F.struct("rep", "cls", "n", "most", "comp")).alias("p")).select("key", "p")
-        met = open_members.join(chosen, "key").where(
-            (F.col("p.comp") != F.col("comp"))
-            & (F.least("p.most", "most") * (100 + similar) >= (F.col("p.n") + F.col("n")) * similar))
-        pairs = met.select(F.least("p.cls", "cls").alias("a"), F.greatest("p.cls", "cls").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(spark, pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(spark, _verified(pairs, sets, similar), "links")
-        rest = open_members.join(chosen.select("key", F.col("p.cls").alias("cls")), ["key", "cls"], "left_anti")
-        if not found.isEmpty():
-            # components of the links so far: new links join the old labels
-            edges = found if labels is None else found.unionByName(
-                labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-            labels = components(spark, edges)
-            rest = rest.drop("comp").join(labels.withColumnRenamed("node", "cls"), "cls", "left") \
-                .withColumn("comp", F.coalesce("comp", "cls"))
-        rest = written(spark, rest.select("key", "cls", "rep", "n", "most", "comp"), "rest")
-        open_members = written(spark, rest.join(_several(rest, "comp"), "key"), "members")
-        pivots *= 2
+    for joined, rounds in PLAN:
+        keys = F.col("bands") if joined == 1 else F.transform(
+            F.sequence(F.lit(0), F.lit(BANDS - joined), F.lit(joined)),
+            lambda i: F.xxhash64(i, *[F.get("bands", i + k) for k in range(joined)]))
+        rows = able.select("cls", "rep", "n", "most", F.explode(keys).alias("key"))
+        open_members = _still_open(spark, rows, labels)
+        pivots = 1
+        while (rounds is None or rounds > 0) and not open_members.isEmpty():
+            salt = F.pmod(F.xxhash64("cls"), F.lit(pivots))
+            chosen = open_members.groupBy("key", salt.alias("salt")).agg(
+                F.min(F.struct("rep", "cls", "n", "most", "comp")).alias("p")).select("key", "p")
+            met = open_members.join(chosen, "key").where(
+                (F.col("p.comp") != F.col("comp"))
+                & (F.least("p.most", "most") * (100 + similar) >= (F.col("p.n") + F.col("n")) * similar))
+            pairs = met.select(F.least("p.cls", "cls").alias("a"), F.greatest("p.cls", "cls").alias("b")).distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = written(spark, pairs, "pairs")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            found = written(spark, _verified(pairs, sets, similar), "links")
+            if not found.isEmpty():  # new links join the old labels
+                edges = found if labels is None else found.unionByName(
+                    labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+                labels = components(spark, edges)
+            rest = open_members.join(chosen.select("key", F.col("p.cls").alias("cls")), ["key", "cls"], "left_anti")
+            open_members = _still_open(spark, rest.drop("comp"), labels)
+            pivots *= 2
+            rounds = None if rounds is None else rounds - 1
     return labels
 
 
+def _still_open(spark: SparkSession, members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Written members (with ``comp``) of the buckets that still hold several components."""
+    if labels is None:
+        m = members.withColumn("comp", F.col("cls"))
+    else:
+        m = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left") \
+            .withColumn("comp", F.coalesce("comp", "cls"))
+    m = m.select("key", "cls", "rep", "n", "most", "comp")
+    return written(spark, m.join(_several(m, "comp"), "key"), "members")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, _h, n_shingles, component_id, kept``.
