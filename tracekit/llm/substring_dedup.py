@@ -37,7 +37,7 @@ REACH = WINDOW - GRAM         # bytes of context on either side
 SUBPARTS = 4                  # parts a scan task's rows are split into
 BUCKETS = 4                   # anchor buckets per shuffle partition
 HOT_CONTEXTS = 64             # of one anchor in one part, before its windows are aggregated instead
-SYMBOLS = 120_000             # of one suffix array
+SYMBOLS = 10_000              # of one suffix array
 BLOCK = 1 << 19               # bytes hashed together
 PAD = 0xFF                    # never in UTF-8
 NO_ID = np.iinfo(np.int64).max
