@@ -11,7 +11,7 @@ with any other, exactly, before a pair is made; copies with many edits leave the
 
 Within a bucket the pairs are not all made. Buckets of several bands together come first. Each round verifies a few pivots
 against the members outside their component; pivots, once tested, leave the bucket, and a
-bucket whose members are all connected is done. The number of pivots doubles, so the
+bucket whose members are all connected is done. The number of pivots grows fourfold, so the
 number of rounds is logarithmic in the largest bucket and no link that banding finds is lost.
 """
 
@@ -30,7 +30,7 @@ from tracekit.llm.components import components
 
 SHINGLE = 4
 SIMILAR = 80                 # per cent
-BANDS, ROWS = 24, 4          # a pair at 0.8 is missed with probability (1 - 0.8**4) ** 24, about 3e-6
+BANDS, ROWS = 30, 5          # a pair at 0.8 is missed with probability (1 - 0.8**5) ** 30, about 7e-6
 #: (bands joined to one key, rounds): joined bands are selective, so nearly all pairs in them are links, and they connect
 #: most of a large group first. Single bands, which lose no link, go on until nothing is open.
 PLAN = ((3, 1), (2, 2), (1, None))
@@ -255,7 +255,7 @@ def _links(spark: SparkSession, docs, classes, shingle, similar, id_col, text_co
                 labels = components(spark, edges)
             rest = open_members.join(chosen.select("key", F.col("p.cls").alias("cls")), ["key", "cls"], "left_anti")
             open_members = _still_open(spark, rest.drop("comp"), labels)
-            pivots *= 2
+            pivots *= 4
             rounds = None if rounds is None else rounds - 1
     return labels
 
