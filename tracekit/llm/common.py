@@ -7,6 +7,7 @@ clash with an operator's output columns.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -62,6 +63,21 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that only a few rows at a time become Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def tidy() -> None:
+    """Give memory that a finished task no longer uses back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its own free memory
+        pass
+
+
 def map_texts(docs: DataFrame, schema: str, fn: Callable[[list], dict[str, list]],
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``fn(list of texts) -> columns`` batch by batch; the id passes through unchanged.
@@ -73,11 +89,12 @@ def map_texts(docs: DataFrame, schema: str, fn: Callable[[list], dict[str, list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cols = fn(batch.column(1).to_pylist())
+            for part in slices(batch):
+                cols = fn(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *(v if isinstance(v, pa.Array) else pa.array(v) for v in cols.values())],
+                    [part.column(0), *(v if isinstance(v, pa.Array) else pa.array(v) for v in cols.values())],
                     names=["doc_id", *cols])
+        tidy()
 
     return df.mapInArrow(run, f"doc_id {id_type}, {schema}")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracekit.llm.common import id_text, partitions, row_count_at_most, written
+from tracekit.llm.common import id_text, partitions, row_count_at_most, slices, tidy, written
 
 MIN_WORDS = 50
 BROADCAST_LINES = 200_000
@@ -157,7 +157,7 @@ def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> Da
     at, last = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b)):
             texts = []
             for text, drop in zip(batch.column(at), batch.column(last)):
                 text = text.as_py()
@@ -166,6 +166,7 @@ def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> Da
                     text = "\n".join(line for k, line in enumerate(text.split("\n")) if k not in out)
                 texts.append(text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        tidy()
 
     return joined.mapInArrow(run, joined.schema)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracekit.llm.common import id_text, row_count_at_most, written
+from tracekit.llm.common import id_text, row_count_at_most, tidy, written
 from tracekit.llm.components import components
 
 SHINGLE = 4
@@ -34,7 +34,7 @@ BANDS, ROWS = 30, 5          # a pair at 0.8 is missed with probability (1 - 0.8
 #: (bands joined to one key, rounds): joined bands are selective, so nearly all pairs in them are links, and they connect
 #: most of a large group first. Single bands, which lose no link, go on until nothing is open.
 PLAN = ((3, 1), (2, 2), (1, None))
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 BLOCK = 1 << 15              # shingles hashed together, about what stays in a core's cache
 BROADCAST_DOCUMENTS = 200_000
 
@@ -152,6 +152,7 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text
                               pa.binary()),
                      pa.array(bands, pa.list_(pa.int64()))],
                     names=["doc_id", "_h", "n_shingles", "cls", "bands"])
+        tidy()
 
     return d.mapInArrow(run, f"doc_id {id_type}, _h long, n_shingles long, cls binary, bands array<long>")
 
@@ -172,6 +173,7 @@ def _sets_of(spark, docs, wanted, shingle, id_col, text_col) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(
                         [shingle_set(t.as_py(), shingle).tobytes() for t in part.column(2)], pa.binary())],
                     names=["cls", "num", "members"])
+        tidy()
 
     return written(spark, texts.mapInArrow(run, "cls binary, num long, members binary").dropDuplicates(["cls"]), "sets")
 
@@ -184,6 +186,7 @@ def _alone(sets: DataFrame) -> DataFrame:
                 m = np.frombuffer(members.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), num), pa.int64()), pa.array(m, pa.int64())],
                                                  names=["num", "s"])
+        tidy()
 
     rows = sets.select("num", "members").mapInArrow(run, "num long, s long")
     one = rows.groupBy("s").agg(F.min("num").alias("num"), F.max("num").alias("other")).where("num = other")
@@ -207,6 +210,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
                 common = int((q[at] == p).sum())
                 keep.append(100 * common >= similar * (len(p) + len(q) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     return with_both.select("a", "b", "a_set", "b_set").mapInArrow(run, "a binary, b binary")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracekit.llm.common import row_count_at_most, ship, written
+from tracekit.llm.common import row_count_at_most, ship, slices, tidy, written
 
 # Word rule and symbol set.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,9 +79,10 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
                            T.StructField("_m", T.StructType([T.StructField(n, T.LongType()) for n, _ in fields]))])
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             rows = [dict(zip((n for n, _ in fields), measure(t))) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], names=[*b.schema.names, "_m"])
+        tidy()
 
     return docs.mapInArrow(run, schema)
 
