@@ -41,3 +41,17 @@ def test_file_stream_restart_is_exactly_once(spark):
         run_file_stream(spark, src, data.schema, lambda s: s.where("v < 5"), sink, ck)
     out = spark.read.parquet(sink)
     assert out.count() == data.where("v < 5").count()
+
+
+def test_append_new_raises_on_unreadable_dataset(spark, tmp_path):
+    import pytest
+
+    from tracekit.sources.records import append_new
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        append_new(spark.range(3), str(tmp_path / "data"), ["id"])
+    assert [f.name for f in (tmp_path / "data").iterdir()] == ["part-0.parquet"]
+    append_new(spark.range(3), str(tmp_path / "new"), ["id"])
+    append_new(spark.range(5), str(tmp_path / "new"), ["id"])
+    assert spark.read.parquet(str(tmp_path / "new")).count() == 5

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,8 +36,9 @@ def append_new(batch: DataFrame, path: str, key: list[str], fmt: str = "parquet"
     try:
         done = spark.read.format(fmt).load(path).select(*key)
         batch = batch.join(done, key, "left_anti")
-    except Exception:  # first batch: nothing written yet
-        pass
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # only a first batch finds nothing; any other failure is the caller's
+            raise
     batch.write.mode("append").format(fmt).save(path)
 
 
