@@ -39,8 +39,8 @@ def test_quota_cut_whole_batches(spark):
 
 
 def test_strided_and_prefix(spark):
-    o = P.ordinal(spark.range(25), ["id"])
-    got = sorted(r.id for r in P.strided_sample(o, P.row_count(o), 10).collect())
+    o = P.ordinal(spark.range(25), ["id"], total_col="n")
+    got = sorted(r.id for r in P.strided_sample(o, F.col("n"), 10).collect())
     assert got == list(range(0, 20, 2))
     o7 = P.ordinal(spark.range(7), ["id"])
     n = P.row_count(o7)
@@ -58,3 +58,29 @@ def test_number_within_hot_and_small_groups(spark):
     assert a.join(b, "id").where("step <> s2 OR run <> r2 OR n_steps <> n2").count() == 0
     c = P.number_within(df, ["g"], ["id"])
     assert c.join(b, "id").where("step <> s2 OR n_steps <> n2").count() == 0
+
+
+def test_ordinal_many_ranges_and_tasks(spark):
+    # far more ranges than rows in most tasks, and rows dealt over 48 tasks
+    df = spark.range(0, 6000, 1, 48).select((F.col("id") * 7919 % 6000).alias("k"), "id")
+    got = P.ordinal(df, ["k"], total_col="n", num_partitions=1024)
+    assert got.where("pos <> k + 1 OR n <> 6000").count() == 0 and got.count() == 6000
+
+
+def test_prefix_sums_with_nulls(spark):
+    df = spark.range(0, 500).select("id", F.when(F.col("id") % 10 != 0, F.col("id")).alias("v"))
+    got = {r.id: (r.v_cum, r.pos) for r in P.prefix_sums(df, ["id"], ["v"], pos_col="pos").collect()}
+    total = 0
+    for i in range(500):
+        total += i if i % 10 else 0
+        assert got[i] == (total, i + 1)
+
+
+def test_first_part(spark):
+    df = spark.range(0, 100).select((F.col("id") % 7).alias("g"), "id", F.lit("wide").alias("text"))
+    want = sorted((i % 7, i) for i in range(100))
+    got = P.first_part(df, ["g", "id"], P.share(1, 3))
+    assert sorted((r.g, r.id) for r in got.collect()) == want[:33] and got.columns == df.columns
+    assert P.first_part(df, ["g", "id"], lambda n: F.lit(1000)).count() == 100
+    assert P.first_part(df, ["g", "id"], lambda n: F.lit(0)).count() == 0
+    assert P.first_part(df.where("id < 0"), ["g", "id"], P.share(1, 1)).count() == 0

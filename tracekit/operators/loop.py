@@ -40,7 +40,7 @@ def resolve_attempts(verdicts: DataFrame) -> DataFrame:
     w = (Window.partitionBy("problem_id", "step_number").orderBy("attempt")
          .rowsBetween(Window.unboundedPreceding, -1))
     prior_ok = F.coalesce(F.sum(F.col("is_correct").cast("int")).over(w), F.lit(0))
-    kept = verdicts.withColumn("_prior_ok", prior_ok).where(F.col("_prior_ok") == 0)
+    kept = verdicts.where(F.col("attempt") <= MAX_ATTEMPTS).withColumn("_prior_ok", prior_ok).where(F.col("_prior_ok") == 0)
     return kept.groupBy("problem_id", "step_number").agg(
         F.max("attempt").alias("chosen_attempt"),
         F.count(F.lit(1)).cast("bigint").alias("total_attempts"),
@@ -53,13 +53,15 @@ def resolve_attempts(verdicts: DataFrame) -> DataFrame:
 def timeout_cut(resolved: DataFrame, limit_s: float = TIMEOUT_S) -> DataFrame:
     """A step runs only if the time spent before it is within the limit; later steps drop.
 
-    Adds ``elapsed_before`` and ``kept``; the running sum is the skew-safe per-problem sum.
+    Adds ``elapsed_before`` and ``kept``; the running sum is the skew-safe per-problem sum over the
+    narrow columns, joined back by step. ``resolved`` is read twice: give a written table.
     """
-    seq = number_within(resolved, ["problem_id"], ["step_number"], value_col="step_seconds",
-                        step_col="_pos", count_col="n_steps", run_col="_elapsed_incl")
-    return (seq.withColumn("elapsed_before", F.col("_elapsed_incl") - F.col("step_seconds"))
+    key = ["problem_id", "step_number"]
+    seq = number_within(resolved.select(*key, "step_seconds"), ["problem_id"], ["step_number"], value_col="step_seconds",
+                        step_col="_pos", count_col="n_steps", run_col="_elapsed_incl").drop("_pos", "step_seconds")
+    return (resolved.join(seq, key).withColumn("elapsed_before", F.col("_elapsed_incl") - F.col("step_seconds"))
             .withColumn("kept", F.col("elapsed_before") <= F.lit(limit_s))
-            .drop("_pos", "_elapsed_incl"))
+            .drop("_elapsed_incl"))
 
 
 def solve_results(cut: DataFrame, limit_s: float = TIMEOUT_S) -> DataFrame:

@@ -4,35 +4,28 @@ The reference works on Python lists, so position is list order. Here every
 position derives from an explicit total order key and is computed without a
 single-partition window over the data:
 
-1. **Deterministic range buckets.** Bucket bounds are quantiles of a sample
-   chosen by a hash of the key (its size is bounded by ``SAMPLE_PER_BUCKET`` x
-   buckets, whatever the data size), and a row's bucket is a pure function of
-   its key: a balanced CASE tree of struct comparisons. Recomputing any task
-   (executor loss) yields the same bucket, so nothing has to be materialised.
-2. **Per-bucket totals** come from a partial aggregate before any shuffle
-   (one row per bucket); their running offsets are broadcast back, and their
-   size is bounded by the bucket count, not by the data.
-3. **In-bucket rank / running sum** is a JVM window partitioned by bucket
-   (one shuffle), so balanced quantile buckets split even a hot group.
+1. **Written ranges.** The rows are range-partitioned by the key with Spark's own sampled
+   ranges, sorted inside each partition and written once to the shared scratch folder, with
+   the partition number and the rank inside the partition as columns. A task that is run
+   again after an executor is lost reads these numbers; it never deals them anew.
+2. **Per-partition totals** are a partial aggregate of the written table (one row per
+   partition); their running offsets are broadcast back, and their size is bounded by
+   the partition count, not by the data.
+3. **Position** is offset plus rank: no window over the rows. Running sums add one window
+   partitioned by the range, so a hot group spreads over many ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracekit.functions.common import hash8
+from tracekit.session import scratch_path
 
-_PID = "_tk_pid"
-SAMPLE_PER_BUCKET = 64
-
-
-def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+_PID, _RANK = "_tk_pid", "_tk_rank"
+_IN_PARTITION = 33  # bits of the row number in monotonically_increasing_id()
 
 
 def _names(order: Sequence) -> list[str]:
@@ -44,120 +37,94 @@ def _names(order: Sequence) -> list[str]:
     return out
 
 
-def _sort_key(row):
-    return tuple((0,) if v is None else (1, v) for v in row)
+def _ranged(df: DataFrame, order: Sequence[str], num_partitions: int | None = None) -> DataFrame:
+    """``df`` written once in key order, with its range (``_PID``) and the 1-based rank in it (``_RANK``)."""
+    spark, cols = df.sparkSession, _names(order)
+    n = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    at = F.col("_tk_at")
+    placed = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+              .withColumn("_tk_at", F.monotonically_increasing_id())
+              .withColumn(_PID, F.shiftright(at, _IN_PARTITION).cast("int"))
+              .withColumn(_RANK, at.bitwiseAND(F.lit((1 << _IN_PARTITION) - 1)) + 1)
+              .drop("_tk_at"))
+    path = scratch_path(spark, "ranges")
+    placed.write.parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
 
 
-def range_bounds(df: DataFrame, order: Sequence[str], buckets: int) -> list[tuple]:
-    """Up to ``buckets - 1`` ascending bounds from a deterministic sample of the order key.
-
-    The sample is the ``buckets * SAMPLE_PER_BUCKET`` rows with the smallest key
-    hash (a top-K: per-task top-K, then a merge), so its size is bounded
-    whatever the data size and it needs no separate count.
-    """
-    cols = _names(order)
-    if buckets <= 1:
-        return []
-    k = buckets * SAMPLE_PER_BUCKET
-    h = F.xxhash64(*[F.col(c) for c in cols]).alias("_tk_h")
-    rows = df.select(*cols, h).orderBy("_tk_h").limit(k).collect()
-    sample = sorted((tuple(r)[:-1] for r in rows), key=_sort_key)
-    if not sample:
-        return []
-    bounds, last = [], None
-    for i in range(1, buckets):
-        b = sample[min(len(sample) - 1, (len(sample) * i) // buckets)]
-        if last is None or _sort_key(b) > _sort_key(last):
-            bounds.append(b)
-            last = b
-    return bounds
-
-
-def bucket_of(df: DataFrame, order: Sequence[str], bounds: list[tuple]) -> Column:
-    """Bucket index = number of bounds strictly below the key (balanced CASE tree)."""
-    cols = _names(order)
-    types = [df.schema[c].dataType for c in cols]
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
-    lits = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))])
-            for b in bounds]
+def _offsets(part_totals: DataFrame, value_cols: Sequence[str], total_col: str | None = None) -> DataFrame:
+    """Exclusive running totals over the per-range table (one row per range); ``total_col``: the grand total of the first."""
+    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    out = part_totals
+    if total_col:
+        out = out.withColumn(total_col, F.sum(value_cols[0]).over(Window.partitionBy(F.lit(1))))
+    for c in value_cols:
+        out = out.withColumn(f"_off_{c}", F.coalesce(F.sum(c).over(w), F.lit(0)))
+    return out.select(_PID, *[f"_off_{c}" for c in value_cols], *([total_col] if total_col else []))
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key > lits[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return tree(0, len(bounds))
+def ordinal(df: DataFrame, order: Sequence[str], pos_col: str = "pos", total_col: str | None = None,
+            num_partitions: int | None = None) -> DataFrame:
+    """1-based global position by a total order (``row_number()`` semantics).
 
+    ``total_col`` names a further column with the number of rows, taken from the same counts.
+    """
+    rows = _ranged(df, order, num_partitions)
+    counts = rows.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
+    return (rows.join(F.broadcast(_offsets(counts, ["_n"], total_col)), _PID)
+            .withColumn(pos_col, (F.col("_off__n") + F.col(_RANK)).cast("bigint"))
+            .drop(_PID, _RANK, "_off__n"))
 
-def _bucketed(df: DataFrame, order: Sequence[str], num_partitions: int | None,
-              materialize: bool = True) -> DataFrame:
-    """Tag rows with their range bucket. The input is read several times (count,
-    sample, totals, rows), so unless it is a cheap scan it is first cut with a
-    reliable ``checkpoint`` into the shared checkpoint folder."""
-    if materialize:
-        from tracekit.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    bounds = range_bounds(df, order, _num_parts(df, num_partitions))
-    return df.withColumn(_PID, bucket_of(df, order, bounds))
 
+def first_part(df: DataFrame, order: Sequence[str], size: Callable[[Column], Column]) -> DataFrame:
+    """The first ``size(n)`` of the n rows, by a total order without ties or nulls.
 
-def _offsets(part_totals: DataFrame, value_cols: Sequence[str]) -> DataFrame:
-    """Exclusive running totals over the per-bucket table (one row per bucket)."""
-    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    out = part_totals
-    for c in value_cols:
-        out = out.withColumn(f"_off_{c}", F.coalesce(F.sum(c).over(w), F.lit(0)))
-    return out.select(_PID, *[f"_off_{c}" for c in value_cols])
+    Only the key columns are written and numbered. The key of the last row taken (one row) cuts ``df``,
+    so wide columns are neither shuffled nor written for it.
+    """
+    cols = _names(order)
+    numbered = ordinal(df.select(*cols), cols, "_tk_pos", "_tk_n")
+    last = numbered.where(F.col("_tk_pos") == F.least(F.col("_tk_n"), size(F.col("_tk_n")))).select(*cols).first()
+    if last is None:
+        return df.where(F.lit(False))
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
+    cut = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(f"k{i}") for i, c in enumerate(cols)])
+    return df.where(key <= cut)
 
 
-def ordinal(df: DataFrame, order: Sequence[str], pos_col: str = "pos",
-            num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
-    """1-based global position by a total order (``row_number()`` semantics)."""
-    cols = _names(order)
-    tagged = _bucketed(df, cols, num_partitions, materialize)
-    counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _offsets(counts, ["_n"])
-    rank = F.row_number().over(Window.partitionBy(_PID).orderBy(*cols))
-    return (tagged.join(F.broadcast(offsets), _PID)
-            .withColumn(pos_col, (F.col("_off__n") + rank).cast("bigint"))
-            .drop(_PID, "_off__n"))
+def share(num: int, den: int) -> Callable[[Column], Column]:
+    """``floor(n * num / den)`` for ``first_part``."""
+    return lambda n: F.floor(n * F.lit(num) / F.lit(den))
 
 
 def prefix_sums(df: DataFrame, order: Sequence[str], value_cols: Sequence[str],
                 suffix: str = "_cum", pos_col: str | None = None,
-                num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
+                num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in global order (plus optional ordinal)."""
-    cols = _names(order)
     values = list(value_cols)
-    tagged = _bucketed(df, cols, num_partitions, materialize)
-    sums = values + (["_tk_one"] if pos_col else [])
-    if pos_col:
-        tagged = tagged.withColumn("_tk_one", F.lit(1).cast("bigint"))
-    totals = tagged.groupBy(_PID).agg(*[F.sum(c).alias(c) for c in sums])
-    offsets = _offsets(totals, sums)
-    w = Window.partitionBy(_PID).orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.join(F.broadcast(offsets), _PID)
+    rows = _ranged(df, order, num_partitions)
+    totals = rows.groupBy(_PID).agg(F.count(F.lit(1)).alias("_tk_n"), *[F.sum(c).alias(c) for c in values])
+    offsets = _offsets(totals, ["_tk_n", *values])
+    w = Window.partitionBy(_PID).orderBy(_RANK).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(offsets), _PID)
     for c in values:
         out = out.withColumn(f"{c}{suffix}", F.sum(F.coalesce(F.col(c), F.lit(0))).over(w) + F.col(f"_off_{c}"))
     if pos_col:
-        out = out.withColumn(pos_col, (F.row_number().over(Window.partitionBy(_PID).orderBy(*cols))
-                                       + F.col("_off__tk_one")).cast("bigint"))
-    return out.drop(_PID, *[f"_off_{c}" for c in sums], *(["_tk_one"] if pos_col else []))
+        out = out.withColumn(pos_col, (F.col(_RANK) + F.col("_off__tk_n")).cast("bigint"))
+    return out.drop(_PID, _RANK, "_off__tk_n", *[f"_off_{c}" for c in values])
 
 
 def number_within(df: DataFrame, group: Sequence[str], order: Sequence, value_col: str | None = None,
                   step_col: str = "step", count_col: str = "n_steps", run_col: str = "run",
-                  skew_safe: bool = True, materialize: bool = True) -> DataFrame:
+                  skew_safe: bool = True) -> DataFrame:
     """Per-group 1-based step number, group size and (optional) running sum.
 
-    ``skew_safe=True``: rows are range-bucketed on (group, order), so a hot group
-    spans many buckets. Inside a bucket a window partitioned by (bucket, group)
-    gives the in-bucket rank/sum/size (one shuffle). A group can only continue
-    across a bucket boundary, so the carries come from each bucket's first and
-    last group: two partial aggregates with one row per bucket, combined on the
-    driver (size bounded by the bucket count) and broadcast back.
+    ``skew_safe=True``: rows are written in ranges of (group, order), so a hot group
+    spans many ranges. Inside a range a window partitioned by (range, group)
+    gives the rank/sum/size there. A group can only continue
+    across a range boundary, so the carries come from each range's first and
+    last group: two partial aggregates with one row per range, combined on the
+    driver (size bounded by the number of ranges) and broadcast back.
     ``skew_safe=False`` is the plain window form for bounded groups.
     """
     group = list(group)
@@ -170,7 +137,7 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence, value_co
             out = out.withColumn(run_col, F.sum(value_col).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         return out
     spark = df.sparkSession
-    tagged = _bucketed(df, group + order, None, materialize)
+    tagged = _ranged(df, group + order)
     gkey = F.struct(*[F.col(g).alias(g) for g in group])
     ends = tagged.groupBy(_PID).agg(F.min(gkey).alias("_first"), F.max(gkey).alias("_last"))
     val = F.coalesce(F.col(value_col), F.lit(0)) if value_col else F.lit(0)
@@ -221,7 +188,7 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence, value_co
     gfields = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
     fixes = spark.createDataFrame(fix, f"{_PID} int, {gfields}, _c_cnt bigint, _c_sum {vtype}, _g_total bigint")
 
-    w = Window.partitionBy(_PID, *group).orderBy(*order)
+    w = Window.partitionBy(_PID, *group).orderBy(_RANK)
     out = (tagged.withColumn("_in_step", F.row_number().over(w))
            .withColumn("_in_cnt", F.count(F.lit(1)).over(Window.partitionBy(_PID, *group))))
     if value_col:
@@ -231,7 +198,7 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence, value_co
            .withColumn(count_col, F.coalesce("_g_total", "_in_cnt").cast("bigint")))
     if value_col:
         out = out.withColumn(run_col, F.col("_in_run") + F.coalesce("_c_sum", F.lit(0)))
-    return out.drop(_PID, "_in_step", "_in_cnt", "_in_run", "_c_cnt", "_c_sum", "_g_total")
+    return out.drop(_PID, _RANK, "_in_step", "_in_cnt", "_in_run", "_c_cnt", "_c_sum", "_g_total")
 
 
 # ----------------------------------------------------------------------------
@@ -272,16 +239,6 @@ def prefix_fraction(df_with_pos: DataFrame, n_total: Column, num: int, den: int,
     return df_with_pos.where(F.col(pos_col) <= F.floor(n_total * F.lit(num) / F.lit(den)))
 
 
-def hash_rank(seed: str, *keys) -> Column:
-    """H5/H6/H7: reproducible pseudo-random value per key (replaces unseeded random)."""
-    return hash8(seed, *keys)
-
-
 def row_count(df: DataFrame) -> Column:
     """The row count of ``df`` as a scalar-subquery Column (evaluated once, no join)."""
     return df.agg(F.count(F.lit(1)).cast("bigint")).scalar()
-
-
-def with_total(df: DataFrame, total_col: str = "n_total") -> DataFrame:
-    """Attach the row count as a column via a scalar subquery."""
-    return df.withColumn(total_col, row_count(df))

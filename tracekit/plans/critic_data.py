@@ -127,11 +127,11 @@ _VAR_SQL = f"""SELECT problem_id, k, draw, error_type,
 
 def variations(spark, sf):
     ex = critic_examples(spark, sf)
-    half = P.prefix_fraction(P.ordinal(ex, ["problem_id", "k"], pos_col="_o"), P.row_count(ex), 1, 2, pos_col="_o")
+    half = P.first_part(ex, ["problem_id", "k"], P.share(1, 2))
     half = half.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
     others = F.filter(F.array(*[F.lit(t) for t in ERROR_TYPES]), lambda x: x != F.col("error_type"))
     return half.withColumn("new_error_type",
-                           F.element_at(others, (hash8("var", "problem_id", "k", "draw") % 5 + 1).cast("int"))).drop("_o")
+                           F.element_at(others, (hash8("var", "problem_id", "k", "draw") % 5 + 1).cast("int")))
 
 
 @register("error_variations", with_fixtures(_VAR_SQL, *_FIX, extra=_CTES))
@@ -182,11 +182,13 @@ def sft_critic(spark, sf):
 
 
 @register("augment_errors", with_fixtures(
-    f"""SELECT source, error_type, count(*) AS n FROM (
-      SELECT source, error_type FROM cx UNION ALL SELECT '{VARIATION_SOURCE}', new_error_type FROM ({_VAR_SQL}))
-    GROUP BY source, error_type""", *_FIX, extra=_CTES))
+    f"""SELECT problem_id, k, 0 AS draw, source, error_type, question, step_description, correct_execution, flawed_execution, feedback FROM cx
+      UNION ALL SELECT v.problem_id, v.k, v.draw, '{VARIATION_SOURCE}', v.new_error_type, question, step_description, correct_execution,
+        flawed_execution, feedback FROM ({_VAR_SQL}) v JOIN cx USING (problem_id, k)""", *_FIX, extra=_CTES))
 def augment_errors(spark, sf):
     """Originals plus two new-error copies of each example of the first half."""
-    ex = critic_examples(spark, sf).select("source", "error_type")
-    v = variations(spark, sf).select(F.lit(VARIATION_SOURCE).alias("source"), F.col("new_error_type").alias("error_type"))
-    return ex.unionByName(v).groupBy("source", "error_type").agg(F.count(F.lit(1)).alias("n"))
+    ex = critic_examples(spark, sf).withColumn("draw", F.lit(0).cast("bigint"))
+    v = variations(spark, sf).withColumns({"source": F.lit(VARIATION_SOURCE), "error_type": F.col("new_error_type")})
+    return ex.unionByName(v.drop("new_error_type")).select(
+        "problem_id", "k", "draw", "source", "error_type", "question", "step_description", "correct_execution",
+        "flawed_execution", "feedback")

@@ -250,29 +250,25 @@ def sft_planner(spark, sf):
 
 
 @register("augment_plans", with_fixtures(
-    f"""SELECT source, count(*) AS n, CAST(sum(num_steps) AS BIGINT) AS steps FROM (
-      SELECT {S.q(PLAN_SOURCE)} AS source, ns AS num_steps FROM base
+    f"""SELECT * FROM ({_SFT_PLANNER_SQL})
       UNION ALL
-      SELECT {S.q(VARIATION_SOURCE)}, vs.ns FROM (SELECT * FROM base WHERE rn <= (SELECT count(*) FROM base) // 2) b
-        JOIN (SELECT problem_id, count(*) AS ns FROM vr GROUP BY problem_id HAVING count(*) >= 2) vs USING (problem_id)
-    ) GROUP BY source""",
-    "plans_fx", extra={
+      SELECT * REPLACE ({S.q(VARIATION_SOURCE)} AS source) FROM ({_SFT_PLANNER_SQL.replace("FROM pr ", "FROM vr ").replace("JOIN pr ", "JOIN vr ")})
+      WHERE problem_id IN (SELECT problem_id FROM base WHERE rn <= (SELECT count(*) FROM base) // 2)""",
+    "plans_fx", "problems_fx", extra={
         "pr": _PLAN_ROWS,
         "base": "SELECT problem_id, count(*) AS ns, row_number() OVER (ORDER BY problem_id) AS rn FROM pr GROUP BY problem_id HAVING count(*) >= 2",
         "vplans": "SELECT problem_id, replace(plan, 'Add line', 'Include line') AS plan FROM plans_fx",
         "vr": S.plan_steps("vplans", "problem_id", "plan")}))
 def augment_plans(spark, sf):
     """Originals plus one rephrased variation for each plan of the first half (>= 2 steps)."""
-    from tracekit.operators.positional import ordinal, row_count
+    from tracekit.operators.positional import first_part, share
     base = _plan_examples(spark, sf).where(F.size("steps") >= 2)
     base = base.withColumn("source", F.lit(PLAN_SOURCE))
-    ordered = ordinal(base, ["problem_id"])
-    first_half = ordered.where(F.col("pos") <= F.floor(row_count(base) / 2))
+    first_half = first_part(base, ["problem_id"], share(1, 2))
     variations = (first_half.withColumn("plan", F.regexp_replace("plan", "Add line", "Include line"))
                   .transform(lambda d: PT.with_plan_steps(d.drop("steps"), "plan", "steps")).where(F.size("steps") >= 2)
-                  .withColumn("source", F.lit(VARIATION_SOURCE)).drop("pos"))
-    allp = base.select("problem_id", "source", "steps").unionByName(variations.select("problem_id", "source", "steps"))
-    return allp.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("steps")).cast("bigint").alias("steps"))
+                  .withColumn("source", F.lit(VARIATION_SOURCE)))
+    return _sft_planner_rows(spark, sf, base.unionByName(variations.select(base.columns)))
 
 
 @register("plan_truncation", with_fixtures(

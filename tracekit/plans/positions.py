@@ -21,6 +21,7 @@ BATCH_SIZE = 50
 PLANNER_TARGET = 7500
 SAMPLE_SIZE = 10
 HEAD_N = 100
+PARTS = (("half", 1, 2), ("third", 1, 3), ("quarter", 1, 4), ("rate30", 3, 10))
 SPLIT_SEED = "split"
 
 _ACC = f"SELECT problem_id, question FROM problems_fx WHERE ({PROBLEM_OUTCOME}) = 'accepted'"
@@ -33,30 +34,31 @@ def _accepted(spark, sf):
 
 
 def _ranked(spark, sf):
-    acc = _accepted(spark, sf)
-    return P.ordinal(acc, ["problem_id"]).withColumn("n", P.row_count(acc))
+    acc = _accepted(spark, sf).select("problem_id")
+    return P.ordinal(acc, ["problem_id"], total_col="n")
 
 
 @register("ordinal", with_fixtures("SELECT problem_id, pos FROM r", "problems_fx", extra={"acc": _ACC, "r": _RANK}))
 def ordinal(spark, sf):
     """1-based position of every accepted problem by problem_id."""
-    return P.ordinal(_accepted(spark, sf), ["problem_id"]).select("problem_id", "pos")
+    return P.ordinal(_accepted(spark, sf).select("problem_id"), ["problem_id"]).select("problem_id", "pos")
 
 
 @register("batches", with_fixtures(f"SELECT problem_id, CAST(floor((pos - 1) / {BATCH_SIZE}) AS BIGINT) AS batch FROM r",
                                    "problems_fx", extra={"acc": _ACC, "r": _RANK}))
 def batches(spark, sf):
     """Batch index of 50 problems."""
-    return P.batches(P.ordinal(_accepted(spark, sf), ["problem_id"]), BATCH_SIZE).select("problem_id", "batch")
+    return P.batches(P.ordinal(_accepted(spark, sf).select("problem_id"), ["problem_id"]), BATCH_SIZE).select("problem_id", "batch")
 
 
 _QUOTA_SQL = with_fixtures(f"""
-SELECT batch, n, CAST(coalesce(sum(n) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
-  coalesce(sum(n) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {PLANNER_TARGET} AS kept
-FROM (SELECT CAST(floor((b.pos - 1) / {BATCH_SIZE}) AS BIGINT) AS batch, count(*) AS n
-      FROM (SELECT problem_id, row_number() OVER (ORDER BY problem_id) AS pos FROM problems_fx) b
-      JOIN (SELECT problem_id FROM pr GROUP BY problem_id HAVING count(*) >= 2) g USING (problem_id)
-      GROUP BY 1)""", "problems_fx", "plans_fx", extra={"pr": _PLAN_ROWS})
+SELECT problem_id, batch FROM rows JOIN (
+  SELECT batch, coalesce(sum(n) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT batch, count(*) AS n FROM rows GROUP BY batch)) USING (batch)
+WHERE before < {PLANNER_TARGET}""", "problems_fx", "plans_fx", extra={"pr": _PLAN_ROWS, "rows": f"""
+SELECT b.problem_id, CAST(floor((b.pos - 1) / {BATCH_SIZE}) AS BIGINT) AS batch
+FROM (SELECT problem_id, row_number() OVER (ORDER BY problem_id) AS pos FROM problems_fx) b
+JOIN (SELECT problem_id FROM pr GROUP BY problem_id HAVING count(*) >= 2) g USING (problem_id)"""})
 
 
 @register("quota_cut", _QUOTA_SQL)
@@ -65,10 +67,7 @@ def quota_cut(spark, sf):
     kept while the rows of the earlier batches are below the planner target."""
     b = P.batches(P.ordinal(fx.problems_fx(spark, sf).select("problem_id"), ["problem_id"]), BATCH_SIZE)
     rows = _plan_examples(spark, sf).where(F.size("steps") >= 2).select("problem_id").join(b, "problem_id")
-    sizes = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
-    cum = P.prefix_sums(sizes, ["batch"], ["n"], suffix="_cum")
-    before = (F.col("n_cum") - F.col("n")).cast("bigint")
-    return cum.select("batch", "n", before.alias("before"), (before < PLANNER_TARGET).alias("kept"))
+    return P.quota_cut(rows, "batch", PLANNER_TARGET).select("problem_id", "batch")
 
 
 @register("head_n", with_fixtures(f"SELECT problem_id, question FROM problems_fx ORDER BY problem_id LIMIT {HEAD_N}", "problems_fx"))
@@ -96,15 +95,14 @@ def strided_sample(spark, sf):
 
 
 @register("prefix_fraction", with_fixtures(
-    """SELECT count(*) AS n, count(*) FILTER (WHERE pos <= n // 2) AS half, count(*) FILTER (WHERE pos <= n // 3) AS third,
-         count(*) FILTER (WHERE pos <= n // 4) AS quarter, count(*) FILTER (WHERE pos <= floor(n * 3 / 10)) AS rate30 FROM r""",
+    """SELECT v.part, r.problem_id, r.pos FROM r JOIN (VALUES ('half', 1, 2), ('third', 1, 3), ('quarter', 1, 4), ('rate30', 3, 10))
+         v(part, num, den) ON r.pos <= (r.n * v.num) // v.den""",
     "problems_fx", extra={"acc": _ACC, "r": _RANK}))
 def prefix_fraction(spark, sf):
-    """H4: sizes of the first n//2, n//3, n//4 and int(0.3 n) rows."""
+    """H4: the first n//2, n//3, n//4 and int(0.3 n) rows, each row once for every part it is in."""
     r = _ranked(spark, sf)
-    cnt = lambda num, den: F.count_if(F.col("pos") <= F.floor(F.col("n") * num / den))
-    return r.agg(F.count(F.lit(1)).alias("n"), cnt(1, 2).alias("half"), cnt(1, 3).alias("third"),
-                 cnt(1, 4).alias("quarter"), cnt(3, 10).alias("rate30"))
+    parts = F.array(*[F.when(F.col("pos") <= P.share(num, den)(F.col("n")), name) for name, num, den in PARTS])
+    return r.select(F.explode(F.array_compact(parts)).alias("part"), "problem_id", "pos")
 
 
 def _split_sql(order: str, cuts: str) -> str:
@@ -118,7 +116,7 @@ def _split_sql(order: str, cuts: str) -> str:
 def shuffle_split(spark, sf):
     """H7: seeded shuffle (hash order) then exact floor sizes 0.8 / 0.1 / rest."""
     acc = _accepted(spark, sf).withColumn("_h", hash8(SPLIT_SEED, "problem_id"))
-    r = P.ordinal(acc, ["_h", "problem_id"]).withColumn("n", P.row_count(acc))
+    r = P.ordinal(acc.select("problem_id", "_h"), ["_h", "problem_id"], total_col="n")
     tr = F.floor(F.col("n") * 0.8)
     va = tr + F.floor(F.col("n") * 0.1)
     return r.select("problem_id", F.when(F.col("pos") <= tr, "train").when(F.col("pos") <= va, "val")
@@ -138,7 +136,7 @@ def positional_split(spark, sf):
 def resume_anti(spark, sf):
     """On restart, skip problems already produced (here the first three batches)."""
     acc = _accepted(spark, sf)
-    done = P.ordinal(acc, ["problem_id"]).where(F.col("pos") <= 3 * BATCH_SIZE).select("problem_id")
+    done = P.first_part(acc.select("problem_id"), ["problem_id"], lambda n: F.lit(3 * BATCH_SIZE))
     return acc.join(done, "problem_id", "left_anti").select("problem_id")
 
 

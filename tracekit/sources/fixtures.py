@@ -27,6 +27,8 @@ SHORT_DOC_CHARS = 2000
 
 
 _MATERIALIZED: dict[tuple[str, str, str], str] = {}
+
+
 def materialized(spark: SparkSession, sf_dir: str, name: str, build, bucket_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a derived table once per session under the shared checkpoint folder, then read it.
 
@@ -44,8 +46,6 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build, bucket_by:
         table = f"tk_{name}_{abs(hash(key)) % 10**12}"
         if bucket_by:
             n = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-            # joins on a superset of the bucket key may reuse the bucketing
-            spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
             (df.write.mode("overwrite").bucketBy(n, *bucket_by).sortBy(*bucket_by)
              .option("path", path).saveAsTable(table))
         else:
@@ -54,6 +54,11 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build, bucket_by:
     return spark.table(table)
 
 
+def by_step(df: DataFrame, step: str = "step_number") -> DataFrame:
+    """``df`` dealt by problem and step, as the step tables lie: a join by step then never rests on the problem alone."""
+    return df.repartition("problem_id", step)
+
+
 def s(c) -> Column:
     """Integer column as text."""
     return (F.col(c) if isinstance(c, str) else c).cast("string")
@@ -70,7 +75,7 @@ def _build_steps_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D.3: one row per step (order line): problem_id, step_number, n_steps, prev, q, run."""
     numbered = number_within(order_lines(spark, sf_dir), ["problem_id"],
                              ["l_linenumber", "l_partkey", "l_suppkey", "q"], value_col="q",
-                             step_col="step_number", count_col="n_steps", run_col="run", materialize=False)
+                             step_col="step_number", count_col="n_steps", run_col="run")
     return numbered.select("problem_id", "step_number", "n_steps",
                            (F.col("run") - F.col("q")).alias("prev"), "q", "run")
 
@@ -158,8 +163,7 @@ def _build_request_log_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
     hour_key = (F.year("ts") * 1000000 + F.month("ts") * 10000 + F.dayofmonth("ts") * 100 + F.hour("ts"))
     ev = ev.withColumn("request_id", F.concat(s("user_id"), F.lit("-"), s(hour_key.cast("bigint"))))
-    numbered = number_within(ev, ["request_id"], ["ts", "event_id"], step_col="attempt", count_col="n_attempts",
-                             materialize=False)
+    numbered = number_within(ev, ["request_id"], ["ts", "event_id"], step_col="attempt", count_col="n_attempts")
     ok = F.col("event_type") != "error"
     err = F.element_at(F.array(*[F.lit(m) for m in ERROR_MESSAGES]), (F.col("event_id") % 4 + 1).cast("int"))
     module = F.element_at(F.array(*[F.lit(m) for m in MODULES]), (F.col("user_id") % 3 + 1).cast("int"))
@@ -189,10 +193,10 @@ def variants_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flags_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D.9: document-level error flags: actual = low quality, predicted = short text."""
-    d = read_table(spark, sf_dir, "documents", "doc_id", "n_chars")
+    d = read_table(spark, sf_dir, "documents", "doc_id", "source", "n_chars")
     lab = read_table(spark, sf_dir, "labels", "doc_id", "quality")
     return d.join(lab, "doc_id").select(
-        "doc_id", (F.col("quality") == 0).alias("actual"),
+        "doc_id", "source", (F.col("quality") == 0).alias("actual"),
         (F.col("n_chars") < SHORT_DOC_CHARS).alias("predicted"))
 
 
@@ -204,12 +208,12 @@ def _public(name, build, bucket_by=()):
     return get
 
 
-_STEP_KEY = ("problem_id", "step_number")
-steps_fx = _public("steps_fx", _build_steps_fx, _STEP_KEY)
+STEP_KEY = ("problem_id", "step_number")
+steps_fx = _public("steps_fx", _build_steps_fx, STEP_KEY)
 problems_fx = _public("problems_fx", _build_problems_fx, ("problem_id",))
 plans_fx = _public("plans_fx", _build_plans_fx, ("problem_id",))
 # attempt logs are bucketed by step: the attempt join, the per-step window and the
 # per-step aggregate of W2 all reuse it (a step holds at most max_attempts rows)
-attempts_fx = _public("attempts_fx", _build_attempts_fx, _STEP_KEY)
-critiques_fx = _public("critiques_fx", _build_critiques_fx, _STEP_KEY)
+attempts_fx = _public("attempts_fx", _build_attempts_fx, STEP_KEY)
+critiques_fx = _public("critiques_fx", _build_critiques_fx, STEP_KEY)
 request_log_fx = _public("request_log_fx", _build_request_log_fx, ("request_id", "attempt"))
