@@ -23,3 +23,26 @@ def test_no_cross_joins_or_python_udfs(spark):
         if hits:
             flagged[key] = hits
     assert flagged == {}
+
+
+STEP_JOINS = ("join_plan_steps", "confusion", "detection_scores", "runtime_prompts", "eval_report")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_step_joins_use_both_keys(spark):
+    """Without broadcasts, the side joined with a step table is dealt by problem and step, and the table is not dealt anew."""
+    import re
+
+    import __spark_entry__ as entry
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for key in STEP_JOINS:
+            plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert re.search(r"hashpartitioning\(problem_id#\d+L, (pos|step_number)#\d+L", plan), key
+            assert "disabled by query planner" not in plan, key
+        from tracekit.operators import loop
+        from tracekit.plans import base
+        plan = loop.resolve_attempts(base.verdicts(spark, SF))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

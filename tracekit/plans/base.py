@@ -30,15 +30,17 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resolved(spark: SparkSession, sf: str) -> DataFrame:
-    return loop.resolve_attempts(verdicts(spark, sf))
+    """W2 rows, written once per session and bucketed by step."""
+    return fx.materialized(spark, sf, "resolved", lambda: loop.resolve_attempts(verdicts(spark, sf)), fx.STEP_KEY)
 
 
 def cut(spark: SparkSession, sf: str) -> DataFrame:
-    return loop.timeout_cut(resolved(spark, sf))
+    return fx.materialized(spark, sf, "cut", lambda: loop.timeout_cut(resolved(spark, sf)), fx.STEP_KEY)
 
 
 def solved(spark: SparkSession, sf: str) -> DataFrame:
-    return loop.solve_results(cut(spark, sf))
+    """W3 rows, written once per session and bucketed by problem."""
+    return fx.materialized(spark, sf, "solved", lambda: loop.solve_results(cut(spark, sf)), ("problem_id",))
 
 
 def first_executions(spark: SparkSession, sf: str) -> DataFrame:

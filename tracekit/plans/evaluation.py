@@ -15,7 +15,7 @@ from tracekit.functions import plan_text as PT
 from tracekit.functions import text as TX
 from tracekit.functions.common import r6, safe_ratio
 from tracekit.operators import gates, loop
-from tracekit.operators.positional import ordinal, prefix_fraction, row_count
+from tracekit.operators.positional import first_part, share
 from tracekit.plans import base
 from tracekit.plans import sqlfn as S
 from tracekit.plans.curation import _PLAN_ROWS, _SCORED_CTES, _scored
@@ -61,7 +61,7 @@ def exec_candidates(spark, sf) -> DataFrame:
     att = base.first_executions(spark, sf).select("problem_id", F.col("step_number").alias("pos"), "execution")
     q = fx.problems_fx(spark, sf).select("problem_id", "question",
                                          TX.solution_text("answer").alias("reference_solution"))
-    j = ps.join(att, ["problem_id", "pos"]).join(q, "problem_id")
+    j = fx.by_step(ps, "pos").join(att, ["problem_id", "pos"]).join(q, "problem_id")
     piece = F.concat(F.lit("Step "), F.coalesce(F.col("step_number").cast("string"), F.lit("")), F.lit(": "),
                      F.col("execution"), F.lit("\n\n"))
     w = Window.partitionBy("problem_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -206,14 +206,9 @@ def sft_executor(spark, sf):
 
 
 # I2 / H9 / I4 -----------------------------------------------------------------
-def _first_fraction(df, num, den, order=("problem_id", "pos")):
-    o = ordinal(df, list(order), pos_col="_ord")
-    return prefix_fraction(o, row_count(df), num, den, pos_col="_ord").drop("_ord")
-
-
 def context_variations(spark, sf, fixed: bool = False):
     e = exec_examples(spark, sf).withColumn("source", F.lit("base")).withColumn("is_error", F.lit(False))
-    first = _first_fraction(e, 1, 3)
+    first = first_part(e, ["problem_id", "pos"], share(1, 3))
     v = first.where((F.col("context") != "") & (F.size(F.split("context", "\n\n")) > 1))
     v = v.withColumn("context", loop.recent_context(F.col("context"), fixed)).withColumn("source", F.lit(CONTEXT_VARIATION))
     return e.unionByName(v)
@@ -223,28 +218,22 @@ _RANKED = "SELECT *, row_number() OVER (ORDER BY problem_id, pos) AS rn, count(*
 
 
 @register("augment_context", with_fixtures(
-    f"""SELECT source, count(*) AS n, count(*) FILTER (WHERE context = '') AS empty_context FROM (
-      SELECT 'base' AS source, context FROM ex
+    f"""SELECT problem_id, pos, 'base' AS source, context, execution FROM ex
       UNION ALL
-      SELECT '{CONTEXT_VARIATION}', string_split(context, chr(10) || chr(10))[-1] FROM rk
-      WHERE rn <= n_all // 3 AND context <> '' AND len(string_split(context, chr(10) || chr(10))) > 1
-    ) GROUP BY source""", *_EX_FIX, extra={**_EX_CTES, "rk": _RANKED}))
+      SELECT problem_id, pos, '{CONTEXT_VARIATION}', string_split(context, chr(10) || chr(10))[-1], execution FROM rk
+      WHERE rn <= n_all // 3 AND context <> '' AND len(string_split(context, chr(10) || chr(10))) > 1""", *_EX_FIX, extra={**_EX_CTES, "rk": _RANKED}))
 def augment_context(spark, sf):
     """Originals plus recent-context copies of the first third (L14 parity: empty tail)."""
-    u = context_variations(spark, sf)
-    return u.groupBy("source").agg(F.count(F.lit(1)).alias("n"),
-                                   F.count(F.when(F.col("context") == "", 1)).alias("empty_context"))
+    return context_variations(spark, sf).select("problem_id", "pos", "source", "context", "execution")
 
 
 def error_examples(spark, sf):
     """H9: error versions for the first int(0.3 * m) of the first quarter (m = len // 4)."""
     e = exec_examples(spark, sf)
-    o = ordinal(e, ["problem_id", "pos"], pos_col="_ord")
-    m = F.floor(row_count(e) / 4)
-    chosen = o.where(F.col("_ord") <= F.floor(m * F.lit(3) / F.lit(10))).drop("_ord")
+    chosen = first_part(e, ["problem_id", "pos"], lambda n: share(3, 10)(share(1, 4)(n)))
     err = fx.attempts_fx(spark, sf).where(F.col("attempt") == 2).select(
         "problem_id", F.col("step_number").alias("pos"), F.col("execution").alias("error_execution"))
-    j = chosen.join(err, ["problem_id", "pos"])
+    j = fx.by_step(chosen, "pos").join(err, ["problem_id", "pos"])
     return j.select(*[c for c in e.columns if c != "execution"], F.col("error_execution").alias("execution"),
                     F.col("execution").alias("correct_execution"), F.lit(True).alias("is_error"),
                     F.lit("error_correction").alias("source"))
@@ -259,21 +248,21 @@ def subset_error_examples(spark, sf):
 
 
 @register("executor_mix", with_fixtures(
-    f"""SELECT source, is_error, has_context, count(*) AS n FROM (
-      SELECT 'base' AS source, false AS is_error, context <> '' AS has_context FROM ex
+    f"""SELECT problem_id, pos, {S.q(EXECUTOR_INSTRUCTION)} AS instruction, {_E2_INPUT} AS input, execution AS output,
+      CAST(step_number AS BIGINT) AS step_number, context <> '' AS has_context, source, is_error FROM (
+      SELECT problem_id, pos, question, step_number, step_description, context, execution, 'base' AS source, false AS is_error FROM ex
       UNION ALL
-      SELECT '{CONTEXT_VARIATION}', false, string_split(context, chr(10) || chr(10))[-1] <> '' FROM rk
+      SELECT problem_id, pos, question, step_number, step_description, string_split(context, chr(10) || chr(10))[-1], execution,
+        '{CONTEXT_VARIATION}', false FROM rk
       WHERE rn <= n_all // 3 AND context <> '' AND len(string_split(context, chr(10) || chr(10))) > 1
       UNION ALL
-      SELECT 'error_correction', true, r.context <> '' FROM rk r JOIN attempts_fx a
-        ON a.problem_id = r.problem_id AND a.step_number = r.pos AND a.attempt = 2
-      WHERE r.rn <= floor(floor(r.n_all / 4) * 3 / 10)
-    ) GROUP BY source, is_error, has_context""", *_EX_FIX, extra={**_EX_CTES, "rk": _RANKED}))
+      SELECT r.problem_id, r.pos, r.question, r.step_number, r.step_description, r.context, a.execution, 'error_correction', true
+      FROM rk r JOIN attempts_fx a ON a.problem_id = r.problem_id AND a.step_number = r.pos AND a.attempt = 2
+      WHERE r.rn <= floor(floor(r.n_all / 4) * 3 / 10))""", *_EX_FIX, extra={**_EX_CTES, "rk": _RANKED}))
 def executor_mix(spark, sf):
     """I4: context variations and error versions, formatted as one executor SFT set."""
     u = context_variations(spark, sf).unionByName(error_examples(spark, sf).drop("correct_execution"))
-    s = _sft_exec(u)
-    return s.groupBy("source", "is_error", "has_context").agg(F.count(F.lit(1)).alias("n"))
+    return _sft_exec(u)
 
 
 # ---------------------------------------------------------------------------
@@ -424,16 +413,16 @@ def _fb_sql():
     act = (f"(CAST(contains({l}, 'correct') OR contains({l}, 'fix') AS INTEGER) + CAST(contains({l}, 'should') AS INTEGER)"
            f" + CAST(regexp_matches({l}, '=|calculate') AS INTEGER) + CAST({S.word_count('critique')} > 15 AS INTEGER)) / 4.0")
     reason = f"CASE WHEN contains(critique, '.') THEN split_part(critique, '.', 1) || '.' ELSE {S.q(CR.FALLBACK_REASONING)} END"
-    return f"""SELECT problem_id, step_number, {S.contains_any(l, CR.FLAG_WORDS)} AS detected_error,
+    return f"""SELECT problem_id, step_number, attempt, {S.contains_any(l, CR.FLAG_WORDS)} AS detected_error,
         {spec} AS feedback_specificity, {act} AS feedback_actionability, {reason} AS reasoning
-      FROM critiques_fx WHERE attempt = 1"""
+      FROM critiques_fx"""
 
 
 _TEST_CTES = {
     **_EVAL_CTES,
     "fb": _fb_sql(),
     "tests": """SELECT es.problem_id, es.step_number, es.is_correct AS actually_correct, fb.detected_error,
-        fb.feedback_specificity, fb.feedback_actionability FROM es JOIN fb USING (problem_id, step_number)""",
+        fb.feedback_specificity, fb.feedback_actionability FROM es JOIN fb USING (problem_id, step_number) WHERE fb.attempt = 1""",
     "conf": """SELECT problem_id,
         count(*) FILTER (WHERE NOT actually_correct AND detected_error) AS tp,
         count(*) FILTER (WHERE actually_correct AND NOT detected_error) AS tn,
@@ -449,25 +438,26 @@ _TEST_FIX = _EVAL_FIX + ("critiques_fx",)
 
 
 def feedback_scores_df(spark, sf):
-    c = fx.critiques_fx(spark, sf).where(F.col("attempt") == 1)
-    return c.select("problem_id", "step_number", CR.error_flagged("critique").alias("detected_error"),
+    c = fx.critiques_fx(spark, sf)
+    return c.select("problem_id", "step_number", "attempt", CR.error_flagged("critique").alias("detected_error"),
                     CR.feedback_specificity("critique").alias("feedback_specificity"),
                     CR.feedback_actionability("critique").alias("feedback_actionability"),
                     CR.feedback_reasoning("critique").alias("reasoning"))
 
 
 @register("feedback_scores", with_fixtures(
-    """SELECT problem_id, step_number, detected_error, round(feedback_specificity, 6) AS feedback_specificity,
+    """SELECT problem_id, step_number, attempt, detected_error, round(feedback_specificity, 6) AS feedback_specificity,
        round(feedback_actionability, 6) AS feedback_actionability, reasoning FROM fb""", *_TEST_FIX, extra=_TEST_CTES))
 def feedback_scores(spark, sf):
+    """Scores of every logged critique."""
     f = feedback_scores_df(spark, sf)
-    return f.select("problem_id", "step_number", "detected_error", r6("feedback_specificity").alias("feedback_specificity"),
+    return f.select("problem_id", "step_number", "attempt", "detected_error", r6("feedback_specificity").alias("feedback_specificity"),
                     r6("feedback_actionability").alias("feedback_actionability"), "reasoning")
 
 
 def confusion_df(spark, sf):
-    t = eval_steps(spark, sf).select("problem_id", "step_number", F.col("is_correct").alias("actually_correct")).join(
-        feedback_scores_df(spark, sf), ["problem_id", "step_number"])
+    t = fx.by_step(eval_steps(spark, sf).select("problem_id", "step_number", F.col("is_correct").alias("actually_correct"))).join(
+        feedback_scores_df(spark, sf).where("attempt = 1"), ["problem_id", "step_number"])  # the evaluator tests one critique a step
     ac, de = F.col("actually_correct"), F.col("detected_error")
     return t.groupBy("problem_id").agg(
         F.count_if(~ac & de).alias("tp"), F.count_if(ac & ~de).alias("tn"),
@@ -491,6 +481,20 @@ def confusion(spark, sf):
     return confusion_df(spark, sf).select("problem_id", "tp", "tn", "fp", "fn")
 
 
+@register("corpus_confusion", with_fixtures("""SELECT source, tp, tn, fp, fn,
+    round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS sensitivity, round(coalesce(tn / nullif(tn + fp, 0), 0.0), 6) AS specificity
+  FROM (SELECT source, count(*) FILTER (WHERE actual AND predicted) AS tp, count(*) FILTER (WHERE NOT actual AND NOT predicted) AS tn,
+          count(*) FILTER (WHERE NOT actual AND predicted) AS fp, count(*) FILTER (WHERE actual AND NOT predicted) AS fn
+        FROM flags_fx GROUP BY source)""", "flags_fx"))
+def corpus_confusion(spark, sf):
+    """F6/F7 over the labelled documents: a short text is the prediction, low quality the truth, per source."""
+    a, p = F.col("actual"), F.col("predicted")
+    c = fx.flags_fx(spark, sf).groupBy("source").agg(F.count_if(a & p).alias("tp"), F.count_if(~a & ~p).alias("tn"),
+                                                     F.count_if(~a & p).alias("fp"), F.count_if(a & ~p).alias("fn"))
+    return c.select("*", r6(safe_ratio("tp", F.col("tp") + F.col("fn"))).alias("sensitivity"),
+                    r6(safe_ratio("tn", F.col("tn") + F.col("fp"))).alias("specificity"))
+
+
 @register("detection_scores", with_fixtures(
     """SELECT problem_id, round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity,
        round(precision, 6) AS precision, round(f1_score, 6) AS f1_score FROM det""", *_TEST_FIX, extra=_TEST_CTES))
@@ -540,7 +544,7 @@ def problem_metrics(spark, sf):
                                      F.col("n_steps").alias("num_plan_steps"),
                                      F.col("has_numbering").alias("plan_has_numbering"),
                                      F.col("is_sequential").alias("plan_is_sequential"))
-    t = eval_steps(spark, sf).join(feedback_scores_df(spark, sf), ["problem_id", "step_number"])
+    t = fx.by_step(eval_steps(spark, sf)).join(feedback_scores_df(spark, sf).where("attempt = 1"), ["problem_id", "step_number"])
     ac, de = F.col("is_correct"), F.col("detected_error")
     per = t.groupBy("problem_id").agg(
         F.avg(ac.cast("double")).alias("step_accuracy"), F.avg(ac.cast("double")).alias("calculation_accuracy"),

@@ -13,7 +13,7 @@ from tracekit.plans import base
 from tracekit.plans import sqlfn as S
 from tracekit.plans.curation import ACCEPTED_SQL, PROBLEM_OUTCOME, _PLAN_ROWS, _SFT_PLANNER_SQL, sft_planner
 from tracekit.plans.critic_data import _CTES as _CX_CTES, sft_critic
-from tracekit.plans.evaluation import _EX_CTES, _EX_FIX, sft_executor
+from tracekit.plans.evaluation import _E2_INPUT, _EX_CTES, _EX_FIX, EXECUTOR_INSTRUCTION, sft_executor
 from tracekit.plans.refinement import _OUTCOME_SQL, _outcomes
 from tracekit.plans.registry import register
 from tracekit.plans.sql_chain import TRUTH, chain_sql
@@ -21,6 +21,8 @@ from tracekit.plans.sql_fixtures import H, with_fixtures
 from tracekit.sources import fixtures as fx
 
 # Fixed values of the reference's trainer configuration
+EXECUTOR_SYSTEM = ("You are a precise mathematical executor. Execute each step with detailed calculations and clear "
+                   "reasoning.")
 PLANNER_SYSTEM = ("You are a strategic planner for mathematical problem solving. Generate a high-level, multi-step "
                   "strategic blueprint with 3-6 clear, sequential steps.")
 MAX_LENGTH = 2048
@@ -76,8 +78,8 @@ def _ids(words):
 
 @register("masked_sequence", with_fixtures(f"""
 SELECT key, CAST(len(ids) AS BIGINT) AS n_ids, CAST(least(pl, len(ids)) AS BIGINT) AS prompt_len,
-  CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS id_sum,
-  CAST(coalesce(list_sum(list_filter(ids, lambda x, i: i > pl)), 0) AS BIGINT) AS label_sum
+  array_to_string(ids, ' ') AS input_ids, array_to_string(list_transform(ids, lambda x, i: CASE WHEN i <= pl THEN -100 ELSE x END), ' ') AS labels,
+  array_to_string(list_transform(ids, lambda x: 1), ' ') AS attention_mask
 FROM (SELECT key, least(len(pw), {MAX_LENGTH}) AS pl,
         list_transform(fw[1:{MAX_LENGTH}], lambda w: ({H('tok', 'w')}) % {VOCAB}) AS ids
       FROM (SELECT key, list_filter(regexp_split_to_array(prompt, '\\s+'), lambda x: x <> '') AS pw,
@@ -85,32 +87,38 @@ FROM (SELECT key, least(len(pw), {MAX_LENGTH}) AS pl,
                                            "pairs_fx", *_SFTP_FIX, extra={**_SFTP, "pm": _PROMPTS_SQL}))
 def masked_sequence(spark, sf):
     """E5: token ids of prompt+response (whitespace words, hashed ids) truncated to max_length;
-    labels mask the prompt part with -100 (reported as sums)."""
+    labels mask the prompt part with -100. The arrays are returned as texts, split by blanks."""
     p = prompts(spark, sf)
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
     p = p.select("key", F.least(F.size(words(F.col("prompt"))), F.lit(MAX_LENGTH)).alias("pl"),
                  _ids(F.slice(words(F.concat("prompt", "response")), 1, MAX_LENGTH)).alias("ids"))
     labels = F.transform("ids", lambda x, i: F.when(i < F.col("pl"), F.lit(-100).cast("bigint")).otherwise(x))
-    p = p.withColumn("labels", labels)
-    total = lambda arr: F.aggregate(arr, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    text = lambda arr: F.array_join(F.transform(arr, lambda x: x.cast("string")), " ")
     return p.select("key", F.size("ids").cast("bigint").alias("n_ids"),
                     F.least(F.col("pl"), F.size("ids")).cast("bigint").alias("prompt_len"),
-                    total(F.col("ids")).alias("id_sum"),
-                    total(F.filter("labels", lambda x: x != -100)).alias("label_sum"))
+                    text(F.col("ids")).alias("input_ids"), text(labels).alias("labels"),
+                    text(F.transform("ids", lambda x: F.lit(1))).alias("attention_mask"))
 
 
 @register("chat_rows", with_fixtures(f"""
-SELECT problem_id, 1 AS idx, 'system' AS role, {S.q(PLANNER_SYSTEM)} AS content FROM sftp
-UNION ALL SELECT problem_id, 2, 'user', instruction || chr(10) || chr(10) || input FROM sftp
-UNION ALL SELECT problem_id, 3, 'assistant', output FROM sftp""", *_SFTP_FIX, extra=_SFTP))
+SELECT module, problem_id, pos, idx, role, CASE idx WHEN 1 THEN system WHEN 2 THEN instruction || chr(10) || chr(10) || before || input
+  ELSE output END AS content
+FROM (SELECT 'planner' AS module, problem_id, CAST(0 AS BIGINT) AS pos, {S.q(PLANNER_SYSTEM)} AS system, instruction, '' AS before, input, output FROM sftp
+      UNION ALL SELECT 'executor', problem_id, pos, {S.q(EXECUTOR_SYSTEM)}, {S.q(EXECUTOR_INSTRUCTION)}, 'Context: ', {_E2_INPUT}, execution FROM ex),
+  (VALUES (1, 'system'), (2, 'user'), (3, 'assistant')) m(idx, role)""", *_SFTP_FIX, "attempts_fx", extra={**_SFTP, **_EX_CTES}))
 def chat_rows(spark, sf):
-    """System / user / assistant messages of the planner trainer, one row per message."""
-    s = sft_planner(spark, sf)
-    msgs = F.array(F.struct(F.lit(1).alias("idx"), F.lit("system").alias("role"), F.lit(PLANNER_SYSTEM).alias("content")),
+    """System / user / assistant messages of the planner and the executor trainer, one row per message."""
+    cols = ["problem_id", "instruction", "input", "output"]
+    s = sft_planner(spark, sf).select(F.lit("planner").alias("module"), F.lit(0).cast("bigint").alias("pos"),
+                                      F.lit(PLANNER_SYSTEM).alias("system"), F.lit("").alias("before"), *cols)
+    s = s.unionByName(sft_executor(spark, sf).select(
+        F.lit("executor").alias("module"), "pos", F.lit(EXECUTOR_SYSTEM).alias("system"), F.lit("Context: ").alias("before"), *cols))
+    msgs = F.array(F.struct(F.lit(1).alias("idx"), F.lit("system").alias("role"), F.col("system").alias("content")),
                    F.struct(F.lit(2).alias("idx"), F.lit("user").alias("role"),
-                            F.concat("instruction", F.lit("\n\n"), "input").alias("content")),
+                            F.concat("instruction", F.lit("\n\n"), "before", "input").alias("content")),
                    F.struct(F.lit(3).alias("idx"), F.lit("assistant").alias("role"), F.col("output").alias("content")))
-    return s.select("problem_id", F.explode(msgs).alias("m")).select("problem_id", "m.idx", "m.role", "m.content")
+    return s.select("module", "problem_id", "pos", F.explode(msgs).alias("m")).select(
+        "module", "problem_id", "pos", "m.idx", "m.role", "m.content")
 
 
 @register("gate_sft", with_fixtures("""

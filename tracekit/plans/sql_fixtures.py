@@ -103,7 +103,7 @@ SELECT item_id AS prompt_id, text AS output_a,
   CASE WHEN {H('variant', 'item_id')} % 2 = 1 THEN text || ' (revised)' ELSE text END AS output_b
 FROM benchmark""", ()),
     "flags_fx": ("""
-SELECT d.doc_id, l.quality = 0 AS actual, d.n_chars < 2000 AS predicted
+SELECT d.doc_id, d.source, l.quality = 0 AS actual, d.n_chars < 2000 AS predicted
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""", ()),
 }
 

@@ -12,26 +12,25 @@ from tracekit.session import scratch_path
 from tracekit.sources import fixtures as fx
 from tracekit.streaming.incremental import run_file_stream, run_running_agg
 
-STREAM_FILES = 8
-
 
 @register("incremental_curation", with_fixtures("SELECT problem_id, instruction, input, output, source, num_steps FROM sftp",
                                                 "plans_fx", "problems_fx", extra={"pr": _PLAN_ROWS, "sftp": _SFT_PLANNER_SQL}))
 def incremental_curation(spark, sf):
     """Teacher plans arrive as files; a checkpointed stream parses, filters and formats them
-    into the planner SFT set; a second run (restart) adds nothing twice."""
+    into the planner SFT set; it is stopped midway and started again, which adds nothing twice."""
     from tracekit.functions import plan_text as PT
     src, sink, ck = scratch_path(spark, "j1-src"), scratch_path(spark, "j1-sink"), scratch_path(spark, "j1-ck")
     plans = fx.plans_fx(spark, sf)
-    plans.repartition(STREAM_FILES, "problem_id").write.parquet(src)
+    plans.write.parquet(src)
     questions = fx.problems_fx(spark, sf).select("problem_id", "question")
 
     def curate(stream):
         ex = PT.with_plan_steps(stream.join(questions, "problem_id"), "plan", "steps").where(F.size("steps") >= 2)
         return _sft_planner_rows(spark, sf, ex.withColumn("source", F.lit(PLAN_SOURCE)))
 
-    for _ in range(2):  # second run = restart from the checkpoint
-        run_file_stream(spark, src, plans.schema, curate, sink, ck)
+    # the first run is stopped after its first batch, one file; the second resumes from the checkpoint
+    run_file_stream(spark, src, plans.schema, curate, sink, ck, bytes_per_trigger=1, batches=1)
+    run_file_stream(spark, src, plans.schema, curate, sink, ck)
     return spark.read.parquet(sink)
 
 
@@ -42,12 +41,12 @@ def live_progress(spark, sf):
     """Request results arrive as files; running counts and success rate per module."""
     src, sink, ck = scratch_path(spark, "j2-src"), scratch_path(spark, "j2-sink"), scratch_path(spark, "j2-ck")
     log = fx.request_log_fx(spark, sf).select("request_id", "attempt", "module", "ok")
-    log.repartition(STREAM_FILES, "request_id").write.parquet(src)
+    log.write.parquet(src)
 
     def agg(stream):
         return stream.groupBy("module").agg(F.count(F.lit(1)).alias("results"), F.count_if("ok").alias("successes"),
                                             r6(F.avg(F.col("ok").cast("double"))).alias("success_rate"))
 
-    run_running_agg(spark, src, log.schema, agg, sink, ck, files_per_trigger=STREAM_FILES // 2,
+    run_running_agg(spark, src, log.schema, agg, sink, ck,
                     state_partitions=len(fx.MODULES))
     return spark.read.parquet(sink)

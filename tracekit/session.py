@@ -26,6 +26,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # windows and aggregates by step reuse the bucketing of the step tables; joins by step get both
+        # keys because their unbucketed side is dealt by both (sources.fixtures.by_step)
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -7,39 +7,44 @@ restarts at problem 0, L19). J2 keeps running counts per module.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+BYTES_PER_TRIGGER = 16 << 30
+
 
 def run_file_stream(spark: SparkSession, src: str, schema, transform: Callable[[DataFrame], DataFrame],
-                    sink: str, checkpoint: str, files_per_trigger: int = 1) -> None:
+                    sink: str, checkpoint: str, bytes_per_trigger: int = BYTES_PER_TRIGGER, batches: int | None = None) -> None:
     """Process every file now in ``src`` (``availableNow``), appending the transformed rows to a
-    Parquet sink with exactly-once file commits. Calling it again resumes from the checkpoint."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
+    Parquet sink with exactly-once file commits. Calling it again resumes from the checkpoint.
+    ``batches`` stops the run once so many micro-batches are done, wherever the stream then is."""
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(src)
     q = (transform(stream).writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink))
+    while batches is not None and q.isActive:
+        if (q.lastProgress or {}).get("batchId", -1) + 1 >= batches:
+            q.stop()
+        time.sleep(0.1)
     q.awaitTermination()
 
 
 def run_running_agg(spark: SparkSession, src: str, schema, aggregate: Callable[[DataFrame], DataFrame],
-                    sink: str, checkpoint: str, files_per_trigger: int = 1, state_partitions: int = 8) -> None:
+                    sink: str, checkpoint: str, bytes_per_trigger: int = BYTES_PER_TRIGGER, state_partitions: int = 8) -> None:
     """Running aggregate over a file stream in complete mode; every micro-batch replaces the
     small result table in ``sink`` (the aggregate state lives in the checkpoint).
 
     The state store has as many partitions as the shuffle had when the query first
     started (recorded in the checkpoint); a few-key aggregate gets a few partitions.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
+    own = spark.newSession()  # its shuffle setting is not seen by other queries
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    stream = own.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(src)
 
     def publish(batch: DataFrame, _batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(sink)
 
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    try:
-        q = (aggregate(stream).writeStream.outputMode("complete").foreachBatch(publish)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
+    q = (aggregate(stream).writeStream.outputMode("complete").foreachBatch(publish)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
