@@ -2,7 +2,7 @@
 
 Every step is a partial aggregate (the least neighbour of a node) and an equi-join
 back; edges are cut to a written table after each round, so lost executors
-cost one step. Nothing is collected but one count per round.
+cost one step. Nothing is collected: rounds end as soon as the edges are stars.
 """
 
 from __future__ import annotations
@@ -13,12 +13,19 @@ from pyspark.sql import functions as F
 from tracekit.llm.common import written
 
 
+def _at_rest(e: DataFrame) -> bool:
+    """Whether the edges are stars: no node with two smaller neighbours, or with smaller and bigger ones."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    n = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return n.where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
     """``node, comp`` for every node that has an edge; ``comp`` is the least node of its component."""
     e = written(spark, edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(),
                 name)
-    last = None
-    while True:
+    while not _at_rest(e):
         # large star: bigger neighbours of a node move to its least neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -28,10 +35,6 @@ def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b"
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = written(spark, small.where("u != v").distinct(), name)
-        mark = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == last:
-            break
-        last = mark
     # at rest every node points to its component's least node
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

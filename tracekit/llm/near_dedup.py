@@ -33,7 +33,7 @@ SIMILAR = 80                 # per cent
 BANDS, ROWS = 30, 5          # a pair at 0.8 is missed with probability (1 - 0.8**5) ** 30, about 7e-6
 #: (bands joined to one key, rounds): joined bands are selective, so nearly all pairs in them are links, and they connect
 #: most of a large group first. Single bands, which lose no link, go on until nothing is open.
-PLAN = ((3, 1), (2, 2), (1, None))
+PLAN = ((3, 1), (2, 1), (1, None))
 CACHED_WORDS = 100_000
 BLOCK = 1 << 15              # shingles hashed together, about what stays in a core's cache
 BROADCAST_DOCUMENTS = 200_000
@@ -240,7 +240,7 @@ def _links(spark: SparkSession, docs, classes, shingle, similar, id_col, text_co
         rows = able.select("cls", "rep", "n", "most", F.explode(keys).alias("key"))
         open_members = _still_open(spark, rows, labels)
         pivots = 1
-        while (rounds is None or rounds > 0) and not open_members.isEmpty():
+        while not open_members.isEmpty():
             salt = F.pmod(F.xxhash64("cls"), F.lit(pivots))
             chosen = open_members.groupBy("key", salt.alias("salt")).agg(
                 F.min(F.struct("rep", "cls", "n", "most", "comp")).alias("p")).select("key", "p")
@@ -257,10 +257,12 @@ def _links(spark: SparkSession, docs, classes, shingle, similar, id_col, text_co
                 edges = found if labels is None else found.unionByName(
                     labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
                 labels = components(spark, edges)
+            rounds = None if rounds is None else rounds - 1
+            if rounds == 0:
+                break
             rest = open_members.join(chosen.select("key", F.col("p.cls").alias("cls")), ["key", "cls"], "left_anti")
             open_members = _still_open(spark, rest.drop("comp"), labels)
             pivots *= 4
-            rounds = None if rounds is None else rounds - 1
     return labels
 
 
