@@ -16,6 +16,11 @@ def one(spark, value, expr_fn, schema="t string"):
     return df.select(expr_fn(F.col(df.columns[0])).alias("r")).first()["r"]
 
 
+def parsed(spark, plan, mode="c5"):
+    df = PT.with_plan_steps(spark.createDataFrame([(plan,)], "plan string"), "plan", "steps", mode=mode)
+    return [(s["step_number"], s["description"]) for s in df.first()["steps"]]
+
+
 @pytest.mark.parametrize("answer,solution,final", [
     ("x #### $1,234", "x", 1234.0),
     ("a #### b #### 5", "a #### b", 5.0),
@@ -33,14 +38,48 @@ def test_reasoning_steps_fold(spark):
 
 
 def test_parse_plan_drops_unnumbered_tail(spark):
-    steps = one(spark, "1. Add the apples\n2. Subtract 3.5 from it\nthen stop", PT.parse_plan)
-    assert [(s["step_number"], s["description"]) for s in steps] == [(1, "Add the apples"), (2, "Subtract 3.5 from it")]
+    assert parsed(spark, "1. Add the apples\n2. Subtract 3.5 from it\nthen stop") == [(1, "Add the apples"), (2, "Subtract 3.5 from it")]
 
 
 def test_parse_plan_bullet_fallback(spark):
-    steps = one(spark, "- Count the red apples\n- Add the green apples", PT.parse_plan)
-    assert [(s["step_number"], s["description"]) for s in steps] == [(1, "Count the red apples"),
-                                                                     (2, "Add the green apples")]
+    plan = "- Count the red apples\n- Add the green apples"
+    assert parsed(spark, plan) == [(1, "Count the red apples"), (2, "Add the green apples")]
+    assert parsed(spark, plan, "strict") == []
+
+
+@pytest.mark.parametrize("plan,mode,expected", [
+    ("1) Add the apples\n2) Take it", "c5", [(1, "Add the apples"), (2, "Take it")]),
+    ("Step 1: Add the apples\nStep 2: Take them all", "c5", [(1, "Add the apples"), (2, "Take them all")]),
+    ("2. Add the apples\n1. Take them all", "c5", [(2, "Add the apples"), (1, "Take them all")]),
+    ("1. Go\n2. Take them all", "c5", [(2, "Take them all")]),       # five characters or fewer are dropped
+    ("1. Go\n2. Take them all", "runtime", [(1, "Go"), (2, "Take them all")]),
+    ("Plan:\nGo home\n- eat", "runtime", [(1, "Go home"), (2, "eat")]),
+    ("", "c5", []), ("", "runtime", []),
+])
+def test_plan_modes(spark, plan, mode, expected):
+    assert parsed(spark, plan, mode) == expected
+
+
+def test_plan_order_and_verbs(spark):
+    assert one(spark, "1. a\n3. b", PT.has_numbering) is True and one(spark, "1. a\n3. b", PT.is_sequential) is False
+    assert one(spark, "1. a\n2. b", PT.is_sequential) is True
+    assert one(spark, "Calculate it, then find and solve", lambda c: PT.clarity(c, F.lit(2))) == 1.0
+    assert one(spark, "Calculate it", lambda c: PT.clarity(c, F.lit(4))) == 0.25
+
+
+@pytest.mark.parametrize("shown", ["3 + 4 = 7", "9 - 2 = 7", "3 × 4 = 12", "12 ÷ 4 = 3"])
+def test_execution_triples(spark, shown):
+    got = one(spark, f"We get {shown} now", EX.parse_execution)
+    a, op, b, _, r = shown.split()
+    assert len(got["calculations"]) == 1, got
+    flags = {"+": "addition", "-": "subtraction", "×": "multiplication", "÷": "division"}
+    assert [k for k in flags.values() if got[k]] == [flags[op]]
+
+
+def test_context_used_needs_a_printed_float(spark):
+    df = spark.createDataFrame([("Step 1: 2.5 kg", "take 2.5 of it"), ("Step 1: 7 kg", "take 7 of it"), ("", "take 2.5")],
+                               "c string, e string")
+    assert [r[0] for r in df.select(EX.context_used("c", "e")).collect()] == [True, False, False]
 
 
 def test_eval_plan_steps_keeps_number_lines_inside(spark):

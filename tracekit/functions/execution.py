@@ -87,9 +87,8 @@ def step_correct(actual, truth, is_final) -> Column:
 def context_used(context, execution) -> Column:
     """Some number of the context, printed as Python prints a float, occurs in the execution.
 
-    A printed float always contains '.', so an execution without one cannot
-    match and the per-number formatting is skipped (exact, not a heuristic);
-    repeated context numbers are tested once.
+    Contract: context numbers are below 1e16. Such a float is printed with a '.', so an execution without
+    one cannot match and the per-number formatting is skipped; repeated context numbers are tested once.
     """
     nums = F.array_distinct(F.regexp_extract_all(col(context), F.lit(f"({SIGNED_NUM})"), 1))
     e = col(execution)

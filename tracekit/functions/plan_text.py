@@ -29,25 +29,6 @@ def _step(num: Column, desc: Column) -> Column:
     return F.struct(num.try_cast("int").alias("step_number"), desc.alias("description"))
 
 
-def _pattern_steps(plan: Column, pattern: str, min_len: int | None) -> Column:
-    nums = F.regexp_extract_all(plan, F.lit(pattern), 1)
-    texts = F.regexp_extract_all(plan, F.lit(pattern), 2)
-    steps = F.transform(F.arrays_zip(nums.alias("n"), texts.alias("t")),
-                        lambda z: _step(z["n"], F.regexp_replace(strip(z["t"]), "\n", " ")))
-    if min_len is not None:
-        steps = F.filter(steps, lambda x: F.length(x["description"]) > min_len)
-    return F.struct(F.size(nums).alias("matched"), steps.alias("steps"))
-
-
-def _numbered_steps(plan: Column, min_len: int | None) -> Column:
-    """Steps of the first numbered pattern that has any match (possibly empty after filtering)."""
-    empty = F.array().cast("array<struct<step_number:int,description:string>>")
-    p = [_pattern_steps(plan, pat, min_len) for pat in PLAN_PATTERNS]
-    out = F.when(p[0]["matched"] > 0, p[0]["steps"])
-    out = out.when(p[1]["matched"] > 0, p[1]["steps"]).when(p[2]["matched"] > 0, p[2]["steps"])
-    return out.otherwise(empty)
-
-
 def _clean_line(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"^\d+[\.\)]\s*", ""), r"^[-\*]\s*", "")
 
@@ -62,25 +43,6 @@ def _fallback(plan: Column, runtime: bool) -> Column:
     return F.transform(cleaned, lambda x, i: _step(i + 1, x))
 
 
-def parse_plan(plan) -> Column:
-    """Numbered patterns (steps > 5 chars), else line fallback (lines > 10 chars)."""
-    p = col(plan)
-    num = _numbered_steps(p, 5)
-    return F.when(F.size(num) > 0, num).otherwise(_fallback(p, runtime=False))
-
-
-def parse_plan_strict(plan) -> Column:
-    """Numbered patterns only."""
-    return _numbered_steps(col(plan), 5)
-
-
-def parse_plan_runtime(plan) -> Column:
-    """No length filter; fallback keeps any non-empty line not starting with ``Plan:``."""
-    p = col(plan)
-    num = _numbered_steps(p, None)
-    return F.when(F.size(num) > 0, num).otherwise(_fallback(p, runtime=True))
-
-
 def eval_plan_steps(plan) -> Column:
     """Multiline numbered split; else the first 6 pieces of a split on '.'."""
     p = col(plan)
@@ -143,45 +105,6 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(col(text)), F.lit(TOKEN), 0)
 
 
-def tfidf_cosine(a, b) -> Column:
-    """Cosine of the TF-IDF vectors of two texts fitted on just those two texts.
-
-    Evaluated per row with higher-order functions over the row's own tokens,
-    so no shuffle is needed; cost is linear in vocabulary x tokens of the pair.
-    """
-    ta, tb = tokens(a), tokens(b)
-    vocab = F.array_distinct(F.concat(ta, tb))
-
-    def tf(arr, t):
-        return F.size(F.filter(arr, lambda x: x == t)).cast("double")
-
-    terms = F.transform(vocab, lambda t: F.struct(tf(ta, t).alias("a"), tf(tb, t).alias("b")))
-    weighted = F.transform(terms, lambda s: F.struct(
-        (s["a"] * F.when((s["a"] > 0) & (s["b"] > 0), IDF_SHARED).otherwise(IDF_SINGLE)).alias("a"),
-        (s["b"] * F.when((s["a"] > 0) & (s["b"] > 0), IDF_SHARED).otherwise(IDF_SINGLE)).alias("b")))
-
-    def total(f):
-        return F.aggregate(weighted, F.lit(0.0), lambda acc, s: acc + f(s))
-
-    dot = total(lambda s: s["a"] * s["b"])
-    na = F.sqrt(total(lambda s: s["a"] * s["a"]))
-    nb = F.sqrt(total(lambda s: s["b"] * s["b"]))
-    return (F.when(F.size(vocab) == 0, F.lit(0.5))
-            .when((na == 0) | (nb == 0), F.lit(0.0))
-            .otherwise(dot / (na * nb)))
-
-
-def plan_format(plan) -> Column:
-    """Which C5 rule produced the steps: dot / paren / step / fallback."""
-    p = col(plan)
-    names = ("dot", "paren", "step")
-    out = None
-    for pat, name in zip(PLAN_PATTERNS, names):
-        cond = F.size(F.regexp_extract_all(p, F.lit(pat), 1)) > 0
-        out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
-    return F.when(F.size(_numbered_steps(p, 5)) > 0, out).otherwise(F.lit("fallback"))
-
-
 # ---------------------------------------------------------------------------
 # DataFrame-level staging: each regex runs once per row, then cheap HOFs.
 # ---------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracekit.functions import plan_text as PT
 from tracekit.functions import text as TX
 from tracekit.operators import gates, loop
 from tracekit.sources import fixtures as fx
@@ -18,6 +19,16 @@ def accepted_problems(spark: SparkSession, sf: str) -> DataFrame:
                       TX.final_numeric_answer("answer").alias("final_answer"))
 
 
+def parsed_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """Every plan parsed by C5 (``steps``, ``format``), C6 (``strict``) and C7 (``runtime``): written once per session."""
+    def build():
+        p = fx.plans_fx(spark, sf)
+        for mode, out in (("strict", "strict"), ("runtime", "runtime")):
+            p = PT.with_plan_steps(p, "plan", out, mode=mode)
+        return PT.with_plan_steps(p, "plan", "steps", format_col="format")
+    return fx.materialized(spark, sf, "parsed_plans", build, ("problem_id",))
+
+
 def truth(spark: SparkSession, sf: str) -> DataFrame:
     """C14 ground truth per problem; rows without a number are dropped."""
     p = fx.problems_fx(spark, sf)

@@ -8,6 +8,7 @@ from tracekit.functions import plan_text as PT
 from tracekit.functions import text as TX
 from tracekit.functions.common import r6
 from tracekit.operators import gates
+from tracekit.plans import base
 from tracekit.plans import sqlfn as S
 from tracekit.plans.base import accepted_problems
 from tracekit.plans.registry import register
@@ -117,7 +118,7 @@ _PLAN_ROWS = S.plan_steps("plans_fx", "problem_id", "plan")
 @register("plan_steps", with_fixtures("SELECT problem_id, pos, step_number, description, format FROM pr",
                                       "plans_fx", extra={"pr": _PLAN_ROWS}))
 def plan_steps(spark, sf):
-    p = PT.with_plan_steps(fx.plans_fx(spark, sf), "plan", "steps", format_col="format")
+    p = base.parsed_plans(spark, sf)
     return p.select("problem_id", F.posexplode("steps").alias("pos", "s"), "format").select(
         "problem_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("s.step_number").alias("step_number"),
         F.col("s.description").alias("description"), "format")
@@ -194,8 +195,8 @@ _PLAN_GATE_CTES = {
 
 
 def _plan_examples(spark, sf):
-    plans = fx.plans_fx(spark, sf).join(fx.problems_fx(spark, sf).select("problem_id", "question"), "problem_id")
-    return PT.with_plan_steps(plans, "plan", "steps")
+    plans = base.parsed_plans(spark, sf).select("problem_id", "plan", "steps")
+    return plans.join(fx.problems_fx(spark, sf).select("problem_id", "question"), "problem_id")
 
 
 @register("gate_plans", with_fixtures(f"SELECT outcome, count(*) AS n FROM (SELECT {_PLAN_OUTCOME} AS outcome FROM pg) GROUP BY outcome",
@@ -219,7 +220,7 @@ _RUNTIME_ROWS = S.plan_steps("plans_fx", "problem_id", "plan", min_len=None, fal
              bool_and(step_number IS NOT NULL AND step_number = pos) AS seq FROM rr GROUP BY problem_id) r USING (problem_id))""",
     "plans_fx", extra={"rr": _RUNTIME_ROWS}))
 def plan_issues(spark, sf):
-    p = PT.with_plan_steps(fx.plans_fx(spark, sf), "plan", "steps", mode="runtime")
+    p = base.parsed_plans(spark, sf).select("problem_id", F.col("runtime").alias("steps"))
     issues = gates.plan_issues("steps")
     return p.select("problem_id", F.size(issues).cast("bigint").alias("n_issues"),
                     gates.plan_is_valid(issues).alias("is_valid"))
@@ -262,13 +263,13 @@ def sft_planner(spark, sf):
 def augment_plans(spark, sf):
     """Originals plus one rephrased variation for each plan of the first half (>= 2 steps)."""
     from tracekit.operators.positional import first_part, share
-    base = _plan_examples(spark, sf).where(F.size("steps") >= 2)
-    base = base.withColumn("source", F.lit(PLAN_SOURCE))
-    first_half = first_part(base, ["problem_id"], share(1, 2))
+    plans = _plan_examples(spark, sf).where(F.size("steps") >= 2)
+    plans = plans.withColumn("source", F.lit(PLAN_SOURCE))
+    first_half = first_part(plans, ["problem_id"], share(1, 2))
     variations = (first_half.withColumn("plan", F.regexp_replace("plan", "Add line", "Include line"))
                   .transform(lambda d: PT.with_plan_steps(d.drop("steps"), "plan", "steps")).where(F.size("steps") >= 2)
                   .withColumn("source", F.lit(VARIATION_SOURCE)))
-    return _sft_planner_rows(spark, sf, base.unionByName(variations.select(base.columns)))
+    return _sft_planner_rows(spark, sf, plans.unionByName(variations.select(plans.columns)))
 
 
 @register("plan_truncation", with_fixtures(

@@ -54,7 +54,7 @@ _EX_FIX = ("plans_fx", "attempts_fx", "problems_fx")
 def exec_candidates(spark, sf) -> DataFrame:
     """Executor candidates: strictly parsed plans (C6) with >= 2 steps, each step joined with the
     execution at its position (D3) and the accumulated context of the earlier steps (W1)."""
-    plans = PT.with_plan_steps(fx.plans_fx(spark, sf), "plan", "steps", mode="strict").where(F.size("steps") >= 2)
+    plans = base.parsed_plans(spark, sf).select("problem_id", F.col("strict").alias("steps")).where(F.size("steps") >= 2)
     ps = plans.select("problem_id", F.posexplode("steps").alias("pos", "s")).select(
         "problem_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("s.step_number").alias("step_number"),
         F.col("s.description").alias("step_description"))
