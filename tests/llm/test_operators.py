@@ -265,6 +265,19 @@ def test_line_dedup_short_lines(spark):
     assert line_dedup.drop_repeated_lines(spark, frame(spark, REPEATED)).count() == len(REPEATED) - 1  # 7 is emptied
 
 
+def test_line_dedup_query_takes_short_lines(spark, tmp_path):
+    random.seed(6)
+    some = ["one", "two words", "a b c d e", "", " ", LINE, " ".join(["nine"] * 9)]
+    data = [(k, "\n".join([random.choice(some) for _ in range(12)] + [f"only {k}"])) for k in range(10)]
+    frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    want = brute.line_runs(data, 1)
+    for i, (n, gone, kept) in want.items():
+        assert (out[i].n_lines, out[i].n_removed, out[i].kept_sha256) == (n, gone, brute.sha(kept)), i
+    left = [line for _, _, kept in want.values() for line in kept.split("\n") if line.split()]
+    assert len(left) == len(set(left))
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_near(spark, docs, broadcast, monkeypatch):
     if not broadcast:

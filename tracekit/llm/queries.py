@@ -11,6 +11,8 @@ from tracekit.llm import (decontaminate, language, line_dedup, near_dedup, packi
                           token_counts, warc)
 from tracekit.llm.common import read
 
+LINE_WORDS = 1               # op8 looks at every repeated line that has a word; the pipeline's stage keeps line_dedup.MIN_WORDS
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(spark, read(spark, sf_dir, "documents")))
@@ -49,7 +51,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(spark, read(spark, sf_dir, "documents"))
+    return line_dedup.report(spark, read(spark, sf_dir, "documents"), LINE_WORDS)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
