@@ -278,6 +278,17 @@ def test_line_dedup_query_takes_short_lines(spark, tmp_path):
     assert len(left) == len(set(left))
 
 
+def test_line_dedup_keeps_intervals(spark):
+    blank = LINE + "\n" * 300 + LINE
+    data = [(1, blank), (2, blank), (3, "own\n" + LINE + "\nown too\n" + LINE)]
+    gone = {r.doc_id: [tuple(x) for x in r.gone] for r in line_dedup.repeated_runs(spark, frame(spark, data)).collect()}
+    assert gone == {1: [(300, 1)], 2: [(0, 301)], 3: [(1, 1), (3, 1)]}
+    spans = [("a", 1, 5, 2), ("a", 1, 0, 3), ("a", 1, 3, 1), ("a", 1, 0, 1), (None, 1, 9, 1), ("a", 2, 1, 65_000), ("a", 2, 2, 70_000)]
+    out = line_dedup._merged(spark.createDataFrame(spans, "doc_id string, _h long, no int, size int")).collect()
+    assert {(r.doc_id, r._h): [tuple(x) for x in r.gone] for r in out} == {
+        ("a", 1): [(0, 4), (5, 2)], (None, 1): [(9, 1)], ("a", 2): [(1, 70_001)]}
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_near(spark, docs, broadcast, monkeypatch):
     if not broadcast:

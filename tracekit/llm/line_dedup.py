@@ -96,7 +96,7 @@ def _windows(rows: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """``doc_id, _h, gone``: the numbers of the lines to delete, for documents that have any.
+    """``doc_id, _h, gone``: the lines to delete, as sorted disjoint intervals (no, size), for documents that have any.
 
     ``_h`` is the hash of the text. Order is by id (null last), text hash, line number. Rows that
     repeat both id and text are one document: all lose the same lines.
@@ -140,14 +140,30 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
                             .select("doc_id", "_h", "no", "rank"), "level")
         block *= 2
     if gone is None:
-        return spark.createDataFrame([], f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, _h long, gone array<int>")
-    spans = gone.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("no", "size")).alias("s"))
-    return written(spark, spans.select("doc_id", "_h", F.array_distinct(F.flatten(F.transform(
-        "s", lambda x: F.sequence(x["no"], x["no"] + x["size"] - 1)))).alias("gone")), "gone")
+        return spark.createDataFrame([], f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, _h long, "
+                                         "gone array<struct<no:int,size:int>>")
+    return written(spark, _merged(gone), "gone")
+
+
+def _merged(windows: DataFrame) -> DataFrame:
+    """``doc_id, _h, gone``: the union of each document's windows as sorted disjoint intervals.
+
+    One pass over the windows in order of their first line; no line numbers are listed, so a long
+    stretch that many windows cover costs a row per window.
+    """
+    own = Window.partitionBy("doc_id", "_h")
+    before = own.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = windows.groupBy("doc_id", "_h", "no").agg(F.max(F.col("no") + F.col("size")).alias("end")) \
+        .withColumn("reach", F.max("end").over(before)) \
+        .withColumn("new", F.when(F.col("reach") >= F.col("no"), F.lit(0)).otherwise(F.lit(1)))
+    islands = starts.withColumn("island", F.sum("new").over(own.orderBy("no").rowsBetween(Window.unboundedPreceding, 0))) \
+        .groupBy("doc_id", "_h", "island").agg(F.min("no").alias("no"), F.max("end").alias("end"))
+    span = F.struct("no", (F.col("end") - F.col("no")).alias("size"))
+    return islands.groupBy("doc_id", "_h").agg(F.array_sort(F.collect_list(span)).alias("gone"))
 
 
 def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` plus ``_gone`` (numbers of deleted lines or null) with the lines taken out of the text."""
+    """``docs`` plus ``_gone`` (intervals of deleted lines or null) with the lines taken out of the text."""
     gone = gone.select(F.col("doc_id").alias("_g_id"), F.col("_h").alias("_g_h"), F.col("gone").alias("_gone"))
     if row_count_at_most(gone, BROADCAST_DOCUMENTS):
         gone = F.broadcast(gone)
@@ -162,8 +178,11 @@ def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> Da
             for text, drop in zip(batch.column(at), batch.column(last)):
                 text = text.as_py()
                 if drop.is_valid:
-                    out = set(drop.as_py())
-                    text = "\n".join(line for k, line in enumerate(text.split("\n")) if k not in out)
+                    lines, kept, end = text.split("\n"), [], 0
+                    for span in drop.as_py():
+                        kept += lines[end:span["no"]]
+                        end = span["no"] + span["size"]
+                    text = "\n".join(kept + lines[end:])
                 texts.append(text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
         tidy()
@@ -193,5 +212,6 @@ def report(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_
     gone = repeated_runs(spark, d, min_words)
     d = d.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long"))
     out = _without(d, gone, "doc_id", "text")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+    n_removed = F.aggregate("_gone", F.lit(0), lambda n, x: n + x["size"])
+    return out.select("doc_id", "n_lines", F.coalesce(n_removed, F.lit(0)).cast("long").alias("n_removed"),
                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
