@@ -208,6 +208,19 @@ def test_substrings(spark, docs, rows, monkeypatch):
     assert sorted(map(tuple, got), key=key) == sorted(brute.substrings(data), key=key)
 
 
+def test_anchor_is_hot_by_its_total(spark, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(substring_dedup, "HOT_TOTAL", 100, raising=False)
+    parts = [pa.table({"part": [k] * 10, "doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+             for k in range(15) for rows in [SUBSTRING_EXTRA[10 * k:10 * k + 10]]]
+    told = substring_dedup._compare(pa.concat_tables([substring_dedup._entries(1)(p) for p in parts]))
+    assert (substring_dedup._told(told, "flags")[1] & substring_dedup.HOT).any()
+    # over the bound as it stands: 41 documents in each of 32 parts
+    data = [(k, f"{k * 7919:08d}" + "shared edge passage " * 5 + str(k)) for k in range(1300)]
+    got = substring_dedup.digest_columns(substring_dedup.remove_repeats(spark, frame(spark, data).repartition(8))).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.substrings(data))
+
+
 def test_substrings_of_empty_table(spark):
     assert substring_dedup.remove_repeats(spark, frame(spark, [])).count() == 0
     assert substring_dedup.remove_repeats(spark, frame(spark, [(1, None), (2, "")])).count() == 2

@@ -37,6 +37,7 @@ REACH = WINDOW - GRAM         # bytes of context on either side
 SUBPARTS = 4                  # parts a scan task's rows are split into
 BUCKETS = 4                   # anchor buckets per shuffle partition
 HOT_CONTEXTS = 64             # of one anchor in one part, before its windows are aggregated instead
+HOT_TOTAL = 1_024             # of one anchor over all parts: beyond it too
 SYMBOLS = 10_000              # of one suffix array
 BLOCK = 1 << 19               # bytes hashed together
 PAD = 0xFF                    # never in UTF-8
@@ -224,6 +225,7 @@ def _compare(table: pa.Table) -> pa.Table:
     contexts = np.bincount(group, weights=new)
     hot = np.zeros(len(contexts), bool)
     hot[group[c == 0]] = True
+    hot |= contexts > HOT_TOTAL
     shared = np.bincount(group) > 1
     flag = np.where(hot[group], np.where(shared[group], HOT, 0),
                     np.where(contexts[group] > 1, DOUBT, 0) | np.where(class_least[cls] < least[order], REPEATED, 0))
