@@ -90,6 +90,19 @@ def test_decontaminate(spark, docs, broadcast, monkeypatch):
     assert decontaminate.report(spark, frame(spark, rows), items.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_broadcasts_have_a_size_bound(spark, monkeypatch):
+    seen, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: seen.append(set(df.columns)) or broadcast(df))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0, raising=False)
+    item = " ".join(f"w{k}" for k in range(12))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = frame(spark, [(1, item), (2, "clean"), (3, LINE), (4, LINE)])
+    for what, left in (("documents", [2, 3, 4]), ("spans", [1, 2, 3, 4])):
+        assert sorted(r.doc_id for r in decontaminate.remove(spark, rows, items, what=what).collect()) == left
+    assert sorted(r.doc_id for r in line_dedup.drop_repeated_lines(spark, rows).collect()) == [1, 2, 3]
+    assert seen and not any(columns & {"raw", "_hits", "items", "window", "_gone"} for columns in seen)
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
     path = token_counts.default_vocabulary()

@@ -14,7 +14,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracekit.session import scratch_path
@@ -99,6 +99,13 @@ def map_texts(docs: DataFrame, schema: str, fn: Callable[[list], dict[str, list]
     return df.mapInArrow(run, f"doc_id {id_type}, {schema}")
 
 
+def fits(df: DataFrame, rows: int, size: int, *sizes: Column) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and the ``sizes`` of their values (bytes) sum to at most ``size``."""
+    if not row_count_at_most(df, rows):
+        return False
+    return (df.agg(F.sum(sum(sizes[1:], sizes[0]).cast("long"))).first()[0] or 0) <= size
+
+
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has at most ``limit`` rows (reads no more than ``limit + 1``)."""
     return df.limit(limit + 1).count() <= limit

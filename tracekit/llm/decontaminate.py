@@ -14,14 +14,16 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracekit.llm.common import id_text, row_count_at_most, written
+from tracekit.llm.common import fits, id_text, row_count_at_most, written
 
 # What separates words after lower-casing A-Z, and the words of a text as it is.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 BROADCAST_WINDOWS = 1_000_000      # 8-byte hashes
-BROADCAST_DOCUMENTS = 200_000      # keys with their few hit positions
+BROADCAST_DOCUMENTS = 200_000      # keys
+BROADCAST_BYTES = 64_000_000       # of the arrays and texts beside them, summed
+HIT_BYTES = 24                     # one hit in an array
 
 
 # One hash that stands for "this document", so that the scan also returns each one's word count.
@@ -104,7 +106,7 @@ def find_hits(spark: SparkSession, docs: DataFrame, windows: DataFrame, id_col:
 
     # verification: the words themselves, read again for the documents with hits only
     some = raw.where(F.size("raw") > 0).select(F.col("doc_id").alias("r_id"), F.col("_h").alias("r_h"), "raw")
-    if row_count_at_most(some, BROADCAST_DOCUMENTS):
+    if fits(some, BROADCAST_DOCUMENTS, BROADCAST_BYTES, F.size("raw") * HIT_BYTES):
         some = F.broadcast(some)
     texts = d.join(some, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("_h") == F.col("r_h")))
     texts = texts.dropDuplicates(["doc_id", "_h"])
@@ -112,7 +114,10 @@ def find_hits(spark: SparkSession, docs: DataFrame, windows: DataFrame, id_col:
         r["at"].alias("at"), r["size"].alias("size"), F.array_join(F.slice(w, r["at"] + 1, r["size"]), " ").alias("window"))))
     pieces = texts.select("doc_id", "_h", F.explode(cut).alias("c")).select("doc_id", "_h", "c.*")
     known = windows.select("window", "size", "items")
-    sure = pieces.join(F.broadcast(known) if small else known, ["window", "size"])
+    if fits(known, BROADCAST_WINDOWS, BROADCAST_BYTES, F.octet_length("window"), F.octet_length(F.array_join("items", ",")),
+            F.size("items") * 8):
+        known = F.broadcast(known)
+    sure = pieces.join(known, ["window", "size"])
     hits = sure.groupBy("doc_id", "_h").agg(
         F.collect_set(F.struct("at", "size")).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
@@ -152,7 +157,12 @@ def remove(spark: SparkSession, docs: DataFrame, items: DataFrame, what: str = "
     windows = item_windows(spark, items, item_col, item_text_col)
     _, hits = find_hits(spark, docs, windows, id_col, text_col)
     hits = hits.select(F.col("doc_id").alias("_h_id"), F.col("_h").alias("_h_h"), F.col("hits").alias("_hits"))
-    if row_count_at_most(hits, BROADCAST_DOCUMENTS):
+    if what == "documents":
+        hits = hits.drop("_hits")
+        small = row_count_at_most(hits, BROADCAST_DOCUMENTS)
+    else:
+        small = fits(hits, BROADCAST_DOCUMENTS, BROADCAST_BYTES, F.size("_hits") * HIT_BYTES)
+    if small:
         hits = F.broadcast(hits)
     text = F.col(text_col).cast("string")
     on = F.col(id_col).eqNullSafe(F.col("_h_id")) & (F.xxhash64(text) == F.col("_h_h"))

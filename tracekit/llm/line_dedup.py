@@ -23,7 +23,6 @@ from tracekit.llm.common import id_text, partitions, row_count_at_most, slices,
 
 MIN_WORDS = 50
 BROADCAST_LINES = 200_000
-BROADCAST_DOCUMENTS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -165,8 +164,7 @@ def _merged(windows: DataFrame) -> DataFrame:
 def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` plus ``_gone`` (intervals of deleted lines or null) with the lines taken out of the text."""
     gone = gone.select(F.col("doc_id").alias("_g_id"), F.col("_h").alias("_g_h"), F.col("gone").alias("_gone"))
-    if row_count_at_most(gone, BROADCAST_DOCUMENTS):
-        gone = F.broadcast(gone)
+    # shuffled whatever the size: the intervals of a document have no bound
     h = F.xxhash64(F.col(text_col).cast("string"))
     joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_g_id")) & (h == F.col("_g_h")), "left") \
         .select(*docs.columns, "_gone")
