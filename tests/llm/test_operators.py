@@ -65,6 +65,12 @@ def test_credential_linking(spark):
     assert rows[4].n_weak == 1
 
 
+def test_long_weak_secret(spark):
+    secret = "aB3" * 60
+    row = secrets.digest_columns(secrets.scan(spark, frame(spark, [(1, f"user: alice\n{secret}\n")]))).first()
+    assert row.spans == "weak_access:0:11,weak_secret:12:192" and row.n_weak == 2
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_decontaminate(spark, docs, broadcast, monkeypatch):
     if not broadcast:

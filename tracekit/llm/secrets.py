@@ -24,7 +24,7 @@ WEAK = {
     "weak_access": (r"""(?i)\b(?:access_?key_?id|client_?id|user(?:_?name)?|login|account)["']?\x20*[:=]\x20*["']?"""
                     r"([A-Za-z0-9._@+-]+)", 1, 3),
     "weak_secret": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])"
-                    r"[A-Za-z0-9+/]{20,128}={0,2}(?![A-Za-z0-9+/_=-])", 0, 20),
+                    r"[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/_=-])", 0, 20),
     "weak_endpoint": (r"""(?i)\b(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+"""
                       r"""|(?i)\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[a-z]{2,}""", 0, 8),
 }
