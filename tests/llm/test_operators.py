@@ -202,6 +202,14 @@ def test_language(spark):
     assert language.identify(frame(spark, []), model).count() == 0
 
 
+def test_language_leaves_no_label_out(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one", "en"), (2, "un", "fr"), (3, "eins", "de")], "doc_id long, text string, lang string")
+    assert set(language.fit(spark, docs)) == {"en", "fr", "de"}
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language.fit(spark, docs)
+
+
 SUBSTRING_EXTRA = [(770300 + k, ("%08d" % (k * 7919)) + "shared edge passage " * 5 + str(k)) for k in range(150)]
 
 

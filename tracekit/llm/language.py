@@ -36,14 +36,16 @@ def fit(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text_c
 
     The sample is bounded by parameters, whatever the table's size: a count per
     language sets a hash threshold, so that only about three times the wanted rows are
-    ranked. Null texts, null or empty labels and texts without a letter teach nothing.
+    ranked. More than MAX_LANGUAGES labels raise ValueError: none is left out. Null texts, null or empty labels and texts without a letter teach nothing.
     """
     df = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
                          F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 30)).alias("h"))
     df = df.where(F.col("lang").isNotNull() & (F.col("lang") != "") & (F.col("lang") != UNDETERMINED)
                   & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+             .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labelled languages; the model would leave some out")
     if not sizes:
         return {}
     limits = F.create_map(*[F.lit(v) for lang, n in sorted(sizes.items())
