@@ -50,6 +50,11 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     ship(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    return read_back(spark, df, path)
+
+
+def read_back(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """The rows of ``df`` as written at ``path``; an empty table keeps its columns."""
     return spark.read.schema(df.schema).parquet(path)
 
 

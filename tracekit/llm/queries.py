@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracekit.llm import (decontaminate, language, line_dedup, near_dedup, packing, quality, secrets, substring_dedup,
-                          token_counts, warc)
+from tracekit.llm import (conversations, decontaminate, language, line_dedup, near_dedup, packing, quality, secrets, sharding,
+                          substring_dedup, token_alignment, token_counts, warc)
 from tracekit.llm.common import read
 
 LINE_WORDS = 1               # op8 looks at every repeated line that has a word; the pipeline's stage keeps line_dedup.MIN_WORDS
@@ -62,8 +62,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark, read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return conversations.repair_report(spark, conversations.damage(turns), turns)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(spark, read(spark, sf_dir, "documents"), *token_alignment.default_vocabularies())
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.interleave(spark, read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secret_scan, op2_decontaminate, op3_packing, op4_warc, op5_language, op6_substring_dedup, op7_token_counts,
-    op8_line_dedup, op9_near_dedup, op10_quality)}
+    op8_line_dedup, op9_near_dedup, op10_quality, op11_conversation_repair, op12_token_alignment, op13_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
