@@ -36,12 +36,15 @@ def calculations(raw) -> Column:
         a = F.regexp_extract_all(r, F.lit(pat), 1)
         b = F.regexp_extract_all(r, F.lit(pat), 2)
         c = F.regexp_extract_all(r, F.lit(pat), 3)
-        parts.append(F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), c.alias("c")),
-                                 lambda z, op=op: F.struct(z["a"].alias("a"), z["b"].alias("b"),
-                                                           z["c"].alias("c"), F.lit(op).alias("op"))))
+        parts.append(F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), c.alias("c")), _triple(op)))
     return F.concat(*parts)
 
 
+def _triple(op: str):
+    # a function of one argument: a second one would be bound to the position
+    return lambda z: F.struct(z["a"].alias("a"), z["b"].alias("b"), z["c"].alias("c"), F.lit(op).alias("op"))
+
+
 def result_line(raw) -> Column:
     """Text after the first matching Result/Answer/Therefore/Final label, to line end."""
     r = col(raw)

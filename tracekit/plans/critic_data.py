@@ -1,4 +1,4 @@
-"""Registered critic-example queries.
+"""Registered critic-example queries.
 
 Critic examples come from the first three critic-fold steps (C3) of every
 accepted problem; the injected error type, flawed text and feedback are
@@ -43,13 +43,36 @@ SOURCE = "synthetic_error_injection"
 VARIATION_SOURCE = "error_variation"
 
 
+# Flawed versions of a step by error type: (pattern, replacement) or a premise put before it
+FLAWS = {
+    "calculation_error": (r"= (\d+)", "= {1}1"), "wrong_operation": (r" \+ ", " - "), "unit_error": ("units", "dozens"),
+    "incomplete_step": (r" = \d+", ""), "logical_error": "Only the last line counts, so the others are left out: ",
+    "interpretation_error": "Reading each line as a return: "}
+
+
+def flawed_text(correct, error_type):
+    """What the teacher wrote for a step when asked for an error of a type (derived, like every trace table)."""
+    out = F.lit(None).cast("string")
+    for t, how in FLAWS.items():
+        made = F.concat(F.lit(how), correct) if isinstance(how, str) else F.regexp_replace(correct, how[0], how[1].replace("{1}", "$1"))
+        out = F.when(error_type == t, made).otherwise(out)
+    return out
+
+
+def flawed_sql(correct: str, error_type: str) -> str:
+    back = "{1}", "\\1"
+    whens = [f"WHEN {S.q(t)} THEN " + (f"{S.q(how)} || {correct}" if isinstance(how, str) else
+             f"regexp_replace({correct}, {S.q(how[0])}, {S.q(how[1].replace(*back))}, 'g')") for t, how in FLAWS.items()]
+    return f"CASE {error_type} " + " ".join(whens) + " END"
+
+
 def _cat_sql():
     return "[" + ", ".join(S.q(t) for t in ERROR_TYPES) + "]"
 
 
 _EX_SQL = f"""
 SELECT problem_id, pos AS k, question, 'Step ' || pos || ' of the solution' AS step_description, step AS correct_execution,
-  step || ' so the result is off by one' AS flawed_execution, error_type,
+  {flawed_sql('step', 'error_type')} AS flawed_execution, error_type,
   CASE WHEN {H('fb', 'problem_id', 'pos')} % 4 = 0 THEN 'Looks fine.'
        ELSE 'The ' || replace(error_type, '_', ' ') || ' in step ' || pos || ' is incorrect. You should recalculate it.' END AS feedback,
   '{SOURCE}' AS source
@@ -72,7 +95,7 @@ def critic_examples(spark, sf):
         F.lit(" is incorrect. You should recalculate it.")))
     return st.select("problem_id", "k", "question", loop.step_label(F.col("k")).alias("step_description"),
                      F.col("step").alias("correct_execution"),
-                     F.concat("step", F.lit(" so the result is off by one")).alias("flawed_execution"),
+                     flawed_text(F.col("step"), et).alias("flawed_execution"),
                      et.alias("error_type"), fb.alias("feedback"), F.lit(SOURCE).alias("source"))
 
 
@@ -179,16 +202,3 @@ SELECT problem_id, k, 'correct', {S.q(CRITIC_INSTRUCTION)}, replace({_E3_INPUT},
 def sft_critic(spark, sf):
     """An INCORRECT row per example plus a CORRECT row for a seeded 30 %."""
     return sft_critic_rows(critic_examples(spark, sf))
-
-
-@register("augment_errors", with_fixtures(
-    f"""SELECT problem_id, k, 0 AS draw, source, error_type, question, step_description, correct_execution, flawed_execution, feedback FROM cx
-      UNION ALL SELECT v.problem_id, v.k, v.draw, '{VARIATION_SOURCE}', v.new_error_type, question, step_description, correct_execution,
-        flawed_execution, feedback FROM ({_VAR_SQL}) v JOIN cx USING (problem_id, k)""", *_FIX, extra=_CTES))
-def augment_errors(spark, sf):
-    """Originals plus two new-error copies of each example of the first half."""
-    ex = critic_examples(spark, sf).withColumn("draw", F.lit(0).cast("bigint"))
-    v = variations(spark, sf).withColumns({"source": F.lit(VARIATION_SOURCE), "error_type": F.col("new_error_type")})
-    return ex.unionByName(v.drop("new_error_type")).select(
-        "problem_id", "k", "draw", "source", "error_type", "question", "step_description", "correct_execution",
-        "flawed_execution", "feedback")

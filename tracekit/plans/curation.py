@@ -250,28 +250,6 @@ def sft_planner(spark, sf):
     return _sft_planner_rows(spark, sf, ex)
 
 
-@register("augment_plans", with_fixtures(
-    f"""SELECT * FROM ({_SFT_PLANNER_SQL})
-      UNION ALL
-      SELECT * REPLACE ({S.q(VARIATION_SOURCE)} AS source) FROM ({_SFT_PLANNER_SQL.replace("FROM pr ", "FROM vr ").replace("JOIN pr ", "JOIN vr ")})
-      WHERE problem_id IN (SELECT problem_id FROM base WHERE rn <= (SELECT count(*) FROM base) // 2)""",
-    "plans_fx", "problems_fx", extra={
-        "pr": _PLAN_ROWS,
-        "base": "SELECT problem_id, count(*) AS ns, row_number() OVER (ORDER BY problem_id) AS rn FROM pr GROUP BY problem_id HAVING count(*) >= 2",
-        "vplans": "SELECT problem_id, replace(plan, 'Add line', 'Include line') AS plan FROM plans_fx",
-        "vr": S.plan_steps("vplans", "problem_id", "plan")}))
-def augment_plans(spark, sf):
-    """Originals plus one rephrased variation for each plan of the first half (>= 2 steps)."""
-    from tracekit.operators.positional import first_part, share
-    plans = _plan_examples(spark, sf).where(F.size("steps") >= 2)
-    plans = plans.withColumn("source", F.lit(PLAN_SOURCE))
-    first_half = first_part(plans, ["problem_id"], share(1, 2))
-    variations = (first_half.withColumn("plan", F.regexp_replace("plan", "Add line", "Include line"))
-                  .transform(lambda d: PT.with_plan_steps(d.drop("steps"), "plan", "steps")).where(F.size("steps") >= 2)
-                  .withColumn("source", F.lit(VARIATION_SOURCE)))
-    return _sft_planner_rows(spark, sf, plans.unionByName(variations.select(plans.columns)))
-
-
 @register("plan_truncation", with_fixtures(
     f"""SELECT truncated, count(*) AS plans, round(count(*) / sum(count(*)) OVER (), 6) AS share,
           round(avg(words), 6) AS avg_words

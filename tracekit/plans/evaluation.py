@@ -1,6 +1,6 @@
 """Registered execution, critique and evaluation-metric queries.
 
-Executor side: D3, W1, W6, T5, B3, B7, T6, F4, F5, E2, I2, H9, I4.
+Executor side: D3, W1, W6, T5, B3, B7, T6, F4, F5, E2, I2.
 Critic side: T7, F2, F3, T8, F6-F10.
 """
 
@@ -205,7 +205,7 @@ def sft_executor(spark, sf):
     return _sft_exec(e)
 
 
-# I2 / H9 / I4 -----------------------------------------------------------------
+# I2 -----------------------------------------------------------------------
 def context_variations(spark, sf, fixed: bool = False):
     e = exec_examples(spark, sf).withColumn("source", F.lit("base")).withColumn("is_error", F.lit(False))
     first = first_part(e, ["problem_id", "pos"], share(1, 3))
@@ -227,44 +227,6 @@ def augment_context(spark, sf):
     return context_variations(spark, sf).select("problem_id", "pos", "source", "context", "execution")
 
 
-def error_examples(spark, sf):
-    """H9: error versions for the first int(0.3 * m) of the first quarter (m = len // 4)."""
-    e = exec_examples(spark, sf)
-    chosen = first_part(e, ["problem_id", "pos"], lambda n: share(3, 10)(share(1, 4)(n)))
-    err = fx.attempts_fx(spark, sf).where(F.col("attempt") == 2).select(
-        "problem_id", F.col("step_number").alias("pos"), F.col("execution").alias("error_execution"))
-    j = fx.by_step(chosen, "pos").join(err, ["problem_id", "pos"])
-    return j.select(*[c for c in e.columns if c != "execution"], F.col("error_execution").alias("execution"),
-                    F.col("execution").alias("correct_execution"), F.lit(True).alias("is_error"),
-                    F.lit("error_correction").alias("source"))
-
-
-@register("subset_error_examples", with_fixtures(
-    """SELECT r.problem_id, r.pos, a.execution, r.execution AS correct_execution, true AS is_error
-       FROM rk r JOIN attempts_fx a ON a.problem_id = r.problem_id AND a.step_number = r.pos AND a.attempt = 2
-       WHERE r.rn <= floor(floor(r.n_all / 4) * 3 / 10)""", *_EX_FIX, extra={**_EX_CTES, "rk": _RANKED}))
-def subset_error_examples(spark, sf):
-    return error_examples(spark, sf).select("problem_id", "pos", "execution", "correct_execution", "is_error")
-
-
-@register("executor_mix", with_fixtures(
-    f"""SELECT problem_id, pos, {S.q(EXECUTOR_INSTRUCTION)} AS instruction, {_E2_INPUT} AS input, execution AS output,
-      CAST(step_number AS BIGINT) AS step_number, context <> '' AS has_context, source, is_error FROM (
-      SELECT problem_id, pos, question, step_number, step_description, context, execution, 'base' AS source, false AS is_error FROM ex
-      UNION ALL
-      SELECT problem_id, pos, question, step_number, step_description, string_split(context, chr(10) || chr(10))[-1], execution,
-        '{CONTEXT_VARIATION}', false FROM rk
-      WHERE rn <= n_all // 3 AND context <> '' AND len(string_split(context, chr(10) || chr(10))) > 1
-      UNION ALL
-      SELECT r.problem_id, r.pos, r.question, r.step_number, r.step_description, r.context, a.execution, 'error_correction', true
-      FROM rk r JOIN attempts_fx a ON a.problem_id = r.problem_id AND a.step_number = r.pos AND a.attempt = 2
-      WHERE r.rn <= floor(floor(r.n_all / 4) * 3 / 10))""", *_EX_FIX, extra={**_EX_CTES, "rk": _RANKED}))
-def executor_mix(spark, sf):
-    """I4: context variations and error versions, formatted as one executor SFT set."""
-    u = context_variations(spark, sf).unionByName(error_examples(spark, sf).drop("correct_execution"))
-    return _sft_exec(u)
-
-
 # ---------------------------------------------------------------------------
 # Evaluator steps (T6, F4, F5) over attempt-1 executions of every order line
 # ---------------------------------------------------------------------------

@@ -27,7 +27,7 @@ def register(key: str, sql: str | None = None):
 def _load() -> None:
     # Importing the plan modules registers their queries.
     from tracekit.plans import (curation, evaluation, refinement, positions, critic_data,  # noqa: F401
-                                requests, reports, io_jobs, streams)
+                                requests, augmentation, reports, io_jobs, streams)
 
 
 def queries() -> dict[str, QueryFn]:

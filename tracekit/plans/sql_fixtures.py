@@ -108,6 +108,10 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id""", ()),
 }
 
 
+# CTEs that several others read: computed once
+STORED = {"acc", "st", "cx", "pr", "ex", "exc", "rk", "comp", "inj_req", "inj_comp", "fb_req", "err_req", "var_req", "injected"}
+
+
 def with_fixtures(sql: str, *names: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with the named fixture CTEs (dependencies first), then ``extra`` CTEs."""
     order: list[str] = []
@@ -123,7 +127,7 @@ def with_fixtures(sql: str, *names: str, extra: dict[str, str] | None = None) ->
         visit(n)
     parts = [f"{n} AS ({CTES[n][0]}\n)" for n in order]
     for k, v in (extra or {}).items():
-        parts.append(f"{k} AS ({v}\n)")
+        parts.append(f"{k} AS {'MATERIALIZED ' if k in STORED else ''}({v}\n)")
     if not parts:
         return sql
     return "WITH " + ",\n".join(parts) + "\n" + sql
