@@ -1,10 +1,11 @@
 """Sources/sinks and streaming: round trips, resume without duplicates, restart from checkpoint."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracekit.session import scratch_path
 from tracekit.sources import records as R
-from tracekit.streaming.incremental import run_file_stream
+from tracekit.streaming import ledger
 
 
 def test_jsonl_and_csv_round_trip(spark):
@@ -18,40 +19,98 @@ def test_jsonl_and_csv_round_trip(spark):
         assert got == [(1, "Étienne dit: «oui»", "a\nb, \"c\""), (2, "plain", "")]
 
 
-def test_append_new_skips_processed_keys(spark):
-    path = scratch_path(spark, "resume")
-    rows = spark.range(0, 100).withColumnRenamed("id", "problem_id")
-    R.append_new(rows.where("problem_id < 30"), path, ["problem_id"])
-    R.append_new(rows, path, ["problem_id"])  # restart from the beginning
-    out = spark.read.parquet(path)
-    assert out.count() == 100 and out.select("problem_id").distinct().count() == 100
-
-
 def test_precheck_reports_missing_columns(spark):
     df = spark.createDataFrame([("i", "o")], "instruction string, output string")
     got = {r.check: r.ok for r in R.training_precheck(df, ["instruction", "input", "output"], 1).collect()}
     assert got == {"required_columns": False, "null_fields": True, "row_count": True}
 
 
-def test_file_stream_restart_is_exactly_once(spark):
-    src, sink, ck = (scratch_path(spark, n) for n in ("s-src", "s-sink", "s-ck"))
-    data = spark.range(0, 1000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
-    data.repartition(5).write.parquet(src)
+class Died(Exception):
+    pass
+
+
+def die_at(call):
+    """A function that raises on its n-th call."""
+    seen = []
+
+    def f():
+        seen.append(1)
+        if len(seen) == call:
+            raise Died
+    return f
+
+
+ROWS = "k bigint, v bigint"
+
+
+def parts(spark, n=5, size=100, calls=None):
+    """n batches of ``size`` rows; ``calls`` notes the batches that are computed."""
+    def of(b):
+        if calls is not None:
+            calls.append(b)
+        return spark.range(b * size, (b + 1) * size).select(F.col("id").alias("k"), F.lit(b).cast("bigint").alias("v"))
+    return [lambda b=b: of(b) for b in range(n)]
+
+
+@pytest.mark.parametrize("call", [1, 2, 3])
+def test_killed_between_rows_and_record(spark, call):
+    root = scratch_path(spark, "ledger")
+    with pytest.raises(Died):
+        ledger.append_batches(spark, root, "m", parts(spark), between=die_at(call))
+    assert ledger.dataset(spark, root, "m", ROWS).count() == 100 * (call - 1)   # the torn batch is not seen
+    calls = []
+    assert ledger.append_batches(spark, root, "m", parts(spark, calls=calls)) == ledger.Progress(4, 500)
+    assert calls == list(range(call - 1, 5))
+    out = ledger.dataset(spark, root, "m", ROWS)
+    assert out.count() == out.select("k").distinct().count() == 500
+
+
+def test_finished_module_is_skipped(spark):
+    root, calls = scratch_path(spark, "ledger"), []
     for _ in range(3):
-        run_file_stream(spark, src, data.schema, lambda s: s.where("v < 5"), sink, ck)
-    out = spark.read.parquet(sink)
-    assert out.count() == data.where("v < 5").count()
-
-
-def test_append_new_raises_on_unreadable_dataset(spark, tmp_path):
-    import pytest
-
-    from tracekit.sources.records import append_new
-    (tmp_path / "data").mkdir()
-    (tmp_path / "data" / "part-0.parquet").write_bytes(b"not parquet")
-    with pytest.raises(Exception):
-        append_new(spark.range(3), str(tmp_path / "data"), ["id"])
-    assert [f.name for f in (tmp_path / "data").iterdir()] == ["part-0.parquet"]
-    append_new(spark.range(3), str(tmp_path / "new"), ["id"])
-    append_new(spark.range(5), str(tmp_path / "new"), ["id"])
-    assert spark.read.parquet(str(tmp_path / "new")).count() == 5
+        assert ledger.append_batches(spark, root, "a", parts(spark, calls=calls), target=250) == ledger.Progress(2, 300)
+    assert calls == [0, 1, 2]
+    ledger.append_batches(spark, root, "b", parts(spark, 2), target=1000)
+    got = {(r.module, r.batch): (r.rows, r.total, r.target) for r in ledger.ledger(spark, root).collect()}
+    assert got == {("a", 0): (100, 100, 250), ("a", 1): (100, 200, 250), ("a", 2): (100, 300, 250),
+                   ("b", 0): (100, 100, 1000), ("b", 1): (100, 200, 1000)}
+    assert ledger.dataset(spark, root, "none", ROWS).count() == 0
+
+
+def stream_files(spark, files=6, rows=120):
+    src = scratch_path(spark, "s-src")
+    data = spark.range(0, rows * files).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    data.repartition(files).write.parquet(src)
+    return src, data
+
+
+def test_stream_killed_between_rows_and_record(spark):
+    src, data = stream_files(spark)
+    root, ck = scratch_path(spark, "s-root"), scratch_path(spark, "s-ck")
+    keep = lambda df: df.where("v < 5")
+    with pytest.raises(Exception, match="Died"):
+        ledger.run_module(spark, root, "m", src, data.schema, keep, ck, files_per_trigger=1, between=die_at(3))
+    assert ledger.progress(spark, root, "m").last_batch == 1
+    for _ in range(2):
+        ledger.run_module(spark, root, "m", src, data.schema, keep, ck, files_per_trigger=1)
+    out = ledger.dataset(spark, root, "m", ROWS)
+    assert sorted(r.k for r in out.collect()) == [r.k for r in keep(data).orderBy("k").collect()]
+
+
+def test_recorded_batch_that_comes_again_is_skipped(spark):
+    """Killed after the record and before the stream's own commit: the stream sends the batch once more."""
+    root, calls = scratch_path(spark, "s-root"), []
+    one = parts(spark, calls=calls)[0]
+    assert ledger.commit_batch(one(), root, "m", 0) == ledger.commit_batch(one().limit(3), root, "m", 0) == ledger.Progress(0, 100)
+    assert ledger.dataset(spark, root, "m", ROWS).count() == 100
+
+
+def test_stream_stops_at_target_also_after_restart(spark):
+    src, data = stream_files(spark)
+    root, ck = scratch_path(spark, "s-root"), scratch_path(spark, "s-ck")
+    run = lambda **k: ledger.run_module(spark, root, "m", src, data.schema, lambda d: d, ck, target=300, files_per_trigger=1, **k)
+    assert run(batches=1).last_batch == 0
+    done = run()
+    assert done.total >= 300 and done.last_batch == 2
+    assert run() == done
+    assert ledger.dataset(spark, root, "m", ROWS).count() == done.total

@@ -11,9 +11,8 @@ from tracekit.operators import gates, hooks
 from tracekit.operators import positional as P
 from tracekit.plans import base
 from tracekit.plans import sqlfn as S
-from tracekit.plans.curation import ACCEPTED_SQL, PROBLEM_OUTCOME, _PLAN_ROWS, _SFT_PLANNER_SQL, sft_planner
-from tracekit.plans.critic_data import _CTES as _CX_CTES, sft_critic
-from tracekit.plans.evaluation import _E2_INPUT, _EX_CTES, _EX_FIX, EXECUTOR_INSTRUCTION, sft_executor
+from tracekit.plans.curation import _PLAN_ROWS, _SFT_PLANNER_SQL, sft_planner
+from tracekit.plans.evaluation import _E2_INPUT, _EX_CTES, EXECUTOR_INSTRUCTION, sft_executor
 from tracekit.plans.refinement import _OUTCOME_SQL, _outcomes
 from tracekit.plans.registry import register
 from tracekit.plans.sql_chain import TRUTH, chain_sql
@@ -168,39 +167,6 @@ def variant_diff(spark, sf):
                     all_passed.alias("all_passed"))
 
 
-_MODULE_CTES = {**_SFTP, **_EX_CTES, **_CX_CTES,
-                "mods": """SELECT 'planner' AS module FROM sftp UNION ALL SELECT 'executor' FROM ex
-                   UNION ALL SELECT 'critic' FROM cx
-                   UNION ALL SELECT 'critic' FROM cx WHERE """ + H('pos30', 'problem_id', 'k') + " % 10000 < 3000"}
-_MOD_FIX = _SFTP_FIX + _EX_FIX
-
-
-def _modules(spark, sf):
-    return (sft_planner(spark, sf).select(F.lit("planner").alias("module"))
-            .unionByName(sft_executor(spark, sf).select(F.lit("executor").alias("module")))
-            .unionByName(sft_critic(spark, sf).select(F.lit("critic").alias("module"))))
-
-
-@register("module_totals", with_fixtures("SELECT module, count(*) AS n FROM mods GROUP BY ROLLUP (module)",
-                                         *_MOD_FIX, extra=_MODULE_CTES))
-def module_totals(spark, sf):
-    """rows per module plus the grand total (rollup; module is null on the total row)."""
-    return _modules(spark, sf).rollup("module").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("run_summary", with_fixtures(f"""
-SELECT (SELECT count(*) FROM acc) AS problems_used, count(*) FILTER (WHERE module = 'planner') AS planner,
-  count(*) FILTER (WHERE module = 'executor') AS executor, count(*) FILTER (WHERE module = 'critic') AS critic,
-  count(*) AS total FROM mods""", *_MOD_FIX, extra={**_MODULE_CTES, "acc": ACCEPTED_SQL}))
-def run_summary(spark, sf):
-    """A5: one summary row (counts per module, total, problems used)."""
-    m = _modules(spark, sf)
-    used = base.accepted_problems(spark, sf).agg(F.count(F.lit(1))).scalar()
-    return m.agg(used.alias("problems_used"), F.count_if(F.col("module") == "planner").alias("planner"),
-                 F.count_if(F.col("module") == "executor").alias("executor"),
-                 F.count_if(F.col("module") == "critic").alias("critic"), F.count(F.lit(1)).alias("total"))
-
-
 @register("running_progress", chain_sql("""
 SELECT pos, round(ok / pos, 6) AS success_rate, round(secs / pos, 6) AS avg_time FROM (
   SELECT row_number() OVER w AS pos, sum(CAST(success AS INTEGER)) OVER w AS ok, sum(seconds) OVER w AS secs

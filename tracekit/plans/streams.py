@@ -10,28 +10,29 @@ from tracekit.plans.registry import register
 from tracekit.plans.sql_fixtures import with_fixtures
 from tracekit.session import scratch_path
 from tracekit.sources import fixtures as fx
-from tracekit.streaming.incremental import run_file_stream, run_running_agg
+from tracekit.streaming import ledger
+from tracekit.streaming.incremental import run_running_agg
 
 
 @register("incremental_curation", with_fixtures("SELECT problem_id, instruction, input, output, source, num_steps FROM sftp",
                                                 "plans_fx", "problems_fx", extra={"pr": _PLAN_ROWS, "sftp": _SFT_PLANNER_SQL}))
 def incremental_curation(spark, sf):
-    """Teacher plans arrive as files; a checkpointed stream parses, filters and formats them
-    into the planner SFT set; it is stopped midway and started again, which adds nothing twice."""
+    """Teacher plans arrive as files; a checkpointed stream parses, filters and formats them batch by batch into the planner's
+    dataset. It is stopped after its first batch and started again; the ledger keeps every row once."""
     from tracekit.functions import plan_text as PT
-    src, sink, ck = scratch_path(spark, "j1-src"), scratch_path(spark, "j1-sink"), scratch_path(spark, "j1-ck")
+    src, root, ck = scratch_path(spark, "j1-src"), scratch_path(spark, "j1-root"), scratch_path(spark, "j1-ck")
     plans = fx.plans_fx(spark, sf)
     plans.write.parquet(src)
     questions = fx.problems_fx(spark, sf).select("problem_id", "question")
 
-    def curate(stream):
-        ex = PT.with_plan_steps(stream.join(questions, "problem_id"), "plan", "steps").where(F.size("steps") >= 2)
+    def curate(batch):
+        ex = PT.with_plan_steps(batch.join(questions, "problem_id"), "plan", "steps").where(F.size("steps") >= 2)
         return _sft_planner_rows(spark, sf, ex.withColumn("source", F.lit(PLAN_SOURCE)))
 
-    # the first run is stopped after its first batch, one file; the second resumes from the checkpoint
-    run_file_stream(spark, src, plans.schema, curate, sink, ck, bytes_per_trigger=1, batches=1)
-    run_file_stream(spark, src, plans.schema, curate, sink, ck)
-    return spark.read.parquet(sink)
+    ledger.run_module(spark, root, "planner", src, plans.schema, curate, ck, files_per_trigger=1, batches=1)
+    ledger.run_module(spark, root, "planner", src, plans.schema, curate, ck)
+    schema = "problem_id bigint, instruction string, input string, output string, source string, num_steps bigint"
+    return ledger.dataset(spark, root, "planner", schema).drop("batch")
 
 
 @register("live_progress", with_fixtures(

@@ -1,8 +1,7 @@
-"""Record files (A2-A4, A7): JSON lines / JSON array / CSV readers and writers, resumable appends."""
+"""Record files (A2, A3, A7): JSON lines / JSON array / CSV readers and writers."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -30,18 +29,6 @@ def write_records(df: DataFrame, path: str, fmt: str, mode: str = "overwrite") -
         raise ValueError(f"Unsupported format: {fmt}")
 
 
-def append_new(batch: DataFrame, path: str, key: list[str], fmt: str = "parquet") -> None:
-    """A4 + D10: append only rows whose key is not in the dataset yet (resume without duplicates)."""
-    spark = batch.sparkSession
-    try:
-        done = spark.read.format(fmt).load(path).select(*key)
-        batch = batch.join(done, key, "left_anti")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":  # only a first batch finds nothing; any other failure is the caller's
-            raise
-    batch.write.mode("append").format(fmt).save(path)
-
-
 def training_precheck(df: DataFrame, required: list[str], expected: int) -> DataFrame:
     """Required columns present, no nulls in them, and row count equal to the expected count."""
     missing = [c for c in required if c not in df.columns]

@@ -1,13 +1,7 @@
-"""Structured Streaming forms of the incremental jobs.
-
-J1 runs the curation as a file-source stream with a checkpoint, so a restart
-resumes after the last committed file instead of reprocessing (the reference
-restarts at problem 0, L19). J2 keeps running counts per module.
-"""
+"""Structured Streaming form of the running counts (J2); the curation stream (J1) is in ``ledger``."""
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,21 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 BYTES_PER_TRIGGER = 16 << 30
 
 
-def run_file_stream(spark: SparkSession, src: str, schema, transform: Callable[[DataFrame], DataFrame],
-                    sink: str, checkpoint: str, bytes_per_trigger: int = BYTES_PER_TRIGGER, batches: int | None = None) -> None:
-    """Process every file now in ``src`` (``availableNow``), appending the transformed rows to a
-    Parquet sink with exactly-once file commits. Calling it again resumes from the checkpoint.
-    ``batches`` stops the run once so many micro-batches are done, wherever the stream then is."""
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(src)
-    q = (transform(stream).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink))
-    while batches is not None and q.isActive:
-        if (q.lastProgress or {}).get("batchId", -1) + 1 >= batches:
-            q.stop()
-        time.sleep(0.1)
-    q.awaitTermination()
-
-
 def run_running_agg(spark: SparkSession, src: str, schema, aggregate: Callable[[DataFrame], DataFrame],
                     sink: str, checkpoint: str, bytes_per_trigger: int = BYTES_PER_TRIGGER, state_partitions: int = 8) -> None:
     """Running aggregate over a file stream in complete mode; every micro-batch replaces the
