@@ -1,4 +1,4 @@
-"""Quality gates (B1-B8, K1): one scan, accepted rows plus a reject ledger.
+"""Quality gates (B1-B7): one scan, accepted rows plus a reject ledger.
 
 A gate is an ordered list of ``(rule, failing_condition)`` native Columns. Each
 row is tagged with the first rule it fails (the reference returns at the first
@@ -7,7 +7,7 @@ failed check); the ledger is one small aggregate over that tag.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,13 +45,6 @@ def apply_gate(df: DataFrame, rules: Sequence[Rule], tag: str = "reject_rule") -
     return accepted, ledger
 
 
-def curate(df: DataFrame, validator: Callable[[DataFrame], Column] | Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
-    """K1: a gate from a user validator (a function returning a boolean Column) or rules."""
-    if callable(validator):
-        return apply_gate(df, [("invalid", ~validator(df))])
-    return apply_gate(df, validator)
-
-
 # B1 ------------------------------------------------------------------------
 def problem_rules() -> list[Rule]:
     q, a = F.col("question"), F.col("answer")

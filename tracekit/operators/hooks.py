@@ -1,17 +1,10 @@
-"""User-defined surface (K1-K3): validators and transforms are plain Column/DataFrame functions."""
+"""User-defined surface (K2, K3): transforms are plain DataFrame functions. A user's validator (K1) goes to ``quota.clipped_quota``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-
-from tracekit.operators import gates
-
-
-def validate(df: DataFrame, validator: Callable[[DataFrame], Column]) -> tuple[DataFrame, DataFrame]:
-    """K1: accepted rows and ledger for a user validator returning a boolean Column."""
-    return gates.curate(df, validator)
+from pyspark.sql import DataFrame
 
 
 def generate(df: DataFrame, generator: Callable[[DataFrame], DataFrame]) -> DataFrame:

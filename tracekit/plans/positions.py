@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.functions.common import hash8
+from tracekit.functions.common import hash8, r6
 from tracekit.operators import gates
 from tracekit.operators import positional as P
-from tracekit.plans import base
+from tracekit.operators.quota import clipped_quota
 from tracekit.plans.curation import PROBLEM_OUTCOME, _PLAN_ROWS, _plan_examples
 from tracekit.plans.registry import register
 from tracekit.plans.sql_fixtures import H, with_fixtures
@@ -21,6 +21,7 @@ BATCH_SIZE = 50
 PLANNER_TARGET = 7500
 SAMPLE_SIZE = 10
 HEAD_N = 100
+VALIDATOR_TARGET, VALIDATOR_WORD = 1200, "units"
 PARTS = (("half", 1, 2), ("third", 1, 3), ("quarter", 1, 4), ("rate30", 3, 10))
 SPLIT_SEED = "split"
 
@@ -140,24 +141,63 @@ def resume_anti(spark, sf):
     return acc.join(done, "problem_id", "left_anti").select("problem_id")
 
 
-@register("curate_valid", with_fixtures(f"""
-SELECT batch, count(*) AS generated, count(*) FILTER (WHERE valid) AS valid,
-  round(count(*) FILTER (WHERE valid) / count(*), 6) AS yield
-FROM (SELECT CAST(floor((b.pos - 1) / {BATCH_SIZE}) AS BIGINT) AS batch, pg.ns BETWEEN 2 AND 8
-        AND coalesce(pg.short, 0) = 0 AND length(pg.plan) >= 50 AND length(pg.question) >= 20 AS valid
-      FROM (SELECT problem_id, row_number() OVER (ORDER BY problem_id) AS pos FROM problems_fx) b
-      JOIN pg USING (problem_id) WHERE pg.ns >= 2)
-GROUP BY batch""", "problems_fx", "plans_fx", extra={
-    "pr": _PLAN_ROWS,
-    "pg": """SELECT p.problem_id, q.question, p.plan, s.ns, s.short FROM plans_fx p JOIN problems_fx q USING (problem_id)
-      LEFT JOIN (SELECT problem_id, count(*) AS ns, count(*) FILTER (WHERE description IS NULL OR description = ''
-                 OR length(description) < 10) AS short FROM pr GROUP BY problem_id) s USING (problem_id)"""}))
-def curate_valid(spark, sf):
-    """Per batch of 50 problems, generated plan examples (>= 2 steps) and the B2-valid share."""
-    from pyspark.sql import functions as G
+# B8, K1 -------------------------------------------------------------------------
+def _quota_ctes(valid: str, target: int) -> dict[str, str]:
+    """The running quota as a recursion over the batches: one row a processed batch."""
+    return {
+        "pr": _PLAN_ROWS,
+        "pg": """SELECT p.problem_id, q.question, p.plan, s.ns, s.short FROM plans_fx p JOIN problems_fx q USING (problem_id)
+          LEFT JOIN (SELECT problem_id, count(*) AS ns, count(*) FILTER (WHERE description IS NULL OR description = ''
+                     OR length(description) < 10) AS short FROM pr GROUP BY problem_id) s USING (problem_id)""",
+        "gen": f"""SELECT *, row_number() OVER (PARTITION BY batch ORDER BY problem_id) AS place FROM (
+          SELECT b.problem_id, CAST(floor((b.pos - 1) / {BATCH_SIZE}) AS BIGINT) AS batch, coalesce({valid}, false) AS valid
+          FROM (SELECT problem_id, row_number() OVER (ORDER BY problem_id) AS pos FROM problems_fx) b JOIN pg USING (problem_id) WHERE pg.ns >= 2)""",
+        "bt": """SELECT *, row_number() OVER (ORDER BY batch) AS i FROM (
+          SELECT batch, count(*) AS size, coalesce(list(place) FILTER (WHERE valid), []) AS places FROM gen GROUP BY batch)""",
+        "rec": f"""SELECT CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS needed, CAST(0 AS BIGINT) AS generated,
+            CAST(0 AS BIGINT) AS valid, CAST(0 AS BIGINT) AS total
+          UNION ALL
+          SELECT i, batch, needed, least(size, needed), n, total + n FROM (
+            SELECT b.i, b.batch, least({BATCH_SIZE}, {target} - r.total) AS needed, b.size, r.total,
+              CAST(len(list_filter(b.places, lambda x: x <= least({BATCH_SIZE}, {target} - r.total))) AS BIGINT) AS n
+            FROM rec r JOIN bt b ON b.i = r.i + 1 WHERE r.total < {target})""",
+    }
+
+
+_VALID_SQL = "pg.ns BETWEEN 2 AND 8 AND coalesce(pg.short, 0) = 0 AND length(pg.plan) >= 50 AND length(pg.question) >= 20"
+_LEDGER_SQL = """SELECT batch, generated, valid, total, round(valid / generated, 6) AS yield FROM rec WHERE i > 0"""
+_QUOTA_FIX = ("problems_fx", "plans_fx")
+
+
+def _quota(spark, sf, valid, target):
     b = P.batches(P.ordinal(fx.problems_fx(spark, sf).select("problem_id"), ["problem_id"]), BATCH_SIZE)
-    ex = _plan_examples(spark, sf).where(F.size("steps") >= 2)
-    tagged = ex.withColumn("_r", gates.first_failure(gates.plan_rules())).join(b, "problem_id")
-    g = tagged.groupBy("batch").agg(G.count(G.lit(1)).alias("generated"), G.count_if(G.col("_r").isNull()).alias("valid"))
-    from tracekit.functions.common import r6
-    return g.select("batch", "generated", "valid", r6(G.col("valid") / G.col("generated")).alias("yield"))
+    ex = _plan_examples(spark, sf).where(F.size("steps") >= 2).join(b.select("problem_id", "batch"), "problem_id")
+    return clipped_quota(ex, ["problem_id"], valid, target, BATCH_SIZE)
+
+
+def _yields(batches):
+    return batches.select("batch", "generated", "valid", "total", r6(F.col("valid") / F.col("generated")).alias("yield"))
+
+
+@register("curate_valid", with_fixtures(_LEDGER_SQL, *_QUOTA_FIX, extra=_quota_ctes(_VALID_SQL, PLANNER_TARGET), recursive=True))
+def curate_valid(spark, sf):
+    """Per processed batch of 50 problems, generated plan examples (>= 2 steps), the B2-valid ones among them, valid rows so far and yield."""
+    return _yields(_quota(spark, sf, gates.first_failure(gates.plan_rules()).isNull(), PLANNER_TARGET)[1])
+
+
+@register("curate_rows", with_fixtures(
+    "SELECT g.problem_id, g.batch, CAST(g.place AS INTEGER) AS place, pg.question, pg.plan FROM gen g JOIN rec r USING (batch) JOIN pg USING (problem_id) "
+    "WHERE g.valid AND g.place <= r.needed", *_QUOTA_FIX, extra=_quota_ctes(_VALID_SQL, PLANNER_TARGET), recursive=True))
+def curate_rows(spark, sf):
+    """The valid rows, exactly the planner's target where there are enough."""
+    kept = _quota(spark, sf, gates.first_failure(gates.plan_rules()).isNull(), PLANNER_TARGET)[0]
+    return kept.select("problem_id", "batch", "place", "question", "plan")
+
+
+@register("validator_hook", with_fixtures(_LEDGER_SQL, *_QUOTA_FIX, extra=_quota_ctes(
+    f"length(pg.question) < 90 AND pg.problem_id % 7 < 3 AND pg.plan LIKE '%{VALIDATOR_WORD}%'", VALIDATOR_TARGET), recursive=True))
+def validator_hook(spark, sf):
+    """K1: a user's validator in the place of B2's rules, under a quota of its own."""
+    def short_and_adding(df):
+        return (F.length(df["question"]) < 90) & (df["problem_id"] % 7 < 3) & F.contains(df["plan"], F.lit(VALIDATOR_WORD))
+    return _yields(_quota(spark, sf, short_and_adding, VALIDATOR_TARGET)[1])

@@ -215,15 +215,6 @@ def recovery_projection(spark, sf):
 
 
 # K1-K3 ----------------------------------------------------------------------------
-@register("validator_hook", with_fixtures(
-    "SELECT CASE WHEN length(question) < 90 THEN 'accepted' ELSE 'invalid' END AS outcome, count(*) AS n FROM problems_fx GROUP BY 1",
-    "problems_fx"))
-def validator_hook(spark, sf):
-    """K1: a user validator (short questions only) plugged into the gate."""
-    _, ledger = hooks.validate(fx.problems_fx(spark, sf), lambda df: F.length("question") < 90)
-    return ledger
-
-
 @register("generator_hook", with_fixtures(
     "SELECT problem_id, CAST(count(*) AS BIGINT) AS num_steps FROM pr GROUP BY problem_id", "plans_fx", extra={"pr": _PLAN_ROWS}))
 def generator_hook(spark, sf):

@@ -112,7 +112,7 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id""", ()),
 STORED = {"acc", "st", "cx", "pr", "ex", "exc", "rk", "comp", "inj_req", "inj_comp", "fb_req", "err_req", "var_req", "injected"}
 
 
-def with_fixtures(sql: str, *names: str, extra: dict[str, str] | None = None) -> str:
+def with_fixtures(sql: str, *names: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
     """Prefix ``sql`` with the named fixture CTEs (dependencies first), then ``extra`` CTEs."""
     order: list[str] = []
 
@@ -130,4 +130,4 @@ def with_fixtures(sql: str, *names: str, extra: dict[str, str] | None = None) ->
         parts.append(f"{k} AS {'MATERIALIZED ' if k in STORED else ''}({v}\n)")
     if not parts:
         return sql
-    return "WITH " + ",\n".join(parts) + "\n" + sql
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + sql
