@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracekit.functions import critique as CR
-from tracekit.functions.text import final_answer_text
+from tracekit.operators import answers
 from tracekit.operators.positional import number_within
 
 TIMEOUT_S = 300.0
@@ -65,25 +65,20 @@ def timeout_cut(resolved: DataFrame, limit_s: float = TIMEOUT_S) -> DataFrame:
 
 
 def solve_results(cut: DataFrame, limit_s: float = TIMEOUT_S) -> DataFrame:
-    """One result per problem from the kept steps (C15 over their final executions)."""
-    kept_exec = F.when(F.col("kept"), F.struct(F.col("step_number").alias("o"), F.col("final_execution").alias("t")))
-    agg = cut.groupBy("problem_id").agg(
-        F.max("n_steps").alias("n_steps"),
-        F.count(F.when(F.col("kept"), 1)).cast("bigint").alias("steps_run"),
-        F.sum(F.when(F.col("kept"), F.col("total_attempts")).otherwise(0)).cast("bigint").alias("total_attempts"),
-        F.sum(F.when(F.col("kept"), F.col("corrections")).otherwise(0)).cast("bigint").alias("corrections"),
-        F.sum(F.when(F.col("kept") & (F.col("corrections") > 0) & F.col("success"), 1).otherwise(0))
-        .cast("bigint").alias("successful_corrections"),
-        F.sum(F.when(F.col("kept"), F.col("step_seconds")).otherwise(0)).cast("bigint").alias("seconds"),
-        F.array_sort(F.collect_list(kept_exec)).alias("_ex"))
-    joined = F.when(F.size("_ex") > 0, F.array_join(F.transform("_ex", lambda x: x["t"]), "\n"))
+    """One result per problem from the kept steps (C13 and C15 over their final executions, from merged states)."""
+    kept = lambda c: F.when(F.col("kept"), F.col(c)).otherwise(0)
+    one = lambda c: F.when(c, 1).otherwise(0)
+    agg = answers.trace_state(cut, "problem_id", "step_number", F.when(F.col("kept"), F.col("final_execution")), {
+        "n_steps": (F.max, F.col("n_steps")), "steps_run": (F.sum, one(F.col("kept"))), "total_attempts": (F.sum, kept("total_attempts")),
+        "corrections": (F.sum, kept("corrections")), "seconds": (F.sum, kept("step_seconds")),
+        "successful_corrections": (F.sum, one(F.col("kept") & (F.col("corrections") > 0) & F.col("success")))})
     timed_out = F.col("steps_run") < F.col("n_steps")
     err = F.when(timed_out, F.lit(f"Timeout after {limit_s}s"))
-    answer = final_answer_text(joined)
+    answer = answers.final_text()
+    longs = ("n_steps", "steps_run", "total_attempts", "corrections", "successful_corrections", "seconds")
     return agg.select(
-        "problem_id", "n_steps", "steps_run", "total_attempts", "corrections", "successful_corrections",
-        "seconds", joined.alias("executions"), answer.alias("final_answer"), err.alias("error_message"),
-        (answer.isNotNull() & (answer != "") & err.isNull()).alias("success"))
+        "problem_id", *[F.col(c).cast("bigint").alias(c) for c in longs], answers.answer().alias("predicted"), answer.alias("final_answer"),
+        err.alias("error_message"), (answer.isNotNull() & (answer != "") & err.isNull()).alias("success"))
 
 
 def context_prefix(steps: DataFrame, text_col: str, label: str = "Step ", sep: str = "\n\n") -> Column:

@@ -191,7 +191,6 @@ WHERE predicted IS NULL OR NOT abs(predicted - ground_truth) < 0.01""", extra={"
 def failure_report(spark, sf):
     """T9 (C29, C30): primary issue and sizes of every wrong result."""
     s = base.solved(spark, sf).join(base.truth(spark, sf), "problem_id").join(fx.plans_fx(spark, sf), "problem_id")
-    s = s.withColumn("predicted", TX.extract_answer("executions"))
     s = s.where(F.col("predicted").isNull() | ~(F.abs(F.col("predicted") - F.col("ground_truth")) < 0.01))
     issue = (F.when(F.col("predicted").isNull(), "no_answer").when(F.col("steps_run") == 0, "no_steps")
              .when(F.col("steps_run") < F.col("n_steps"), "incomplete").otherwise("calculation"))
