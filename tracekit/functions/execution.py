@@ -87,13 +87,35 @@ def step_correct(actual, truth, is_final) -> Column:
     return F.when(f & a.isNotNull(), F.coalesce(F.abs(a - t) < TOLERANCE, F.lit(False))).otherwise(a.isNotNull())
 
 
-def context_used(context, execution) -> Column:
-    """Some number of the context, printed as Python prints a float, occurs in the execution.
+def printed_numbers(text) -> Column:
+    """Every signed number of the text as Python prints it as a float, once each."""
+    plain = lambda n: F.when(n.rlike(r"^[1-9]\d*$"), F.concat(n, F.lit(".0"))).otherwise(py_float_text(n))
+    return F.transform(F.array_distinct(F.regexp_extract_all(col(text), F.lit(f"({SIGNED_NUM})"), 1)), plain)
+
+
+def printed_floats(text) -> Column:
+    """Every printed float that the text holds somewhere, also inside longer numbers (12.50 holds 12.5 and 2.5), once each.
 
-    Contract: context numbers are below 1e16. Such a float is printed with a '.', so an execution without
-    one cannot match and the per-number formatting is skipped; repeated context numbers are tested once.
+    A printed float has no leading zero, and no trailing zero but that of ``.0``; so it is an end of the digits before a
+    point and a begin of those after it.
     """
-    nums = F.array_distinct(F.regexp_extract_all(col(context), F.lit(f"({SIGNED_NUM})"), 1))
-    e = col(execution)
-    return F.when(~e.contains("."), F.lit(False)).otherwise(
-        F.coalesce(F.exists(nums, lambda n: e.contains(py_float_text(n))), F.lit(False)))
+    points = F.arrays_zip(F.regexp_extract_all(col(text), F.lit(_POINT), 1).alias("l"), F.regexp_extract_all(col(text), F.lit(_POINT), 2).alias("r"))
+
+    def whole(z):
+        digits = F.regexp_replace(z["l"], "^-", "")
+        ends = F.filter(F.transform(F.sequence(F.lit(1), F.length(digits)), lambda n: F.right(digits, n)), lambda x: (F.length(x) == 1) | ~x.startswith("0"))
+        return F.when(z["l"].startswith("-"), F.concat(ends, F.filter(F.array(z["l"]), lambda x: F.array_contains(ends, F.substring(x, 2, 1 << 30))))).otherwise(ends)
+
+    def fraction(z):
+        return F.filter(F.transform(F.sequence(F.lit(1), F.length(z["r"])), lambda n: F.left(z["r"], n)), lambda x: (F.length(x) == 1) | ~x.endswith("0"))
+
+    each = F.transform(points, lambda z: F.flatten(F.transform(whole(z), lambda a: F.transform(fraction(z), lambda b: F.concat(a, F.lit("."), b)))))
+    return F.array_distinct(F.flatten(each))
+
+
+_POINT = r"(-?\d+)\.(?=(\d+))"
+
+
+def context_used(context, execution) -> Column:
+    """Some number of the context, printed as Python prints a float, occurs in the execution. Context numbers are below 1e16."""
+    return F.coalesce(F.arrays_overlap(printed_floats(execution), printed_numbers(context)), F.lit(False))

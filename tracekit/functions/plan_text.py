@@ -137,26 +137,30 @@ def with_plan_steps(df, plan_col: str, out_col: str = "steps", mode: str = "c5",
 
 
 def with_tfidf_cosine(df, a: str, b: str, out_col: str = "coverage"):
-    """D6 as staged columns: tokens once, then per-term counts over the pair's vocabulary."""
-    df = df.withColumn("_ta", tokens(a)).withColumn("_tb", tokens(b))
-    df = df.withColumn("_tv", F.array_distinct(F.concat("_ta", "_tb")))
-
-    def tf(arr, t):
-        # occurrences of t = size minus size without t (native array op, no per-element lambda)
-        return (F.size(arr) - F.size(F.array_remove(F.col(arr), t))).cast("double")
-
-    df = df.withColumn("_tt", F.transform("_tv", lambda t: F.struct(tf("_ta", t).alias("a"), tf("_tb", t).alias("b"))))
-    w = F.transform("_tt", lambda s: F.struct(
-        (s["a"] * F.when((s["a"] > 0) & (s["b"] > 0), IDF_SHARED).otherwise(IDF_SINGLE)).alias("a"),
-        (s["b"] * F.when((s["a"] > 0) & (s["b"] > 0), IDF_SHARED).otherwise(IDF_SINGLE)).alias("b")))
-    df = df.withColumn("_tw", w)
-
-    def total(f):
-        return F.aggregate("_tw", F.lit(0.0), lambda acc, s: acc + f(s))
-
-    df = (df.withColumn("_dot", total(lambda s: s["a"] * s["b"]))
-          .withColumn("_na", F.sqrt(total(lambda s: s["a"] * s["a"])))
-          .withColumn("_nb", F.sqrt(total(lambda s: s["b"] * s["b"]))))
-    cos = (F.when(F.size("_tv") == 0, F.lit(0.5)).when((F.col("_na") == 0) | (F.col("_nb") == 0), F.lit(0.0))
-           .otherwise(F.col("_dot") / (F.col("_na") * F.col("_nb"))))
-    return df.withColumn(out_col, cos).drop("_ta", "_tb", "_tv", "_tt", "_tw", "_dot", "_na", "_nb")
+    """D6 as staged columns: the tokens of both texts sorted together, then one pass over the runs of equal terms.
+
+    A run's two counts are its term's frequencies; the sums of the cosine are all that the pass carries.
+    """
+    side = lambda c, n: F.transform(tokens(c), lambda t: F.concat(t, F.lit(n)))
+    df = df.withColumn("_tt", F.sort_array(F.concat(side(a, "\x01"), side(b, "\x02"))))
+    df = df.withColumn("_tt", F.transform("_tt", lambda x: F.struct(F.left(x, F.length(x) - 1).alias("t"), F.right(x, F.lit(1)).alias("s"))))
+    zero = F.lit(0.0)
+    start = F.struct(F.lit("").alias("t"), zero.alias("a"), zero.alias("b"), zero.alias("dot"), zero.alias("aa"), zero.alias("bb"))
+
+    def closed(acc):
+        """The sums with the run that ends."""
+        shared = (acc["a"] > 0) & (acc["b"] > 0)
+        w = F.when(shared, IDF_SHARED * IDF_SHARED).otherwise(IDF_SINGLE * IDF_SINGLE)
+        return [(acc["dot"] + acc["a"] * acc["b"] * w).alias("dot"), (acc["aa"] + acc["a"] * acc["a"] * w).alias("aa"),
+                (acc["bb"] + acc["b"] * acc["b"] * w).alias("bb")]
+
+    def step(acc, x):
+        first, second = F.when(x["s"] == "\x01", 1.0).otherwise(0.0), F.when(x["s"] == "\x01", 0.0).otherwise(1.0)
+        return F.when(x["t"] == acc["t"], F.struct(acc["t"].alias("t"), (acc["a"] + first).alias("a"), (acc["b"] + second).alias("b"),
+                                                   acc["dot"].alias("dot"), acc["aa"].alias("aa"), acc["bb"].alias("bb"))) \
+            .otherwise(F.struct(x["t"].alias("t"), first.alias("a"), second.alias("b"), *closed(acc)))
+
+    df = df.withColumn("_tw", F.aggregate("_tt", start, step, lambda acc: F.struct(*closed(acc))))
+    cos = (F.when(F.size("_tt") == 0, F.lit(0.5)).when((F.col("_tw.aa") == 0) | (F.col("_tw.bb") == 0), F.lit(0.0))
+           .otherwise(F.col("_tw.dot") / (F.sqrt("_tw.aa") * F.sqrt("_tw.bb"))))
+    return df.withColumn(out_col, cos).drop("_tt", "_tw")

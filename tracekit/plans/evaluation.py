@@ -6,6 +6,8 @@ Critic side: T7, F2, F3, T8, F6-F10.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -250,20 +252,49 @@ _EVAL_CTES = {
 _EVAL_FIX = ("attempts_fx", "problems_fx", "plans_fx")
 
 
+def _printed(spark, sf) -> DataFrame:
+    """``problem_id, printed, step_number``: the floats that the steps print, written once and bucketed by problem and number."""
+    def build():
+        a = base.first_executions(spark, sf).where(F.contains("execution", F.lit(".")))
+        return a.select("problem_id", F.explode(EX.printed_floats("execution")).alias("printed"), "step_number")
+    return fx.materialized(spark, sf, "printed_floats", build, ("problem_id", "printed"))
+
+
+def _build_hits(spark, sf) -> DataFrame:
+    own = _printed(spark, sf)
+    seen = [fx.problems_fx(spark, sf).select("problem_id", F.lit(0).cast("bigint").alias("at"), F.explode(EX.printed_numbers("question")).alias("printed")),
+            fx.plans_fx(spark, sf).select("problem_id", F.lit(0).cast("bigint").alias("at"), F.explode(EX.printed_numbers("plan")).alias("printed")),
+            base.first_executions(spark, sf).select("problem_id", F.col("step_number").alias("at"), F.explode(EX.printed_numbers("execution")).alias("printed"))]
+    # only numbers that some step of the problem prints are looked up
+    index = reduce(DataFrame.unionByName, seen).join(own, ["problem_id", "printed"], "left_semi") \
+        .groupBy("problem_id", "printed").agg(F.min("at").alias("at"))
+    label = F.when(F.col("printed").rlike(r"^[1-9]\d*\.0$"), F.col("printed").cast("double"))
+    found = own.join(index, ["problem_id", "printed"], "left") \
+        .where((F.col("at") < F.col("step_number")) | (label < F.col("step_number")))
+    return found.select("problem_id", "step_number").distinct()
+
+
+def context_hits(spark, sf) -> DataFrame:
+    """``problem_id, step_number`` of the steps that print a float of their context (C26), written once and bucketed by step.
+
+    An index holds the first place of every number of a problem: 0 for question and plan, else its step. A step's own floats look
+    there, by problem and number; no text is joined. The label of step n puts the number n into the contexts after it.
+    """
+    return fx.materialized(spark, sf, "context_hits", lambda: _build_hits(spark, sf), fx.STEP_KEY)
+
+
 def eval_steps(spark, sf) -> DataFrame:
+    """T6 rows: the evaluator's single execution per step with its scores; all sides lie by problem and step."""
     a = base.first_executions(spark, sf).select("problem_id", "step_number", "n_steps", "execution")
-    q = fx.problems_fx(spark, sf).select("problem_id", "question")
-    p = fx.plans_fx(spark, sf)
-    j = a.join(base.truth(spark, sf), "problem_id").join(q, "problem_id").join(p, "problem_id")
-    head = F.concat(F.lit("Problem: "), F.col("question"), F.lit("\n\nPlan:\n"), F.col("plan"), F.lit("\n\n"))
-    j = j.withColumn("context", F.concat(head, loop.context_prefix(j, "execution", sep="\n")))
-    j = j.withColumn("actual", EX.last_number("execution")).withColumn("is_final", F.col("step_number") == F.col("n_steps"))
+    hits = context_hits(spark, sf).withColumn("used_context", F.lit(True))
+    narrow = a.select("problem_id", "step_number", EX.last_number("execution").alias("actual"), (F.col("step_number") == F.col("n_steps")).alias("is_final"),
+                      TX.word_count("execution").cast("bigint").alias("num_tokens"))
+    j = narrow.join(base.step_truth(spark, sf), ["problem_id", "step_number"]).join(hits, ["problem_id", "step_number"], "left")
     expected = F.when(F.col("is_final"), F.col("ground_truth"))
     return j.select("problem_id", "step_number", "is_final", "actual", "ground_truth",
                     EX.step_correct("actual", "ground_truth", "is_final").alias("is_correct"),
                     EX.error_category(F.col("actual"), expected).alias("error_category"),
-                    EX.context_used("context", "execution").alias("used_context"),
-                    TX.word_count("execution").cast("bigint").alias("num_tokens"))
+                    F.coalesce("used_context", F.lit(False)).alias("used_context"), "num_tokens")
 
 
 @register("step_scores", with_fixtures(
@@ -418,7 +449,7 @@ def feedback_scores(spark, sf):
 
 
 def confusion_df(spark, sf):
-    t = fx.by_step(eval_steps(spark, sf).select("problem_id", "step_number", F.col("is_correct").alias("actually_correct"))).join(
+    t = eval_steps(spark, sf).select("problem_id", "step_number", F.col("is_correct").alias("actually_correct")).join(
         feedback_scores_df(spark, sf).where("attempt = 1"), ["problem_id", "step_number"])  # the evaluator tests one critique a step
     ac, de = F.col("actually_correct"), F.col("detected_error")
     return t.groupBy("problem_id").agg(
@@ -506,7 +537,7 @@ def problem_metrics(spark, sf):
                                      F.col("n_steps").alias("num_plan_steps"),
                                      F.col("has_numbering").alias("plan_has_numbering"),
                                      F.col("is_sequential").alias("plan_is_sequential"))
-    t = fx.by_step(eval_steps(spark, sf)).join(feedback_scores_df(spark, sf).where("attempt = 1"), ["problem_id", "step_number"])
+    t = eval_steps(spark, sf).join(feedback_scores_df(spark, sf).where("attempt = 1"), ["problem_id", "step_number"])
     ac, de = F.col("is_correct"), F.col("detected_error")
     per = t.groupBy("problem_id").agg(
         F.avg(ac.cast("double")).alias("step_accuracy"), F.avg(ac.cast("double")).alias("calculation_accuracy"),

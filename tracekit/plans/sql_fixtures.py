@@ -50,20 +50,29 @@ FROM (
       WHEN 2 THEN 'Step ' || step_number || ': ' || t
       WHEN 3 THEN '- ' || t
       ELSE t || '.' END AS line
-  FROM (SELECT *, 'Add line ' || step_number || ' with ' || q || ' units to the total' AS t FROM steps_fx)
+  FROM (SELECT *, CASE WHEN problem_id % 7 = 0 THEN 'Calculate line ' ELSE 'Add line ' END || step_number || ' with ' || q || ' units to the total' AS t FROM steps_fx)
 ) GROUP BY problem_id""", ("steps_fx",)),
     "attempts_fx": (f"""
 SELECT problem_id, step_number, n_steps, attempt, prev, q, run, shown,
-  'We add ' || q || ' units to ' || prev || ': ' || prev || ' + ' || q || ' = ' || shown
-    || chr(10) || 'Result: ' || shown || ' units so far'
-    || CASE WHEN step_number = n_steps THEN chr(10) || 'The answer is ' || shown ELSE '' END AS execution,
-  wrong, CAST(5 + {H('dur', *_K3)} % 20 AS BIGINT) AS duration_s
-FROM (
+  CASE WHEN form = 2 THEN said || '.'
+       WHEN form = 3 THEN 'We put ' || q || ' items to the ' || prev || ' items and hold ' || shown || ' items'
+       WHEN style = 1 THEN 'Sum: ' || shown
+       WHEN style = 4 THEN 'The earlier total is carried on to the next line.'
+       ELSE CASE style WHEN 0 THEN 'Carry over ' || prev || '.0. ' WHEN 2 THEN 'Check by ' || shown || ' - ' || q || ' = ' || prev || '. '
+              WHEN 3 THEN 'Two lots: ' || q || ' × 2 = ' || (2 * q) || ', halved ' || (2 * q) || ' ÷ 2 = ' || q || '. ' ELSE '' END
+         || said || chr(10) || 'Result: ' || shown || ' units so far'
+         || CASE WHEN step_number <> n_steps THEN ''
+              WHEN form = 0 THEN chr(10) || '#### ' || shown WHEN form = 1 THEN chr(10) || 'All in all ' || shown || ' items'
+              WHEN form = 4 THEN chr(10) || 'It makes $' || shown WHEN form = 5 THEN chr(10) || 'Final answer: ' || shown
+              WHEN form = 6 THEN chr(10) || 'The total is ' || shown ELSE chr(10) || 'The answer is ' || shown END END AS execution,
+  wrong, CAST((5 + {H('dur', *_K3)} % 20) * CASE WHEN {H('slow', 'problem_id')} % 20 = 0 THEN 6 ELSE 1 END AS BIGINT) AS duration_s
+FROM (SELECT *, 'We add ' || q || ' units to ' || prev || ': ' || prev || ' + ' || q || ' = ' || shown AS said,
+    {H('style', *_K3)} % 20 AS style, {H('form', 'problem_id')} % 12 AS form FROM (
   SELECT *, run + CAST(wrong AS BIGINT) AS shown FROM (
     SELECT *, ({H('wrong', *_K3)} % 10) < 3 AS wrong
     FROM (SELECT s.*, CAST(a.attempt AS BIGINT) AS attempt FROM steps_fx s, range(1, 4) a(attempt))
   )
-)""", ("steps_fx",)),
+))""", ("steps_fx",)),
     "critiques_fx": (f"""
 SELECT problem_id, step_number, attempt,
   CASE WHEN structured AND says_correct THEN

@@ -108,7 +108,8 @@ def _build_plans_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D.2: one teacher plan per problem in one of five layouts (problem_id % 5)."""
     steps = steps_fx(spark, sf_dir)
     fmt = F.col("problem_id") % 5
-    text = F.concat(F.lit("Add line "), s("step_number"), F.lit(" with "), s("q"), F.lit(" units to the total"))
+    verb = F.when(F.col("problem_id") % 7 == 0, F.lit("Calculate line ")).otherwise(F.lit("Add line "))
+    text = F.concat(verb, s("step_number"), F.lit(" with "), s("q"), F.lit(" units to the total"))
     line = (F.when(fmt == 0, F.concat(s("step_number"), F.lit(". "), text))
             .when(fmt == 1, F.concat(s("step_number"), F.lit(") "), text))
             .when(fmt == 2, F.concat(F.lit("Step "), s("step_number"), F.lit(": "), text))
@@ -128,14 +129,30 @@ def _build_attempts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     att = steps.withColumn("attempt", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))))
     wrong = (hash8("wrong", *keys) % 10) < 3
     att = att.withColumn("wrong", wrong).withColumn("shown", F.col("run") + F.col("wrong").cast("bigint"))
-    execution = F.concat(
-        F.lit("We add "), s("q"), F.lit(" units to "), s("prev"), F.lit(": "), s("prev"), F.lit(" + "), s("q"),
-        F.lit(" = "), s("shown"), F.lit("\nResult: "), s("shown"), F.lit(" units so far"),
-        F.when(F.col("step_number") == F.col("n_steps"),
-               F.concat(F.lit("\nThe answer is "), s("shown"))).otherwise(F.lit("")))
+    said = F.concat(F.lit("We add "), s("q"), F.lit(" units to "), s("prev"), F.lit(": "), s("prev"), F.lit(" + "), s("q"), F.lit(" = "), s("shown"))
+    twice = s(F.col("q") * 2)
+    # how a step is written: carrying a decimal, shortened, checked by subtraction, by a product and a quotient, without numbers
+    style = hash8("style", *keys) % 20
+    before = (F.when(style == 0, F.concat(F.lit("Carry over "), s("prev"), F.lit(".0. ")))
+              .when(style == 2, F.concat(F.lit("Check by "), s("shown"), F.lit(" - "), s("q"), F.lit(" = "), s("prev"), F.lit(". ")))
+              .when(style == 3, F.concat(F.lit("Two lots: "), s("q"), F.lit(" × 2 = "), twice, F.lit(", halved "), twice, F.lit(" ÷ 2 = "), s("q"), F.lit(". ")))
+              .otherwise(F.lit("")))
+    # how a problem's answer is given: marker, other phrases, no phrase, only sums, only units
+    form = hash8("form", "problem_id") % 12
+    end = (F.when(form == 0, F.concat(F.lit("\n#### "), s("shown"))).when(form == 1, F.concat(F.lit("\nAll in all "), s("shown"), F.lit(" items")))
+           .when(form == 4, F.concat(F.lit("\nIt makes $"), s("shown"))).when(form == 5, F.concat(F.lit("\nFinal answer: "), s("shown")))
+           .when(form == 6, F.concat(F.lit("\nThe total is "), s("shown"))).otherwise(F.concat(F.lit("\nThe answer is "), s("shown"))))
+    full = F.concat(before, said, F.lit("\nResult: "), s("shown"), F.lit(" units so far"),
+                    F.when(F.col("step_number") == F.col("n_steps"), end).otherwise(F.lit("")))
+    execution = (F.when(form == 2, F.concat(said, F.lit(".")))
+                 .when(form == 3, F.concat(F.lit("We put "), s("q"), F.lit(" items to the "), s("prev"), F.lit(" items and hold "), s("shown"), F.lit(" items")))
+                 .when(style == 1, F.concat(F.lit("Sum: "), s("shown")))
+                 .when(style == 4, F.lit("The earlier total is carried on to the next line."))
+                 .otherwise(full))
+    slow = F.when(hash8("slow", "problem_id") % 20 == 0, 6).otherwise(1)
     return att.select("problem_id", "step_number", "n_steps", "attempt", "prev", "q", "run", "shown",
                       execution.alias("execution"), "wrong",
-                      (F.lit(5) + hash8("dur", *keys) % 20).cast("bigint").alias("duration_s"))
+                      ((F.lit(5) + hash8("dur", *keys) % 20) * slow).cast("bigint").alias("duration_s"))
 
 
 def _build_critiques_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
