@@ -248,17 +248,3 @@ def sft_planner(spark, sf):
     """Generated plans with >= 2 parsed steps, as instruction/input/output rows."""
     ex = _plan_examples(spark, sf).where(F.size("steps") >= 2).withColumn("source", F.lit(PLAN_SOURCE))
     return _sft_planner_rows(spark, sf, ex)
-
-
-@register("plan_truncation", with_fixtures(
-    f"""SELECT truncated, count(*) AS plans, round(count(*) / sum(count(*)) OVER (), 6) AS share,
-          round(avg(words), 6) AS avg_words
-        FROM (SELECT {S.word_count('plan')} >= {PLAN_TOKEN_LIMIT} AS truncated, {S.word_count('plan')} AS words
-              FROM plans_fx) GROUP BY truncated""", "plans_fx"))
-def plan_truncation(spark, sf):
-    """plans whose length reaches the planner token limit (tokens re-aimed as words)."""
-    p = fx.plans_fx(spark, sf).select(TX.word_count("plan").alias("words"))
-    g = p.groupBy((F.col("words") >= PLAN_TOKEN_LIMIT).alias("truncated")).agg(
-        F.count(F.lit(1)).alias("plans"), F.avg("words").alias("avg_words"))
-    total = p.agg(F.count(F.lit(1))).scalar()
-    return g.select("truncated", "plans", r6(F.col("plans") / total).alias("share"), r6("avg_words").alias("avg_words"))

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.functions.common import hash8, r6
-from tracekit.operators import gates
+from tracekit.functions.common import r6
+from tracekit.operators import gates, selection
 from tracekit.operators import positional as P
 from tracekit.operators.quota import clipped_quota
 from tracekit.plans.curation import PROBLEM_OUTCOME, _PLAN_ROWS, _plan_examples
@@ -23,7 +23,7 @@ SAMPLE_SIZE = 10
 HEAD_N = 100
 VALIDATOR_TARGET, VALIDATOR_WORD = 1200, "units"
 PARTS = (("half", 1, 2), ("third", 1, 3), ("quarter", 1, 4), ("rate30", 3, 10))
-SPLIT_SEED = "split"
+SPLIT, SPLIT_SEED = {"train": 0.8, "val": 0.1, "test": 0.1}, "split"
 
 _ACC = f"SELECT problem_id, question FROM problems_fx WHERE ({PROBLEM_OUTCOME}) = 'accepted'"
 _RANK = "SELECT *, row_number() OVER (ORDER BY problem_id) AS pos, count(*) OVER () AS n FROM acc"
@@ -115,13 +115,8 @@ def _split_sql(order: str, cuts: str) -> str:
 @register("shuffle_split", _split_sql(f"{H(SPLIT_SEED, 'problem_id')}, problem_id",
                                       "WHEN pos <= floor(n * 0.8) THEN 'train' WHEN pos <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test'"))
 def shuffle_split(spark, sf):
-    """H7: seeded shuffle (hash order) then exact floor sizes 0.8 / 0.1 / rest."""
-    acc = _accepted(spark, sf).withColumn("_h", hash8(SPLIT_SEED, "problem_id"))
-    r = P.ordinal(acc.select("problem_id", "_h"), ["_h", "problem_id"], total_col="n")
-    tr = F.floor(F.col("n") * 0.8)
-    va = tr + F.floor(F.col("n") * 0.1)
-    return r.select("problem_id", F.when(F.col("pos") <= tr, "train").when(F.col("pos") <= va, "val")
-                    .otherwise("test").alias("split"))
+    """H7: seeded shuffle (hash order) cut into exact floor sizes 0.8 / 0.1 / rest, by selection of the two cut keys."""
+    return selection.shuffle_split(_accepted(spark, sf).select("problem_id"), SPLIT, SPLIT_SEED, "problem_id")
 
 
 @register("positional_split", _split_sql("problem_id", "WHEN pos <= floor(0.9 * n) THEN 'train' ELSE 'eval'"))

@@ -50,7 +50,8 @@ FROM (
       WHEN 2 THEN 'Step ' || step_number || ': ' || t
       WHEN 3 THEN '- ' || t
       ELSE t || '.' END AS line
-  FROM (SELECT *, CASE WHEN problem_id % 7 = 0 THEN 'Calculate line ' ELSE 'Add line ' END || step_number || ' with ' || q || ' units to the total' AS t FROM steps_fx)
+  FROM (SELECT *, CASE WHEN problem_id % 7 = 0 THEN 'Calculate line ' ELSE 'Add line ' END || step_number || ' with ' || q || ' units to the total'
+      || CASE WHEN problem_id % 11 = 0 THEN ' and write the running total down before going on with the line after it' ELSE '' END AS t FROM steps_fx)
 ) GROUP BY problem_id""", ("steps_fx",)),
     "attempts_fx": (f"""
 SELECT problem_id, step_number, n_steps, attempt, prev, q, run, shown,

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracekit.functions.common import r6
 from tracekit.plans.curation import _SFT_PLANNER_SQL, _PLAN_ROWS, PLAN_SOURCE, _sft_planner_rows
 from tracekit.plans.registry import register
 from tracekit.plans.sql_fixtures import with_fixtures
 from tracekit.session import scratch_path
 from tracekit.sources import fixtures as fx
 from tracekit.streaming import ledger
-from tracekit.streaming.incremental import run_running_agg
+from tracekit.streaming.progress import EVERY, PROGRESS, run_progress
 
 
 @register("incremental_curation", with_fixtures("SELECT problem_id, instruction, input, output, source, num_steps FROM sftp",
@@ -35,19 +34,19 @@ def incremental_curation(spark, sf):
     return ledger.dataset(spark, root, "planner", schema).drop("batch")
 
 
-@register("live_progress", with_fixtures(
-    "SELECT module, count(*) AS results, count(*) FILTER (WHERE ok) AS successes, round(avg(CAST(ok AS DOUBLE)), 6) AS success_rate "
-    "FROM request_log_fx GROUP BY module", "request_log_fx"))
+@register("live_progress", with_fixtures(f"""
+SELECT run, module, results, successes FROM (
+  SELECT strftime(ts, '%Y-%m-%d') AS run, module, row_number() OVER w AS results, CAST(sum(CAST(ok AS INTEGER)) OVER w AS BIGINT) AS successes
+  FROM request_log_fx WINDOW w AS (PARTITION BY strftime(ts, '%Y-%m-%d'), module ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WHERE results % {EVERY} = 0""", "request_log_fx"))
 def live_progress(spark, sf):
-    """Request results arrive as files; running counts and success rate per module."""
+    """Request results arrive as files in order of completion (a run is a day); after every tenth result of a run and module, the
+    results and successes so far. The stream is stopped in the middle and started again."""
     src, sink, ck = scratch_path(spark, "j2-src"), scratch_path(spark, "j2-sink"), scratch_path(spark, "j2-ck")
-    log = fx.request_log_fx(spark, sf).select("request_id", "attempt", "module", "ok")
-    log.write.parquet(src)
-
-    def agg(stream):
-        return stream.groupBy("module").agg(F.count(F.lit(1)).alias("results"), F.count_if("ok").alias("successes"),
-                                            r6(F.avg(F.col("ok").cast("double"))).alias("success_rate"))
-
-    run_running_agg(spark, src, log.schema, agg, sink, ck,
-                    state_partitions=len(fx.MODULES))
-    return spark.read.parquet(sink)
+    log = fx.request_log_fx(spark, sf).select(F.date_format("ts", "yyyy-MM-dd").alias("run"), "module", "ts", "event_id", "ok")
+    middle = log.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    early = F.unix_micros(F.col("ts").cast("timestamp")) <= F.lit(middle)
+    for part in (early, ~early):
+        log.where(part).write.mode("append").parquet(src)
+        run_progress(spark, src, log.schema, sink, ck)
+    return spark.read.schema(PROGRESS).parquet(sink)

@@ -109,7 +109,8 @@ def _build_plans_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = steps_fx(spark, sf_dir)
     fmt = F.col("problem_id") % 5
     verb = F.when(F.col("problem_id") % 7 == 0, F.lit("Calculate line ")).otherwise(F.lit("Add line "))
-    text = F.concat(verb, s("step_number"), F.lit(" with "), s("q"), F.lit(" units to the total"))
+    text = F.concat(verb, s("step_number"), F.lit(" with "), s("q"), F.lit(" units to the total"),
+                    F.when(F.col("problem_id") % 11 == 0, F.lit(" and write the running total down before going on with the line after it")).otherwise(F.lit("")))
     line = (F.when(fmt == 0, F.concat(s("step_number"), F.lit(". "), text))
             .when(fmt == 1, F.concat(s("step_number"), F.lit(") "), text))
             .when(fmt == 2, F.concat(F.lit("Step "), s("step_number"), F.lit(": "), text))

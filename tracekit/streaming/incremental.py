@@ -1,29 +1,3 @@
-"""Structured Streaming form of the running counts (J2); the curation stream (J1) is in ``ledger``."""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+"""Settings that the incremental jobs share: the curation stream (J1, ``ledger``) and the progress of runs (J2, ``progress``)."""
 
 BYTES_PER_TRIGGER = 16 << 30
-
-
-def run_running_agg(spark: SparkSession, src: str, schema, aggregate: Callable[[DataFrame], DataFrame],
-                    sink: str, checkpoint: str, bytes_per_trigger: int = BYTES_PER_TRIGGER, state_partitions: int = 8) -> None:
-    """Running aggregate over a file stream in complete mode; every micro-batch replaces the
-    small result table in ``sink`` (the aggregate state lives in the checkpoint).
-
-    The state store has as many partitions as the shuffle had when the query first
-    started (recorded in the checkpoint); a few-key aggregate gets a few partitions.
-    """
-    own = spark.newSession()  # its shuffle setting is not seen by other queries
-    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    stream = own.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(src)
-
-    def publish(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
-
-    q = (aggregate(stream).writeStream.outputMode("complete").foreachBatch(publish)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
