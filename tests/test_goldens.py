@@ -139,3 +139,30 @@ def test_resolve_attempts_cases(spark):
                                      "execution string, duration_s long")
     got = {r.problem_id: (r.chosen_attempt, r.corrections, r.success) for r in loop.resolve_attempts(df).collect()}
     assert got == {1: (3, 2, True), 2: (3, 2, False), 3: (1, 0, True)}
+
+
+@pytest.mark.parametrize("row,outcome", [
+    (("i", "x", "long enough", None, None), "accepted"), (("i", "x", "abc", None, None), "output"), (("i", None, "long enough", None, None), "output"),
+    ((None, None, None, "q", "long enough"), "accepted"), ((None, None, None, "q", "abc"), "answer"), ((None, None, None, "q", None), "answer"),
+    ((None, None, None, None, "answer only"), "no_format")])
+def test_sft_gate_rejections(spark, row, outcome):
+    from tracekit.operators import gates
+    df = spark.createDataFrame([row], "instruction string, input string, output string, question string, answer string")
+    rules = gates.sft_rules(F.col("instruction").isNotNull(), F.col("question").isNotNull())
+    assert df.select(F.coalesce(gates.first_failure(rules), F.lit("accepted"))).first()[0] == outcome
+
+
+@pytest.mark.parametrize("execution,step,outcome", [
+    ("We add 3 and 4 to get seven units", "Add the two numbers", "accepted"), ("Sum: 7", "Add the two numbers", "execution"),
+    ("There is nothing to be counted in this line.", "Calculate the total", "math_content"), ("We add 3 and 4 to get seven units", "Add", "step")])
+def test_execution_gate_rejections(spark, execution, step, outcome):
+    from tracekit.operators import gates
+    df = spark.createDataFrame([("How many units are there in all?", step, execution)], "question string, step_description string, execution string")
+    assert df.select(F.coalesce(gates.first_failure(gates.execution_rules()), F.lit("accepted"))).first()[0] == outcome
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("so we have 4 and then 5", "4"), ("The answer: 3\nresult 8 items", "8"), ("a = 5. b = 7, c", "7"), ("we hold 12 people and 3 dogs", "12"),
+    ("only 9 and 10", "10"), ("nothing", TX.FALLBACK_ANSWER), ("x = 5\n", "5")])
+def test_final_answer_families(spark, text, expected):
+    assert one(spark, text, TX.final_answer_text) == expected

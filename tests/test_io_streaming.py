@@ -19,6 +19,23 @@ def test_jsonl_and_csv_round_trip(spark):
         assert got == [(1, "Étienne dit: «oui»", "a\nb, \"c\""), (2, "plain", "")]
 
 
+def test_json_array_and_blank_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": 1, "name": "é"},\n {"id": 2, "name": null}]', encoding="utf-8")
+    (tmp_path / "b.jsonl").write_text('{"id": 1, "name": "é"}\n\n{"id": 2, "name": null}\n', encoding="utf-8")
+    for fmt, name in (("json", "a.json"), ("jsonl", "b.jsonl")):
+        got = R.read_records(spark, str(tmp_path / name), fmt, "id bigint, name string").collect()
+        assert sorted((r.id, r.name) for r in got) == [(1, "é"), (2, None)]
+    with pytest.raises(ValueError):
+        R.read_records(spark, str(tmp_path / "a.json"), "xml", "id bigint")
+
+
+def test_problems_by_split(spark, tmp_path):
+    R.write_records(spark.createDataFrame([("q", "a #### 1")], "question string, answer string"), str(tmp_path / "train"), "jsonl")
+    assert [tuple(r) for r in R.read_problems(spark, str(tmp_path)).collect()] == [("q", "a #### 1")]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        R.read_problems(spark, str(tmp_path), "test").collect()
+
+
 def test_precheck_reports_missing_columns(spark):
     df = spark.createDataFrame([("i", "o")], "instruction string, output string")
     got = {r.check: r.ok for r in R.training_precheck(df, ["instruction", "input", "output"], 1).collect()}

@@ -13,7 +13,9 @@ from tracekit.plans import sqlfn as S
 from tracekit.plans.base import accepted_problems
 from tracekit.plans.registry import register
 from tracekit.plans.sql_fixtures import with_fixtures
+from tracekit.session import scratch_path
 from tracekit.sources import fixtures as fx
+from tracekit.sources import records as R
 
 PROBLEM_OUTCOME = """CASE
   WHEN question IS NULL OR question = '' OR answer IS NULL OR answer = '' THEN 'empty'
@@ -30,9 +32,16 @@ FROM problems_fx WHERE ({PROBLEM_OUTCOME}) = 'accepted'"""
 
 
 # A1 -------------------------------------------------------------------------
-@register("read_problems", with_fixtures("SELECT problem_id, question, answer FROM problems_fx", "problems_fx"))
+@register("read_problems", with_fixtures(
+    "SELECT problem_id, question, answer, CASE WHEN problem_id % 10 = 3 THEN 'test' ELSE 'train' END AS split FROM problems_fx", "problems_fx"))
 def read_problems(spark, sf):
-    return fx.problems_fx(spark, sf).select("problem_id", "question", "answer")
+    """A1: the problem set lies as JSON lines by split; each split is read by its name."""
+    path, own = scratch_path(spark, "problem-set"), F.when(F.col("problem_id") % 10 == 3, "test").otherwise("train")
+    p = fx.problems_fx(spark, sf).select("problem_id", "question", "answer")
+    for split in ("train", "test"):
+        R.write_records(p.where(own == split), f"{path}/{split}", "jsonl")
+    rows = [R.read_problems(spark, path, s, schema="problem_id bigint, question string, answer string").withColumn("split", F.lit(s)) for s in ("train", "test")]
+    return rows[0].unionByName(rows[1])
 
 
 # B1 -------------------------------------------------------------------------
@@ -226,6 +235,21 @@ def plan_issues(spark, sf):
                     gates.plan_is_valid(issues).alias("is_valid"))
 
 
+@register("plan_issue_labels", with_fixtures("""
+SELECT p.problem_id, l.label FROM plans_fx p LEFT JOIN (
+    SELECT problem_id, count(*) AS ns, bool_and(step_number IS NOT NULL AND step_number = pos) AS seq FROM rr GROUP BY problem_id) r USING (problem_id)
+  CROSS JOIN (VALUES ('No steps generated'), ('Plan may be too simple (< 2 steps)'), ('Plan may be too complex (> 8 steps)'),
+    ('Steps are not sequentially numbered')) l(label)
+  WHERE CASE l.label[1:12] WHEN 'No steps gen' THEN coalesce(ns, 0) = 0 WHEN 'Plan may be ' THEN CASE WHEN contains(l.label, 'simple') THEN ns = 1 ELSE ns > 8 END
+    ELSE ns > 0 AND NOT seq END
+UNION ALL
+SELECT problem_id, 'Step ' || step_number || ' description is too brief' FROM rr WHERE length(description) < 10""", "plans_fx", extra={"rr": _RUNTIME_ROWS}))
+def plan_issue_labels(spark, sf):
+    """The issues of every runtime plan, a row each."""
+    p = base.parsed_plans(spark, sf).select("problem_id", F.col("runtime").alias("steps"))
+    return p.select("problem_id", F.explode(gates.plan_issues("steps")).alias("label"))
+
+
 def _sft_planner_rows(spark, sf, examples):
     out = F.regexp_replace(F.array_join(F.transform("steps", lambda x: F.concat(
         x["step_number"].cast("string"), F.lit(". "), x["description"])), "\n"), r"^\s+|\s+$", "")

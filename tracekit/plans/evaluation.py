@@ -139,6 +139,30 @@ def execution_facts(spark, sf):
     return execution_facts_df(spark, sf).drop("step_description", "execution")
 
 
+def _triples_sql():
+    from tracekit.functions.execution import CALC_PATTERNS
+    rows = " UNION ALL ".join(f"SELECT problem_id, pos, '{op}' AS op, unnest(list_zip(" + ", ".join(
+        f"regexp_extract_all(execution, {S.q(p)}, {g})" for g in (1, 2, 3)) + ")) AS z FROM exc" for op, p in CALC_PATTERNS)
+    return f"SELECT problem_id, pos, op, z[1] AS a, z[2] AS b, z[3] AS c FROM ({rows})"
+
+
+@register("execution_triples", with_fixtures(_triples_sql(), *_EX_FIX, extra=_EX_CTES))
+def execution_triples(spark, sf):
+    """T5 (C17): every printed ``a op b = c`` of an execution as a row."""
+    e = exec_candidates(spark, sf).select("problem_id", "pos", F.explode(EX.calculations("execution")).alias("z"))
+    return e.select("problem_id", "pos", "z.op", "z.a", "z.b", "z.c")
+
+
+@register("execution_numbers", with_fixtures(r"""
+SELECT problem_id, step_number, i AS idx, CAST(ns[i] AS DOUBLE) AS number FROM (
+  SELECT problem_id, step_number, ns, unnest(range(1, len(ns) + 1)) AS i FROM (
+    SELECT problem_id, step_number, regexp_extract_all(execution, '([+-]?\d+(?:\.\d+)?)', 1) AS ns FROM attempts_fx WHERE attempt = 1))""", "attempts_fx"))
+def execution_numbers(spark, sf):
+    """Every signed number of an evaluated execution, in order."""
+    a = base.first_executions(spark, sf).select("problem_id", "step_number", F.posexplode(TX.extract_numbers("execution")).alias("idx", "number"))
+    return a.withColumn("idx", (F.col("idx") + 1).cast("bigint"))
+
+
 # B3 ---------------------------------------------------------------------------
 _B3_OUTCOME = """CASE
   WHEN question IS NULL OR question = '' OR length(question) < 20 THEN 'question'
@@ -283,6 +307,16 @@ def context_hits(spark, sf) -> DataFrame:
     return fx.materialized(spark, sf, "context_hits", lambda: _build_hits(spark, sf), fx.STEP_KEY)
 
 
+def eval_contexts(spark, sf) -> DataFrame:
+    """``problem_id, step_number, execution, context`` of the evaluated steps: the context is problem, plan and all earlier executions."""
+    a = base.first_executions(spark, sf).select("problem_id", "step_number", "execution").join(
+        base.step_truth(spark, sf).select("problem_id", "step_number"), ["problem_id", "step_number"])
+    a = a.withColumn("before", loop.context_prefix(a, "execution", sep="\n"))
+    q = fx.problems_fx(spark, sf).select("problem_id", "question").join(fx.plans_fx(spark, sf), "problem_id")
+    head = F.concat(F.lit("Problem: "), F.col("question"), F.lit("\n\nPlan:\n"), F.col("plan"), F.lit("\n\n"))
+    return a.join(q, "problem_id").select("problem_id", "step_number", "execution", F.concat(head, "before").alias("context"))
+
+
 def eval_steps(spark, sf) -> DataFrame:
     """T6 rows: the evaluator's single execution per step with its scores; all sides lie by problem and step."""
     a = base.first_executions(spark, sf).select("problem_id", "step_number", "n_steps", "execution")

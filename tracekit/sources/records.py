@@ -19,6 +19,12 @@ def read_records(spark: SparkSession, path: str, fmt: str, schema: StructType |
     raise ValueError(f"Unsupported format: {fmt}")
 
 
+def read_problems(spark: SparkSession, path: str, split: str = "train", fmt: str = "jsonl",
+                  schema: StructType | str = "question string, answer string") -> DataFrame:
+    """A1: the rows of one split, a file or folder ``<path>/<split>``; a missing split raises."""
+    return read_records(spark, f"{path.rstrip('/')}/{split}", fmt, schema)
+
+
 def write_records(df: DataFrame, path: str, fmt: str, mode: str = "overwrite") -> None:
     """A3: UTF-8 JSON lines or CSV with header; non-ASCII text is written as is."""
     if fmt == "jsonl":
