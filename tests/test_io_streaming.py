@@ -131,3 +131,6 @@ def test_stream_stops_at_target_also_after_restart(spark):
     assert done.total >= 300 and done.last_batch == 2
     assert run() == done
     assert ledger.dataset(spark, root, "m", ROWS).count() == done.total
+    # a higher target goes on with the files that are left: none was passed over
+    more = ledger.run_module(spark, root, "m", src, data.schema, lambda d: d, ck, target=10_000, files_per_trigger=1)
+    assert more.total == data.count() == ledger.dataset(spark, root, "m", ROWS).select("k").distinct().count()

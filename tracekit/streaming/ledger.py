@@ -95,6 +95,10 @@ def append_batches(spark: SparkSession, root: str, module: str, batches: Iterabl
     return now
 
 
+class Paused(Exception):
+    """Raised for batches that arrive after a run has ended."""
+
+
 def run_module(spark: SparkSession, root: str, module: str, src: str, schema, transform: Callable[[DataFrame], DataFrame],
                checkpoint: str, target: int | None = None, bytes_per_trigger: int = BYTES_PER_TRIGGER,
                files_per_trigger: int | None = None, batches: int | None = None, between: Callable[[], None] = lambda: None) -> Progress:
@@ -111,10 +115,11 @@ def run_module(spark: SparkSession, root: str, module: str, src: str, schema, tr
     seen = {"batches": 0, "done": False}
 
     def write(df: DataFrame, batch: int) -> None:
-        if not seen["done"]:
-            seen["done"] = commit_batch(transform(df), root, module, batch, target, between).done(target)
-            seen["batches"] += 1
-            seen["done"] |= batches is not None and seen["batches"] >= batches
+        if seen["done"]:
+            raise Paused  # the stream must not count a batch as done that is not written; it comes again at the next start
+        done = commit_batch(transform(df), root, module, batch, target, between).done(target)
+        seen["batches"] += 1
+        seen["done"] = done or (batches is not None and seen["batches"] >= batches)
 
     q = stream.parquet(src).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
