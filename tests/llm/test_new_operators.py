@@ -165,3 +165,24 @@ def test_written_shards(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "shards"))[-10:] == sorted(f"shard={k}" for k in range(10))
     slots = out.groupBy("shard").agg(F.sort_array(F.collect_list("slot")).alias("s")).collect()
     assert all(r.s == list(range(len(r.s))) and len(r.s) in (9, 10) for r in slots)
+
+
+def test_near_blocks(spark, monkeypatch):
+    """A large group of near copies in blocks against blocks, with pairs on both sides of the threshold."""
+    import brute as old
+    from tracekit.llm import near_dedup
+    monkeypatch.setattr(near_dedup, "MEMBERS", 7)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 16)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    data = []
+    for k in range(220):
+        w = list(words)
+        for _ in range(rng.choice([1, 1, 2, 2, 3])):
+            w[rng.randrange(60)] = f"x{rng.randrange(400)}"
+        data.append((k, " ".join(w)))
+    data += [(1000 + k, " ".join(rng.choices(words, k=30))) for k in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, df).collect()}
+    assert got == {i: c for i, _, c, _ in old.near(data)}
+    assert len(set(got.values())) > 10

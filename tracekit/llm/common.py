@@ -8,6 +8,7 @@ clash with an operator's output columns.
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -50,7 +51,23 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     ship(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return read_back(spark, df, path)
+    out = read_back(spark, df, path)
+    out._scratch = path
+    return out
+
+
+def forget(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of plans that are gone.
+
+    Only for tables whose successors are written: a task that is run again never needs them.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for t in tables:
+        if t is not None:
+            path = jvm.org.apache.hadoop.fs.Path(t._scratch)
+            path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def read_back(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Every step is a partial aggregate (the least neighbour of a node) and an equi-join
 back; edges are cut to a written table after each round, so lost executors
-cost one step. Nothing is collected: rounds end as soon as the edges are stars.
+cost one step, and the table of the round before goes. Nothing is collected: rounds end as soon as the edges are stars.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracekit.llm.common import written
+from tracekit.llm.common import forget, written
 
 
 def _at_rest(e: DataFrame) -> bool:
@@ -34,7 +34,10 @@ def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b"
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = written(spark, small.where("u != v").distinct(), name)
+        before, e = e, written(spark, small.where("u != v").distinct(), name)
+        forget(spark, before)
     # at rest every node points to its component's least node
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    out = written(spark, e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
+        e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()), name)
+    forget(spark, e)
+    return out

@@ -9,10 +9,12 @@ components is verified on the full sets.
 A shingle that one class alone holds is in no intersection. Its count bounds the similarity of a class
 with any other, exactly, before a pair is made; copies with many edits leave the buckets that way.
 
-Within a bucket the pairs are not all made. Buckets of several bands together come first. Each round verifies a few pivots
-against the members outside their component; pivots, once tested, leave the bucket, and a
-bucket whose members are all connected is done. The number of pivots grows fourfold, so the
-number of rounds is logarithmic in the largest bucket and no link that banding finds is lost.
+Within a bucket the pairs are not made as rows. First every member meets one pivot of its bucket, in buckets of several
+bands together, then of single bands; that links most of a large group. Buckets that still hold several components go on
+with the shingle sets of their members: the largest component's members and the others are dealt into blocks, and a task
+tests one block against another, pairs of one component left out. It returns no more links than it needs to
+connect what it has found, so no link that banding finds is lost and nothing grows with the square of a bucket
+but the tests themselves, which are spread over the blocks.
 """
 
 from __future__ import annotations
@@ -25,15 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracekit.llm.common import id_text, row_count_at_most, tidy, written
+from tracekit.llm.common import forget, id_text, row_count_at_most, tidy, written
 from tracekit.llm.components import components
 
 SHINGLE = 4
 SIMILAR = 80                 # per cent
 BANDS, ROWS = 30, 5          # a pair at 0.8 is missed with probability (1 - 0.8**5) ** 30, about 7e-6
-#: (bands joined to one key, rounds): joined bands are selective, so nearly all pairs in them are links, and they connect
-#: most of a large group first. Single bands, which lose no link, go on until nothing is open.
-PLAN = ((3, 1), (2, 1), (1, None))
+#: Bands joined to one key, a round of pivots each: joined bands are selective, so nearly all pairs in them are links.
+PLAN = (3, 1)
+MEMBERS = 512                # of a bucket tested together with as many others
+COLUMNS = 2048               # shingles of a block counted at a time
 CACHED_WORDS = 100_000
 BLOCK = 1 << 15              # shingles hashed together, about what stays in a core's cache
 BROADCAST_DOCUMENTS = 200_000
@@ -203,11 +206,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                common = int((q[at] == p).sum())
+                common = _in_both(p, q)
                 keep.append(100 * common >= similar * (len(p) + len(q) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
         tidy()
@@ -221,7 +220,7 @@ def _several(members: DataFrame, of: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, docs, classes, shingle, similar, id_col, text_col) -> DataFrame | None:
-    """Written ``node, comp`` of the classes that have a link; None when no bucket has two classes."""
+    """Written ``node, comp`` of the classes that have a link; None when there is none."""
     keyed = classes.select("cls", F.explode("bands").alias("key"))
     wanted = keyed.join(_several(keyed, "cls"), "key").select("cls").distinct()
     wanted = written(spark, classes.join(wanted, "cls").withColumn("num", F.monotonically_increasing_id()), "wanted")
@@ -232,51 +231,171 @@ def _links(spark: SparkSession, docs, classes, shingle, similar, id_col, text_co
     able = wanted.join(_alone(sets), "num", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))) \
         .where(F.col("most") * 100 >= F.col("n") * similar).select("cls", "rep", "n", "most", "bands")
     able = written(spark, able, "able")
-    tested = labels = None
-    for joined, rounds in PLAN:
-        keys = F.col("bands") if joined == 1 else F.transform(
-            F.sequence(F.lit(0), F.lit(BANDS - joined), F.lit(joined)),
-            lambda i: F.xxhash64(i, *[F.get("bands", i + k) for k in range(joined)]))
-        rows = able.select("cls", "rep", "n", "most", F.explode(keys).alias("key"))
-        open_members = _still_open(spark, rows, labels)
-        pivots = 1
-        while not open_members.isEmpty():
-            salt = F.pmod(F.xxhash64("cls"), F.lit(pivots))
-            chosen = open_members.groupBy("key", salt.alias("salt")).agg(
-                F.min(F.struct("rep", "cls", "n", "most", "comp")).alias("p")).select("key", "p")
-            met = open_members.join(chosen, "key").where(
-                (F.col("p.comp") != F.col("comp"))
-                & (F.least("p.most", "most") * (100 + similar) >= (F.col("p.n") + F.col("n")) * similar))
-            pairs = met.select(F.least("p.cls", "cls").alias("a"), F.greatest("p.cls", "cls").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = written(spark, pairs, "pairs")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            found = written(spark, _verified(pairs, sets, similar), "links")
-            if not found.isEmpty():  # new links join the old labels
-                edges = found if labels is None else found.unionByName(
-                    labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-                labels = components(spark, edges)
-            rounds = None if rounds is None else rounds - 1
-            if rounds == 0:
-                break
-            rest = open_members.join(chosen.select("key", F.col("p.cls").alias("cls")), ["key", "cls"], "left_anti")
-            open_members = _still_open(spark, rest.drop("comp"), labels)
-            pivots *= 4
-    return labels
-
-
-def _still_open(spark: SparkSession, members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Written members (with ``comp``) of the buckets that still hold several components."""
+    forget(spark, wanted)
+    labels = None
+    for joined in PLAN:
+        members = _still_open(spark, able, joined, labels)
+        chosen = members.groupBy("key").agg(F.min(F.struct("rep", "cls", "n", "most", "comp")).alias("p"))
+        met = members.join(chosen, "key").where(
+            (F.col("p.comp") != F.col("comp"))
+            & (F.least("p.most", "most") * (100 + similar) >= (F.col("p.n") + F.col("n")) * similar))
+        pairs = met.select(F.least("p.cls", "cls").alias("a"), F.greatest("p.cls", "cls").alias("b")).distinct()
+        found = written(spark, _verified(pairs, sets, similar), "links")
+        forget(spark, members)
+        labels = _relabelled(spark, labels, found)
+    members = _still_open(spark, able, 1, labels)
+    found = written(spark, _block_links(members, sets, similar), "links")
+    forget(spark, members, sets, able)
+    return _relabelled(spark, labels, found)
+
+
+def _still_open(spark: SparkSession, able: DataFrame, joined: int, labels: DataFrame | None) -> DataFrame:
+    """Written ``key, cls, rep, n, most, comp`` of the buckets that hold several components."""
+    keys = F.col("bands") if joined == 1 else F.transform(
+        F.sequence(F.lit(0), F.lit(BANDS - joined), F.lit(joined)),
+        lambda i: F.xxhash64(i, *[F.get("bands", i + k) for k in range(joined)]))
     if labels is None:
-        m = members.withColumn("comp", F.col("cls"))
+        own = able.withColumn("comp", F.col("cls"))
     else:
-        m = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left") \
-            .withColumn("comp", F.coalesce("comp", "cls"))
-    m = m.select("key", "cls", "rep", "n", "most", "comp")
+        own = able.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    m = own.select("cls", "rep", "n", "most", "comp", F.explode(keys).alias("key"))
     return written(spark, m.join(_several(m, "comp"), "key"), "members")
 
 
+def _relabelled(spark: SparkSession, labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
+    """Labels after new links ``a, b``: components of the labels, not of all classes, then one join. ``found`` goes."""
+    if found.isEmpty():
+        forget(spark, found)
+        return labels
+    if labels is None:
+        out = components(spark, found)
+        forget(spark, found)
+        return out
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    edges = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    moved = components(spark, edges)
+    now = labels.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("_now")), "comp", "left") \
+        .select("node", F.coalesce("_now", "comp").alias("comp"))
+    new = moved.join(labels.select("node"), "node", "left_anti")
+    out = written(spark, now.unionByName(new.select("node", "comp")), "labels")
+    forget(spark, found, moved, labels)
+    return out
+
+
+def _block_links(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """``a, b``: links that connect what is similar in the buckets of ``members``, from tests of blocks against blocks."""
+    by_comp = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.max("c").alias("n_big"), F.sum("c").alias("n_all"))
+    blocks = lambda n: F.ceil(n / MEMBERS).cast("int")
+    m = members.join(sizes, "key").withColumns({
+        "is_big": F.col("comp") == F.col("big"), "n_g": blocks(F.col("n_big")), "n_o": blocks(F.col("n_all") - F.col("n_big"))})
+    m = m.withColumn("block", F.pmod(F.xxhash64("cls", "key"), F.when(F.col("is_big"), F.col("n_g")).otherwise(F.col("n_o"))).cast("int"))
+    group = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    b = F.col("block")
+    groups = F.when(F.col("n_all") <= MEMBERS, F.array(group("all", F.lit(0), F.lit(0)))) \
+        .when(F.col("is_big"), F.transform(upto("n_o"), lambda i: group("big", i, b))) \
+        .otherwise(F.concat(F.transform(upto("n_g"), lambda j: group("big", b, j)),
+                            F.transform(upto("n_o"), lambda k: group("others", F.least(b, k), F.greatest(b, k)))))
+    rows = m.select("cls", "comp", "n", "most", "is_big", "block", "key", F.explode(groups).alias("g")) \
+        .select("cls", "comp", "n", "most", "is_big", "block", "key", "g.kind", "g.i", "g.j")
+    names = ["key", "kind", "i", "j"]
+    dealt = rows.join(sets.select("cls", "members"), "cls").repartition(*names).sortWithinPartitions(*names) \
+        .select(*names, "cls", "comp", "n", "most", "is_big", "block", "members")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []      # the group that may go on in the next batch
+        now = None
+        for batch in batches:
+            ids = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+            cuts = [k for k in range(1, len(ids)) if ids[k] != ids[k - 1]]
+            for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
+                if ids[lo] != now:
+                    if held:
+                        yield _connect(now, pa.Table.from_batches(held), similar)
+                    held, now = [], ids[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield _connect(now, pa.Table.from_batches(held), similar)
+        tidy()
+
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _connect(group: tuple, rows: pa.Table, similar: int) -> pa.RecordBatch:
+    """Links between the two blocks of a group that join different components, a spanning forest of them."""
+    kind, i, j = group[1:]
+    cls, comp = rows.column("cls").to_pylist(), rows.column("comp").to_pylist()
+    n, most = rows.column("n").to_numpy(), rows.column("most").to_numpy()
+    number: dict[bytes, int] = {}
+    of = np.array([number.setdefault(c, len(number)) for c in comp])
+    block, big = rows.column("block").to_numpy(), rows.column("is_big").to_numpy(zero_copy_only=False)
+    if kind == "big":
+        first, second = np.flatnonzero(~big), np.flatnonzero(big)
+    elif i != j:
+        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    else:
+        first = second = np.arange(len(cls))
+    open_pair = (of[first][:, None] != of[second][None, :]) & (
+        np.minimum(most[first][:, None], most[second][None, :]) * (100 + similar) >= (n[first][:, None] + n[second][None, :]) * similar)
+    if first is second:
+        open_pair &= np.arange(len(cls))[:, None] < np.arange(len(cls))[None, :]
+    sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in rows.column("members")]
+    x, y = np.nonzero(open_pair)
+    if len(x) > 4 * (len(first) + len(second)):
+        common = _common(sets, first, second)[x, y]
+    else:
+        common = np.array([_in_both(sets[first[p]], sets[second[q]]) for p, q in zip(x.tolist(), y.tolist())], np.int64)
+    x, y = first[x], second[y]
+    linked = 100 * common >= similar * (n[x] + n[y] - common)
+    x, y = x[linked], y[linked]
+    one = np.unique(of[x] * len(number) + of[y], return_index=True)[1]   # one link for each two components
+    root = list(range(len(number)))
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    links = []
+    for k in one.tolist():
+        p, q = find(of[x[k]]), find(of[y[k]])
+        if p != q:
+            root[p] = q
+            links.append(sorted((cls[x[k]], cls[y[k]])))
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())],
+                                      names=["a", "b"])
+
+
+def _in_both(p: np.ndarray, q: np.ndarray) -> int:
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    return int((q[at] == p).sum())
+
+
+def _common(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How many shingles each of ``first`` shares with each of ``second``, from products of 0/1 columns, COLUMNS at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shingles, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(first), len(second)), np.int64)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[a:b], column[a:b] - lo] = 1
+        out += (has[first] @ has[second].T).astype(np.int64)
+    return out
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, _h, n_shingles, component_id, kept``.
@@ -299,6 +418,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     else:
         own = own.withColumnRenamed("id", "component_id")
     own = written(spark, own, "class-components")
+    forget(spark, classes, labels)
     out = rows.drop("bands").join(own, "cls", "left")
     comp = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "_h", "n_shingles", comp.alias("component_id"),
