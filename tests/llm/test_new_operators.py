@@ -186,3 +186,86 @@ def test_near_blocks(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, df).collect()}
     assert got == {i: c for i, _, c, _ in old.near(data)}
     assert len(set(got.values())) > 10
+
+
+def test_quality_bounds_are_those_of_the_groups(spark):
+    """``kept`` against exact quantiles: outside the rank error of the sketches the verdict must be theirs."""
+    import math
+
+    import numpy as np
+
+    from tracekit.llm import quality
+    docs = table(spark, "documents").collect()
+    kept = {r.doc_id: r.kept for r in queries.op10_quality(spark, SF).collect()}
+    rows = {}
+    for d in docs:
+        n, wc, sy, dup, rep, lines = quality.measure(d.text)
+        if n >= 50 and 100 * rep <= 50 * n:
+            share = lambda a, b: math.log((a + 1) / (b + 1))
+            rows[d.doc_id] = (d.lang, d.source, (share(sy, wc), share(dup, lines), share(rep, n), wc / n))
+        else:
+            assert not kept[d.doc_id]
+    own, by_lang = {}, {}
+    for lang, source, v in rows.values():
+        own.setdefault((lang, source), []).append(v)
+        by_lang.setdefault(lang, []).append(v)
+    sure = floors = bounds = rejected = 0
+    for i, (lang, source, v) in rows.items():
+        group = next(np.array(g) for g in (own[lang, source], by_lang[lang], [x for _, _, x in rows.values()]) if len(g) >= quality.MIN_GROUP)
+        verdicts = []
+        for slack in (-0.02, 0.02):          # tightest and loosest bounds within the rank error
+            ok = True
+            for k, (side, times, least) in enumerate(quality.RATIOS.values()):
+                q = lambda r: np.quantile(group[:, k], r)
+                low, high = q(0.25 - slack), q(0.75 + slack)
+                spread = times * max(high - low, least)
+                bounds, floors = bounds + 1, floors + (high - low < least)
+                ok &= v[k] <= high + spread and (side == "high" or v[k] >= low - spread)
+            verdicts.append(ok)
+        if verdicts[0] == verdicts[1]:
+            sure += 1
+            assert kept[i] == verdicts[0], (i, v)
+            rejected += not verdicts[0]
+    assert sure > 0.95 * len(rows) and rejected > 20 and floors < 0.02 * bounds
+    fixed = {i for i, (_, _, v) in rows.items() if v[0] <= math.log(0.05)}
+    assert fixed != {i for i in rows if kept[i]}     # no one rule for all groups
+
+
+def test_packing_cuts(spark):
+    """Few cuts in mid-sentence, and a chunk's end is no cut."""
+    import numpy as np
+
+    from tracekit.llm import packing
+    rng = np.random.default_rng(2)
+    size = 50_000
+    ends = np.flatnonzero(rng.random(size) < 1 / 25)
+    doc_ends = np.flatnonzero(rng.random(size) < 1 / 700) + 1
+    at, penalty = packing.cut_points(np.isin(np.arange(size), ends), doc_ends, size, 1024)
+    cost = dict(zip(at.tolist(), penalty.tolist()))
+    cuts = packing.best_cuts(at, penalty, 1024)
+    assert sum(cost[c] == packing.TRUNCATION for c in cuts) < 0.05 * len(cuts)
+    assert max(np.diff(cuts)) <= 1024
+
+
+def test_packing_over_chunk_ends(spark, monkeypatch):
+    from tracekit.llm import packing, token_counts
+    monkeypatch.setattr(packing, "CHUNK", 1 << 14)      # some 70 chunks
+    docs = table(spark, "documents").select("doc_id", "text").coalesce(1)
+    whole = packing.pack_documents(docs, token_counts.default_vocabulary()).collect()
+    used, padded = sum(r.length for r in whole), sum({r.sequence_id: r.padded for r in whole}.values())
+    assert padded < 1.015 * used
+    filled = {r.sequence_id: 0 for r in whole}
+    for r in whole:
+        filled[r.sequence_id] += r.length
+    size = {r.sequence_id: r.padded for r in whole}
+    assert sum(size[k] - n > 300 for k, n in filled.items()) <= 1   # only the end of the rows may leave a window half empty
+
+
+def test_line_dedup_runs_of_several_lines(spark):
+    """The query's floor makes runs of several short lines, which take doubling."""
+    from tracekit.llm import line_dedup
+    d = line_dedup._lines(table(spark, "documents"), "doc_id", "text")
+    twice = d.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("l1", "l2")
+    rows = d.join(twice, ["l1", "l2"]).groupBy("doc_id", "_h").agg(F.array_sort(F.collect_list(F.struct("no", "words"))).alias("r"))
+    w = line_dedup._windows(rows.select("doc_id", "_h", F.col("r.no").alias("nos"), F.col("r.words").alias("words")), queries.LINE_WORDS)
+    assert w.where("size > 1").count() > 0

@@ -311,10 +311,10 @@ def test_line_dedup_query_takes_short_lines(spark, tmp_path):
     data = [(k, "\n".join([random.choice(some) for _ in range(12)] + [f"only {k}"])) for k in range(10)]
     frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
     out = {r.doc_id: r for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
-    want = brute.line_runs(data, 1)
+    want = brute.line_runs(data, queries.LINE_WORDS)
     for i, (n, gone, kept) in want.items():
         assert (out[i].n_lines, out[i].n_removed, out[i].kept_sha256) == (n, gone, brute.sha(kept)), i
-    left = [line for _, _, kept in want.values() for line in kept.split("\n") if line.split()]
+    left = [line for _, _, kept in want.values() for line in kept.split("\n") if len(line.split()) >= queries.LINE_WORDS]
     assert len(left) == len(set(left))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracekit.llm.common import id_text, partitions, row_count_at_most, slices, tidy, written
+from tracekit.llm.common import forget, id_text, partitions, row_count_at_most, slices, tidy, written
 
 MIN_WORDS = 50
 BROADCAST_LINES = 200_000
@@ -100,12 +100,13 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     ``_h`` is the hash of the text. Order is by id (null last), text hash, line number. Rows that
     repeat both id and text are one document: all lose the same lines.
     """
-    lines = _lines(docs, id_col, text_col)
+    lines = written(spark, _lines(docs, id_col, text_col), "lines")
     counts = lines.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("l1", "l2")
     rank0 = _ranked(spark, counts, "l1", "l2")
     if row_count_at_most(rank0, BROADCAST_LINES):
         rank0 = F.broadcast(rank0)
     level = written(spark, lines.join(rank0, ["l1", "l2"]).select("doc_id", "_h", "no", "words", "rank"), "level")
+    forget(spark, lines)
     by_doc = level.groupBy("doc_id", "_h").agg(F.array_sort(F.collect_list(F.struct("no", "words"))).alias("r"))
     windows = written(spark, _windows(by_doc.select("doc_id", "_h", F.col("r.no").alias("nos"), F.col("r.words").alias("words")),
                                       min_words), "windows")

@@ -26,8 +26,8 @@ from tracekit.llm.common import id_text
 from tracekit.llm.token_counts import SPLIT, byte_alphabet
 
 CHUNK = 1 << 18              # tokens solved together; a task holds one chunk at a time
-GRID = 16                    # truncation candidates inside sentences
-WINDOW_COST, SENTENCE_CUT, TRUNCATION = 8, 1, 4
+GRID, LONG = 16, 32          # truncation candidates inside sentences of more than LONG tokens
+WINDOW_COST, SENTENCE_CUT, TRUNCATION = 8, 1, 64
 SENTENCE_END = re.compile(rb"[.!?\n][\"')\]]*\s*$")
 
 PIECE_COLUMNS = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
@@ -62,12 +62,14 @@ _TOKENS: dict[str, Tokens] = {}
 def cut_points(ends: np.ndarray, doc_ends: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate cuts (token offsets, 0 and ``size`` included) and their penalties."""
     penalty = np.full(size + 1, -1, np.int16)
-    grid = min(GRID, window)
-    penalty[::grid] = TRUNCATION
     penalty[1:][ends] = SENTENCE_CUT
     penalty[doc_ends] = 0
     penalty[0] = penalty[size] = 0
     at = np.flatnonzero(penalty >= 0)
+    grid = min(GRID, window)
+    for k in np.flatnonzero(np.diff(at) > min(LONG, window)).tolist():
+        penalty[at[k] + grid:at[k + 1]:grid] = TRUNCATION
+    at = np.flatnonzero(penalty >= 0)
     return at, penalty[at]
 
 
@@ -111,8 +113,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, id_col:
     Every document is its ids and then id 0 (null or empty text: id 0 alone), so
     each row yields at least one piece; repeated rows and null ids are packed like
     any other. Sequences never span tasks: each task packs its own rows in order, in
-    chunks of CHUNK tokens, so memory is bounded and a lost task is redone alone.
-    A document longer than a chunk goes on in the next one. ``sequence_id`` is unique.
+    chunks of CHUNK tokens, so memory is bounded and a lost task is redone alone. A chunk's last window stays open and begins the next
+    chunk, so only the end of a task's rows is a forced cut. A document longer than a chunk goes on in the next one. ``sequence_id`` is unique.
     """
     df = id_text(docs, id_col, text_col)
     id_type = df.schema["doc_id"].dataType.simpleString()
@@ -125,7 +127,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, id_col:
         held: list[tuple[object, int, int, np.ndarray]] = []  # id, first token's number, all tokens, ids
         size = 0
 
-        def solve(parts):
+        def solve(parts, last):
+            """Pieces of the windows of ``parts``, and what is left open: the last window, unless these are the last parts."""
             nonlocal next_sequence
             ids = np.concatenate([p[3] for p in parts])
             total = len(ids)
@@ -133,7 +136,15 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, id_col:
             whole = np.array([b for b, p in zip(bounds[1:], parts) if p[1] + len(p[3]) == p[2]], np.int64)
             at, penalty = cut_points(tokens.ends[ids], whole, total, window)
             cuts = np.array(best_cuts(at, penalty, window))
-            first = np.union1d(bounds[:-1], cuts[:-1])
+            left = []
+            if not last and len(cuts) > 2:
+                cuts = cuts[:-1]
+                for (doc_id, begun, whole_size, part), lo in zip(parts, bounds):
+                    skip = max(0, int(cuts[-1]) - int(lo))
+                    if skip < len(part):
+                        left.append((doc_id, begun + skip, whole_size, part[skip:]))
+                total = int(cuts[-1])
+            first = np.union1d(bounds[:-1][bounds[:-1] < total], cuts[:-1])
             last = np.append(first[1:], total)
             doc = np.searchsorted(bounds, first, "right") - 1
             seq = np.searchsorted(cuts, first, "right") - 1
@@ -149,7 +160,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, id_col:
                        pa.array(padded[seq], pa.int64())]
             next_sequence += len(used)
             return pa.RecordBatch.from_arrays(
-                columns, names=["doc_id", *[c.split()[0] for c in PIECE_COLUMNS.split(", ")], "padded"])
+                columns, names=["doc_id", *[c.split()[0] for c in PIECE_COLUMNS.split(", ")], "padded"]), left
 
         for batch in batches:
             batch_id_type = batch.schema.field(0).type
@@ -162,9 +173,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, id_col:
                     done += len(part)
                     size += len(part)
                     if size >= CHUNK:
-                        yield solve(held)
-                        held, size = [], 0
+                        out, held = solve(held, False)
+                        size = sum(len(p[3]) for p in held)
+                        yield out
         if held:
-            yield solve(held)
+            yield solve(held, True)[0]
 
     return df.mapInArrow(run, f"doc_id {id_type}, {PIECE_COLUMNS}, padded long")

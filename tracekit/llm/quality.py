@@ -3,7 +3,7 @@
 Fixed base rules (too few words, mostly repeated words) reject a document
 outright. The other thresholds are not fixed: for each (language, source) a KLL
 quantile sketch of each ratio is built with partial aggregation, and a document
-is rejected when a ratio lies far outside its own group's middle. Groups with
+is rejected when a ratio lies several quartile ranges beyond its own group's quartiles. Groups with
 few documents use the merged sketch of their language, and that in turn the
 merged sketch of the corpus, so no document is left without a threshold.
 """
@@ -24,14 +24,14 @@ from tracekit.llm.common import row_count_at_most, ship, slices, tidy, written
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: ratio -> (side, distance from the middle that is always allowed)
+#: ratio -> (side, quartile ranges beyond the quartile that are allowed, least range): the least range only
+#: counts in groups whose quartiles are closer than it (as in a group of copies)
 RATIOS = {
-    "symbol_ratio": ("high", 0.05),
-    "dup_line_ratio": ("high", 0.45),
-    "repeat_ratio": ("high", 0.35),
-    "word_length": ("both", 3.0),
+    "symbols": ("high", 2.0, 0.2),
+    "dup_lines": ("high", 4.0, 0.2),
+    "repeats": ("high", 4.0, 0.2),
+    "word_length": ("both", 4.0, 0.1),
 }
-SPREADS = 6.0
 SKETCH_K = 400
 MIN_GROUP = 100
 BROADCAST_GROUPS = 50_000
@@ -88,9 +88,12 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _ratio_columns(m: str = "_m") -> dict[str, Column]:
-    per = lambda a, b: F.col(f"{m}.{a}") / F.greatest(F.col(f"{m}.{b}"), F.lit(1))
-    return {"symbol_ratio": per("n_symbols", "word_chars"), "dup_line_ratio": per("n_dup_lines", "n_lines"),
-            "repeat_ratio": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words")}
+    """What the sketches hold. Shares are the logarithm of (count + 1) / (whole + 1): most documents have no symbol and no
+    repeat, and a share of 0 says more the longer the document is; so the quartiles of a group differ and its own bound decides."""
+    share = lambda a, b: F.log((F.col(f"{m}.{a}") + 1) / (F.col(f"{m}.{b}") + 1))
+    return {"symbols": share("n_symbols", "word_chars"), "dup_lines": share("n_dup_lines", "n_lines"),
+            "repeats": share("n_repeat_words", "n_words"),
+            "word_length": F.col(f"{m}.word_chars") / F.greatest(F.col(f"{m}.n_words"), F.lit(1))}
 
 
 def base_failed(m: str = "_m") -> Column:
@@ -112,12 +115,13 @@ def fit_thresholds(spark: SparkSession, measured: DataFrame) -> DataFrame:
 
     def bounds(df: DataFrame, tag: str) -> DataFrame:
         out = []
-        for name, (side, slack) in RATIOS.items():
+        for name, (side, times, least) in RATIOS.items():
             q = lambda r: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(name, F.lit(r)))
-            mid, low, high = q(0.5), q(0.25), q(0.75)
-            out.append(F.greatest(mid + slack, mid + SPREADS * (high - mid)).alias(f"{name}_high"))
+            low, high = q(0.25), q(0.75)
+            spread = times * F.greatest(high - low, F.lit(least))
+            out.append((high + spread).alias(f"{name}_high"))
             if side == "both":
-                out.append(F.least(mid - slack, mid - SPREADS * (mid - low)).alias(f"{name}_low"))
+                out.append((low - spread).alias(f"{name}_low"))
         return df.select(*[c for c in ("_lang", "_source", "n") if c in df.columns],
                          F.struct(*out).alias(f"_{tag}"))
 
@@ -140,7 +144,7 @@ def _verdict() -> Column:
     """True when every ratio is inside its group's bounds (no bounds known: true)."""
     ratios = _ratio_columns()
     bad = []
-    for name, (side, _) in RATIOS.items():
+    for name, (side, *_) in RATIOS.items():
         bad.append(F.coalesce(ratios[name] > F.col(f"_t.{name}_high"), F.lit(False)))
         if side == "both":
             bad.append(F.coalesce(ratios[name] < F.col(f"_t.{name}_low"), F.lit(False)))

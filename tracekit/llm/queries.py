@@ -11,7 +11,7 @@ from tracekit.llm import (conversations, decontaminate, language, line_dedup, ne
                           substring_dedup, token_alignment, token_counts, warc)
 from tracekit.llm.common import read
 
-LINE_WORDS = 1               # op8 looks at every repeated line that has a word; the pipeline's stage keeps line_dedup.MIN_WORDS
+LINE_WORDS = 8               # op8 looks at repeated runs of lines with so many words; the pipeline's stage keeps line_dedup.MIN_WORDS
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
