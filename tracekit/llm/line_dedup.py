@@ -210,7 +210,7 @@ def report(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_
     d = id_text(docs, id_col, text_col)
     gone = repeated_runs(spark, d, min_words)
     d = d.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long"))
-    out = _without(d, gone, "doc_id", "text")
+    out = _without(d, gone.hint("merge"), "doc_id", "text")  # the same join at every size
     n_removed = F.aggregate("_gone", F.lit(0), lambda n, x: n + x["size"])
     return out.select("doc_id", "n_lines", F.coalesce(n_removed, F.lit(0)).cast("long").alias("n_removed"),
                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
