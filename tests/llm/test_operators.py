@@ -77,8 +77,8 @@ def test_decontaminate(spark, docs, broadcast, monkeypatch):
         monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
         monkeypatch.setattr(decontaminate, "BROADCAST_DOCUMENTS", 0)
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    bench += [(900, "Tiny item"), (901, None), (902, "..."), (903, "tiny ITEM")]
-    rows = docs + [(772000, "a tiny item, tiny item!"), (772001, None), (772002, ""), (None, "x " + bench[0][1]), (772000, "a tiny item, tiny item!")]
+    bench += [(900, "Tiny item"), (901, None), (902, "..."), (903, "tiny ITEM"), (904, "zq"), (905, "zq zr zs"), (906, "zr zs")]
+    rows = docs + [(772000, "a tiny item, tiny item!"), (772001, None), (772002, ""), (772003, "zq, zr zs zq"), (None, "x " + bench[0][1]), (772000, "a tiny item, tiny item!")]
     items = spark.createDataFrame(bench, "item_id long, text string")
     r = decontaminate.report(spark, frame(spark, rows), items)
     n = F.size("hit_words").cast("long")
@@ -96,6 +96,26 @@ def test_decontaminate(spark, docs, broadcast, monkeypatch):
     assert decontaminate.report(spark, frame(spark, rows), items.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_common_window_is_spread(spark, monkeypatch):
+    """Joined by shuffle, a window that every document holds is dealt to many partitions, and only windows are."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    dealt, spread = [], decontaminate._spread
+    monkeypatch.setattr(decontaminate, "_spread", lambda *a: dealt.append(spread(*a)) or dealt[-1])
+    common = " ".join(f"w{k}" for k in range(10))
+    rows = frame(spark, [(i, f"{common} own{i}") for i in range(1000)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        windows = decontaminate.item_windows(spark, spark.createDataFrame([(1, common)], "item_id long, text string"))
+        _, hits = decontaminate.find_hits(spark, rows, windows)
+        sizes = dealt[0].groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert hits.count() == sum(r["count"] for r in sizes) == 1000
+    assert len(sizes) >= 6 and max(r["count"] for r in sizes) <= 400
+
+
 def test_broadcasts_have_a_size_bound(spark, monkeypatch):
     seen, broadcast = [], F.broadcast
     monkeypatch.setattr(F, "broadcast", lambda df: seen.append(set(df.columns)) or broadcast(df))

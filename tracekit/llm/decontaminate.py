@@ -24,6 +24,7 @@ BROADCAST_WINDOWS = 1_000_000      # 8-byte hashes
 BROADCAST_DOCUMENTS = 200_000      # keys
 BROADCAST_BYTES = 64_000_000       # of the arrays and texts beside them, summed
 HIT_BYTES = 24                     # one hit in an array
+SALTS = 32                         # of each window hash, where hashes are joined by shuffle
 
 
 # One hash that stands for "this document", so that the scan also returns each one's word count.
@@ -54,8 +55,18 @@ def _hashes(words_col: Column) -> Column:
     return F.transform(words_col, lambda w: F.xxhash64(w))
 
 
-def _scanned(size: int, w: Column) -> Column:
-    return F.struct(F.size(w).alias("n"), _let(_hashes(w), partial(_window_hashes, size)).alias("h"))
+def _scanned(sizes: list[int], w: Column) -> Column:
+    """Number of words, and the hashes of all windows: those of the first size by start, then those of the next."""
+    return F.struct(F.size(w).alias("n"), _let(_hashes(w), lambda h: F.concat(*[_window_hashes(k, h) for k in sizes])).alias("h"))
+
+
+def _first_of(sizes: list[int]) -> Column:
+    """Place of the first window of ``size`` among the hashes of a document with ``n`` words."""
+    out, before = F.lit(0), F.lit(0)
+    for k in sizes:
+        out = F.when(F.col("size") == k, before).otherwise(out)
+        before = before + F.greatest(F.col("n") - (k - 1), F.lit(0))
+    return out
 
 
 def item_windows(spark: SparkSession, items: DataFrame, item_col: str = "item_id", text_col: str = "text",
@@ -75,6 +86,12 @@ def item_windows(spark: SparkSession, items: DataFrame, item_col: str = "item_id
     return written(spark, grouped.select(hashes.alias("hash"), "size", "window", "items"), "item-windows")
 
 
+def _spread(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` (with a ``salt``) whose ``hash`` is wanted, dealt by hash and salt."""
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    return rows.join(wanted.withColumn("salt", F.explode(salts)), ["hash", "salt"])
+
+
 def find_hits(spark: SparkSession, docs: DataFrame, windows: DataFrame, id_col: str = "doc_id",
               text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(word counts, verified occurrences) of the distinct documents with a text.
@@ -86,20 +103,21 @@ def find_hits(spark: SparkSession, docs: DataFrame, windows: DataFrame, id_col:
     """
     d = id_text(docs, id_col, text_col).withColumn("_h", F.xxhash64("text")).where("text is not null")
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most WINDOW of them
+    sizes = sizes or [WINDOW]
+    wanted = windows.select("hash", "size").distinct()
     small = row_count_at_most(windows, BROADCAST_WINDOWS)
-    wanted = windows.select("hash", "size").distinct().unionByName(
-        spark.range(1).select(F.lit(MARK).cast("long").alias("hash"), F.lit(0).alias("size")))
-    scans = []
-    for k, size in enumerate(sizes or [WINDOW]):
-        own = d.select("doc_id", "_h", _let(words(F.col("text")), partial(_scanned, size)).alias("s"))
-        h = F.concat("s.h", F.array(F.lit(MARK).cast("long"))) if k == 0 else F.col("s.h")
-        rows = own.select("doc_id", "_h", F.col("s.n").alias("n"), h.alias("h")) \
-            .select("doc_id", "_h", "n", F.posexplode("h").alias("at", "hash"))
-        these = wanted.where(F.col("size").isin(size, 0))
-        scans.append(rows.join(F.broadcast(these) if small else these, "hash"))
-    every = scans[0]
-    for more in scans[1:]:
-        every = every.unionByName(more)
+    scanned = d.select("doc_id", "_h", _let(words(F.col("text")), partial(_scanned, sizes)).alias("s"))
+    if small:  # the counts come along under a hash that every document has
+        mark = F.lit(MARK).cast("long")
+        rows = scanned.select("doc_id", "_h", F.col("s.n").alias("n"), F.posexplode(F.concat("s.h", F.array(mark))).alias("at", "hash"))
+        every = rows.join(F.broadcast(wanted.unionByName(spark.range(1).select(mark.alias("hash"), F.lit(0).alias("size")))), "hash")
+    else:      # every word is shuffled; a hash that very many documents hold is spread over the salts
+        rows = scanned.select("doc_id", "_h", F.col("s.n").alias("n"), F.posexplode("s.h").alias("at", "hash")) \
+            .select("*", F.pmod(F.xxhash64("doc_id", "_h", "at"), F.lit(SALTS)).alias("salt"))
+        counts = d.select("doc_id", "_h", F.size(words(F.col("text"))).alias("n"), F.lit(0).alias("at"), F.lit(0).alias("size"))
+        every = _spread(rows, wanted).select("doc_id", "_h", "n", "at", "size").unionByName(counts)
+    at = F.col("at") - _first_of(sizes)
+    every = every.withColumn("at", at).where((F.col("size") == 0) | ((F.col("at") >= 0) & (F.col("at") <= F.col("n") - F.col("size"))))
     raw = written(spark, every.groupBy("doc_id", "_h").agg(
         F.max("n").cast("long").alias("n_words"),
         F.collect_set(F.when(F.col("size") > 0, F.struct("at", "size"))).alias("raw")), "raw-hits")
