@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tracekit.functions import plan_text as PT
 from tracekit.functions import text as TX
 from tracekit.functions.common import r6
-from tracekit.operators import gates
+from tracekit.operators import diversity, gates
+from tracekit.operators import positional as P
 from tracekit.plans import base
 from tracekit.plans import sqlfn as S
 from tracekit.plans.base import accepted_problems
@@ -188,6 +189,37 @@ def plan_coverage(spark, sf):
     return PT.with_tfidf_cosine(plans, "question", "plan").select("problem_id", r6("coverage").alias("coverage"))
 
 
+EVAL_RUN = 100     # plans of one evaluation run, whose history starts empty
+
+_DIVERSITY_CTES = {
+    "dp": f"""SELECT problem_id, plan, CAST(floor((o - 1) / {EVAL_RUN}) AS BIGINT) AS run, o
+      FROM (SELECT problem_id, plan, row_number() OVER (ORDER BY problem_id) AS o FROM plans_fx)""",
+    "dk": "SELECT problem_id, run, plan, o - min(o) OVER (PARTITION BY run) + 1 AS k FROM dp",
+    "dt": """SELECT run, k, term, CAST(count(*) AS DOUBLE) AS tf
+      FROM (SELECT run, k, unnest(regexp_extract_all(lower(plan), '\\b\\w\\w+\\b', 0)) AS term FROM dk) GROUP BY run, k, term""",
+    "di": """SELECT run, k, term, ln((1.0 + k) / (1.0 + df)) + 1.0 AS idf FROM (
+      SELECT q.run, q.k, t.term, count(*) AS df FROM dk q JOIN dt t ON t.run = q.run AND t.k <= q.k GROUP BY q.run, q.k, t.term)""",
+    "dn": """SELECT i.run, i.k, t.k AS j, sum(t.tf * t.tf * i.idf * i.idf) AS size
+      FROM di i JOIN dt t ON t.run = i.run AND t.term = i.term AND t.k <= i.k GROUP BY i.run, i.k, t.k""",
+    "dd": """SELECT a.run, a.k, b.k AS j, sum(a.tf * b.tf * i.idf * i.idf) AS dot
+      FROM dt a JOIN dt b ON b.run = a.run AND b.term = a.term AND b.k < a.k
+      JOIN di i ON i.run = a.run AND i.k = a.k AND i.term = a.term GROUP BY a.run, a.k, b.k""",
+    "dm": """SELECT run, k, max(dot / sqrt(x.size * y.size)) AS cosine
+      FROM dd JOIN dn x USING (run, k, j) JOIN (SELECT run, k, size FROM dn WHERE j = k) y USING (run, k) GROUP BY run, k""",
+    "dv": "SELECT run, min(k) AS first_term FROM dt GROUP BY run",
+}
+
+
+@register("diversity_prior", with_fixtures(
+    """SELECT problem_id, run, round(CASE WHEN k = 1 THEN 1.0 WHEN first_term IS NULL OR first_term > k THEN 0.5
+       ELSE greatest(1.0 - coalesce(cosine, 0.0), 0.0) END, 6) AS diversity
+       FROM dk LEFT JOIN dm USING (run, k) LEFT JOIN dv USING (run)""", "plans_fx", extra=_DIVERSITY_CTES))
+def diversity_prior(spark, sf):
+    """Diversity of every plan against the earlier plans of its run of 100, by problem_id."""
+    placed = P.batches(P.ordinal(fx.plans_fx(spark, sf).select("problem_id", "plan"), ["problem_id"]), EVAL_RUN, batch_col="run")
+    return diversity.diversity_prior(placed, "problem_id", "run", "pos", "plan").withColumn("diversity", r6("diversity"))
+
+
 _PLAN_OUTCOME = """CASE
   WHEN question IS NULL OR question = '' OR length(question) < 20 THEN 'question'
   WHEN plan IS NULL OR plan = '' OR length(plan) < 50 THEN 'plan'
