@@ -40,3 +40,14 @@ def test_verdicts_stay_by_step_in_any_session(spark, sf):
         assert "critique#" not in join
     finally:
         spark.conf.set(ALL_KEYS, was)
+
+
+def test_report_and_rows_share_one_pass_over_the_metrics(spark, sf, monkeypatch):
+    from tracekit.plans import io_jobs
+    calls, real = [], io_jobs.problem_metrics
+    monkeypatch.setattr(io_jobs, "problem_metrics", lambda *a: calls.append(1) or real(*a))
+    first = io_jobs.individual_results(spark, sf).count()
+    assert first == io_jobs.write_eval_report(spark, sf).first()["num_problems"] > 0
+    assert len(calls) == 1
+    plan = io_jobs.eval_report_df(spark.table(next(t for (_, d, n), t in fx._MATERIALIZED.items() if n == "problem_metrics" and d == sf)))
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
