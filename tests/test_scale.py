@@ -51,3 +51,21 @@ def test_report_and_rows_share_one_pass_over_the_metrics(spark, sf, monkeypatch)
     assert len(calls) == 1
     plan = io_jobs.eval_report_df(spark.table(next(t for (_, d, n), t in fx._MATERIALIZED.items() if n == "problem_metrics" and d == sf)))
     assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attempts_keep_their_texts_by_step(spark, sf):
+    """Contexts are reduced, or joined with what lies by problem, before they are dealt to the steps."""
+    from tracekit.plans import requests
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = requests.trace_metadata(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        dealt = [plan[i + 1] for i, x in enumerate(plan) if "RepartitionByExpression" in x]
+        assert any("context_length" in x for x in dealt), dealt
+        made = requests.attempts_made(spark, sf, lambda c: c.join(fx.problems_fx(spark, sf).select("problem_id", "question"), "problem_id"))
+        physical = made._jdf.queryExecution().executedPlan().toString().splitlines()
+        # no exchange by the problem alone has an attempt's own text below it: the topmost join is by step
+        top = next(x for x in physical if "SortMergeJoin" in x)
+        assert "step_number" in top
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
