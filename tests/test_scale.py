@@ -69,3 +69,11 @@ def test_attempts_keep_their_texts_by_step(spark, sf):
         assert "step_number" in top
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_step_texts_are_dealt_instead_of_their_states(spark, sf):
+    from tracekit.operators import answers
+    t = answers.trace_state(base.first_executions(spark, sf), "problem_id", "step_number", F.col("execution"))
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("ObjectHashAggregate") < plan.index("Exchange hashpartitioning")
+    assert plan.rindex("regexp_extract_all") < plan.index("Exchange hashpartitioning")
