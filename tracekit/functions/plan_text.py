@@ -12,12 +12,15 @@ from tracekit.functions.common import col, count_present, strip
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's patterns and word lists)
 # ---------------------------------------------------------------------------
+# A text is taken line by line up to the first line that ends it, instead of asking at every character whether
+# the reference's look-ahead holds; ``*+`` never goes back. The matches are the reference's, given below each.
+_UP_TO = r"(.[^\n]*+(?:\n(?!%s)[^\n]*+)*+)"
 PLAN_PATTERNS = (
-    r"(?isd)(\d+)\.\s*(.+?)(?=\n\d+\.|\n[A-Z]|\z)",
-    r"(?isd)(\d+)\)\s*(.+?)(?=\n\d+\)|\n[A-Z]|\z)",
-    r"(?isd)Step\s+(\d+):?\s*(.+?)(?=\nStep|\n[A-Z]|\z)",
+    r"(?isd)(\d+)\.\s*" + _UP_TO % r"\d+\.|[A-Z]",            # (\d+)\.\s*(.+?)(?=\n\d+\.|\n[A-Z]|\z)
+    r"(?isd)(\d+)\)\s*" + _UP_TO % r"\d+\)|[A-Z]",            # (\d+)\)\s*(.+?)(?=\n\d+\)|\n[A-Z]|\z)
+    r"(?isd)Step\s+(\d+):?\s*" + _UP_TO % r"Step|[A-Z]",      # Step\s+(\d+):?\s*(.+?)(?=\nStep|\n[A-Z]|\z)
 )
-EVAL_STEP = r"(?msd)^\s*(\d+\.?\s*.*?)(?=^\s*\d+\.|\z)"
+EVAL_STEP = r"(?msd)^\s*(\d+\.?\s*(?:(?!^\s*\d+\.)(?:[^\n]++\n?+|\n))*+)"     # ^\s*(\d+\.?\s*.*?)(?=^\s*\d+\.|\z)
 NUMBERED_LINE = r"(?m)^\s*(\d+)\."
 SPECIFIC_TERMS = r"\d+|calculate|solve|find|determine|compute"
 GENERIC_TERMS = r"understand|analyze|consider|think|look"
@@ -46,10 +49,10 @@ def _fallback(plan: Column, runtime: bool) -> Column:
 def eval_plan_steps(plan) -> Column:
     """Multiline numbered split; else the first 6 pieces of a split on '.'."""
     p = col(plan)
-    found = F.filter(F.transform(F.regexp_extract_all(p, F.lit(EVAL_STEP), 1), lambda x: strip(x)),
-                     lambda x: x != "")
+    hits = F.regexp_extract_all(p, F.lit(EVAL_STEP), 1)
+    found = F.filter(F.transform(hits, lambda x: strip(x)), lambda x: x != "")
     pieces = F.filter(F.transform(F.split(p, r"\."), lambda x: strip(x)), lambda x: x != "")
-    return F.when(F.size(F.regexp_extract_all(p, F.lit(EVAL_STEP), 1)) > 0, found) \
+    return F.when(F.size(hits) > 0, found) \
         .otherwise(F.slice(pieces, 1, 6))
 
 
@@ -73,8 +76,9 @@ def is_sequential(plan) -> Column:
 def specificity(plan) -> Column:
     """Specific / (specific + generic + 1), on lower-cased text."""
     lp = F.lower(col(plan))
-    sp = F.regexp_count(lp, F.lit(SPECIFIC_TERMS)).cast("double")
-    gn = F.regexp_count(lp, F.lit(GENERIC_TERMS)).cast("double")
+    # most characters begin no term: they are passed by their class
+    sp = F.regexp_count(lp, F.lit(f"(?=[0-9csfd])(?:{SPECIFIC_TERMS})")).cast("double")
+    gn = F.regexp_count(lp, F.lit(f"(?=[uactl])(?:{GENERIC_TERMS})")).cast("double")
     return sp / (sp + gn + F.lit(1.0))
 
 
@@ -99,6 +103,8 @@ def quality(numbered, sequential, coverage, spec, clar, n_steps) -> Column:
 # ---------------------------------------------------------------------------
 IDF_SHARED = 1.0                      # ln(3/3) + 1
 IDF_SINGLE = math.log(1.5) + 1.0      # ln(3/2) + 1
+# all lines of one term: those of the first text (\x01), then those of the second (\x02)
+TERM_RUN = r"([^\x01\x02\n]++)(?:\x01\n(?:\1\x01\n)*+|\x02\n)(?:\1\x02\n)*+"
 
 
 def tokens(text) -> Column:
@@ -108,59 +114,68 @@ def tokens(text) -> Column:
 # ---------------------------------------------------------------------------
 # DataFrame-level staging: each regex runs once per row, then cheap HOFs.
 # ---------------------------------------------------------------------------
-def with_plan_steps(df, plan_col: str, out_col: str = "steps", mode: str = "c5",
-                    format_col: str | None = None):
-    """Add parsed steps (C5 ``c5``, C6 ``strict``, C7 ``runtime``) as staged columns."""
-    p = F.col(plan_col)
-    tmp = [f"_pm{i}" for i in range(3)]
+def _with_matches(df, plan: Column):
+    """Add ``_pnum`` (the numbered steps of the first pattern that matches) and ``_pfmt`` (its name); a pattern
+    is searched only where the ones before it found nothing."""
+    tmp, open_ = [f"_pm{i}" for i in range(3)], F.lit(True)
     for name, pat in zip(tmp, PLAN_PATTERNS):
-        df = df.withColumn(name, F.arrays_zip(F.regexp_extract_all(p, F.lit(pat), 1).alias("n"),
-                                              F.regexp_extract_all(p, F.lit(pat), 2).alias("t")))
+        found = F.arrays_zip(F.regexp_extract_all(plan, F.lit(pat), 1).alias("n"), F.regexp_extract_all(plan, F.lit(pat), 2).alias("t"))
+        df = df.withColumn(name, F.when(open_, found))
+        open_ = open_ & (F.size(name) == 0)
     pick = (F.when(F.size(tmp[0]) > 0, F.col(tmp[0])).when(F.size(tmp[1]) > 0, F.col(tmp[1]))
             .when(F.size(tmp[2]) > 0, F.col(tmp[2])))
     fmt = (F.when(F.size(tmp[0]) > 0, F.lit("dot")).when(F.size(tmp[1]) > 0, F.lit("paren"))
            .when(F.size(tmp[2]) > 0, F.lit("step")))
-    min_len = None if mode == "runtime" else 5
     num = F.transform(F.coalesce(pick, F.array().cast("array<struct<n:string,t:string>>")),
                       lambda z: _step(z["n"], F.regexp_replace(strip(z["t"]), "\n", " ")))
-    if min_len is not None:
-        num = F.filter(num, lambda x: F.length(x["description"]) > min_len)
-    df = df.withColumn("_pnum", num).withColumn("_pfmt", fmt).drop(*tmp)
-    if mode == "strict":
-        out = F.col("_pnum")
-    else:
-        out = F.when(F.size("_pnum") > 0, F.col("_pnum")).otherwise(_fallback(p, runtime=(mode == "runtime")))
-    df = df.withColumn(out_col, out)
+    return df.withColumn("_pnum", num).withColumn("_pfmt", fmt).drop(*tmp)
+
+
+def with_parsed_plans(df, plan_col: str, outs: dict[str, str], format_col: str | None = None):
+    """Add the parsed steps of every mode in ``outs`` (mode: column) from one search: C5 ``c5``, C6 ``strict``, C7 ``runtime``."""
+    p = F.col(plan_col)
+    df = _with_matches(df, p).withColumn("_plong", F.filter("_pnum", lambda x: F.length(x["description"]) > 5))
+    for mode, out_col in outs.items():
+        num = F.col("_pnum" if mode == "runtime" else "_plong")
+        df = df.withColumn(out_col, num if mode == "strict" else F.when(F.size(num) > 0, num).otherwise(_fallback(p, runtime=(mode == "runtime"))))
     if format_col:
-        df = df.withColumn(format_col, F.when(F.size("_pnum") > 0, F.col("_pfmt")).otherwise(F.lit("fallback")))
-    return df.drop("_pnum", "_pfmt")
+        df = df.withColumn(format_col, F.when(F.size("_pnum" if set(outs) == {"runtime"} else "_plong") > 0, F.col("_pfmt")).otherwise(F.lit("fallback")))
+    return df.drop("_pnum", "_plong", "_pfmt")
 
 
-def with_tfidf_cosine(df, a: str, b: str, out_col: str = "coverage"):
-    """D6 as staged columns: the tokens of both texts sorted together, then one pass over the runs of equal terms.
+def with_plan_steps(df, plan_col: str, out_col: str = "steps", mode: str = "c5",
+                    format_col: str | None = None):
+    """Add parsed steps (C5 ``c5``, C6 ``strict``, C7 ``runtime``) as staged columns."""
+    return with_parsed_plans(df, plan_col, {mode: out_col}, format_col)
 
-    A run's two counts are its term's frequencies; the sums of the cosine are all that the pass carries.
+
+def with_tfidf_cosine(df, a: str, b: str, out_col: str = "coverage"):
+    """D6 as staged columns: the tokens of both texts, each with the sign of its side, sorted together and joined to one
+    text, in which a regex finds the run of every term. A run's two counts are its term's frequencies; only runs, not
+    tokens, pass through a lambda.
     """
-    side = lambda c, n: F.transform(tokens(c), lambda t: F.concat(t, F.lit(n)))
-    df = df.withColumn("_tt", F.sort_array(F.concat(side(a, "\x01"), side(b, "\x02"))))
-    df = df.withColumn("_tt", F.transform("_tt", lambda x: F.struct(F.left(x, F.length(x) - 1).alias("t"), F.right(x, F.lit(1)).alias("s"))))
+    def signed(c: str, sign: str) -> Column:
+        return F.when(F.size(c) == 0, F.array().cast("array<string>")).otherwise(
+            F.split(F.concat(F.array_join(c, f"{sign}\n"), F.lit(sign)), "\n"))
+    df = df.withColumn("_ta", tokens(a)).withColumn("_tb", tokens(b))
+    both = F.concat(signed("_ta", "\x01"), signed("_tb", "\x02"))
+    df = df.withColumn("_tt", F.concat(F.array_join(F.sort_array(both), "\n"), F.lit("\n")))
+    # in a run of equal terms every line has the same length, so the first places of both signs give the counts
+    at = F.transform(F.regexp_extract_all("_tt", F.lit(TERM_RUN), 0), lambda x: F.struct(
+        F.instr(x, "\x01").alias("i"), F.instr(x, "\x02").alias("j"), F.length(x).alias("n")))
+    count = lambda n, line: (n / line).cast("double")
+    df = df.withColumn("_tr", F.transform(at, lambda x: F.when(x["i"] == 0, F.struct(F.lit(0.0).alias("a"), count(x["n"], x["j"] + 1).alias("b")))
+                                          .when(x["j"] == 0, F.struct(count(x["n"], x["i"] + 1).alias("a"), F.lit(0.0).alias("b")))
+                                          .otherwise(F.struct(count(x["j"] - x["i"], x["i"] + 1).alias("a"),
+                                                              count(x["n"] - x["j"] + x["i"], x["i"] + 1).alias("b")))))
     zero = F.lit(0.0)
-    start = F.struct(F.lit("").alias("t"), zero.alias("a"), zero.alias("b"), zero.alias("dot"), zero.alias("aa"), zero.alias("bb"))
-
-    def closed(acc):
-        """The sums with the run that ends."""
-        shared = (acc["a"] > 0) & (acc["b"] > 0)
-        w = F.when(shared, IDF_SHARED * IDF_SHARED).otherwise(IDF_SINGLE * IDF_SINGLE)
-        return [(acc["dot"] + acc["a"] * acc["b"] * w).alias("dot"), (acc["aa"] + acc["a"] * acc["a"] * w).alias("aa"),
-                (acc["bb"] + acc["b"] * acc["b"] * w).alias("bb")]
-
-    def step(acc, x):
-        first, second = F.when(x["s"] == "\x01", 1.0).otherwise(0.0), F.when(x["s"] == "\x01", 0.0).otherwise(1.0)
-        return F.when(x["t"] == acc["t"], F.struct(acc["t"].alias("t"), (acc["a"] + first).alias("a"), (acc["b"] + second).alias("b"),
-                                                   acc["dot"].alias("dot"), acc["aa"].alias("aa"), acc["bb"].alias("bb"))) \
-            .otherwise(F.struct(x["t"].alias("t"), first.alias("a"), second.alias("b"), *closed(acc)))
-
-    df = df.withColumn("_tw", F.aggregate("_tt", start, step, lambda acc: F.struct(*closed(acc))))
-    cos = (F.when(F.size("_tt") == 0, F.lit(0.5)).when((F.col("_tw.aa") == 0) | (F.col("_tw.bb") == 0), F.lit(0.0))
+
+    def add(acc, x):
+        w = F.when((x["a"] > 0) & (x["b"] > 0), IDF_SHARED * IDF_SHARED).otherwise(IDF_SINGLE * IDF_SINGLE)
+        return F.struct((acc["dot"] + x["a"] * x["b"] * w).alias("dot"), (acc["aa"] + x["a"] * x["a"] * w).alias("aa"),
+                        (acc["bb"] + x["b"] * x["b"] * w).alias("bb"))
+
+    df = df.withColumn("_tw", F.aggregate("_tr", F.struct(zero.alias("dot"), zero.alias("aa"), zero.alias("bb")), add))
+    cos = (F.when(F.size("_tr") == 0, F.lit(0.5)).when((F.col("_tw.aa") == 0) | (F.col("_tw.bb") == 0), F.lit(0.0))
            .otherwise(F.col("_tw.dot") / (F.sqrt("_tw.aa") * F.sqrt("_tw.bb"))))
-    return df.withColumn(out_col, cos).drop("_tt", "_tw")
+    return df.withColumn(out_col, cos).drop("_ta", "_tb", "_tt", "_tr", "_tw")
