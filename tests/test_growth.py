@@ -89,3 +89,14 @@ def test_texts_come_from_one_exchange(spark, sf, monkeypatch):
         "A store sells order 7 in 3 lines. What is the sum of units per order?", "Line 2 adds 8 + 9 = 17 units", "Step 1: Calculate line 1 with 8 units to the total")
 
 
+def test_masked_sequence_looks_at_words_once(spark, sf):
+    from tracekit.plans import reports
+    m = reports.masked_sequence(spark, sf)
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    planner = plan[plan.rindex("plan-"):]
+    assert "Join" not in planner and plan.count("md5(") == 2 and "filter(split" not in plan
+    r = m.where("key = 'pair-1-1'").first()
+    assert (r.n_ids, r.prompt_len, r.attention_mask) == (10, 7, " ".join(["1"] * 10))
+    assert r.labels.split(" ") == ["-100"] * 7 + r.input_ids.split(" ")[7:]
+
+

@@ -71,8 +71,8 @@ def instruction_prompt(spark, sf):
 
 
 def _ids(words):
-    return F.transform(words, lambda w: F.conv(F.substring(F.md5(F.concat(F.lit("tok|"), w)), 1, 8), 16, 10)
-                       .cast("bigint") % VOCAB)
+    """Token ids as texts."""
+    return F.transform(words, lambda w: (hash8("tok", w) % VOCAB).cast("string"))
 
 
 @register("masked_sequence", with_fixtures(f"""
@@ -88,15 +88,15 @@ def masked_sequence(spark, sf):
     """E5: token ids of prompt+response (whitespace words, hashed ids) truncated to max_length;
     labels mask the prompt part with -100. The arrays are returned as texts, split by blanks."""
     p = prompts(spark, sf)
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    words = lambda c: F.array_remove(F.split(c, r"\s+"), "")
     p = p.select("key", F.least(F.size(words(F.col("prompt"))), F.lit(MAX_LENGTH)).alias("pl"),
                  _ids(F.slice(words(F.concat("prompt", "response")), 1, MAX_LENGTH)).alias("ids"))
-    labels = F.transform("ids", lambda x, i: F.when(i < F.col("pl"), F.lit(-100).cast("bigint")).otherwise(x))
-    text = lambda arr: F.array_join(F.transform(arr, lambda x: x.cast("string")), " ")
-    return p.select("key", F.size("ids").cast("bigint").alias("n_ids"),
-                    F.least(F.col("pl"), F.size("ids")).cast("bigint").alias("prompt_len"),
-                    text(F.col("ids")).alias("input_ids"), text(labels).alias("labels"),
-                    text(F.transform("ids", lambda x: F.lit(1))).alias("attention_mask"))
+    # only the ids need a look at every word; labels and mask are the ids' tail and repeated texts
+    p = p.withColumn("n", F.size("ids")).withColumn("masked", F.least("pl", "n"))
+    labels = F.concat(F.array_repeat(F.lit("-100"), F.col("masked")), F.slice("ids", F.col("masked") + 1, F.col("n")))
+    return p.select("key", F.col("n").cast("bigint").alias("n_ids"), F.col("masked").cast("bigint").alias("prompt_len"),
+                    F.array_join("ids", " ").alias("input_ids"), F.array_join(labels, " ").alias("labels"),
+                    F.array_join(F.array_repeat(F.lit("1"), F.col("n")), " ").alias("attention_mask"))
 
 
 @register("chat_rows", with_fixtures(f"""
