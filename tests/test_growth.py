@@ -100,3 +100,33 @@ def test_masked_sequence_looks_at_words_once(spark, sf):
     assert r.labels.split(" ") == ["-100"] * 7 + r.input_ids.split(" ")[7:]
 
 
+def test_requests_meet_the_store_by_problem(spark, sf):
+    """Neither the requests' texts nor the stored answers are dealt for their joins."""
+    from tracekit.plans import augmentation as A
+    for df in (A.varied_plans(spark, sf), A.flawed_copies(spark, sf), A.injected_errors(spark, sf)):
+        assert "SortMergeJoin" in _plan(df) and "Exchange hashpartitioning" not in _plan(df)
+
+
+def test_plan_variations_leave_the_executor_store_unbuilt(spark, tmp_path, sf):
+    import os
+    from tracekit.plans import augmentation as A
+    own = f"{tmp_path}/again"
+    os.symlink(sf, own)
+    assert A.augment_plans(spark, own).where("source = 'gsm8k_variation'").count() > 0
+    assert {n for (_, d, n) in fx._MATERIALIZED if d == own} == {"texts_fx", "parsed_plans", "completions_variation"}
+
+
+def test_written_stores_are_one_file_a_bucket(spark, sf):
+    from tracekit.plans import augmentation as A
+    from tracekit.plans import base
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for t in (fx.texts_fx(spark, sf), base.parsed_plans(spark, sf), *[A.completions_fx(spark, sf, k) for k in A._ANSWERS]):
+        assert len(t.inputFiles()) <= buckets
+
+
+def test_what_leads_to_the_keys_is_done_once(spark):
+    """The range sampling reads written keys; the cut's first column reaches the rows alone."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(i, i % 3) for i in range(100)]).map(lambda x: seen.add(1) or x), "g long, id long")
+    assert P.last_key(rows, ["g", "id"], P.share(1, 2)) == (49, 1) and seen.value == 100
+    assert "(g#" in _plan(P.up_to(spark.range(9).select(F.col("id").alias("g"), "id"), ["g", "id"], (4, 4))) and P.up_to(rows, ["g", "id"], (4, 1)).count() == 5

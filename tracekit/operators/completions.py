@@ -25,9 +25,13 @@ def with_request(df: DataFrame, kind: str, keys: list[str], system, user, max_to
                            "user": user, "max_tokens": F.lit(max_tokens)})
 
 
-def attach(requests: DataFrame, completions: DataFrame, out: str = "completion") -> DataFrame:
-    """Requests with their completion under ``out`` (null: none is stored). ``completions`` has one row per id."""
-    return requests.join(completions.select("request_id", F.col("completion").alias(out)), "request_id", "left")
+def attach(requests: DataFrame, completions: DataFrame, out: str = "completion", by: tuple[str, ...] = ()) -> DataFrame:
+    """Requests with their completion under ``out`` (null: none is stored). ``completions`` has one row per id.
+
+    ``by``: keys of the request (none null) that the store carries, too; where both sides lie by them, nothing is dealt anew.
+    """
+    keys = [*by, "request_id"]
+    return requests.join(completions.select(*keys, F.col("completion").alias(out)).hint("merge"), keys, "left")
 
 
 def normal(text) -> Column:

@@ -33,6 +33,7 @@ from tracekit.plans.sql_fixtures import H, with_fixtures
 from tracekit.sources import fixtures as fx
 
 ERROR_SOURCE = "error_correction"
+BY = ("problem_id",)   # the store and the requests lie by problem
 REQUEST = ("request_id", "problem_id", "kind", "system", "user", "max_tokens")
 
 
@@ -47,14 +48,16 @@ def _say(*parts) -> Column:
 def variation_requests(spark, sf) -> DataFrame:
     """One rephrasing of each plan of the first half (>= 2 steps)."""
     ex = _plan_examples(spark, sf).where(F.size("steps") >= 2)
-    half = P.first_part(ex, ["problem_id"], P.share(1, 2)).select("problem_id", "question", "plan")
+    last = fx.once(spark, sf, "plan_half", lambda: P.last_key(ex, ["problem_id"], P.share(1, 2)))
+    half = P.up_to(ex, ["problem_id"], last).select("problem_id", "question", "plan")
     return C.with_request(half, "variation", ["problem_id"], F.lit(VARIATION_SYSTEM),
                           _say("Original Plan:\n", "{plan}", "\n\nCreate a rephrased version:"), 300)
 
 
 def error_requests(spark, sf) -> DataFrame:
     """H9: an error version for the first int(0.3 * m) executions of the first quarter (m = len // 4)."""
-    chosen = P.first_part(exec_examples(spark, sf), ["problem_id", "pos"], lambda n: P.share(3, 10)(P.share(1, 4)(n)))
+    ex, order = exec_examples(spark, sf), ["problem_id", "pos"]
+    chosen = P.up_to(ex, order, fx.once(spark, sf, "error_part", lambda: P.last_key(ex, order, lambda n: P.share(3, 10)(P.share(1, 4)(n)))))
     return C.with_request(chosen, "execution_error", ["problem_id", "pos"], F.lit(ERROR_EXECUTION_SYSTEM),
                           _say("Original correct execution:\n", "{execution}", "\n\nCreate a version with a subtle error:"), 400)
 
@@ -79,45 +82,59 @@ def feedback_requests(ex: DataFrame) -> DataFrame:
 
 def _with_flawed(requests: DataFrame, completions: DataFrame) -> DataFrame:
     """Injection requests with the stored flawed text, as the base of the feedback requests."""
-    return C.attach(requests, completions, "flawed_execution").drop(*[c for c in REQUEST if c != "problem_id"])
+    return C.attach(requests, completions, "flawed_execution", BY).drop(*[c for c in REQUEST if c != "problem_id"])
 
 
 # ---------------------------------------------------------------------------
 # The store: what the teacher answered (derived, like every trace table)
 # ---------------------------------------------------------------------------
-def _build_completions(spark, sf) -> DataFrame:
-    var, err = variation_requests(spark, sf), error_requests(spark, sf)
-    line = F.concat(F.col("step_number").cast("string"), F.lit(". Bring in "), F.col("q").cast("string"),
-                    F.lit(" more units from line "), F.col("step_number").cast("string"))
-    rephrased = fx.steps_fx(spark, sf).groupBy("problem_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col("step_number").alias("o"), line.alias("t")))), lambda x: x["t"]), "\n").alias("_new"))
+def _answers_variation(spark, sf) -> DataFrame:
+    var = variation_requests(spark, sf)
     c = hash8("cvar", "problem_id") % 8
-    var = var.join(rephrased, "problem_id").select("request_id", F.when(c == 0, F.lit(None)).when(c == 1, F.col("plan"))
-                                                   .when(c == 2, F.lit("Do it all in one go.")).otherwise(F.col("_new")).alias("completion"))
+    new = F.array_join(F.transform("lines", lambda x: F.concat(x["o"].cast("string"), F.lit(". Bring in "), x["q"].cast("string"),
+                                                               F.lit(" more units from line "), x["o"].cast("string"))), "\n")
+    return var.join(fx.gathered_lines(fx.order_lines(spark, sf)), "problem_id").select(
+        "problem_id", "request_id", F.when(c == 0, F.lit(None)).when(c == 1, F.col("plan"))
+        .when(c == 2, F.lit("Do it all in one go.")).otherwise(new).alias("completion"))
+
+
+def _answers_execution_error(spark, sf) -> DataFrame:
     e = hash8("cerr", "problem_id", "pos") % 10
     wrong = F.regexp_replace("execution", F.lit(r"(= |Result: |answer is )(\d+)"), F.concat(F.lit("$1$2"), e.cast("string")))
-    err = err.select("request_id", F.when(e == 0, F.lit(None)).when(e == 1, F.col("execution"))
-                     .when(e == 2, F.regexp_replace("execution", "^We add", "Adding")).otherwise(wrong).alias("completion"))
+    return error_requests(spark, sf).select(
+        "problem_id", "request_id", F.when(e == 0, F.lit(None)).when(e == 1, F.col("execution"))
+        .when(e == 2, F.regexp_replace("execution", "^We add", "Adding")).otherwise(wrong).alias("completion"))
+
+
+def _answers_error_injection(spark, sf) -> DataFrame:
     inj = injection_requests(variations(spark, sf).drop("flawed_execution", "feedback"), "new_error_type")
     i = hash8("cinj", "problem_id", "k", "draw") % 10
     other = F.element_at(F.array(*[F.lit(t) for t in ERROR_TYPES[3:] + ERROR_TYPES[:3]]),
                          F.array_position(F.array(*[F.lit(t) for t in ERROR_TYPES]), F.col("new_error_type")).cast("int"))
-    inj = inj.withColumn("completion", F.when(i == 0, F.lit(None)).when(i == 1, F.col("correct_execution"))
-                         .when(i == 2, flawed_text(F.col("correct_execution"), other))
-                         .otherwise(flawed_text(F.col("correct_execution"), F.col("new_error_type"))))
-    fb = feedback_requests(inj.where("completion is not null").drop(*[x for x in REQUEST if x != "problem_id"])
-                           .withColumnRenamed("completion", "flawed_execution"))
+    return inj.withColumn("completion", F.when(i == 0, F.lit(None)).when(i == 1, F.col("correct_execution"))
+                          .when(i == 2, flawed_text(F.col("correct_execution"), other))
+                          .otherwise(flawed_text(F.col("correct_execution"), F.col("new_error_type"))))
+
+
+def _answers_feedback(spark, sf) -> DataFrame:
+    inj = _answers_error_injection(spark, sf).where("completion is not null").drop(*[x for x in REQUEST if x != "problem_id"])
+    fb = feedback_requests(inj.withColumnRenamed("completion", "flawed_execution"))
     f = hash8("cfb", "problem_id", "k", "draw") % 8
     named = F.regexp_replace(F.when(f == 1, F.col("error_type")).otherwise(F.col("new_error_type")), "_", " ")
-    fb = fb.select("request_id", F.when(f == 0, F.lit(None)).otherwise(F.concat(
+    return fb.select("problem_id", "request_id", F.when(f == 0, F.lit(None)).otherwise(F.concat(
         F.lit("The "), named, F.lit(" in step "), F.col("k").cast("string"), F.lit(" is incorrect. You should recalculate it."))).alias("completion"))
-    rows = reduce(DataFrame.unionByName, [var, err, inj.select("request_id", "completion"), fb])
-    return rows.where("completion is not null")
 
 
-def completions_fx(spark, sf) -> DataFrame:
-    """``request_id, completion``: written once per session, bucketed by the id."""
-    return fx.materialized(spark, sf, "completions_fx", lambda: _build_completions(spark, sf), ("request_id",))
+_ANSWERS = {"variation": _answers_variation, "execution_error": _answers_execution_error,
+            "error_injection": _answers_error_injection, "feedback": _answers_feedback}
+
+
+def completions_fx(spark, sf, kind: str) -> DataFrame:
+    """``problem_id, request_id, completion`` of the answers to requests of a kind: written once per session and bucketed by
+    problem, as the requests lie, so that their texts are neither dealt to the store nor to the answers."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    build = lambda: _ANSWERS[kind](spark, sf).where("completion is not null").select("problem_id", "request_id", "completion")
+    return fx.materialized(spark, sf, f"completions_{kind}", build, BY)
 
 
 _OTHER_SQL = "[" + ", ".join(S.q(t) for t in ERROR_TYPES[3:] + ERROR_TYPES[:3]) + "][list_position([" \
@@ -226,22 +243,26 @@ _AUG_CTES = {**_STORE_CTES, "vplans": "SELECT problem_id, completion AS plan FRO
 # ---------------------------------------------------------------------------
 def varied_plans(spark, sf) -> DataFrame:
     """Plan variations with ``_rule`` (null: admitted); ``steps`` are those of the completion."""
-    got = C.attach(variation_requests(spark, sf), completions_fx(spark, sf))
+    got = C.attach(variation_requests(spark, sf), completions_fx(spark, sf, "variation"), by=BY)
     got = PT.with_plan_steps(got, "completion", "steps")
     return got.withColumn("_rule", gates.first_failure(C.variation_rules("plan", "completion", "steps")))
 
 
 def error_versions(spark, sf) -> DataFrame:
     """Error versions of executions with ``_rule``."""
-    got = C.attach(error_requests(spark, sf), completions_fx(spark, sf))
+    got = C.attach(error_requests(spark, sf), completions_fx(spark, sf, "execution_error"), by=BY)
     return got.withColumn("_rule", gates.first_failure(C.error_rules("execution", "completion")))
 
 
+def flawed_copies(spark, sf) -> DataFrame:
+    """New-error copies of critic examples (D7) with the stored flawed text (D1; null: none is stored)."""
+    asked = injection_requests(variations(spark, sf).drop("flawed_execution", "feedback"), "new_error_type")
+    return _with_flawed(asked, completions_fx(spark, sf, "error_injection"))
+
+
 def injected_errors(spark, sf) -> DataFrame:
     """New-error copies of critic examples with ``_rule``: D7, then D1 for the flawed text, then D1 for feedback on that text."""
-    store = completions_fx(spark, sf)
-    ex = _with_flawed(injection_requests(variations(spark, sf).drop("flawed_execution", "feedback"), "new_error_type"), store)
-    got = C.attach(feedback_requests(ex), store, "feedback")
+    got = C.attach(feedback_requests(flawed_copies(spark, sf)), completions_fx(spark, sf, "feedback"), "feedback", BY)
     return got.withColumn("_rule", gates.first_failure(
         C.injection_rules("correct_execution", "flawed_execution", "new_error_type", "feedback", ERROR_TYPES)))
 
@@ -351,8 +372,9 @@ def generation_requests(spark, sf):
     flawed text, step execution) with an id derived from the prompt."""
     acc = base.accepted_problems(spark, sf)
     extract = lambda tail: _say("Problem: ", "{question}", "\nSolution: ", "{solution}", "\n\n", tail)
-    drawn = critic_examples(spark, sf).withColumn("draw", F.lit(0).cast("bigint"))
-    again = injected_errors(spark, sf).withColumn("error_type", F.col("new_error_type"))
+    # the prompts ask about the flawed texts alone: feedback that is stored for them is not read
+    drawn = critic_examples(spark, sf).withColumn("draw", F.lit(0).cast("bigint")).drop("feedback")
+    again = flawed_copies(spark, sf).withColumn("error_type", F.col("new_error_type"))
     drawn = drawn.unionByName(again.select(*drawn.columns))
     ec = exec_candidates(spark, sf).withColumn("shown", F.when(F.col("context") != "", F.col("context")).otherwise(F.lit("None")))
     made = [

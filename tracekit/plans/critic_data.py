@@ -19,6 +19,7 @@ from tracekit.plans import sqlfn as S
 from tracekit.plans.curation import ACCEPTED_SQL
 from tracekit.plans.registry import register
 from tracekit.plans.sql_fixtures import H, with_fixtures
+from tracekit.sources import fixtures as fx
 
 # Fixed values (the reference's error catalog, instructions and texts)
 ERROR_TYPES = ("calculation_error", "logical_error", "interpretation_error", "incomplete_step",
@@ -83,11 +84,18 @@ _CTES = {"acc": ACCEPTED_SQL, "st": S.sentence_steps("acc", "problem_id", "solut
          "cx": _EX_SQL}
 
 
+def _critic_steps(spark, sf):
+    """The first critic-fold steps of every accepted problem, written once per session by problem."""
+    def build():
+        acc = base.accepted_problems(spark, sf)
+        st = acc.select("problem_id", "question",
+                        F.posexplode(F.slice(TX.critic_solution_steps("solution"), 1, EXAMPLES_PER_PROBLEM)).alias("pos", "step"))
+        return st.select("problem_id", (F.col("pos") + 1).cast("bigint").alias("k"), "question", "step")
+    return fx.materialized(spark, sf, "critic_steps", build, ("problem_id",))
+
+
 def critic_examples(spark, sf):
-    acc = base.accepted_problems(spark, sf)
-    st = acc.select("problem_id", "question",
-                    F.posexplode(F.slice(TX.critic_solution_steps("solution"), 1, EXAMPLES_PER_PROBLEM)).alias("pos", "step"))
-    st = st.withColumn("k", (F.col("pos") + 1).cast("bigint"))
+    st = _critic_steps(spark, sf)
     cat = F.array(*[F.lit(t) for t in ERROR_TYPES])
     et = F.element_at(cat, (hash8("etype", "problem_id", "k") % 6 + 1).cast("int"))
     fb = F.when(hash8("fb", "problem_id", "k") % 4 == 0, F.lit("Looks fine.")).otherwise(F.concat(
@@ -150,7 +158,8 @@ _VAR_SQL = f"""SELECT problem_id, k, draw, error_type,
 
 def variations(spark, sf):
     ex = critic_examples(spark, sf)
-    half = P.first_part(ex, ["problem_id", "k"], P.share(1, 2))
+    order = ["problem_id", "k"]
+    half = P.up_to(ex, order, fx.once(spark, sf, "critic_half", lambda: P.last_key(ex, order, P.share(1, 2))))
     half = half.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
     others = F.filter(F.array(*[F.lit(t) for t in ERROR_TYPES]), lambda x: x != F.col("error_type"))
     return half.withColumn("new_error_type",
