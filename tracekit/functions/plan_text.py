@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracekit.functions.common import col, count_present, strip
+from tracekit.functions.common import col, count_present, strip, strip_value
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's patterns and word lists)
@@ -36,14 +36,20 @@ def _clean_line(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"^\d+[\.\)]\s*", ""), r"^[-\*]\s*", "")
 
 
-def _fallback(plan: Column, runtime: bool) -> Column:
-    lines = F.transform(F.split(strip(plan), "\n"), lambda x: strip(x))
+def _fallback_lines(plan: Column) -> Column:
+    """Every line of a plan, as it stands and without number or bullet."""
+    lines = F.transform(F.split(strip_value(plan), "\n"), lambda x: strip_value(x))
+    # most lines begin with neither a digit nor a bullet: they are passed by their first character
+    marked = lambda x: F.ascii(x).between(48, 57) | F.ascii(x).isin(42, 45)
+    return F.transform(lines, lambda x: F.struct(x.alias("raw"), F.when(marked(x), _clean_line(x)).otherwise(x).alias("clean")))
+
+
+def _fallback(lines: str, runtime: bool) -> Column:
     if runtime:
-        kept = F.filter(lines, lambda x: (x != "") & ~x.startswith("Plan:"))
+        kept = F.filter(lines, lambda x: (x["raw"] != "") & ~x["raw"].startswith("Plan:") & (x["clean"] != ""))
     else:
-        kept = F.filter(lines, lambda x: F.length(x) > 10)
-    cleaned = F.filter(F.transform(kept, _clean_line), lambda x: x != "")
-    return F.transform(cleaned, lambda x, i: _step(i + 1, x))
+        kept = F.filter(lines, lambda x: (F.length(x["raw"]) > 10) & (x["clean"] != ""))
+    return F.transform(kept, lambda x, i: _step(i + 1, x["clean"]))
 
 
 def eval_plan_steps(plan) -> Column:
@@ -116,31 +122,34 @@ def tokens(text) -> Column:
 # ---------------------------------------------------------------------------
 def _with_matches(df, plan: Column):
     """Add ``_pnum`` (the numbered steps of the first pattern that matches) and ``_pfmt`` (its name); a pattern
-    is searched only where the ones before it found nothing."""
+    is searched only where the ones before it found nothing and the text holds what every match of it holds."""
     tmp, open_ = [f"_pm{i}" for i in range(3)], F.lit(True)
-    for name, pat in zip(tmp, PLAN_PATTERNS):
-        found = F.arrays_zip(F.regexp_extract_all(plan, F.lit(pat), 1).alias("n"), F.regexp_extract_all(plan, F.lit(pat), 2).alias("t"))
-        df = df.withColumn(name, F.when(open_, found))
-        open_ = open_ & (F.size(name) == 0)
-    pick = (F.when(F.size(tmp[0]) > 0, F.col(tmp[0])).when(F.size(tmp[1]) > 0, F.col(tmp[1]))
-            .when(F.size(tmp[2]) > 0, F.col(tmp[2])))
-    fmt = (F.when(F.size(tmp[0]) > 0, F.lit("dot")).when(F.size(tmp[1]) > 0, F.lit("paren"))
-           .when(F.size(tmp[2]) > 0, F.lit("step")))
-    num = F.transform(F.coalesce(pick, F.array().cast("array<struct<n:string,t:string>>")),
-                      lambda z: _step(z["n"], F.regexp_replace(strip(z["t"]), "\n", " ")))
-    return df.withColumn("_pnum", num).withColumn("_pfmt", fmt).drop(*tmp)
+    needs = (F.contains(plan, F.lit(".")), F.contains(plan, F.lit(")")), F.contains(F.lower(plan), F.lit("step")))
+    numbers = texts = fmt = F.when(F.lit(False), None)
+    for name, pat, need, form in zip(tmp, PLAN_PATTERNS, needs, ("dot", "paren", "step")):
+        df = df.withColumn(name, F.when(open_ & need, F.regexp_extract_all(plan, F.lit(pat), 1)))
+        found = F.coalesce(F.size(name) > 0, F.lit(False))
+        numbers, fmt = numbers.when(found, F.col(name)), fmt.when(found, F.lit(form))
+        texts = texts.when(found, F.regexp_extract_all(plan, F.lit(pat), 2))
+        open_ = open_ & ~found
+    df = df.withColumn("_pt", texts).withColumn("_pm", F.arrays_zip(numbers.alias("n"), F.col("_pt").alias("t")))
+    num = F.transform(F.coalesce("_pm", F.array().cast("array<struct<n:string,t:string>>")),
+                      lambda z: _step(z["n"], F.replace(strip_value(z["t"]), F.lit("\n"), F.lit(" "))))
+    return df.withColumn("_pnum", num).withColumn("_pfmt", fmt).drop(*tmp, "_pt", "_pm")
 
 
 def with_parsed_plans(df, plan_col: str, outs: dict[str, str], format_col: str | None = None):
     """Add the parsed steps of every mode in ``outs`` (mode: column) from one search: C5 ``c5``, C6 ``strict``, C7 ``runtime``."""
     p = F.col(plan_col)
     df = _with_matches(df, p).withColumn("_plong", F.filter("_pnum", lambda x: F.length(x["description"]) > 5))
+    if set(outs) != {"strict"}:
+        df = df.withColumn("_plines", F.when(F.size("_plong") == 0, _fallback_lines(p)))
     for mode, out_col in outs.items():
         num = F.col("_pnum" if mode == "runtime" else "_plong")
-        df = df.withColumn(out_col, num if mode == "strict" else F.when(F.size(num) > 0, num).otherwise(_fallback(p, runtime=(mode == "runtime"))))
+        df = df.withColumn(out_col, num if mode == "strict" else F.when(F.size(num) > 0, num).otherwise(_fallback("_plines", runtime=(mode == "runtime"))))
     if format_col:
         df = df.withColumn(format_col, F.when(F.size("_pnum" if set(outs) == {"runtime"} else "_plong") > 0, F.col("_pfmt")).otherwise(F.lit("fallback")))
-    return df.drop("_pnum", "_plong", "_pfmt")
+    return df.drop("_pnum", "_plong", "_pfmt", "_plines")
 
 
 def with_plan_steps(df, plan_col: str, out_col: str = "steps", mode: str = "c5",
